@@ -52,18 +52,6 @@ def catalogue_list(items: DataFrame, limit: int | None = None, item: str = "item
     return ordered.limit(limit) if limit is not None else ordered
 
 
-def unliked(items: DataFrame, state: DataFrame, users: DataFrame) -> DataFrame:
-    """For each account in ``users``: the catalogue without its favourites.
-
-    The answer itself has one row per account and item left over, so accounts are given, not all.
-    """
-    liked = state.filter("favorite").select("user", "item").join(users.select("user"), "user", "left_semi")
-    per_user = liked.groupBy("user").agg(F.collect_set("item").alias("_liked"))
-    menus = users.select("user").distinct().join(per_user, "user", "left")
-    catalogue = items.select("item").distinct()
-    # One pass over the catalogue per account; the condition has no equality, and the account
-    # side is the small one.
-    return (
-        catalogue.join(F.broadcast(menus), ~F.coalesce(F.array_contains("_liked", F.col("item")), F.lit(False)))
-        .select("user", "item")
-    )
+def unliked(items: DataFrame, favourites: DataFrame) -> DataFrame:
+    """The catalogue minus the favourites given (of one account, or of all of them)."""
+    return items.select("item").distinct().join(favourites.select("item"), "item", "left_anti")
