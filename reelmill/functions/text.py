@@ -37,7 +37,7 @@ def clean_text(text: Column) -> Column:
 
 def word_count(clean: Column) -> Column:
     """Words of an already cleaned text; the empty text has none."""
-    return F.when(clean == "", F.lit(0)).otherwise(F.size(F.split(clean, " ")))
+    return F.size(F.array_remove(F.split(clean, " "), ""))
 
 
 def normalize_title(title: Column, roman_fix: bool = False) -> Column:
@@ -67,23 +67,16 @@ def tokens(text: Column, raw: bool = False, stop_words: list[str] = STOP_WORDS)
     return F.filter(words, lambda w: ~w.isin(*stop_words))
 
 
-def _joined(left: Column, right: Column) -> Column:
-    return F.zip_with(left, right, lambda a, b: F.concat(a, F.lit(" "), b))
-
-
-def _from(words: Column, start: int) -> Column:
-    return F.slice(words, start, F.greatest(F.size(words) - (start - 1), F.lit(0)))
-
-
 def ngrams(words: Column, low: int = 1, high: int = 3) -> Column:
-    """All n-grams for low <= n <= high, joined by one blank."""
-    parts = []
-    grams = words
-    for n in range(1, high + 1):
-        if n > 1:
-            # grams of n-1 words at positions 1..m-n+1, extended by the word n-1 places on
-            tail = _from(words, n)
-            grams = _joined(F.slice(grams, 1, F.size(tail)), tail)
-        if n >= low:
-            parts.append(grams)
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+    """All n-grams for low <= n <= high, joined by one blank. Lists end in nulls where words do."""
+
+    def starting_at(word: Column, i: Column) -> Column:
+        grams, gram = [], word
+        for n in range(1, high + 1):
+            if n > 1:
+                gram = F.concat(gram, F.lit(" "), F.get(words, i + (n - 1)))
+            if n >= low:
+                grams.append(gram)
+        return F.array(*grams)
+
+    return F.flatten(F.transform(words, starting_at))

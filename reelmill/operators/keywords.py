@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reelmill.operators.ranking import top_k
 from reelmill.operators.similarity import mean_vectors
@@ -31,7 +32,10 @@ def keywords(members: DataFrame, item_vectors: DataFrame, vocab: DataFrame, grou
     ).select(group, "term", "weight", "rank")
 
 
-@F.pandas_udf("array<struct<term_id: int, weight: double>>")
+SHARED = T.ArrayType(T.StructType([T.StructField("term_id", T.IntegerType()), T.StructField("weight", T.DoubleType())]))
+
+
+@F.pandas_udf(SHARED)
 def shared_terms(
     idx_a: pd.Series, val_a: pd.Series, idx_b: pd.Series, val_b: pd.Series, skip: pd.Series, n: pd.Series
 ) -> pd.Series:

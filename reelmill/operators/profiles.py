@@ -21,7 +21,7 @@ def profile_reviews(reviews: DataFrame, min_reviews: int = 3) -> DataFrame:
     return keep_known(safe, min_support(safe, "item", min_reviews), "item")
 
 
-def item_terms(reviews: DataFrame, vocab: DataFrame, params: Params) -> DataFrame:
+def item_terms(reviews: DataFrame, vocab: DataFrame, params: Params, partitioned: bool = False) -> DataFrame:
     """(item, term_id, weight) summed over reviews, each weighted by its rating.
 
     Item and weight travel with the review through the term counts, so no join brings them back;
@@ -30,14 +30,15 @@ def item_terms(reviews: DataFrame, vocab: DataFrame, params: Params) -> DataFram
     """
     weighted = reviews.select("review_id", "item", rating_weight(F.col("rating")).alias("w"), "clean_text")
     terms = transform_tfidf(
-        weighted, vocab, "review_id", "clean_text", params.ngram_range, params.max_features, keep=("item", "w")
+        weighted, vocab, "review_id", "clean_text", params.ngram_range, params.max_features,
+        keep=("item", "w"), partitioned=partitioned,
     )
     return terms.groupBy("item", "term_id").agg(F.sum(F.col("w") * F.col("weight")).alias("weight"))
 
 
-def build_item_profiles(reviews: DataFrame, vocab: DataFrame, params: Params) -> DataFrame:
+def build_item_profiles(reviews: DataFrame, vocab: DataFrame, params: Params, partitioned: bool = False) -> DataFrame:
     """Packed profile vectors (item, idx, val, norm)."""
-    return pack_vectors(item_terms(profile_reviews(reviews, params.min_item_reviews), vocab, params), "item")
+    return pack_vectors(item_terms(profile_reviews(reviews, params.min_item_reviews), vocab, params, partitioned), "item")
 
 
 def item_texts(reviews: DataFrame, texts_per_part: int = 1000, seed: int = 42) -> DataFrame:

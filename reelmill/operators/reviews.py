@@ -75,7 +75,13 @@ def quality_filter(df: DataFrame, low: int = 10, high: int = 2000, text: str = "
 
 
 def clean_reviews(df: DataFrame, text: str = "review", low: int = 10, high: int = 2000) -> DataFrame:
-    return quality_filter(df.withColumn("clean_text", clean_text(F.col(text))), low, high)
+    """Add ``clean_text`` and keep texts of the right length.
+
+    The text is cleaned in a generator of one row. As a plain column the optimizer would push the
+    length filter below it and clean every text twice.
+    """
+    cleaned = df.select("*", F.explode(F.array(clean_text(F.col(text)))).alias("clean_text"))
+    return quality_filter(cleaned, low, high)
 
 
 def label_reviews(df: DataFrame, positive_from: float = 7, negative_to: float = 4) -> DataFrame:

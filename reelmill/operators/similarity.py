@@ -46,7 +46,7 @@ def unpack_vectors(vectors: DataFrame, key: str, keep: tuple[str, ...] = ()) ->
 def _blocks(vectors: DataFrame, size: int) -> Column:
     """Number of blocks for all vectors, found when the plan runs."""
     entries = vectors.agg(F.coalesce(F.sum(F.size("idx")), F.lit(0)).alias("n"))
-    return F.ceil((entries.scalar() + 1) / F.lit(float(size))).cast("int")
+    return F.ceil((entries.scalar() + 1) / F.lit(float(size))).cast("long")
 
 
 def _block_scores(left: pd.DataFrame, right: pd.DataFrame, left_id: str, right_id: str, signed: bool) -> list:
@@ -107,17 +107,17 @@ def top_cosine(
     n_left, n_right = _blocks(left, left_block), _blocks(right, right_block)
 
     def others(n: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0), n - 1))
+        return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
 
     lefts = (
         left.select(left_id, "idx", "val", "norm", limit.cast("long").alias("k"))
         .withColumn("_lb", F.pmod(F.xxhash64(left_id), n_left))
-        .withColumn("_rb", others(n_right).cast("long"))
+        .withColumn("_rb", others(n_right))
     )
     rights = (
         right.select(right_id, "idx", "val", "norm")
         .withColumn("_rb", F.pmod(F.xxhash64(right_id), n_right))
-        .withColumn("_lb", others(n_left).cast("long"))
+        .withColumn("_lb", others(n_left))
     )
 
     def multiply(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:

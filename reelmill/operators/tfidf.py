@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelmill.functions.text import ngrams, tokens
+from reelmill.session import cut_lineage, spread
 
 # A vocabulary of this many terms takes some 20 MB; larger ones are joined without a hint.
 BROADCAST_TERMS = 250_000
@@ -25,13 +26,21 @@ def term_counts(
     ngram_range: tuple[int, int] = (1, 3),
     raw: bool = False,
     keep: tuple[str, ...] = (),
+    partitioned: bool = False,
 ) -> DataFrame:
-    """(doc_id, [kept columns], term, tf). Kept columns must depend on the id alone."""
-    grams = ngrams(tokens(F.col(text), raw), *ngram_range)
-    exploded = docs.select(doc_id, *keep, text).repartition(F.col(doc_id)).select(
-        doc_id, *keep, F.explode(grams).alias("term")
-    )
-    return exploded.groupBy(doc_id, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(doc_id, [kept columns], term, tf). Kept columns must depend on the id alone.
+
+    Each document also gets the empty term once, so that the number of documents, those without
+    terms included, is among the counts. ``partitioned``: docs are already spread by ``doc_id``.
+    """
+    docs = docs.select(doc_id, *keep, text)
+    if not partitioned:
+        docs = spread(docs, doc_id)
+    # generators of one row keep the optimizer from evaluating the words once per use
+    words = docs.select(doc_id, *keep, F.explode(F.array(tokens(F.col(text), raw))).alias("words"))
+    grams = F.concat(F.array(F.lit("")), ngrams(F.col("words"), *ngram_range))
+    terms = words.select(doc_id, *keep, F.explode(grams).alias("term")).filter(F.col("term").isNotNull())
+    return terms.groupBy(doc_id, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def term_statistics(counts: DataFrame) -> DataFrame:
@@ -60,16 +69,21 @@ def cap_terms(stats: DataFrame, max_features: int) -> DataFrame:
     return over.unionByName(tied.drop("_r"))
 
 
-def fit_tfidf(
-    counts: DataFrame, n_docs: DataFrame, max_features: int = 50_000, min_df: int = 3, max_df: float = 0.9
-) -> DataFrame:
-    """(term, term_id, df, ctf, idf) from term counts and a one-row document count ``n``."""
-    n = n_docs.select("n").scalar()
-    stats = term_statistics(counts).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
-    chosen = cap_terms(stats, max_features)
+def fit_tfidf(counts: DataFrame, max_features: int = 50_000, min_df: int = 3, max_df: float = 0.9) -> DataFrame:
+    """(term, term_id, df, ctf, idf) from term counts.
+
+    The texts are read once: frequent enough terms are stored and capped, numbered and weighed from
+    there.
+    """
+    stats = cut_lineage(term_statistics(counts).filter((F.col("df") >= min_df) | (F.col("term") == "")))
+    marker = stats.filter(F.col("term") == "").first()
+    n = marker["df"] if marker else 0
+    terms = stats.filter((F.col("term") != "") & (F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+    chosen = terms if terms.count() <= max_features else cap_terms(terms, max_features)
     # term ids are alphabetical; the window holds max_features rows at most
-    place = F.row_number().over(W.partitionBy().orderBy("term")) - 1
-    return chosen.select("term", place.alias("term_id"), "df", "ctf", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    place = (F.row_number().over(W.partitionBy().orderBy("term")) - 1).cast("int")
+    idf = F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1
+    return cut_lineage(chosen.select("term", place.alias("term_id"), "df", "ctf", idf.alias("idf")))
 
 
 def weigh(counts: DataFrame, vocab: DataFrame, doc_id: str = "doc_id", max_features: int = 50_000, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -78,10 +92,10 @@ def weigh(counts: DataFrame, vocab: DataFrame, doc_id: str = "doc_id", max_featu
     if max_features <= BROADCAST_TERMS:
         terms = F.broadcast(terms)
     raw = counts.join(terms, "term").select(
-        doc_id, *keep, "term_id", ((F.log(F.col("tf")) + 1) * F.col("idf")).alias("w")
+        doc_id, *keep, "term_id", ((F.log(F.col("tf")) + 1) * F.col("idf")).alias("_x")
     )
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(doc_id)))
-    return raw.select(doc_id, *keep, "term_id", (F.col("w") / norm).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(W.partitionBy(doc_id)))
+    return raw.select(doc_id, *keep, "term_id", (F.col("_x") / norm).alias("weight"))
 
 
 def transform_tfidf(
@@ -93,10 +107,8 @@ def transform_tfidf(
     max_features: int = 50_000,
     raw: bool = False,
     keep: tuple[str, ...] = (),
+    partitioned: bool = False,
 ) -> DataFrame:
     """Weigh new texts by a fitted vocabulary."""
-    return weigh(term_counts(docs, doc_id, text, ngram_range, raw, keep), vocab, doc_id, max_features, keep)
-
-
-def count_docs(docs: DataFrame) -> DataFrame:
-    return docs.agg(F.count(F.lit(1)).alias("n"))
+    counts = term_counts(docs, doc_id, text, ngram_range, raw, keep, partitioned)
+    return weigh(counts, vocab, doc_id, max_features, keep)

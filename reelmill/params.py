@@ -32,8 +32,7 @@ class Params:
     svd_min_user_rows: int = 0
     # classifier
     svc_c: float = 1.0
-    svc_max_iter: int = 3000
-    cv_max_iter: int = 2000
+    svc_max_iter: int = 100  # passes of the distributed solver, not of a coordinate descent
     folds: int = 3
     test_fraction: float = 0.2
     # evaluation

@@ -22,6 +22,7 @@ def local_session(app: str = "reelmill", cores: int | str = 8, memory: str = "12
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -48,6 +49,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Partition by key into the session's number of shuffle partitions.
+
+    For rows that are about to be expanded: a fixed number, since adaptive coalescing would judge
+    the partitions by the few bytes shuffled and not by the work they cause.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def static_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate for a plan; costs no job."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
