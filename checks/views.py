@@ -58,18 +58,21 @@ def titled_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(part, "l_partkey").select("l_orderkey", "l_linenumber", "item", "l_quantity")
 
 
-def feedback_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as feedback of users on items."""
-    e = table(spark, sf_dir, "events")
+def as_feedback(events: DataFrame) -> DataFrame:
+    """Events as feedback of users on items; some items have no profile."""
     kind = F.col("event_type")
     action = F.when(kind == "click", "like").when(kind == "view", "unlike").when(kind == "purchase", "rate").when(kind == "error", "delete").otherwise("none")
-    return e.select(
-        "event_id", "ts", F.col("user_id").alias("user"),
-        F.get_json_object("props", "$.k").cast("bigint").alias("item"), action.alias("action"),
-        (F.floor("value") % 10 + 1).cast("int").alias("rating"),
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    return events.select(
+        "event_id", "ts", F.col("user_id").alias("user"), F.concat(F.lit("src"), (k % 25).cast("string")).alias("item"),
+        action.alias("action"), (F.floor("value") % 10 + 1).cast("int").alias("rating"),
         F.concat(F.lit("note "), F.col("event_id").cast("string")).alias("review"),
     )
 
 
+def feedback_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_feedback(table(spark, sf_dir, "events"))
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
