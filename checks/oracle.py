@@ -368,11 +368,12 @@ ORACLE: dict[str, str] = {
         "b": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rating >= 7 ORDER BY {h(42, 'review_id')}, review_id) AS r FROM rev WHERE rating >= 7 OR rating <= 4)
             WHERE rating <= 4 OR r <= floor((SELECT count(*) FROM rev WHERE rating <= 4) * 1.5)""",
     }),
-    "assembled_results": with_(["qpool", "state"], f"""SELECT query_id, r.item, rank::INTEGER AS rank, round(final * 100, 1) AS percent, least(round(final * 100, 1), 100.0) AS bar_width,
+    "assembled_results": with_(["qpool", "state"], f"""SELECT r.query_id, r.item, rank::INTEGER AS rank, round(final * 100, 1) AS percent, least(round(final * 100, 1), 100.0) AS bar_width,
         'https://www.youtube.com/results?search_query=' || replace(url_encode(r.item || ' official trailer'), '%20', '+') AS trailer_link,
         'https://www.imdb.com/find?q=' || replace(url_encode(r.item), '%20', '+') || '&s=tt' AS title_link,
         s.rating AS own_rating, {stars('s.rating')} AS own_stars, explanation, shown
-        FROM rr r LEFT JOIN state s ON s."user" = query_id AND s.item = r.item LEFT JOIN ex USING (query_id, item) LEFT JOIN sh USING (query_id, item)""", {
+        FROM rr r LEFT JOIN state s ON s."user" = r.query_id AND s.item = r.item LEFT JOIN ex ON ex.query_id = r.query_id AND ex.item = r.item
+        LEFT JOIN sh ON sh.query_id = r.query_id AND sh.item = r.item""", {
         **guest("qpool"),
         "rr": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, item) AS rank FROM bl QUALIFY rank <= 3",
         "ex": f"""SELECT query_id, item, string_agg(term, '|' ORDER BY k) AS explanation FROM (SELECT query_id, item, term,

@@ -345,14 +345,15 @@ def item_full_texts(spark, sf):
 @query
 def account_taste(spark, sf):
     t = SI.taste_vectors(favourites(spark, sf), item_vectors(spark, sf), "user")
-    return t.groupBy("user").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("top"))
+    total = F.aggregate("val", F.lit(0.0), lambda a, x: a + x)
+    return t.select("user", F.size("idx").cast("long").alias("n_terms"), F.round(total, 6).alias("total"), F.round(F.array_max("val"), 6).alias("top"))
 
 
 @query
 def mean_embeddings(spark, sf):
     members = V.table(spark, sf, "embeddings").select(F.col("label").alias("set_id"), F.col("vec_id").alias("item"))
     vectors = dense_items(spark, sf).withColumnRenamed("vec_id", "item")
-    m = SI.mean_vectors(members, vectors, "set_id")
+    m = SI.unpack_vectors(SI.mean_vectors(members, vectors, "set_id"), "set_id")
     return m.select("set_id", "term_id", F.round("weight", 6).alias("weight"))
 
 
@@ -446,7 +447,7 @@ def query_candidates(spark, sf):
 @query
 def seed_candidates(spark, sf):
     seeds = favourites(spark, sf).withColumnRenamed("user", "query_id")
-    vectors = cut_lineage(SI.pack_vectors(SI.taste_vectors(seeds, item_vectors(spark, sf), "query_id"), "query_id"))
+    vectors = SI.taste_vectors(seeds, item_vectors(spark, sf), "query_id")
     pool = RC.seed_pool(seeds, vectors, item_vectors(spark, sf), 5)
     return pool.select("query_id", "item", F.round("cos", 6).alias("cos"))
 
@@ -454,7 +455,7 @@ def seed_candidates(spark, sf):
 @query
 def user_top_items(spark, sf):
     rows = V.reviews(spark, sf).select("user", "item")
-    vectors = cut_lineage(SI.pack_vectors(SI.mean_vectors(rows, item_vectors(spark, sf), "user"), "user"))
+    vectors = SI.mean_vectors(rows, item_vectors(spark, sf), "user")
     top = SI.top_cosine(vectors, item_vectors(spark, sf), 10, "user", "item")
     return top.select("user", "item", F.round("cos", 6).alias("cos"), "rank")
 
@@ -741,7 +742,7 @@ def folded_feedback(spark, sf):
 def streamed_feedback(spark, sf):
     run = shared_folder(spark, f"stream-{uuid.uuid4().hex}")
     schema = V.table(spark, sf, "events").schema
-    events = V.as_feedback(spark.readStream.schema(schema).parquet(f"{sf}/events.parquet"))
+    events = V.as_feedback(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
     q = FB.stream_feedback(events, os.path.join(run, "out"), os.path.join(run, "log"))
     q.awaitTermination()
     return FB.stream_state(spark, os.path.join(run, "out"))

@@ -30,7 +30,7 @@ def stars(rating: Column) -> Column:
     """Five-star text for a rating of one to ten; halves go to the even number."""
     n = F.bround(rating.cast("double") / 2, 0).cast("int")
     full = F.least(F.greatest(n, F.lit(0)), F.lit(5))
-    return F.concat(F.repeat(F.lit("⭐"), full), F.repeat(F.lit("☆"), 5 - full))
+    return F.when(n.isNotNull(), F.concat(F.repeat(F.lit("⭐"), full), F.repeat(F.lit("☆"), 5 - full)))
 
 
 def snippet(text: Column, length: int = 150) -> Column:

@@ -5,11 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelmill.operators.ranking import top_k
 from reelmill.operators.similarity import mean_vectors
 from reelmill.params import GENERIC_TERMS
 
@@ -18,18 +16,36 @@ def keywords(members: DataFrame, item_vectors: DataFrame, vocab: DataFrame, grou
     """(group, term, weight, rank): the strongest terms of each group's mean vector.
 
     floor(0.6 n) n-grams and, for the rest, single words that are not generic; merged by weight.
+    The kinds of all terms, one byte each for a vocabulary of capped size, go to the executors, and
+    each vector yields its n terms where it lies.
     """
-    means = mean_vectors(members, item_vectors, group).filter("weight > 0")
-    named = means.join(F.broadcast(vocab.select("term_id", "term")), "term_id")
-    is_gram = F.instr("term", " ") > 0
-    kinds = named.withColumn("_gram", is_gram).filter(F.col("_gram") | ~F.col("term").isin(*GENERIC_TERMS))
+    gram = F.when(F.instr("term", " ") > 0, 1).when(F.col("term").isin(*GENERIC_TERMS), 2).otherwise(0)
+    kinds_by_id = vocab.select("term_id", gram.alias("kind")).toPandas()
+    kinds = np.full(int(kinds_by_id["term_id"].max()) + 1 if len(kinds_by_id) else 1, 2, np.int8)
+    kinds[kinds_by_id["term_id"]] = kinds_by_id["kind"]
+    shared = vocab.sparkSession.sparkContext.broadcast(kinds)
     n_grams = int(n * 0.6)
-    order = [F.desc("_w"), F.asc("term")]
-    ranked = top_k(kinds.withColumn("_w", F.round("weight", 9)), [group, "_gram"], order, n, "_r")
-    chosen = ranked.filter(F.col("_r") <= F.when(F.col("_gram"), n_grams).otherwise(n - n_grams))
-    return chosen.withColumn(
-        "rank", F.row_number().over(W.partitionBy(group).orderBy(*order))
-    ).select(group, "term", "weight", "rank")
+
+    @F.pandas_udf(SHARED)
+    def strongest(idx: pd.Series, val: pd.Series) -> pd.Series:
+        def one(i, v):
+            i, v = np.asarray(i), np.asarray(v)
+            kind = shared.value[i]
+            order = np.lexsort((i, -np.round(v, 9)))
+            order = order[v[order] > 0]
+            chosen = np.concatenate((order[kind[order] == 1][:n_grams], order[kind[order] == 0][: n - n_grams]))
+            chosen = chosen[np.lexsort((i[chosen], -np.round(v[chosen], 9)))]
+            return [{"term_id": int(i[c]), "weight": float(v[c])} for c in chosen]
+
+        return pd.Series([one(i, v) for i, v in zip(idx, val)])
+
+    means = mean_vectors(members, item_vectors, group)
+    return (
+        means.select(group, F.posexplode(strongest("idx", "val")).alias("_pos", "e"))
+        .select(group, "e.term_id", "e.weight", (F.col("_pos") + 1).alias("rank"))
+        .join(F.broadcast(vocab.select("term_id", "term")), "term_id")
+        .select(group, "term", "weight", "rank")
+    )
 
 
 SHARED = T.ArrayType(T.StructType([T.StructField("term_id", T.IntegerType()), T.StructField("weight", T.DoubleType())]))

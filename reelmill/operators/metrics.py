@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelmill.functions.scoring import discount, ideal_gain
+from reelmill.session import cut_lineage
 
 
 def confusion(preds: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -46,24 +47,19 @@ def class_report(cm: DataFrame) -> DataFrame:
     return per_class_report(cm).agg(*cells)
 
 
-AUC_BUCKETS = 256
-
-
 def roc_auc(preds: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Area under the ROC curve for labels 0 and 1; null if a class is missing.
 
-    Rank-sum form with half credit for ties, without a global sort: equal scores are counted
-    together, the distinct scores are cut into about even ranges at their approximate quantiles,
-    and running sums are taken inside each range on top of the totals of the ranges below. The
-    bounds need not be exact for the result to be.
+    Rank-sum form with half credit for ties: equal scores are counted together, the distinct scores
+    are range-partitioned, and running sums are taken inside each range on top of the totals of the
+    ranges below. The ranges are stored, since sampling could cut them otherwise on a second run.
     """
     points = preds.groupBy(F.col(score).cast("double").alias("s")).agg(
         F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q")
     )
-    marks = F.percentile_approx("s", [i / AUC_BUCKETS for i in range(1, AUC_BUCKETS)], 10_000)
-    bounds = points.agg(marks.alias("m")).scalar()
-    placed = points.withColumn("b", F.size(F.filter(bounds, lambda m: m < F.col("s"))))
-    totals = placed.groupBy("b").agg(F.sum("q").alias("tq"))
+    n = int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut_lineage(points.repartitionByRange(n, "s").withColumn("b", F.spark_partition_id()))
+    totals = placed.groupBy("b").agg(F.sum("q").alias("tq"))  # one row per range
     below = totals.select("b", (F.sum("tq").over(W.partitionBy().orderBy("b")) - F.col("tq")).alias("below"))
     inside = F.sum("q").over(W.partitionBy("b").orderBy("s")) - F.col("q")
     ranked = placed.withColumn("i", inside).join(F.broadcast(below), "b")

@@ -39,6 +39,9 @@ def feature_rows(docs: DataFrame, vectors: DataFrame, size: int, key: str = "rev
     return joined.withColumn("features", sparse_vector(idx, val, size)).drop("idx", "val")
 
 
+ROWS_PER_TASK = 10_000
+
+
 @dataclass
 class CalibratedSvm:
     """Linear SVMs with one sigmoid (slope, offset) each; the probability is their mean."""
@@ -81,10 +84,12 @@ def fit_svm(train: DataFrame, params: Params = FIRST) -> LinearSVCModel:
     """Linear SVM with class weights n / (2 n_c) and a penalty that matches C."""
     counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = sum(counts.values())
+    # the solver runs a job per pass; few rows in many partitions would be all overhead
+    train = train.coalesce(max(1, -(-n // ROWS_PER_TASK)))
     weight = F.when(F.col("label") == 1, n / (2.0 * counts[1])).otherwise(n / (2.0 * counts[0]))
     svc = LinearSVC(
         featuresCol="features", labelCol="y", weightCol="w", regParam=1.0 / (params.svc_c * n),
-        maxIter=params.svc_max_iter, standardization=False,
+        maxIter=params.svc_max_iter, tol=1e-4, standardization=False,
     )
     return svc.fit(train.select("features", F.col("label").cast("double").alias("y"), weight.alias("w")))
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from reelmill.functions.scoring import blend
 from reelmill.operators.factors import dot
 from reelmill.operators.ranking import minmax, top_k
-from reelmill.operators.similarity import pack_vectors, sparse_cosine, taste_vectors, top_cosine
+from reelmill.operators.similarity import sparse_cosine, taste_vectors, top_cosine
 
 GUEST, ACCOUNT, USER = "guest", "account", "user"
 
@@ -64,7 +64,7 @@ def personalize(
         accounts = queries.filter(F.col("kind") == ACCOUNT).select("query_id", "user")
         owners = accounts.select("user").distinct()
         liked = favourites.join(owners, "user", "left_semi")
-        tastes = pack_vectors(taste_vectors(liked, item_vectors, "user"), "user")
+        tastes = taste_vectors(liked, item_vectors, "user")
         liking = accounts.join(liked.select("user").distinct(), "user", "left_semi")
         parts.append(shaped(liking.join(tastes, "user", "left")))
     if not parts:
@@ -172,6 +172,10 @@ def finish(
 ) -> DataFrame:
     """The common tail: personal score, scaling, blend, then MMR or the plain first n."""
     scored = blend_scores(personal_scores(pool, personal, item_vectors, item_factors), w_cos)
+    return rank_blended(scored, item_vectors, n, use_mmr, lmbda)
+
+
+def rank_blended(scored: DataFrame, item_vectors: DataFrame, n: int, use_mmr: bool = True, lmbda: float = 0.6) -> DataFrame:
     if use_mmr:
         return mmr_rerank(scored, item_vectors, n, lmbda)
     return top_k(scored, ["query_id"], [F.desc("final"), F.asc("item")], n)

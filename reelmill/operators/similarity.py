@@ -9,6 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reelmill.operators.ranking import keep_known
+from reelmill.session import cut_lineage
+
 LEFT_BLOCK = 1 << 21  # vector entries per block: some 25 MB
 RIGHT_BLOCK = 1 << 22
 DIGITS = 9  # similarities are rounded, so that the order of float sums decides no rank
@@ -156,35 +159,103 @@ def sparse_cosine(
     return pd.Series([one(*row) for row in zip(idx_a, val_a, norm_a, idx_b, val_b, norm_b)], dtype="float64")
 
 
+PART = 256  # members combined in one call
+MATRIX_ENTRIES = 16 << 20  # item matrices up to some 200 MB are sent to every executor
+
+
+def _sum_entries(idx: list, val: list, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted sum of sparse vectors."""
+    sizes = [len(i) for i in idx]
+    terms, place = np.unique(np.concatenate(idx), return_inverse=True)
+    sums = np.bincount(place, weights=np.concatenate(val) * np.repeat(weights, sizes), minlength=len(terms))
+    return terms.astype(np.int32), sums
+
+
+def combine_vectors(members: DataFrame, item_vectors: DataFrame, group: str, item: str = "item", weight: str = "w") -> DataFrame:
+    """(group, idx, val, norm): the weighted sum of each group's item vectors.
+
+    ``members`` has one row per (group, item). Entries are summed as arrays inside tasks, so no row
+    per group and term is ever shuffled. A group with many members is cut into parts of about
+    ``PART`` and the parts are summed afterwards, so that none is worked on as a whole. An item
+    matrix of checked size goes to the executors and only the narrow member lists move; a larger
+    one is joined by item.
+    """
+    kind = members.schema[group].dataType.simpleString()
+    sizes = members.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(PART))).alias("_parts"))
+    rows = members.select(group, item, F.col(weight).cast("double").alias("_w")).join(sizes, group)
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(item), F.col("_parts")))
+    schema = f"{group} {kind}, _parts long, idx array<int>, val array<double>"
+    entries = item_vectors.agg(F.coalesce(F.sum(F.size("idx")), F.lit(0)).alias("n")).first()["n"]
+    if entries <= MATRIX_ENTRIES:
+        packed = item_vectors.select(item, "idx", "val").toPandas()
+        place = {k: i for i, k in enumerate(packed[item])}
+        matrix = item_vectors.sparkSession.sparkContext.broadcast((place, packed["idx"].to_list(), packed["val"].to_list()))
+        lists = rows.groupBy(group, "_part", "_parts").agg(
+            F.collect_list(F.struct(F.col(item).alias("i"), "_w")).alias("m")
+        ).select(group, "_parts", F.col("m.i").alias("items"), F.col("m._w").alias("ws"))
+
+        def look_up(frames):
+            known, all_idx, all_val = matrix.value
+            for pdf in frames:
+                out = []
+                for g, parts, items, ws in zip(pdf[group], pdf["_parts"], pdf["items"], pdf["ws"]):
+                    found = [(known[i], w) for i, w in zip(items, ws) if i in known]
+                    if found:
+                        at = [i for i, _ in found]
+                        total = _sum_entries([all_idx[i] for i in at], [all_val[i] for i in at], np.array([w for _, w in found]))
+                        out.append((g, parts, *total))
+                    if len(out) >= 200:
+                        yield pd.DataFrame(out, columns=[group, "_parts", "idx", "val"])
+                        out = []
+                if out:
+                    yield pd.DataFrame(out, columns=[group, "_parts", "idx", "val"])
+
+        partial = lists.mapInPandas(look_up, schema)
+    else:
+        joined = rows.join(item_vectors.select(item, "idx", "val"), item)
+
+        def add_members(pdf: pd.DataFrame) -> pd.DataFrame:
+            total = _sum_entries(pdf["idx"].to_list(), pdf["val"].to_list(), pdf["_w"].to_numpy())
+            return pd.DataFrame([(pdf[group].iloc[0], pdf["_parts"].iloc[0], *total)], columns=[group, "_parts", "idx", "val"])
+
+        partial = joined.groupBy(group, "_part").applyInPandas(add_members, schema)
+    partial = partial.filter(F.size("idx") > 0)
+
+    def add_parts(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = _sum_entries(pdf["idx"].to_list(), pdf["val"].to_list(), np.ones(len(pdf)))
+        return pd.DataFrame([(pdf[group].iloc[0], *total)], columns=[group, "idx", "val"])
+
+    # few groups have more than one part; a part split is decided by the member count alone
+    partial = cut_lineage(partial)
+    whole = partial.filter("_parts = 1").select(group, "idx", "val")
+    split = partial.filter("_parts > 1").groupBy(group).applyInPandas(add_parts, f"{group} {kind}, idx array<int>, val array<double>")
+    return with_norm(whole.unionByName(split))
+
+
+def _known_members(members: DataFrame, item_vectors: DataFrame, item: str) -> DataFrame:
+    return keep_known(members, item_vectors, item)
+
+
 def taste_vectors(seeds: DataFrame, item_vectors: DataFrame, group: str, item: str = "item", rating: str = "rating") -> DataFrame:
-    """Per group the mean of its items' vectors, weighted by rating / 10 (10 if there is none).
+    """Per group the mean of its items' vectors, weighted by rating / 10 (10 if there is none), packed.
 
-    The plain mean if the weights add up to zero. Items without a profile are ignored. Seeds are a
-    narrow table; the vectors are joined to it once and summed per (group, term) with partial sums.
+    The plain mean if the weights add up to zero. Items without a profile are ignored.
     """
-    rated = seeds.select(group, item, F.coalesce(F.col(rating).cast("double"), F.lit(10.0)).alias("_r"))
-    known = rated.join(item_vectors.select(item, "idx", "val"), item).withColumn("_w", F.col("_r") / 10.0)
-    totals = known.groupBy(group).agg(F.sum("_w").alias("_tw"), F.count(F.lit(1)).alias("_n"))
-    terms = (
-        known.select(group, "_w", F.explode(F.arrays_zip("idx", "val")).alias("e"))
-        .groupBy(group, F.col("e.idx").alias("term_id"))
-        .agg(F.sum(F.col("_w") * F.col("e.val")).alias("_sw"), F.sum("e.val").alias("_s"))
+    rated = seeds.select(group, item, (F.coalesce(F.col(rating).cast("double"), F.lit(10.0)) / 10.0).alias("_r"))
+    known = _known_members(rated, item_vectors, item).groupBy(group, item).agg(
+        F.sum("_r").alias("_r"), F.count(F.lit(1)).alias("_m")
     )
-    mean = F.when(F.col("_tw") > 0, F.col("_sw") / F.col("_tw")).otherwise(F.col("_s") / F.col("_n"))
-    return terms.join(totals, group).select(group, "term_id", mean.alias("weight"))
+    totals = known.groupBy(group).agg(F.sum("_r").alias("_tr"), F.sum("_m").alias("_tm"))
+    share = F.when(F.col("_tr") > 0, F.col("_r") / F.col("_tr")).otherwise(F.col("_m") / F.col("_tm"))
+    return combine_vectors(known.join(totals, group).select(group, item, share.alias("w")), item_vectors, group, item)
 
 
 def mean_vectors(members: DataFrame, item_vectors: DataFrame, group: str, item: str = "item") -> DataFrame:
-    """Plain mean of the members' vectors; an item given twice counts twice."""
-    counted = members.select(group, item).groupBy(group, item).agg(F.count(F.lit(1)).alias("_m"))
-    known = counted.join(item_vectors.select(item, "idx", "val"), item)
-    totals = known.groupBy(group).agg(F.sum("_m").alias("_n"))
-    terms = (
-        known.select(group, "_m", F.explode(F.arrays_zip("idx", "val")).alias("e"))
-        .groupBy(group, F.col("e.idx").alias("term_id"))
-        .agg(F.sum(F.col("_m") * F.col("e.val")).alias("_s"))
-    )
-    return terms.join(totals, group).select(group, "term_id", (F.col("_s") / F.col("_n")).alias("weight"))
+    """Plain mean of the members' vectors, packed; an item given twice counts twice."""
+    known = _known_members(members.select(group, item), item_vectors, item).groupBy(group, item).agg(F.count(F.lit(1)).alias("_m"))
+    totals = known.groupBy(group).agg(F.sum("_m").alias("_tm"))
+    share = F.col("_m") / F.col("_tm")
+    return combine_vectors(known.join(totals, group).select(group, item, share.alias("w")), item_vectors, group, item)
 
 
 def intra_list_diversity(lists: DataFrame, item_vectors: DataFrame, group: str, item: str = "item") -> DataFrame:
@@ -193,20 +264,15 @@ def intra_list_diversity(lists: DataFrame, item_vectors: DataFrame, group: str,
     No pairs are formed: the cosines of all pairs add up to (|sum of unit vectors|^2 - number of
     non-zero vectors) / 2. Items without a profile do not count as members.
     """
-    known = lists.select(group, item).join(item_vectors.select(item, "idx", "val", "norm"), item)
+    norms = item_vectors.select(item, "norm")
+    known = cut_lineage(lists.select(group, item).distinct().join(norms, item))
     sizes = known.groupBy(group).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("norm") > 0).alias("n_units")
     )
-    sums = (
-        known.filter("norm > 0")
-        .select(group, "norm", F.explode(F.arrays_zip("idx", "val")).alias("e"))
-        .groupBy(group, F.col("e.idx").alias("term_id"))
-        .agg(F.sum(F.col("e.val") / F.col("norm")).alias("u"))
-        .groupBy(group)
-        .agg(F.sum(F.col("u") * F.col("u")).alias("length2"))
-    )
+    units = known.filter("norm > 0").select(group, item, (F.lit(1.0) / F.col("norm")).alias("w"))
+    sums = combine_vectors(units, item_vectors, group, item).select(group, (F.col("norm") * F.col("norm")).alias("length2"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
-    shared = (F.coalesce(F.col("length2"), F.lit(0.0)) - F.col("n_units")) / 2
+    shared = (F.coalesce(F.col("length2"), F.lit(0.0)) - F.coalesce("n_units", F.lit(0))) / 2
     return (
         lists.select(group).distinct().join(sizes, group, "left").join(sums, group, "left")
         .select(group, F.when(F.col("n") >= 2, F.lit(1.0) - shared / pairs).otherwise(0.0).alias("ild"))

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from reelmill.operators.metrics import class_report, confusion, list_metrics, mean_metrics, per_class_report, roc_auc
 from reelmill.operators.ranking import keep_known, min_support, top_k
 from reelmill.operators.sampling import hash_key, sample_keys
-from reelmill.operators.similarity import intra_list_diversity, mean_vectors, pack_vectors, top_cosine
+from reelmill.operators.similarity import intra_list_diversity, mean_vectors, top_cosine
 from reelmill.params import FIRST, Params
-from reelmill.session import cut_lineage
 
 
 def evaluation_users(reviews: DataFrame, item_vectors: DataFrame, params: Params = FIRST) -> tuple[DataFrame, DataFrame]:
@@ -38,7 +37,7 @@ def evaluate_users(
         profile_rows, truth_rows = rows.filter("not _held"), rows.filter("_held")
     relevant = truth_rows.filter(F.col("rating") >= params.positive_from).select("user", "item").distinct()
     profile_rows = profile_rows.join(relevant.select("user").distinct(), "user", "left_semi")
-    vectors = cut_lineage(pack_vectors(mean_vectors(profile_rows, item_vectors, "user"), "user"))
+    vectors = mean_vectors(profile_rows, item_vectors, "user")
     size = max(params.eval_ks)
     if holdout is None:
         ranked = top_cosine(vectors, item_vectors, size, "user", "item")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reelmill.functions.scoring import snippet, stars, title_link, trailer_link
 from reelmill.operators.keywords import keywords
 from reelmill.operators.ranking import top_k
-from reelmill.operators.recommend import finish, personalize, query_pool, seed_pool
+from reelmill.operators.recommend import blend_scores, finish, personalize, query_pool, rank_blended, seed_pool
 from reelmill.operators.similarity import pack_vectors, taste_vectors
 from reelmill.operators.tfidf import transform_tfidf
 from reelmill.params import FIRST, Params
@@ -59,7 +59,7 @@ def recommend_by_items(
 
     ``queries`` (query_id, user, kind) says who asks; without it nobody is known.
     """
-    vectors = cut_lineage(pack_vectors(taste_vectors(seeds, item_vectors, "query_id"), "query_id"))
+    vectors = taste_vectors(seeds, item_vectors, "query_id")
     pool = seed_pool(seeds, vectors, item_vectors, n, exclude_seeds)
     personal = None
     if queries is not None:
@@ -68,12 +68,16 @@ def recommend_by_items(
 
 
 def home_feed(favourites: DataFrame, item_vectors: DataFrame, n: int = 5, params: Params = FIRST, use_mmr: bool = True) -> DataFrame:
-    """Results for every account from its own favourites (user, item, rating), seen as an account."""
+    """Results for every account from its own favourites (user, item, rating), seen as that account.
+
+    The seeds and the account's taste are the same vector here, so the personal score is the cosine
+    the pool already has.
+    """
     seeds = favourites.select(F.col("user").alias("query_id"), "item", "rating")
-    asking = favourites.select("user").distinct().select(F.col("user").alias("query_id"), "user", F.lit("account").alias("kind"))
-    return recommend_by_items(
-        seeds, item_vectors, n, params, use_mmr, queries=asking, favourites=favourites
-    )
+    vectors = taste_vectors(seeds, item_vectors, "query_id")
+    pool = seed_pool(seeds, vectors, item_vectors, n)
+    known = pool.withColumn("is_pers", F.lit(True)).withColumn("pers_raw", F.col("cos"))
+    return rank_blended(blend_scores(known, params.w_cos), item_vectors, n, use_mmr, params.mmr_lambda)
 
 
 def taste_keywords(favourites: DataFrame, item_vectors: DataFrame, vocab: DataFrame, n: int = 8) -> DataFrame:
