@@ -16,7 +16,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
-    con = duckdb.connect()
+    con = duckdb.connect(config={'memory_limit': '6GB'})
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     return con

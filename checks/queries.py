@@ -60,13 +60,14 @@ def forget() -> None:
 # --- artifacts -------------------------------------------------------------
 
 
+@shared
 def labelled(spark, sf):
-    """Cleaned and labelled reviews, spread by id."""
-    return RV.label_reviews(RV.clean_reviews(spread(V.reviews(spark, sf), "review_id")))
+    """Cleaned and labelled reviews, stored."""
+    return cut_lineage(RV.label_reviews(RV.clean_reviews(spread(V.reviews(spark, sf), "review_id"))))
 
 
 def corpus_counts(spark, sf):
-    return TF.term_counts(RV.training_rows(labelled(spark, sf)), "review_id", partitioned=True)
+    return TF.term_counts(RV.training_rows(labelled(spark, sf)), "review_id")
 
 
 @shared
@@ -76,7 +77,7 @@ def vocabulary(spark, sf):
 
 @shared
 def item_vectors(spark, sf):
-    return cut_lineage(PR.build_item_profiles(labelled(spark, sf), vocabulary(spark, sf), FIRST, partitioned=True))
+    return cut_lineage(PR.build_item_profiles(labelled(spark, sf), vocabulary(spark, sf), FIRST))
 
 
 @shared
@@ -326,7 +327,7 @@ def capped_vocabulary(spark, sf):
 
 @query
 def item_profile_terms(spark, sf):
-    terms = PR.item_terms(PR.profile_reviews(labelled(spark, sf), 3), vocabulary(spark, sf), FIRST, partitioned=True)
+    terms = PR.item_terms(PR.profile_reviews(labelled(spark, sf), 3), vocabulary(spark, sf), FIRST)
     return terms.select("item", "term_id", F.round("weight", 6).alias("weight"))
 
 

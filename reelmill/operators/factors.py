@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from reelmill.operators.ranking import keep_known, min_support
 from reelmill.operators.sampling import dense_ids
-from reelmill.session import cut_lineage
+from reelmill.session import cut_lineage, spread
 
 # Largest item block (items x columns doubles) that is sent to every executor.
 BLOCK_BYTES = 256 << 20
@@ -87,6 +87,15 @@ def _orthonormal(df: DataFrame, key: str, column: str, width: int) -> DataFrame:
     return df
 
 
+def _to_block(df: DataFrame, column: str, n_items: int, width: int) -> np.ndarray:
+    """Rows (i, array) as one matrix; callers have checked its size."""
+    out = np.zeros((n_items, width))
+    pdf = df.select("i", column).toPandas()
+    if len(pdf):
+        out[pdf["i"].to_numpy()] = np.stack(pdf[column].to_list())
+    return out
+
+
 def _local_pass(rows: DataFrame, block: np.ndarray, n_items: int) -> np.ndarray:
     """A'(A Q) with Q on every executor: users stay where they are, only item sums move."""
     shared = rows.sparkSession.sparkContext.broadcast(block)
@@ -103,9 +112,7 @@ def _local_pass(rows: DataFrame, block: np.ndarray, n_items: int) -> np.ndarray:
             yield pd.DataFrame({"i": part, "z": list(total[part])})
 
     summed = _sum_vectors(rows.select("ids", "rs").mapInPandas(run, "i long, z array<double>"), "i", "z")
-    out = np.zeros((n_items, width))
-    for row in summed.toLocalIterator():
-        out[row["i"]] = row["z"]
+    out = _to_block(summed, "z", n_items, width)
     shared.unpersist()
     return out
 
@@ -140,13 +147,10 @@ def truncated_svd(
     if n_items * width * 8 <= block_bytes:
         pairs = F.array_sort(F.collect_list(F.struct("i", "r")))
         rows = cut_lineage(
-            cells.join(F.broadcast(ids), "item").groupBy("user").agg(pairs.alias("p"))
+            spread(cells.join(F.broadcast(ids), "item"), "user").groupBy("user").agg(pairs.alias("p"))
             .select("user", F.col("p.i").alias("ids"), F.col("p.r").alias("rs"))
         )
-        q = np.zeros((n_items, width))
-        for row in start.join(ids, "item").select("i", "q").toLocalIterator():
-            q[row["i"]] = row["q"]
-        q = np.linalg.qr(q)[0]
+        q = np.linalg.qr(_to_block(start.join(ids, "item"), "q", n_items, width))[0]
         for _ in range(n_iter):
             q = np.linalg.qr(_local_pass(rows, q, n_items))[0]
         shared = cells.sparkSession.sparkContext.broadcast(q)

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from reelmill.functions.scoring import blend
 from reelmill.operators.factors import dot
 from reelmill.operators.ranking import minmax, top_k
-from reelmill.operators.similarity import sparse_cosine, taste_vectors, top_cosine
+from reelmill.operators.similarity import shared_matrix, sparse_cosine, taste_vectors, top_cosine
+from reelmill.session import spread
 
 GUEST, ACCOUNT, USER = "guest", "account", "user"
 
@@ -117,8 +118,9 @@ def mmr_rerank(
     Adds ``rank``. The first pick has no penalty; ties go to the better candidate, then the first
     item. Pools of at most ``n`` keep their order. With similarities between 0 and 1, a candidate
     whose relevance is too far behind the n-th one can never be picked: one of the n best is always
-    left and loses at most 1 - lmbda. Those are dropped before the vectors are joined. The rest, at
-    most one pool, is re-ranked in one call per query.
+    left and loses at most 1 - lmbda. Those are dropped first. The rest, at most one pool, is
+    re-ranked in one call per query; vectors are looked up in the item matrix if its checked size
+    lets it be sent to the executors, and joined to the candidates otherwise.
     """
     w = W.partitionBy(query).orderBy(F.desc(score), F.asc(item))
     cands = candidates.withColumn("_place", F.row_number().over(w))
@@ -126,22 +128,30 @@ def mmr_rerank(
         nth = F.min(F.when(F.col("_place") <= n, F.col(score))).over(W.partitionBy(query))
         reach = F.col(score) * lmbda >= nth * lmbda - (1.0 - lmbda) - 1e-9
         cands = cands.withColumn("_reach", reach).filter((F.col("_place") <= n) | F.col("_reach")).drop("_reach")
-    vectors = item_vectors.select(item, F.col("idx").alias("_idx"), F.col("val").alias("_val"), F.col("norm").alias("_norm"))
-    joined = cands.join(vectors, item, "left")
-    out_fields = [f for f in candidates.schema.fields] + [T.StructField("rank", T.IntegerType())]
-    names = [f.name for f in candidates.schema.fields]
+    matrix = shared_matrix(item_vectors, item)
+    if matrix is None:
+        vectors = item_vectors.select(item, F.col("idx").alias("_idx"), F.col("val").alias("_val"), F.col("norm").alias("_norm"))
+        cands = cands.join(vectors, item, "left")
+    fields = list(candidates.schema.fields)
+    names = [f.name for f in fields]
+
+    def units(pdf: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Index and unit-length values per candidate; empty for items without a vector."""
+        if matrix is None:
+            found = zip(pdf["_idx"], pdf["_val"], pdf["_norm"])
+        else:
+            place, idx, val, norm = matrix.value
+            spots = [place.get(i) for i in pdf[item]]
+            found = [(None, None, 0.0) if s is None else (idx[s], val[s], norm[s]) for s in spots]
+        none = (np.zeros(0, np.int64), np.zeros(0))
+        return [(np.asarray(i), np.asarray(v) / m) if i is not None and m > 0 else none for i, v, m in found]
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_place", ignore_index=True)
         if len(pdf) <= n:
             return pdf.assign(rank=np.arange(1, len(pdf) + 1))[names + ["rank"]]
-        good = [i is not None and m > 0 for i, m in zip(pdf["_idx"], pdf["_norm"])]
-        none = np.zeros(0)
-        idx = [np.asarray(i) if g else none.astype(int) for i, g in zip(pdf["_idx"], good)]
-        val = [np.asarray(v) / m if g else none for v, m, g in zip(pdf["_val"], pdf["_norm"], good)]
-        owner = np.repeat(np.arange(len(pdf)), [len(i) for i in idx])
-        terms, spot = np.unique(np.concatenate(idx), return_inverse=True)
-        flat = np.concatenate(val)
+        vectors = units(pdf)
+        row = np.zeros(max((int(i[-1]) for i, _ in vectors if len(i)), default=0) + 1)
         relevance = lmbda * pdf[score].to_numpy()
         worst = np.zeros(len(pdf))
         taken: list[int] = []
@@ -151,13 +161,14 @@ def mmr_rerank(
             best = int(np.argmax(value))
             taken.append(best)
             free[best] = False
-            row = np.zeros(len(terms))
-            row[spot[owner == best]] = flat[owner == best]
-            sims = np.round(np.bincount(owner, weights=flat * row[spot], minlength=len(pdf)), 9)
+            row[vectors[best][0]] = vectors[best][1]
+            sims = np.round([float(v @ row[i]) for i, v in vectors], 9)
+            row[vectors[best][0]] = 0.0
             worst = sims if step == 0 else np.maximum(worst, sims)
         return pdf.iloc[taken].assign(rank=np.arange(1, n + 1))[names + ["rank"]]
 
-    return joined.groupBy(query).applyInPandas(pick, T.StructType(out_fields))
+    schema = T.StructType(fields + [T.StructField("rank", T.IntegerType())])
+    return spread(cands, query).groupBy(query).applyInPandas(pick, schema)
 
 
 def finish(

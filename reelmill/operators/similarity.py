@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelmill.operators.ranking import keep_known
-from reelmill.session import cut_lineage
+from reelmill.session import cut_lineage, spread
 
-LEFT_BLOCK = 1 << 21  # vector entries per block: some 25 MB
-RIGHT_BLOCK = 1 << 22
+LEFT_BLOCK = 1 << 19  # vector entries per block: some 6 MB
+RIGHT_BLOCK = 1 << 21
 DIGITS = 9  # similarities are rounded, so that the order of float sums decides no rank
 
 
@@ -63,17 +63,28 @@ def _block_scores(left: pd.DataFrame, right: pd.DataFrame, left_id: str, right_i
     owner = np.repeat(np.arange(len(right)), sizes)
     scaled = np.concatenate(right["val"].to_list()) / np.repeat(right["norm"].to_numpy(), sizes)
     order = np.argsort(terms, kind="stable")
-    terms, owner, scaled = terms[order], owner[order], scaled[order]
+    by_term, by_owner, by_value = terms[order], owner[order], scaled[order]
+    width = int(by_term[-1]) + 1
+    start = np.searchsorted(by_term, np.arange(width + 1))
+    row = np.zeros(width)
     out = []
     for key, idx, val, norm, k in zip(left[left_id], left["idx"], left["val"], left["norm"], left["k"]):
-        first = np.searchsorted(terms, idx, "left")
-        n = np.searchsorted(terms, idx, "right") - first
+        inside = idx < width
+        idx, val = idx[inside], val[inside]
+        first = start[idx]
+        n = start[idx + 1] - first
         total = int(n.sum())
         if total == 0:
             continue
-        # positions of all entries that share a term with this vector
-        spot = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(total)
-        score = np.bincount(owner[spot], weights=scaled[spot] * np.repeat(val, n), minlength=len(right)) / norm
+        if 2 * total > len(terms):
+            # most of the block is touched: one pass over all of it is cheaper than collecting
+            row[idx] = val
+            score = np.bincount(owner, weights=scaled * row[terms], minlength=len(right)) / norm
+            row[idx] = 0.0
+        else:
+            # positions of all entries that share a term with this vector
+            spot = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(total)
+            score = np.bincount(by_owner[spot], weights=by_value[spot] * np.repeat(val, n), minlength=len(right)) / norm
         score = np.round(score, DIGITS)
         hit = np.flatnonzero(score if signed else score > 0)
         best = hit[np.argsort(-score[hit], kind="stable")]
@@ -127,7 +138,8 @@ def top_cosine(
         found = _block_scores(l, r, left_id, right_id, signed)
         return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=schema.names)
 
-    scored = lefts.groupBy("_lb", "_rb").cogroup(rights.groupBy("_lb", "_rb")).applyInPandas(multiply, schema)
+    pairs = [spread(side, "_lb", "_rb").groupBy("_lb", "_rb") for side in (lefts, rights)]
+    scored = pairs[0].cogroup(pairs[1]).applyInPandas(multiply, schema)
     place = F.row_number().over(W.partitionBy(left_id).orderBy(F.desc("cos"), F.asc(right_id)))
     ranked = scored.withColumn("rank", place)
     if k is None:
@@ -164,11 +176,26 @@ MATRIX_ENTRIES = 16 << 20  # item matrices up to some 200 MB are sent to every e
 
 
 def _sum_entries(idx: list, val: list, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted sum of sparse vectors."""
-    sizes = [len(i) for i in idx]
-    terms, place = np.unique(np.concatenate(idx), return_inverse=True)
-    sums = np.bincount(place, weights=np.concatenate(val) * np.repeat(weights, sizes), minlength=len(terms))
-    return terms.astype(np.int32), sums
+    """Weighted sum of sparse vectors; ids are sorted and unique within each."""
+    total = np.zeros(max(int(i[-1]) for i in idx) + 1)
+    for i, v, w in zip(idx, val, weights):
+        total[i] += w * np.asarray(v)
+    terms = np.flatnonzero(total)
+    return terms.astype(np.int32), total[terms]
+
+
+def shared_matrix(item_vectors: DataFrame, item: str):
+    """The item matrix as a broadcast (places by item, index lists, value lists, norms), or ``None``.
+
+    Only matrices whose measured number of entries is within ``MATRIX_ENTRIES`` are sent.
+    """
+    entries = item_vectors.agg(F.coalesce(F.sum(F.size("idx")), F.lit(0)).alias("n")).first()["n"]
+    if entries > MATRIX_ENTRIES:
+        return None
+    packed = item_vectors.select(item, "idx", "val", "norm").toPandas()
+    place = {k: i for i, k in enumerate(packed[item])}
+    content = (place, packed["idx"].to_list(), packed["val"].to_list(), packed["norm"].to_numpy())
+    return item_vectors.sparkSession.sparkContext.broadcast(content)
 
 
 def combine_vectors(members: DataFrame, item_vectors: DataFrame, group: str, item: str = "item", weight: str = "w") -> DataFrame:
@@ -185,17 +212,14 @@ def combine_vectors(members: DataFrame, item_vectors: DataFrame, group: str, ite
     rows = members.select(group, item, F.col(weight).cast("double").alias("_w")).join(sizes, group)
     rows = rows.withColumn("_part", F.pmod(F.xxhash64(item), F.col("_parts")))
     schema = f"{group} {kind}, _parts long, idx array<int>, val array<double>"
-    entries = item_vectors.agg(F.coalesce(F.sum(F.size("idx")), F.lit(0)).alias("n")).first()["n"]
-    if entries <= MATRIX_ENTRIES:
-        packed = item_vectors.select(item, "idx", "val").toPandas()
-        place = {k: i for i, k in enumerate(packed[item])}
-        matrix = item_vectors.sparkSession.sparkContext.broadcast((place, packed["idx"].to_list(), packed["val"].to_list()))
-        lists = rows.groupBy(group, "_part", "_parts").agg(
+    matrix = shared_matrix(item_vectors, item)
+    if matrix is not None:
+        lists = spread(rows, group, "_part").groupBy(group, "_part", "_parts").agg(
             F.collect_list(F.struct(F.col(item).alias("i"), "_w")).alias("m")
         ).select(group, "_parts", F.col("m.i").alias("items"), F.col("m._w").alias("ws"))
 
         def look_up(frames):
-            known, all_idx, all_val = matrix.value
+            known, all_idx, all_val, _ = matrix.value
             for pdf in frames:
                 out = []
                 for g, parts, items, ws in zip(pdf[group], pdf["_parts"], pdf["items"], pdf["ws"]):
@@ -218,7 +242,7 @@ def combine_vectors(members: DataFrame, item_vectors: DataFrame, group: str, ite
             total = _sum_entries(pdf["idx"].to_list(), pdf["val"].to_list(), pdf["_w"].to_numpy())
             return pd.DataFrame([(pdf[group].iloc[0], pdf["_parts"].iloc[0], *total)], columns=[group, "_parts", "idx", "val"])
 
-        partial = joined.groupBy(group, "_part").applyInPandas(add_members, schema)
+        partial = spread(joined, group, "_part").groupBy(group, "_part").applyInPandas(add_members, schema)
     partial = partial.filter(F.size("idx") > 0)
 
     def add_parts(pdf: pd.DataFrame) -> pd.DataFrame:

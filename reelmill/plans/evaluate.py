@@ -10,14 +10,15 @@ from reelmill.operators.ranking import keep_known, min_support, top_k
 from reelmill.operators.sampling import hash_key, sample_keys
 from reelmill.operators.similarity import intra_list_diversity, mean_vectors, top_cosine
 from reelmill.params import FIRST, Params
+from reelmill.session import cut_lineage
 
 
 def evaluation_users(reviews: DataFrame, item_vectors: DataFrame, params: Params = FIRST) -> tuple[DataFrame, DataFrame]:
     """Reviews of known items by the sampled active users, and the sampled users."""
-    known = keep_known(reviews.select("review_id", "user", "item", "rating"), item_vectors, "item")
+    known = cut_lineage(keep_known(reviews.select("review_id", "user", "item", "rating"), item_vectors, "item"))
     active = min_support(known, "user", params.eval_min_ratings).select("user")
-    users = sample_keys(active, "user", params.eval_users, params.seed)
-    return keep_known(known, users, "user"), users
+    users = cut_lineage(sample_keys(active, "user", params.eval_users, params.seed))
+    return cut_lineage(keep_known(known, users, "user")), users
 
 
 def evaluate_users(

@@ -49,13 +49,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Partition by key into the session's number of shuffle partitions.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition by keys into the session's number of shuffle partitions.
 
     For rows that are about to be expanded: a fixed number, since adaptive coalescing would judge
     the partitions by the few bytes shuffled and not by the work they cause.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def static_bytes(df: DataFrame) -> int:
