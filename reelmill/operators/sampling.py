@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reelmill.session import cut_lineage
+
 
 def hash_key(key: str | Column, seed: int | str) -> Column:
     column = F.col(key) if isinstance(key, str) else key
@@ -54,6 +56,9 @@ def assign_segments(df: DataFrame, key: str, cuts: DataFrame, stratum: str, seed
         "_s", F.struct(F.lit("").alias("_h"), F.lit(None).cast(k_type).alias("_k")).alias("_t")
     )
     thresholds = reached.unionByName(before_all).groupBy("_s").agg(F.collect_list("_t").alias("_ts"))
+    # stored, being a few rows: draws on top of draws then stay one comparison each, and a retry
+    # cuts where the first run did
+    thresholds = cut_lineage(thresholds)
     here = F.struct(hash_key(key, seed).alias("_h"), F.col(key).alias("_k"))
     return (
         df.join(F.broadcast(thresholds), F.col(stratum) == F.col("_s"), "left")
@@ -68,8 +73,10 @@ def sample_keys(df: DataFrame, key: str, n: int | None, seed: int | str = 42) ->
     if n is None:
         return df
     spark = df.sparkSession
-    whole = df.withColumn("_all", F.lit(0))
-    cuts = spark.range(1).select(F.lit(0).alias("_all"), F.array(F.lit(n).cast("long")).alias("cuts"))
+    # the one stratum is computed, not a literal: a literal key would be folded out of the joins
+    # and leave them without an equality
+    whole = df.withColumn("_all", F.pmod(F.xxhash64(key), F.lit(1).cast("long")))
+    cuts = spark.range(1).select(F.col("id").alias("_all"), F.array(F.lit(n).cast("long")).alias("cuts"))
     return assign_segments(whole, key, cuts, "_all", seed).filter("segment = 0").drop("segment", "_all")
 
 
