@@ -201,11 +201,11 @@ def auc(source: str, label: str, score: str) -> str:
 
 def user_metrics() -> dict[str, str]:
     return {
-        "ranked": 'SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY r DESC, item) AS rank FROM cell QUALIFY rank <= 10',
-        "rel": 'SELECT "user", count(*) AS n FROM cell WHERE item % 3 = 0 GROUP BY "user"',
+        "ranked": 'SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY item) AS rank FROM cell QUALIFY rank <= 10',
+        "rel": 'SELECT "user", count(*) AS n FROM cell WHERE r >= 7 GROUP BY "user"',
         "um": """SELECT rel."user", """ + ", ".join(
-            f"""count(*) FILTER (WHERE item % 3 = 0 AND rank <= {k}) / {k}.0 AS precision_{k},
-            coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE item % 3 = 0 AND rank <= {k}), 0)
+            f"""count(*) FILTER (WHERE r >= 7 AND rank <= {k}) / {k}.0 AS precision_{k},
+            coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE r >= 7 AND rank <= {k}), 0)
               / list_sum(list_transform(range(1, least(any_value(n), {k}) + 1), lambda i: 1 / log2(i + 1))) AS ndcg_{k}""" for k in (5, 10)
         ) + """ FROM rel LEFT JOIN ranked ON rel."user" = ranked."user" GROUP BY rel."user" """,
     }
@@ -294,7 +294,7 @@ ORACLE: dict[str, str] = {
         SELECT query_id, item, term, least(q.weight, i.weight) AS w, row_number() OVER (PARTITION BY query_id, item ORDER BY round(least(q.weight, i.weight), 9) DESC, term) AS rank
         FROM qpool JOIN qt q USING (query_id) JOIN it i USING (item, term_id) JOIN vocab USING (term_id) WHERE term NOT IN {GENERIC}) WHERE rank <= 4"""),
     "sorted_catalogue": with_(["inter"], 'SELECT DISTINCT "user" AS item FROM inter ORDER BY item LIMIT 50'),
-    "never_liked_items": with_(["fav"], "SELECT DISTINCT item FROM state WHERE item NOT IN (SELECT item FROM fav WHERE rating >= 9)"),
+    "never_liked_items": with_(["cell"], "SELECT DISTINCT item FROM cell WHERE item NOT IN (SELECT item FROM cell WHERE r >= 11)"),
     "all_title_keys": with_(["tkeys"], "SELECT title_key FROM tkeys"),
     "combined_parts": """SELECT doc_id AS id, md5(text) AS text_md5, source, NULL::VARCHAR AS role FROM documents
         UNION ALL SELECT conv_id * 100 + turn, md5(text), NULL, role FROM conversations""",

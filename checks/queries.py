@@ -482,7 +482,8 @@ def sorted_catalogue(spark, sf):
 
 @query
 def never_liked_items(spark, sf):
-    return RK.unliked(feedback_state(spark, sf).select("item"), favourites(spark, sf).filter("rating >= 9"))
+    cells = FA.rating_cells(V.interactions(spark, sf))
+    return RK.unliked(cells, cells.filter("r >= 11"))
 
 
 @query
@@ -669,8 +670,8 @@ def diversified_neighbours(spark, sf):
 @query
 def user_ranking_metrics(spark, sf):
     cells = FA.rating_cells(V.interactions(spark, sf))
-    ranked = RK.top_k(cells, ["user"], [F.desc("r"), F.asc("item")], 10)
-    relevant = cells.filter("item % 3 = 0").select("user", "item")
+    ranked = RK.top_k(cells, ["user"], [F.asc("item")], 10)
+    relevant = cells.filter("r >= 7").select("user", "item")
     m = ME.list_metrics(ranked, relevant, (5, 10))
     return m.select("user", *[F.round(c, 6).alias(c) for c in m.columns if c != "user"])
 
@@ -678,8 +679,8 @@ def user_ranking_metrics(spark, sf):
 @query
 def mean_ranking_metrics(spark, sf):
     cells = FA.rating_cells(V.interactions(spark, sf))
-    ranked = RK.top_k(cells, ["user"], [F.desc("r"), F.asc("item")], 10)
-    m = ME.mean_metrics(ME.list_metrics(ranked, cells.filter("item % 3 = 0"), (5, 10)), ["precision_5", "ndcg_5", "precision_10", "ndcg_10"])
+    ranked = RK.top_k(cells, ["user"], [F.asc("item")], 10)
+    m = ME.mean_metrics(ME.list_metrics(ranked, cells.filter("r >= 7"), (5, 10)), ["precision_5", "ndcg_5", "precision_10", "ndcg_10"])
     return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
 
 

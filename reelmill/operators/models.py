@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -130,6 +130,7 @@ def cross_validate(rows: DataFrame, params: Params = FIRST, key: str = "review_i
     folded = cut_lineage(
         stratified_folds(rows.select(key, "label", "features"), key, "label", params.folds, f"validate-{params.seed}")
     )
+    params = replace(params, svc_max_iter=params.cv_max_iter)
     scores = []
     for fold in range(params.folds):
         model = fit_calibrated_svm(folded.filter(F.col("fold") != fold).drop("fold"), params, key)

@@ -33,6 +33,7 @@ class Params:
     # classifier
     svc_c: float = 1.0
     svc_max_iter: int = 100  # passes of the distributed solver, not of a coordinate descent
+    cv_max_iter: int = 40
     folds: int = 3
     test_fraction: float = 0.2
     # evaluation
