@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmill.llm import packing
+from reelmill.llm import bpe, divergence, near_copies, neighbours, packing, piecewise, secrets, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -33,3 +33,63 @@ def tokenizer_path(name: str) -> str:
 def op2_packing(spark, sf):
     pieces = packing.pack(table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query
+def op8_bpe(spark, sf):
+    coded = bpe.encode_decode(table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op10_sharding(spark, sf):
+    placed = sharding.shard_rows(table(spark, sf, "documents"), shards=16)
+    return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
+@query
+def op9_warc(spark, sf):
+    manifest = warc.write_archives(table(spark, sf, "pages"), warc.archive_folder(spark), least=0)
+    return warc.read_archives(manifest, "bigint", payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op4_piecewise(spark, sf):
+    return piecewise.fingerprints(table(spark, sf, "documents"))
+
+
+@query
+def op7_secrets(spark, sf):
+    found = secrets.scan(table(spark, sf, "documents"))
+    base = "filter(findings, f -> f.depth = 0)"
+    joined = "array_join(transform({}, f -> concat_ws(':', f.kind, f.start, f.end)), ',')"
+    return found.select(
+        "doc_id",
+        *(F.expr(f"cast(size(filter(findings, f -> f.depth = 0 and f.kind = '{k}')) as long)").alias(f"n_{k}") for k in secrets.KINDS),
+        F.sha2(F.expr(joined.format(base)), 256).alias("base_sha256"), F.expr(joined.format("findings")).alias("spans"),
+        F.expr("cast(size(filter(findings, f -> f.depth > 0)) as long)").alias("n_hidden"), "layers", "oversized",
+    )
+
+
+@query
+def op1_neighbours(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = neighbours.fit(docs, neighbours.learnable(table(spark, sf, "labels")))
+    scored = neighbours.score(docs, model).drop("text")
+    return scored.select(
+        "doc_id", neighbours.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= neighbours.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op3_divergence(spark, sf):
+    return divergence.rules(table(spark, sf, "documents"))
+
+
+@query
+def op6_near_copies(spark, sf):
+    return near_copies.near_classes(table(spark, sf, "documents"))
