@@ -15,6 +15,9 @@ each on its own; an empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+import struct
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -27,43 +30,53 @@ from reelmill.session import store
 
 WINDOW = 2048
 END_ID = 1
-#: Chunks of text between blanks whose ids a task remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
-
-
-class ChunkTokenizer:
-    """Ids of texts, by the tokenizers library, one call per new chunk between blanks.
-
-    Valid for tokenizers that drop white space: no token then spans a blank or a line end.
+#: Chunks whose ids a task remembers; beyond it the memory starts anew.
+REMEMBERED = 400_000
+#: Texts with none of these are cut at the edges of words before their ids are looked up: their letters
+#: are those of ``LETTERS``, nothing composes or contracts, and no special token is written out.
+UNPLAIN = re.compile("['\u00aa\u00b5\u00ba\u0100-\U0010ffff]|<\\|")
+LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
+PLAIN = re.compile(f"[{LETTERS}]+|[^{LETTERS} \n]+")
+WORD = re.compile(f"[{LETTERS}]+")
+
+
+class ChunkTokenizer(dict):
+    """Ids of texts, by the tokenizers library, one call per new chunk.
+
+    For tokenizers that put texts in lower case, drop white space and part letters from other
+    characters. Chunks lie between blanks; plain texts are cut further, into words and what is
+    between them. A word goes to the tokenizer's model, any other chunk through all its steps.
     """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, documents: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        chunks = [t.replace("\n", " ").split(" ") for t in documents]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set().union(*chunks).difference(self.known))
-        if new:
-            self._learn(new)
-        known = self.known.__getitem__
-        return [b"".join(map(known, c)) for c in chunks]
-
-    def _learn(self, new: list[str]) -> None:
-        found = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-        ids = np.asarray(found.ids, "<u4").tobytes()
-        ends = 4 * np.cumsum(np.bincount(np.asarray(found.word_ids, np.int64), minlength=len(new)))
-        first = 0
-        for chunk, last in zip(new, ends.tolist()):
-            self.known[chunk] = ids[first:last]
-            first = last
+        self.model = self.tokenizer.model.tokenize
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(plain)]
+        shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.letters = {c: "".join(shown[b] for b in chr(c).encode()) for c in range(128, 256)}
+
+    def __missing__(self, chunk: str) -> bytes:
+        if WORD.fullmatch(chunk):
+            word = chunk if chunk.isascii() else chunk.translate(self.letters)
+            ids = [t.id for t in self.model(word)]
+        else:
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        self[chunk] = found = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids of a text."""
+        if len(self) > REMEMBERED:
+            self.clear()
+        if UNPLAIN.search(text) is None:
+            return b"".join(map(self.__getitem__, PLAIN.findall(text.lower())))
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def token_stream(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
@@ -82,7 +95,7 @@ def token_stream(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) ->
         tokenizer = ChunkTokenizer(shared.value)
         part, total = TaskContext.get().partitionId(), 0
         for rows in text_slices(batches):
-            ids = [x + end for x in tokenizer.encode(texts(rows.column("text")))]
+            ids = [tokenizer.encode(t) + end for t in texts(rows.column("text"))]
             n = np.asarray([len(x) // 4 for x in ids], np.int64)
             before = total + np.cumsum(n) - n
             total += int(n.sum())

@@ -68,8 +68,15 @@ def test_repeated_rows_are_packed_each(spark):
 
 def test_chunks_as_the_library(library):
     rng = random.Random(1)
-    alphabet = "ab'sAé́ \n\t ßΣ1²٣!.<|>endoftx|\x1c\x85​あ"
     own = ChunkTokenizer(library.to_str())
-    for _ in range(3000):
-        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30)))
-        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == expected(library, text)[:-1], repr(text)
+    for alphabet in ("ab'sAé\u0301 \n\t ßΣ1²٣!.<|>endoftx|\x1c\x85\u200bあ\u0130", "abcdefghinorst ABCÉÀÿßÞ×÷ªµº \n\t\x85\xa0\xad12²¼.,!$&#*|<_-\x1c\x00"):
+        for _ in range(4000):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30)))
+            assert np.frombuffer(own.encode(text), "<u4").tolist() == expected(library, text)[:-1], repr(text)
+
+
+def test_all_plain_characters(library):
+    own = ChunkTokenizer(library.to_str())
+    for c in map(chr, range(256)):
+        for text in (c, f"a{c}b", f"É{c}", f" {c} {c}{c}", f"1{c}2"):
+            assert np.frombuffer(own.encode(text), "<u4").tolist() == expected(library, text)[:-1], repr(text)
