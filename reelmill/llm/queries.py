@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmill.llm import bpe, divergence, near_copies, neighbours, packing, piecewise, secrets, sharding, warc
+from reelmill.llm import bpe, contexts, divergence, near_copies, neighbours, packing, piecewise, secrets, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -93,3 +93,15 @@ def op3_divergence(spark, sf):
 @query
 def op6_near_copies(spark, sf):
     return near_copies.near_classes(table(spark, sf, "documents"))
+
+
+@query
+def op5_contexts(spark, sf):
+    found = contexts.find(table(spark, sf, "documents"))
+    joined = "array_join(transform({}, f -> concat_ws(':', f.kind, f.start, f.end)), ',')"
+    base = "filter(findings, f -> f.base)"
+    return found.select(
+        "doc_id", *(F.expr(f"cast(size(filter(findings, f -> f.base and f.kind = '{k}')) as long)").alias(f"n_{k}") for k in contexts.KINDS),
+        F.sha2(F.expr(joined.format(base)), 256).alias("base_sha256"), F.expr(joined.format("findings")).alias("spans"),
+        F.expr("cast(size(filter(findings, f -> not f.base)) as long)").alias("n_discovered"),
+    )
