@@ -222,9 +222,9 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with every finding replaced by its kind in angle brackets; overlapping ones by that of the first."""
     names = docs.columns
     marked = find(docs).where(F.size("findings") > 0).dropDuplicates(["_key"]).select("_key", "findings")
-    marked = small_side(marked.select("_key", F.transform("findings", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("_found")))
-    keyed = docs.withColumn("_key", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    rows = keyed.join(marked, "_key", "left").withColumn("_found", F.array_sort("_found"))
+    marked = small_side(marked.select(F.col("_key").alias("__key"), F.transform("findings", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("__found")))
+    keyed = docs.withColumn("__key", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    rows = keyed.join(marked, "__key", "left").withColumn("__found", F.array_sort("__found"))
     # Spans that overlap or touch the last one are joined to it.
     empty = F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")
 
@@ -235,18 +235,18 @@ def redact(docs: DataFrame) -> DataFrame:
         overlaps = F.coalesce(s["start"] < last["end"], F.lit(False))
         return F.when(overlaps, F.array_append(F.slice(a, 1, F.size(a) - 1), joined)).otherwise(F.array_append(a, apart))
 
-    rows = rows.withColumn("_found", F.when(F.size("_found") > 0, F.aggregate("_found", empty, merge)))
-    chars = F.when(F.col("_found").isNotNull(), F.split("text", ""))
-    rows = step(rows, [*names, "_found"], _chars=chars)
-    last = F.size("_found") - 1
+    rows = rows.withColumn("__found", F.when(F.size("__found") > 0, F.aggregate("__found", empty, merge)))
+    chars = F.when(F.col("__found").isNotNull(), F.split("text", ""))
+    rows = step(rows, [*names, "__found"], __chars=chars)
+    last = F.size("__found") - 1
 
     def piece(s, i):
-        begin = F.when(i > 0, F.get("_found", i - 1)["end"]).otherwise(0)
-        before = F.array_join(F.slice("_chars", (begin + 1).cast("int"), (s["start"] - begin).cast("int")), "")
-        rest = F.when(i == last, F.array_join(F.slice("_chars", (s["end"] + 1).cast("int"), F.greatest(F.size("_chars") - s["end"], F.lit(0)).cast("int")), "")).otherwise("")
+        begin = F.when(i > 0, F.get("__found", i - 1)["end"]).otherwise(0)
+        before = F.array_join(F.slice("__chars", (begin + 1).cast("int"), (s["start"] - begin).cast("int")), "")
+        rest = F.when(i == last, F.array_join(F.slice("__chars", (s["end"] + 1).cast("int"), F.greatest(F.size("__chars") - s["end"], F.lit(0)).cast("int")), "")).otherwise("")
         return F.concat(before, F.lit("<"), F.upper(s["kind"]), F.lit(">"), rest)
 
-    text = F.when(F.col("_found").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_found", piece), ""))
+    text = F.when(F.col("__found").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__found", piece), ""))
     rows = step(rows, [c for c in names if c != "text"], text=text)
     if "n_chars" in names:
         rows = rows.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))

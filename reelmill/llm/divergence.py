@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelmill.session import store
+from reelmill.session import small_side, store
 
 #: Blanks, symbols, and common words of each language.
 BLANK = r"[\x20\x09-\x0D]"
@@ -139,3 +139,15 @@ def rules(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     counted = store(word_counts(docs, extra), "histograms")
     rows = judge(counted, references(counted))
     return rows.select("doc_id", *extra, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kind_distance", "word_distance")
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the rules keep.
+
+    Verdicts go back to the texts by the text's digest and lang, which decide them: the rejected ones
+    are broadcast if they are measured to be few, else joined.
+    """
+    key = F.md5(F.concat_ws(" ", F.coalesce("lang", F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary"))
+    keyed = docs.withColumn("__key", key)
+    rejected = rules(keyed, ("__key",)).where("not kept").select("__key").distinct()
+    return keyed.join(small_side(rejected), "__key", "left_anti").select(*docs.columns)
