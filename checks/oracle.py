@@ -214,6 +214,52 @@ def user_metrics() -> dict[str, str]:
 MESSY_EXTRA = """CASE doc_id % 3 WHEN 0 THEN 'A MUST see, not worthy; well done <br/> https://a.b/c?d too long'
     WHEN 1 THEN 'waste of time and waste of money, edge of my seat' ELSE 'fell asleep' END"""
 
+def offline(limit: str = "", holdout: float | None = None) -> str:
+    """Mean list metrics of users; with ``holdout`` that share of the rows is for the ground truth only."""
+    held = "false" if holdout is None else f"('0x' || substr({h('holdout-42', 'review_id')}, 1, 8))::BIGINT / 4294967296.0 < {holdout}"
+    truth, mine = ("true", "true") if holdout is None else ("held", "NOT held")
+    unseen = "true" if holdout is None else 'NOT EXISTS (SELECT 1 FROM pw WHERE pw."user" = ua."user" AND pw.item = ua.item)'
+    return with_(["lab", "inorm"], """SELECT """ + ", ".join(f"round(avg({m}_{k}), 6) AS {m}_{k}" for k in (5, 10) for m in ("precision", "ndcg")) + """,
+        round(avg(ild), 6) AS ild, count(*) AS n_users_evaluated, (SELECT count(*) FROM us) AS n_users_sampled FROM um JOIN il ON il."user" = um."user" """, {
+        "kn": 'SELECT review_id, "user", item, rating FROM lab WHERE item IN (SELECT item FROM inorm)',
+        "us": f'SELECT "user" FROM kn GROUP BY "user" HAVING count(*) >= 3 ORDER BY {h(42, chr(34) + "user" + chr(34))} {limit}',
+        "rw": f'SELECT *, {held} AS held FROM kn WHERE "user" IN (SELECT "user" FROM us)',
+        "re0": f'SELECT DISTINCT "user", item FROM rw WHERE rating >= 7 AND {truth}',
+        "pw": f'SELECT * FROM rw WHERE "user" IN (SELECT "user" FROM re0) AND {mine}',
+        "uv": 'SELECT "user", term_id, sum(weight) AS weight FROM pw JOIN it USING (item) GROUP BY "user", term_id',
+        "rel": 'SELECT * FROM re0 WHERE "user" IN (SELECT "user" FROM uv)',
+        "un": 'SELECT "user", sqrt(sum(weight * weight)) AS norm FROM uv GROUP BY "user"',
+        "uc": 'SELECT uv."user", it.item, round(sum(uv.weight * it.weight) / any_value(un.norm) / any_value(inorm.norm), 9) AS cos FROM uv JOIN it USING (term_id) JOIN un ON un."user" = uv."user" JOIN inorm ON inorm.item = it.item GROUP BY uv."user", it.item',
+        "ua": 'SELECT un."user", inorm.item, coalesce(uc.cos, 0) AS cos FROM un CROSS JOIN inorm LEFT JOIN uc ON uc."user" = un."user" AND uc.item = inorm.item',
+        "rk": f'SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY cos DESC, item) AS rank FROM ua WHERE {unseen} QUALIFY rank <= 10',
+        "rn": 'SELECT "user", count(*) AS n FROM rel GROUP BY "user"',
+        "um": """SELECT rn."user", """ + ", ".join(
+            f"""count(rel.item) FILTER (WHERE rank <= {k}) / {k}.0 AS precision_{k},
+            coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rel.item IS NOT NULL AND rank <= {k}), 0)
+              / list_sum(list_transform(range(1, least(any_value(n), {k}) + 1), lambda i: 1 / log2(i + 1))) AS ndcg_{k}""" for k in (5, 10)
+        ) + """ FROM rn LEFT JOIN rk ON rn."user" = rk."user" LEFT JOIN rel ON rel."user" = rk."user" AND rel.item = rk.item GROUP BY rn."user" """,
+        **ISIM,
+        "il": """SELECT a."user", 1 - avg(coalesce(s.s, 0)) AS ild FROM rk a JOIN rk b ON a."user" = b."user" AND a.item < b.item
+            LEFT JOIN isim s ON s.a = a.item AND s.b = b.item GROUP BY a."user" """,
+    })
+
+
+def prepared(published_order: bool) -> str:
+    """Reviews of titles in the catalogue, cleaned; the classifier's rows are balanced, or all are, first."""
+    named = "SELECT * FROM rev WHERE regexp_replace(item, '[^a-z0-9]', '', 'g') IN (SELECT 'src' || p_partkey % 25 FROM part WHERE p_type IN ('ECONOMY', 'SMALL') AND p_size + 1975 BETWEEN 1980 AND 1982)"
+    balanced = f"""SELECT review_id FROM (SELECT *, row_number() OVER (PARTITION BY rating >= 7 ORDER BY {h(42, 'review_id')}, review_id) AS r FROM pool)
+        WHERE rating <= 4 OR r <= floor((SELECT count(*) FROM pool WHERE rating <= 4) * 1.5)"""
+    kept = f"""SELECT *, {clean('review')} AS clean_text, CASE WHEN rating >= 7 THEN 1 WHEN rating <= 4 THEN 0 ELSE -1 END AS label FROM named
+        {"WHERE review_id IN (SELECT review_id FROM b)" if published_order else ""}"""
+    parts = {"named": named}
+    if published_order:
+        parts |= {"pool": "SELECT * FROM named WHERE rating >= 7 OR rating <= 4", "b": balanced}
+    parts["lb"] = f"SELECT * FROM ({kept}) WHERE clean_text <> '' AND len(string_split(clean_text, ' ')) BETWEEN 10 AND 2000"
+    if not published_order:
+        parts |= {"pool": "SELECT * FROM lb WHERE label <> -1 AND spoiler_tag = 0", "b": balanced}
+    return with_(["rev"], """SELECT review_id, item, "user", rating, label, label <> -1 AND spoiler_tag = 0 AND review_id IN (SELECT review_id FROM b) AS is_training, md5(clean_text) AS text_md5 FROM lb""", parts)
+
+
 ORACLE: dict[str, str] = {
     "canonical_columns": with_(["rev"], "SELECT review_id, item AS movie, rating, spoiler_tag, md5(review) AS text_md5 FROM rev"),
     "coerced_reviews": with_(["rev"], """SELECT * FROM (SELECT review_id, CASE review_id % 7 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 8.0 ELSE rating END AS rating,
@@ -245,7 +291,7 @@ ORACLE: dict[str, str] = {
     "not_yet_liked": with_(["state"], 'SELECT "user", item, rating FROM state WHERE NOT favorite'),
     "numbered_items": with_(["inter"], "SELECT item, row_number() OVER (ORDER BY md5(item::VARCHAR), item) - 1 AS item_index FROM (SELECT DISTINCT item FROM inter)"),
     "query_item_cosine": with_(["qc"], "SELECT query_id, item, round(cos, 6) AS cos FROM qc"),
-    "dense_neighbours": with_(["dcos"], "SELECT query_id, vec_id, round(cos, 6) AS cos, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, vec_id) AS rank FROM dcos WHERE cos > 0) WHERE rank <= 10"),
+    "dense_neighbours": with_(["dcos"], "SELECT query_id, vec_id, round(cos, 6) AS cos, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, vec_id) AS rank FROM dcos) WHERE rank <= 10"),
     "factor_dot_scores": with_(["cell", "emb"], """SELECT c."user", c.item, round(coalesce(list_inner_product(u.e, v.e), 0.0), 6) AS factor_score
         FROM cell c LEFT JOIN emb u ON u.vec_id = c."user" LEFT JOIN emb v ON v.vec_id = c.item"""),
     "reviews_per_item": with_(["lab"], """SELECT item, review_id, rating, spoiler_tag, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY spoiler_tag, rating DESC, review_id) AS rank
@@ -254,8 +300,9 @@ ORACLE: dict[str, str] = {
         FROM (SELECT DISTINCT "user", 'src' || ("user" % 25) AS item FROM state) r LEFT JOIN state s ON s."user" = r."user" AND s.item = r.item"""),
     "class_counts": with_(["rev"], """SELECT count(*) FILTER (WHERE rating >= 7) AS n_pos, count(*) FILTER (WHERE rating <= 4) AS n_neg,
         round(count(*) FILTER (WHERE rating >= 7) / greatest(count(*) FILTER (WHERE rating <= 4), 1), 6) AS ratio FROM rev"""),
-    "user_item_cells": with_(["inter"], """SELECT "user", item, sum(rating) AS r FROM inter WHERE "user" IN (SELECT "user" FROM inter GROUP BY "user" HAVING count(*) >= 20) GROUP BY ALL"""),
-    "term_frequencies": with_(["st"], "SELECT * FROM st WHERE df >= 2"),
+    "user_item_cells": with_(["cell"], "SELECT * FROM cell"),
+    "active_user_cells": with_(["inter"], """SELECT "user", item, sum(rating) AS r FROM inter WHERE "user" IN (SELECT "user" FROM inter GROUP BY "user" HAVING count(*) >= 20) GROUP BY ALL"""),
+    "term_frequencies": with_(["st"], "SELECT * FROM st"),
     "fitted_vocabulary": with_(["vocab"], "SELECT term, term_id, df, ctf, round(idf, 6) AS idf FROM vocab"),
     "capped_vocabulary": with_(["st"], """SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id, df, ctf, round(ln(((SELECT count(*) FROM tr) + 1) / (df + 1)) + 1, 6) AS idf
         FROM (SELECT * FROM st WHERE df >= 3 AND df <= 0.9 * (SELECT count(*) FROM tr) ORDER BY ctf DESC, term LIMIT 1500)"""),
@@ -279,10 +326,11 @@ ORACLE: dict[str, str] = {
     "dashboard": with_(["inorm", "inter", "pcf"], 'SELECT (SELECT count(*) FROM inorm) AS n_items, (SELECT count(DISTINCT "user") FROM inter) AS n_users, round(sum(tp) / sum(support), 6) AS accuracy, NULL::DOUBLE AS explained_variance FROM pcf'),
     "query_candidates": with_(["qpool"], "SELECT query_id, item, round(cos, 6) AS cos FROM qpool"),
     "seed_candidates": with_(["spool"], "SELECT query_id, item, round(cos, 6) AS cos FROM spool"),
-    "user_top_items": with_(["inorm", "rev"], 'SELECT "user", item, round(cos, 6) AS cos, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY cos DESC, item) AS rank FROM uc WHERE cos > 0) WHERE rank <= 10', {
+    "user_top_items": with_(["inorm", "rev"], 'SELECT "user", item, round(cos, 6) AS cos, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY cos DESC, item) AS rank FROM ua) WHERE rank <= 10', {
         "uv": 'SELECT "user", term_id, sum(weight) AS weight FROM rev JOIN it USING (item) GROUP BY "user", term_id',
         "un": 'SELECT "user", sqrt(sum(weight * weight)) AS norm FROM uv GROUP BY "user"',
         "uc": 'SELECT uv."user", it.item, round(sum(uv.weight * it.weight) / any_value(un.norm) / any_value(inorm.norm), 9) AS cos FROM uv JOIN it USING (term_id) JOIN un ON un."user" = uv."user" JOIN inorm ON inorm.item = it.item GROUP BY uv."user", it.item',
+        "ua": 'SELECT un."user", inorm.item, coalesce(uc.cos, 0) AS cos FROM un CROSS JOIN inorm LEFT JOIN uc ON uc."user" = un."user" AND uc.item = inorm.item',
     }),
     "account_keywords": with_(["fav", "inorm"], 'SELECT "user", term, round(weight, 6) AS weight, row_number() OVER (PARTITION BY "user" ORDER BY w DESC, term)::INTEGER AS rank FROM kk WHERE rn <= CASE WHEN gram THEN 4 ELSE 4 END', {
         "km": f"""SELECT "user", term, sum(it.weight) / any_value(n) AS weight, contains(term, ' ') AS gram
@@ -298,7 +346,12 @@ ORACLE: dict[str, str] = {
     "all_title_keys": with_(["tkeys"], "SELECT title_key FROM tkeys"),
     "combined_parts": """SELECT doc_id AS id, md5(text) AS text_md5, source, NULL::VARCHAR AS role FROM documents
         UNION ALL SELECT conv_id * 100 + turn, md5(text), NULL, role FROM conversations""",
-    "balanced_reviews": with_(["rev"], f"SELECT review_id, rating FROM b ORDER BY {h('cap-42', 'review_id')}, review_id LIMIT 120", {
+    "balanced_reviews": with_(["rev"], "SELECT review_id, rating FROM b", {
+        "n": "SELECT count(*) FILTER (WHERE rating >= 7) AS p, count(*) FILTER (WHERE rating <= 4) AS n FROM rev",
+        "b": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rating >= 7 ORDER BY {h(42, 'review_id')}, review_id) AS r FROM rev WHERE rating >= 7 OR rating <= 4)
+            WHERE rating <= 4 OR r <= floor((SELECT n FROM n) * 1.5)""",
+    }),
+    "capped_balanced_reviews": with_(["rev"], f"SELECT review_id, rating FROM b ORDER BY {h('cap-42', 'review_id')}, review_id LIMIT 120", {
         "n": "SELECT count(*) FILTER (WHERE rating >= 7) AS p, count(*) FILTER (WHERE rating <= 4) AS n FROM rev",
         "b": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rating >= 7 ORDER BY {h(42, 'review_id')}, review_id) AS r FROM rev WHERE rating >= 7 OR rating <= 4)
             WHERE rating <= 4 OR r <= floor((SELECT n FROM n) * 1.5)""",
@@ -337,37 +390,17 @@ ORACLE: dict[str, str] = {
         "bl": "SELECT *, round(0.6 * cos_norm + 0.4 * pers_norm, 9) AS final FROM sc", **ISIM, **three_picks("bl", "isim", "item", "final"),
     }),
     "diversified_neighbours": with_(["dcos"], f"SELECT query_id, vec_id, round(cos, 6) AS cos, rank FROM ({picks('query_id, vec_id, cos')})", {
-        "dpool": "SELECT * FROM dcos WHERE cos > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, vec_id) <= 50",
+        "dpool": "SELECT * FROM dcos QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, vec_id) <= 50",
         "dsim": "SELECT query_id AS a, vec_id AS b, cos AS s FROM dcos", **three_picks("dpool", "dsim", "vec_id", "cos"),
     }),
     "user_ranking_metrics": with_(["cell"], 'SELECT "user", round(precision_5, 6) AS precision_5, round(ndcg_5, 6) AS ndcg_5, round(precision_10, 6) AS precision_10, round(ndcg_10, 6) AS ndcg_10 FROM um', user_metrics()),
     "mean_ranking_metrics": with_(["cell"], "SELECT round(avg(precision_5), 6) AS precision_5, round(avg(ndcg_5), 6) AS ndcg_5, round(avg(precision_10), 6) AS precision_10, round(avg(ndcg_10), 6) AS ndcg_10 FROM um", user_metrics()),
     "list_diversity": with_(["dcos"], """SELECT query_id % 40 AS list_id, round(1 - sum(cos) / count(*), 6) AS ild FROM dcos WHERE query_id < vec_id AND query_id % 40 = vec_id % 40 GROUP BY query_id % 40"""),
-    "offline_evaluation": with_(["lab", "inorm"], """SELECT """ + ", ".join(f"round(avg({m}_{k}), 6) AS {m}_{k}" for k in (5, 10) for m in ("precision", "ndcg")) + """,
-        round(avg(ild), 6) AS ild, count(*) AS n_users_evaluated, (SELECT count(*) FROM us) AS n_users_sampled FROM um JOIN il ON il."user" = um."user" """, {
-        "kn": 'SELECT review_id, "user", item, rating FROM lab WHERE item IN (SELECT item FROM inorm)',
-        "us": f'SELECT "user" FROM kn GROUP BY "user" HAVING count(*) >= 3 ORDER BY {h(42, chr(34) + "user" + chr(34))} LIMIT 30',
-        "rw": 'SELECT * FROM kn WHERE "user" IN (SELECT "user" FROM us)',
-        "rel": 'SELECT DISTINCT "user", item FROM rw WHERE rating >= 7',
-        "uv": 'SELECT "user", term_id, sum(weight) AS weight FROM rw JOIN it USING (item) WHERE "user" IN (SELECT "user" FROM rel) GROUP BY "user", term_id',
-        "un": 'SELECT "user", sqrt(sum(weight * weight)) AS norm FROM uv GROUP BY "user"',
-        "uc": 'SELECT uv."user", it.item, round(sum(uv.weight * it.weight) / any_value(un.norm) / any_value(inorm.norm), 9) AS cos FROM uv JOIN it USING (term_id) JOIN un ON un."user" = uv."user" JOIN inorm ON inorm.item = it.item GROUP BY uv."user", it.item',
-        "rk": 'SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY cos DESC, item) AS rank FROM uc WHERE cos > 0 QUALIFY rank <= 10',
-        "rn": 'SELECT "user", count(*) AS n FROM rel GROUP BY "user"',
-        "um": """SELECT rn."user", """ + ", ".join(
-            f"""count(rel.item) FILTER (WHERE rank <= {k}) / {k}.0 AS precision_{k},
-            coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rel.item IS NOT NULL AND rank <= {k}), 0)
-              / list_sum(list_transform(range(1, least(any_value(n), {k}) + 1), lambda i: 1 / log2(i + 1))) AS ndcg_{k}""" for k in (5, 10)
-        ) + """ FROM rn LEFT JOIN rk ON rn."user" = rk."user" LEFT JOIN rel ON rel."user" = rk."user" AND rel.item = rk.item GROUP BY rn."user" """,
-        **ISIM,
-        "il": """SELECT a."user", 1 - avg(coalesce(s.s, 0)) AS ild FROM rk a JOIN rk b ON a."user" = b."user" AND a.item < b.item
-            LEFT JOIN isim s ON s.a = a.item AND s.b = b.item GROUP BY a."user" """,
-    }),
-    "prepared_reviews": with_(["rev"], f"""SELECT review_id, item, "user", rating, label, label <> -1 AND spoiler_tag = 0 AS is_training, md5(clean_text) AS text_md5
-        FROM (SELECT *, {clean('review')} AS clean_text, CASE WHEN rating >= 7 THEN 1 ELSE 0 END AS label FROM b) WHERE clean_text <> '' AND len(string_split(clean_text, ' ')) BETWEEN 10 AND 2000""", {
-        "b": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rating >= 7 ORDER BY {h(42, 'review_id')}, review_id) AS r FROM rev WHERE rating >= 7 OR rating <= 4)
-            WHERE rating <= 4 OR r <= floor((SELECT count(*) FROM rev WHERE rating <= 4) * 1.5)""",
-    }),
+    "offline_evaluation": offline(),
+    "offline_evaluation_sampled": offline("LIMIT 30"),
+    "offline_evaluation_holdout": offline("", 0.3),
+    "prepared_reviews": prepared(False),
+    "prepared_reviews_published_order": prepared(True),
     "assembled_results": with_(["qpool", "state"], f"""SELECT r.query_id, r.item, rank::INTEGER AS rank, round(final * 100, 1) AS percent, least(round(final * 100, 1), 100.0) AS bar_width,
         'https://www.youtube.com/results?search_query=' || replace(url_encode(r.item || ' official trailer'), '%20', '+') AS trailer_link,
         'https://www.imdb.com/find?q=' || replace(url_encode(r.item), '%20', '+') || '&s=tt' AS title_link,

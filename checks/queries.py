@@ -270,7 +270,7 @@ def query_item_cosine(spark, sf):
 def dense_neighbours(spark, sf):
     items = dense_items(spark, sf)
     left = items.withColumnRenamed("vec_id", "query_id")
-    top = SI.top_cosine(left, items, 10, "query_id", "vec_id")
+    top = SI.top_cosine(left, items, 10, "query_id", "vec_id", complete=True)
     return top.select("query_id", "vec_id", F.round("cos", 6).alias("cos"), "rank")
 
 
@@ -306,12 +306,17 @@ def class_counts(spark, sf):
 
 @query
 def user_item_cells(spark, sf):
+    return FA.rating_cells(V.interactions(spark, sf))
+
+
+@query
+def active_user_cells(spark, sf):
     return FA.rating_cells(V.interactions(spark, sf), 20)
 
 
 @query
 def term_frequencies(spark, sf):
-    return TF.term_statistics(corpus_counts(spark, sf)).filter("df >= 2 and term <> ''")
+    return TF.term_statistics(corpus_counts(spark, sf)).filter("term <> ''")  # the empty term counts documents
 
 
 @query
@@ -457,7 +462,7 @@ def seed_candidates(spark, sf):
 def user_top_items(spark, sf):
     rows = V.reviews(spark, sf).select("user", "item")
     vectors = SI.mean_vectors(rows, item_vectors(spark, sf), "user")
-    top = SI.top_cosine(vectors, item_vectors(spark, sf), 10, "user", "item")
+    top = SI.top_cosine(vectors, item_vectors(spark, sf), 10, "user", "item", complete=True)
     return top.select("user", "item", F.round("cos", 6).alias("cos"), "rank")
 
 
@@ -504,6 +509,11 @@ def combined_parts(spark, sf):
 
 @query
 def balanced_reviews(spark, sf):
+    return SA.balance(V.reviews(spark, sf)).select("review_id", "rating")
+
+
+@query
+def capped_balanced_reviews(spark, sf):
     return SA.balance(V.reviews(spark, sf), cap=120).select("review_id", "rating")
 
 
@@ -662,7 +672,7 @@ def account_home_feed(spark, sf):
 @query
 def diversified_neighbours(spark, sf):
     items = dense_items(spark, sf)
-    pool = SI.top_cosine(items.withColumnRenamed("vec_id", "query_id"), items, 50, "query_id", "vec_id").drop("rank")
+    pool = SI.top_cosine(items.withColumnRenamed("vec_id", "query_id"), items, 50, "query_id", "vec_id", complete=True).drop("rank")
     picks = RC.mmr_rerank(pool, items, 3, 0.6, "query_id", "vec_id", "cos", nonnegative=False)
     return picks.select("query_id", "vec_id", F.round("cos", 6).alias("cos"), "rank")
 
@@ -692,32 +702,48 @@ def list_diversity(spark, sf):
     return d.select("list_id", F.round("ild", 6).alias("ild"))
 
 
-@query
-def offline_evaluation(spark, sf):
+def evaluated(spark, sf, params=FIRST, holdout=None):
     rows = labelled(spark, sf).select("review_id", "user", "item", "rating")
-    params = replace(FIRST, eval_users=30)
-    e = EV.evaluate_offline(rows, item_vectors(spark, sf), params)
+    e = EV.evaluate_offline(rows, item_vectors(spark, sf), params, holdout)
     counts = ("n_users_evaluated", "n_users_sampled")
     return e.select(*[F.round(c, 6).alias(c) for c in e.columns if c not in counts], *counts)
 
 
 @query
-def offline_evaluation_holdout(spark, sf):
-    rows = labelled(spark, sf).select("review_id", "user", "item", "rating")
-    e = EV.evaluate_offline(rows, item_vectors(spark, sf), FIRST, holdout=0.3)
-    counts = ("n_users_evaluated", "n_users_sampled")
-    return e.select(*[F.round(c, 6).alias(c) for c in e.columns if c not in counts], *counts)
+def offline_evaluation(spark, sf):
+    return evaluated(spark, sf)
 
 
 @query
-def prepared_reviews(spark, sf):
-    balanced, training = TR.prepare_reviews(spread(V.raw_reviews(spark, sf), "review_id"))
+def offline_evaluation_sampled(spark, sf):
+    """The published reports evaluate a sample of the users; here 30 of them."""
+    return evaluated(spark, sf, replace(FIRST, eval_users=30))
+
+
+@query
+def offline_evaluation_holdout(spark, sf):
+    return evaluated(spark, sf, holdout=0.3)
+
+
+def prepared(spark, sf, published_order):
+    params = replace(FIRST, year_from=1980, year_to=1982)
+    reviews, training = TR.prepare_reviews(V.raw_reviews(spark, sf), V.source_catalogue(spark, sf), params, published_order)
     used = training.select("review_id", F.lit(True).alias("used"))
-    return balanced.join(used, "review_id", "left").select(
+    return reviews.join(used, "review_id", "left").select(
         "review_id", "item", "user", "rating", "label", F.coalesce("used", F.lit(False)).alias("is_training"), F.md5("clean_text").alias("text_md5")
     )
 
 
+@query
+def prepared_reviews(spark, sf):
+    return prepared(spark, sf, False)
+
+
+@query
+def prepared_reviews_published_order(spark, sf):
+    return prepared(spark, sf, True)
+
+
 @query
 def assembled_results(spark, sf):
     qv, iv, vocab = query_vectors(spark, sf), item_vectors(spark, sf), vocabulary(spark, sf)

@@ -48,6 +48,12 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def source_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as titles that name the sources of the documents."""
+    title = F.concat(F.lit("SRC "), (F.col("tconst").cast("bigint") % 25).cast("string"))
+    return catalogue(spark, sf_dir).withColumns({"primaryTitle": title, "originalTitle": title})
+
+
 def titled_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as reviews of titled parts."""
     part = table(spark, sf_dir, "part").select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -83,6 +83,9 @@ class CalibratedSvm:
 def fit_svm(train: DataFrame, params: Params = FIRST) -> LinearSVCModel:
     """Linear SVM with class weights n / (2 n_c) and a penalty that matches C."""
     counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    lacking = [c for c in (0, 1) if not counts.get(c)]
+    if lacking:
+        raise ValueError(f"no rows of class {lacking} to fit on; found {counts}")
     n = sum(counts.values())
     # the solver runs a job per pass; few rows in many partitions would be all overhead
     train = train.coalesce(max(1, -(-n // ROWS_PER_TASK)))
@@ -130,7 +133,6 @@ def cross_validate(rows: DataFrame, params: Params = FIRST, key: str = "review_i
     folded = cut_lineage(
         stratified_folds(rows.select(key, "label", "features"), key, "label", params.folds, f"validate-{params.seed}")
     )
-    params = replace(params, svc_max_iter=params.cv_max_iter)
     scores = []
     for fold in range(params.folds):
         model = fit_calibrated_svm(folded.filter(F.col("fold") != fold).drop("fold"), params, key)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelmill.operators.ranking import keep_known
-from reelmill.session import cut_lineage, spread
+from reelmill.session import cut_lineage, spread, store
 
 LEFT_BLOCK = 1 << 19  # vector entries per block: some 6 MB
 RIGHT_BLOCK = 1 << 21
@@ -52,31 +52,35 @@ def _blocks(vectors: DataFrame, size: int) -> Column:
     return F.ceil((entries.scalar() + 1) / F.lit(float(size))).cast("long")
 
 
-def _block_scores(left: pd.DataFrame, right: pd.DataFrame, left_id: str, right_id: str, signed: bool) -> list:
+def _block_scores(left: pd.DataFrame, right: pd.DataFrame, left_id: str, right_id: str, complete: bool) -> list:
     """Best matches of each left vector among one block of right vectors."""
-    left = left[left["norm"] > 0]
-    right = right[right["norm"] > 0].sort_values(right_id, ignore_index=True)
+    if not complete:
+        left, right = left[left["norm"] > 0], right[right["norm"] > 0]
     if left.empty or right.empty:
         return []
+    right = right.sort_values(right_id, ignore_index=True)
     sizes = right["idx"].map(len).to_numpy()
-    terms = np.concatenate(right["idx"].to_list())
+    terms = np.concatenate([*right["idx"].to_list(), np.zeros(0, np.int32)]).astype(np.int64)
     owner = np.repeat(np.arange(len(right)), sizes)
-    scaled = np.concatenate(right["val"].to_list()) / np.repeat(right["norm"].to_numpy(), sizes)
+    length = np.where(right["norm"] > 0, right["norm"], 1.0)
+    scaled = np.concatenate([*right["val"].to_list(), np.zeros(0)]) / np.repeat(length, sizes)
     order = np.argsort(terms, kind="stable")
     by_term, by_owner, by_value = terms[order], owner[order], scaled[order]
-    width = int(by_term[-1]) + 1
+    width = int(by_term[-1]) + 1 if len(by_term) else 0
     start = np.searchsorted(by_term, np.arange(width + 1))
     row = np.zeros(width)
     out = []
-    for key, idx, val, norm, k in zip(left[left_id], left["idx"], left["val"], left["norm"], left["k"]):
+    for key, idx, val, norm, k in zip(left[left_id], left["idx"], left["val"], left["norm"].where(left["norm"] > 0, 1.0), left["k"]):
         inside = idx < width
         idx, val = idx[inside], val[inside]
         first = start[idx]
         n = start[idx + 1] - first
         total = int(n.sum())
         if total == 0:
-            continue
-        if 2 * total > len(terms):
+            if not complete:
+                continue
+            score = np.zeros(len(right))
+        elif 2 * total > len(terms):
             # most of the block is touched: one pass over all of it is cheaper than collecting
             row[idx] = val
             score = np.bincount(owner, weights=scaled * row[terms], minlength=len(right)) / norm
@@ -86,7 +90,7 @@ def _block_scores(left: pd.DataFrame, right: pd.DataFrame, left_id: str, right_i
             spot = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(total)
             score = np.bincount(by_owner[spot], weights=by_value[spot] * np.repeat(val, n), minlength=len(right)) / norm
         score = np.round(score, DIGITS)
-        hit = np.flatnonzero(score if signed else score > 0)
+        hit = np.arange(len(right)) if complete else np.flatnonzero(score > 0)
         best = hit[np.argsort(-score[hit], kind="stable")]
         if k >= 0:
             best = best[:k]
@@ -103,12 +107,16 @@ def top_cosine(
     right_id: str,
     left_block: int = LEFT_BLOCK,
     right_block: int = RIGHT_BLOCK,
-    signed: bool = False,
+    complete: bool = False,
 ) -> DataFrame:
     """(left_id, right_id, cos, rank): for each left vector its ``k`` most similar right ones.
 
-    Exact. Only similarities above zero are returned (all but zero if ``signed``); ``k`` may be a
-    column of ``left``, or ``None`` for all of them. Both sides are hashed into blocks of bounded size and each pair of blocks
+    Exact. Only similarities above zero are returned, or with ``complete`` k of them whenever there
+    are k right vectors: zeros by key and negatives in order, a vector without length being at zero
+    to all. ``k`` may be a column of ``left``, or ``None`` for all of them.
+
+    Left vectors that are measured to fit one block go to the executors, and the right side is read
+    where it lies; each task returns k rows per left vector. Otherwise both sides are hashed into blocks of bounded size and each pair of blocks
     is multiplied in one task through an inverted index, which yields at most k rows per left
     vector: joining on terms would instead shuffle one row per pair and shared term, and a frequent
     term would be one huge group. No block depends on how often a term or key occurs.
@@ -118,16 +126,39 @@ def top_cosine(
         [T.StructField(left_id, ids[0]), T.StructField(right_id, ids[1]), T.StructField("cos", T.DoubleType())]
     )
     limit = F.lit(-1) if k is None else (F.lit(k) if isinstance(k, int) else k)
+    lefts = left.select(left_id, "idx", "val", "norm", limit.cast("long").alias("k"))
+    entries = lefts.agg(F.coalesce(F.sum(F.size("idx") + 1), F.lit(0)).alias("n")).first()["n"]
+    if entries <= left_block:
+        shared = left.sparkSession.sparkContext.broadcast(lefts.toPandas())
+
+        def read_on(frames):
+            for pdf in frames:
+                yield from _block_scores(shared.value, pdf, left_id, right_id, complete)
+
+        scored = right.select(right_id, "idx", "val", "norm").mapInPandas(read_on, schema)
+    else:
+        scored = _multiply_blocks(lefts, right, left_id, right_id, schema, left_block, right_block, complete)
+    place = F.row_number().over(W.partitionBy(left_id).orderBy(F.desc("cos"), F.asc(right_id)))
+    ranked = scored.withColumn("rank", place)
+    if k is None:
+        return ranked
+    if isinstance(k, int):
+        return ranked.filter(F.col("rank") <= k)
+    return (
+        ranked.join(left.select(left_id, k.alias("_k")), left_id).filter(F.col("rank") <= F.col("_k")).drop("_k")
+    )
+
+
+def _multiply_blocks(
+    left: DataFrame, right: DataFrame, left_id: str, right_id: str, schema: T.StructType, left_block: int, right_block: int, complete: bool
+) -> DataFrame:
+    """Best matches of all pairs of blocks."""
     n_left, n_right = _blocks(left, left_block), _blocks(right, right_block)
 
     def others(n: Column) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
 
-    lefts = (
-        left.select(left_id, "idx", "val", "norm", limit.cast("long").alias("k"))
-        .withColumn("_lb", F.pmod(F.xxhash64(left_id), n_left))
-        .withColumn("_rb", others(n_right))
-    )
+    lefts = left.withColumn("_lb", F.pmod(F.xxhash64(left_id), n_left)).withColumn("_rb", others(n_right))
     rights = (
         right.select(right_id, "idx", "val", "norm")
         .withColumn("_rb", F.pmod(F.xxhash64(right_id), n_right))
@@ -135,20 +166,11 @@ def top_cosine(
     )
 
     def multiply(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        found = _block_scores(l, r, left_id, right_id, signed)
+        found = _block_scores(l, r, left_id, right_id, complete)
         return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=schema.names)
 
     pairs = [spread(side, "_lb", "_rb").groupBy("_lb", "_rb") for side in (lefts, rights)]
-    scored = pairs[0].cogroup(pairs[1]).applyInPandas(multiply, schema)
-    place = F.row_number().over(W.partitionBy(left_id).orderBy(F.desc("cos"), F.asc(right_id)))
-    ranked = scored.withColumn("rank", place)
-    if k is None:
-        return ranked
-    if isinstance(k, int):
-        return ranked.filter(F.col("rank") <= k)
-    return (
-        ranked.join(left.select(left_id, k.alias("_k")), left_id).filter(F.col("rank") <= F.col("_k")).drop("_k")
-    )
+    return pairs[0].cogroup(pairs[1]).applyInPandas(multiply, schema)
 
 
 def cosine_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
@@ -172,6 +194,7 @@ def sparse_cosine(
 
 
 PART = 256  # members combined in one call
+LEVEL = 64  # partial sums added in one call
 MATRIX_ENTRIES = 16 << 20  # item matrices up to some 200 MB are sent to every executor
 
 
@@ -211,28 +234,28 @@ def combine_vectors(members: DataFrame, item_vectors: DataFrame, group: str, ite
     sizes = members.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(PART))).alias("_parts"))
     rows = members.select(group, item, F.col(weight).cast("double").alias("_w")).join(sizes, group)
     rows = rows.withColumn("_part", F.pmod(F.xxhash64(item), F.col("_parts")))
-    schema = f"{group} {kind}, _parts long, idx array<int>, val array<double>"
+    schema = f"{group} {kind}, _parts long, _part long, idx array<int>, val array<double>"
     matrix = shared_matrix(item_vectors, item)
     if matrix is not None:
         lists = spread(rows, group, "_part").groupBy(group, "_part", "_parts").agg(
             F.collect_list(F.struct(F.col(item).alias("i"), "_w")).alias("m")
-        ).select(group, "_parts", F.col("m.i").alias("items"), F.col("m._w").alias("ws"))
+        ).select(group, "_parts", "_part", F.col("m.i").alias("items"), F.col("m._w").alias("ws"))
 
         def look_up(frames):
             known, all_idx, all_val, _ = matrix.value
             for pdf in frames:
                 out = []
-                for g, parts, items, ws in zip(pdf[group], pdf["_parts"], pdf["items"], pdf["ws"]):
+                for g, parts, part, items, ws in zip(pdf[group], pdf["_parts"], pdf["_part"], pdf["items"], pdf["ws"]):
                     found = [(known[i], w) for i, w in zip(items, ws) if i in known]
                     if found:
                         at = [i for i, _ in found]
                         total = _sum_entries([all_idx[i] for i in at], [all_val[i] for i in at], np.array([w for _, w in found]))
-                        out.append((g, parts, *total))
+                        out.append((g, parts, part, *total))
                     if len(out) >= 200:
-                        yield pd.DataFrame(out, columns=[group, "_parts", "idx", "val"])
+                        yield pd.DataFrame(out, columns=[group, "_parts", "_part", "idx", "val"])
                         out = []
                 if out:
-                    yield pd.DataFrame(out, columns=[group, "_parts", "idx", "val"])
+                    yield pd.DataFrame(out, columns=[group, "_parts", "_part", "idx", "val"])
 
         partial = lists.mapInPandas(look_up, schema)
     else:
@@ -240,20 +263,24 @@ def combine_vectors(members: DataFrame, item_vectors: DataFrame, group: str, ite
 
         def add_members(pdf: pd.DataFrame) -> pd.DataFrame:
             total = _sum_entries(pdf["idx"].to_list(), pdf["val"].to_list(), pdf["_w"].to_numpy())
-            return pd.DataFrame([(pdf[group].iloc[0], pdf["_parts"].iloc[0], *total)], columns=[group, "_parts", "idx", "val"])
+            return pd.DataFrame([(pdf[group].iloc[0], pdf["_parts"].iloc[0], pdf["_part"].iloc[0], *total)], columns=[group, "_parts", "_part", "idx", "val"])
 
         partial = spread(joined, group, "_part").groupBy(group, "_part").applyInPandas(add_members, schema)
-    partial = partial.filter(F.size("idx") > 0)
+    partial = store(partial.filter(F.size("idx") > 0), "partial-sums")
 
     def add_parts(pdf: pd.DataFrame) -> pd.DataFrame:
         total = _sum_entries(pdf["idx"].to_list(), pdf["val"].to_list(), np.ones(len(pdf)))
-        return pd.DataFrame([(pdf[group].iloc[0], *total)], columns=[group, "idx", "val"])
-
-    # few groups have more than one part; a part split is decided by the member count alone
-    partial = cut_lineage(partial)
-    whole = partial.filter("_parts = 1").select(group, "idx", "val")
-    split = partial.filter("_parts > 1").groupBy(group).applyInPandas(add_parts, f"{group} {kind}, idx array<int>, val array<double>")
-    return with_norm(whole.unionByName(split))
+        return pd.DataFrame([(pdf[group].iloc[0], pdf["_parts"].iloc[0], pdf["_part"].iloc[0], *total)], columns=[group, "_parts", "_part", "idx", "val"])
+
+    # Most groups have one part. The others' parts are added ``LEVEL`` at a time, level by level.
+    done = partial.filter("_parts = 1")
+    split = partial.filter("_parts > 1")
+    while not split.isEmpty():
+        rows = split.withColumn("_part", F.expr(f"_part div {LEVEL}")).withColumn("_parts", F.expr(f"(_parts + {LEVEL - 1}) div {LEVEL}"))
+        split = store(rows.groupBy(group, "_part").applyInPandas(add_parts, schema), "partial-sums")
+        done = done.unionByName(split.filter("_parts = 1"))
+        split = split.filter("_parts > 1")
+    return with_norm(done.filter(F.size("idx") > 0).select(group, "idx", "val"))
 
 
 def _known_members(members: DataFrame, item_vectors: DataFrame, item: str) -> DataFrame:

@@ -9,7 +9,7 @@ from dataclasses import dataclass, replace
 class Params:
     """Every number a run depends on. Frozen, so that it can be logged as it was used."""
 
-    # reviews
+    # reviews; sample_size bounds the rows that the classifier is fitted on, and nothing else
     sample_size: int | None = 500_000
     positive_from: float = 7
     negative_to: float = 4
@@ -33,13 +33,12 @@ class Params:
     # classifier
     svc_c: float = 1.0
     svc_max_iter: int = 100  # passes of the distributed solver, not of a coordinate descent
-    cv_max_iter: int = 40
     folds: int = 3
     test_fraction: float = 0.2
     # evaluation
     eval_ks: tuple[int, ...] = (5, 10)
     eval_min_ratings: int = 3
-    eval_users: int | None = 200
+    eval_users: int | None = None  # all; the published reports use a sample of 200
     # serving
     w_cos: float = 0.6
     mmr_lambda: float = 0.6
@@ -95,30 +94,37 @@ NEGATIVE_PHRASES = [
 ]
 
 # The widely published English stop-word list of 179 words.
-ENGLISH_STOP_WORDS = """
-i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves
-he him his himself she she's her hers herself it it's its itself they them their theirs themselves
-what which who whom this that that'll these those am is are was were be been being have has had
-having do does did doing a an the and but if or because as until while of at by for with about
-against between into through during before after above below to from up down in out on off over
-under again further then once here there when where why how all any both each few more most other
-some such no nor not only own same so than too very s t can will just don don't should should've
-now d ll m o re ve y ain aren aren't couldn couldn't didn didn't doesn doesn't hadn hadn't hasn
-hasn't haven haven't isn isn't ma mightn mightn't mustn mustn't needn needn't shan shan't shouldn
-shouldn't wasn wasn't weren weren't won won't wouldn wouldn't
-""".split()
+ENGLISH_STOP_WORDS = (
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "you're", "you've", "you'll", "you'd",
+    "your", "yours", "yourself", "yourselves", "he", "him", "his", "himself", "she", "she's", "her", "hers",
+    "herself", "it", "it's", "its", "itself", "they", "them", "their", "theirs", "themselves", "what",
+    "which", "who", "whom", "this", "that", "that'll", "these", "those", "am", "is", "are", "was", "were",
+    "be", "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing", "a", "an", "the",
+    "and", "but", "if", "or", "because", "as", "until", "while", "of", "at", "by", "for", "with", "about",
+    "against", "between", "into", "through", "during", "before", "after", "above", "below", "to", "from",
+    "up", "down", "in", "out", "on", "off", "over", "under", "again", "further", "then", "once", "here",
+    "there", "when", "where", "why", "how", "all", "any", "both", "each", "few", "more", "most", "other",
+    "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "s", "t", "can",
+    "will", "just", "don", "don't", "should", "should've", "now", "d", "ll", "m", "o", "re", "ve", "y", "ain",
+    "aren", "aren't", "couldn", "couldn't", "didn", "didn't", "doesn", "doesn't", "hadn", "hadn't", "hasn",
+    "hasn't", "haven", "haven't", "isn", "isn't", "ma", "mightn", "mightn't", "mustn", "mustn't", "needn",
+    "needn't", "shan", "shan't", "shouldn", "shouldn't", "wasn", "wasn't", "weren", "weren't", "won", "won't",
+    "wouldn", "wouldn't",
+)
 
 # Negations carry sentiment and are therefore kept as terms.
-NEGATIONS = """
-not no nor n't don't isn't aren't couldn't didn't doesn't hadn't hasn't haven't shouldn't won't
-wouldn't never hardly nothing nowhere neither nobody none
-""".split()
+NEGATIONS = (
+    "not", "no", "nor", "n't", "don't", "isn't", "aren't", "couldn't", "didn't", "doesn't", "hadn't",
+    "hasn't", "haven't", "shouldn't", "won't", "wouldn't", "never", "hardly", "nothing", "nowhere", "neither",
+    "nobody", "none",
+)
 
 STOP_WORDS = [w for w in ENGLISH_STOP_WORDS if w not in NEGATIONS]
 
 # Words too general to be shown as keywords.
-GENERIC_TERMS = """
-film movie story scene character plot time watch great good best little just like make really made
-one also even first well much think many people way year show series part get see know going come
-give take would could never still another pretty quite better
-""".split()
+GENERIC_TERMS = (
+    "film", "movie", "story", "scene", "character", "plot", "time", "watch", "great", "good", "best",
+    "little", "just", "like", "make", "really", "made", "one", "also", "even", "first", "well", "much",
+    "think", "many", "people", "way", "year", "show", "series", "part", "get", "see", "know", "going", "come",
+    "give", "take", "would", "could", "never", "still", "another", "pretty", "quite", "better",
+)

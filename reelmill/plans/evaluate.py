@@ -10,15 +10,15 @@ from reelmill.operators.ranking import keep_known, min_support, top_k
 from reelmill.operators.sampling import hash_key, sample_keys
 from reelmill.operators.similarity import intra_list_diversity, mean_vectors, top_cosine
 from reelmill.params import FIRST, Params
-from reelmill.session import cut_lineage
+from reelmill.session import store
 
 
 def evaluation_users(reviews: DataFrame, item_vectors: DataFrame, params: Params = FIRST) -> tuple[DataFrame, DataFrame]:
     """Reviews of known items by the sampled active users, and the sampled users."""
-    known = cut_lineage(keep_known(reviews.select("review_id", "user", "item", "rating"), item_vectors, "item"))
+    known = store(keep_known(reviews.select("review_id", "user", "item", "rating"), item_vectors, "item"), "known")
     active = min_support(known, "user", params.eval_min_ratings).select("user")
-    users = cut_lineage(sample_keys(active, "user", params.eval_users, params.seed))
-    return cut_lineage(keep_known(known, users, "user")), users
+    users = store(sample_keys(active, "user", params.eval_users, params.seed), "users")
+    return keep_known(known, users, "user"), users
 
 
 def evaluate_users(
@@ -41,11 +41,11 @@ def evaluate_users(
     vectors = mean_vectors(profile_rows, item_vectors, "user")
     size = max(params.eval_ks)
     if holdout is None:
-        ranked = top_cosine(vectors, item_vectors, size, "user", "item")
+        ranked = top_cosine(vectors, item_vectors, size, "user", "item", complete=True)
     else:
         seen = profile_rows.select("user", "item").distinct()
         asking = vectors.join(seen.groupBy("user").agg(F.count(F.lit(1)).alias("n")), "user")
-        found = top_cosine(asking, item_vectors, F.lit(size) + F.col("n"), "user", "item").drop("rank")
+        found = top_cosine(asking, item_vectors, F.lit(size) + F.col("n"), "user", "item", complete=True).drop("rank")
         rest = found.join(seen, ["user", "item"], "left_anti")
         ranked = top_k(rest, ["user"], [F.desc("cos"), F.asc("item")], size)
         relevant = relevant.join(vectors.select("user"), "user", "left_semi")

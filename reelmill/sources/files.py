@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import re
+import json
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelmill.params import COLUMN_ALIASES
-from reelmill.session import cut_lineage
+from reelmill.session import store
 
 PART_NAME = "part-*.json"
 HEAD = 64 << 10
-FIRST_VALUE_IS_OBJECT = re.compile(r'^\s*\{\s*"(?:[^"\\]|\\.)*"\s*:\s*\{')
+LAYOUTS = ("lines", "array", "dict", "object")
+HEAD_READERS = 32
 
 CATALOGUE_COLUMNS = ("tconst", "titleType", "primaryTitle", "originalTitle", "startYear")
 
@@ -28,62 +29,105 @@ def _part_files(spark: SparkSession, folder: str) -> list[str]:
     return sorted(str(s.getPath().toString()) for s in found) if found else []
 
 
-def _head(spark: SparkSession, path: str) -> str:
-    """The first bytes of a file."""
+def _head(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """The first bytes of a file, and whether that is all of it."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(target)
     try:
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(
+        found = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(
             jvm.org.apache.commons.io.input.BoundedInputStream(stream, HEAD)
-        )).decode("utf-8", errors="ignore")
+        ))
+        return found.decode("utf-8", errors="ignore"), len(found) < HEAD
     finally:
         stream.close()
 
 
-def layout_of(head: str) -> str:
-    """``array``, ``dict`` (objects under keys), ``object`` (one, over several lines) or ``lines``."""
-    text = head.lstrip("﻿ \t\r\n")
-    if text.startswith("["):
-        return "array"
-    if FIRST_VALUE_IS_OBJECT.match(text):
-        return "dict"
-    first_line = text.split("\n", 1)[0].strip()
-    return "object" if text.startswith("{") and first_line in ("{",) else "lines"
+def _parsed(text: str):
+    """The JSON value of a text, or ``None`` if it is not one whole value."""
+    try:
+        return json.loads(text)
+    except ValueError:
+        return None
+
 
+def _is_dict(value) -> bool:
+    return isinstance(value, dict) and bool(value) and all(isinstance(v, dict) for v in value.values())
 
-def known_fields() -> list[str]:
-    names = ["review_id", "movie", "reviewer"]
-    for name, aliases in COLUMN_ALIASES.items():
-        names += [name, *aliases]
-    return names
+
+def layout_of(head: str, whole: bool = False) -> str:
+    """``lines``, ``array``, ``dict`` (objects under keys) or ``object`` (one, over several lines).
+
+    ``whole``: the head is the whole file. JSON lines come first: a first line that is an object of
+    its own, with another line after it, makes the file one of lines, whatever its fields hold. A
+    head that leaves it open raises.
+    """
+    text = head.lstrip("\ufeff \t\r\n")
+    if not text and whole:
+        return "lines"
+    if text.startswith("["):
+        return "array"
+    first, newline, rest = text.partition("\n")
+    value = _parsed(first.strip())
+    if isinstance(value, dict) and (rest.strip() or (newline and not whole)):
+        return "lines"
+    if whole:
+        value = _parsed(text)
+        if isinstance(value, dict):
+            return "dict" if _is_dict(value) else "object" if "\n" in text.strip() else "lines"
+    raise ValueError("the layout cannot be told from the first bytes; pass layout=, one of " + ", ".join(LAYOUTS))
+
+
+def _layout_of_file(spark: SparkSession, path: str) -> str:
+    head, whole = _head(spark, path)
+    try:
+        return layout_of(head, whole)
+    except ValueError as error:
+        raise ValueError(f"{path}: {error}") from None
 
 
 def _read_dicts(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Files that hold one object of objects: one row per inner object, known fields as text."""
-    fields = T.StructType([T.StructField(n, T.StringType()) for n in known_fields()])
-    texts = spark.read.text(paths, wholetext=True)
-    rows = texts.select(F.explode(F.from_json("value", T.MapType(T.StringType(), fields))).alias("key", "r")).select("r.*")
-    used = rows.agg(*[F.max(F.col(c).isNotNull()).alias(c) for c in rows.columns]).first().asDict()
-    return rows.select(*[c for c in rows.columns if used[c]])
+    """Files that hold one object of objects: one row per inner object, all its fields as text.
+
+    Field names are put in lower case; of names that differ in case only, the first with a value counts.
+    """
+    strict, texts = {"mode": "FAILFAST"}, T.MapType(T.StringType(), T.StringType())
+    whole = spark.read.text(paths, wholetext=True)
+    inner = whole.select(F.explode(F.from_json("value", texts, strict)).alias("key", "v"))
+    rows = inner.select(F.from_json("v", texts, strict).alias("m"))
+    names: dict[str, list[str]] = {}
+    for r in rows.select(F.explode(F.map_keys("m")).alias("n")).distinct().orderBy("n").collect():  # one row per field
+        names.setdefault(r["n"].lower(), []).append(r["n"])
+    return rows.select(*[F.coalesce(*[F.col("m")[n] for n in same]).alias(low) for low, same in names.items()])
 
 
 def read_reviews(
-    spark: SparkSession, folder: str, layout: str | None = None, schema: T.StructType | None = None
+    spark: SparkSession, folder: str, layout: str | None = None, schema: T.StructType | None = None, on_broken: str = "fail"
 ) -> DataFrame:
     """All ``part-*.json`` files of a folder as one table.
 
     Each file may hold JSON lines, an array, or an object of objects. The layout is taken from the
-    first bytes of each file unless given. With a ``schema`` no inference pass is made over the
-    data, which is how large folders should be read.
+    first bytes of each file unless given; where they leave it open, an error names the file. With a
+    ``schema`` no inference pass is made over the data, which is how large folders should be read.
+    Text that is not JSON raises; ``on_broken="skip"`` leaves such rows out instead.
+
+    Lines are read in parallel within a file. A file with an array or an object is one task's work:
+    bring large ones into lines once, with ``rewrite_as_lines``.
     """
     files = _part_files(spark, folder)
     if not files:
         raise FileNotFoundError(f"no {PART_NAME} in {folder}")
+    if layout is not None and layout not in LAYOUTS:
+        raise ValueError(f"layout is one of {LAYOUTS}")
     groups: dict[str, list[str]] = {}
-    for path in files:
-        groups.setdefault(layout or layout_of(_head(spark, path)), []).append(path)
+    if layout is not None:
+        groups[layout] = files
+    else:
+        with ThreadPoolExecutor(HEAD_READERS) as heads:
+            for path, kind in zip(files, heads.map(lambda f: _layout_of_file(spark, f), files)):
+                groups.setdefault(kind, []).append(path)
     reader = spark.read.option("primitivesAsString", "true").option("encoding", "UTF-8")
+    reader = reader.option("mode", "DROPMALFORMED" if on_broken == "skip" else "FAILFAST")
     if schema is not None:
         reader = reader.schema(schema)
     parts = []
@@ -95,6 +139,12 @@ def read_reviews(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def rewrite_as_lines(spark: SparkSession, folder: str, out: str, layout: str | None = None) -> None:
+    """Copy the parts of a folder as JSON lines, which later reads can split."""
+    rows = read_reviews(spark, folder, layout)
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("overwrite").text(out)
+
+
 def with_review_ids(df: DataFrame) -> DataFrame:
     """Give every row an id and store the table, so that the ids stay what they are.
 
@@ -102,7 +152,7 @@ def with_review_ids(df: DataFrame) -> DataFrame:
     """
     if "review_id" in df.columns:
         return df
-    return cut_lineage(df.withColumn("review_id", F.monotonically_increasing_id()))
+    return store(df.withColumn("review_id", F.monotonically_increasing_id()), "reviews")
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:

@@ -27,6 +27,53 @@ def test_review_parts_in_every_layout(spark, tmp_path):
         files.read_reviews(spark, str(tmp_path / "nothing"))
 
 
+def test_lines_with_an_object_first_are_lines(spark, tmp_path):
+    rows = [{"helpful": {"yes": i}, "rating": i, "review": f"r{i}"} for i in range(5)]
+    (tmp_path / "part-1.json").write_text("\n".join(map(json.dumps, rows)) + "\n")
+    df = files.read_reviews(spark, str(tmp_path))
+    assert df.count() == 5 and {"helpful", "rating", "review"} == set(df.columns)
+
+
+def test_dict_keeps_all_columns(spark, tmp_path):
+    content = {str(i): {"Movie": f"m{i}", "Rating": i, "Review_Detail": "x", "extra": {"a": [i]}, **({"Late": "y"} if i == 3 else {})} for i in range(4)}
+    (tmp_path / "part-1.json").write_text(json.dumps(content, indent=1))
+    df = files.read_reviews(spark, str(tmp_path))
+    assert set(df.columns) == {"movie", "rating", "review_detail", "extra", "late"}
+    rows = {r["movie"]: r for r in df.collect()}
+    assert len(rows) == 4 and rows["m2"]["rating"] == "2" and rows["m2"]["extra"] == '{"a":[2]}' and rows["m3"]["late"] == "y"
+
+
+def test_broken_and_unclear_files_are_named(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "part-1.json").write_text('{"review": "a"}\n{"review": "b"\n{"review": "c"}\n')
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        files.read_reviews(spark, str(tmp_path / "a")).collect()
+    assert files.read_reviews(spark, str(tmp_path / "a"), on_broken="skip").count() == 2
+    (tmp_path / "b").mkdir()
+    big = {"first": {"x": "y" * files.HEAD}, "review": "a"}
+    (tmp_path / "b" / "part-7.json").write_text(json.dumps(big, indent=1))
+    with pytest.raises(ValueError, match="part-7.json"):
+        files.read_reviews(spark, str(tmp_path / "b"))
+    assert files.read_reviews(spark, str(tmp_path / "b"), layout="object").count() == 1
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "part-1.json").write_text('{"1": {"review": "a"}, "2": broken}')
+    with pytest.raises(Exception):
+        files.read_reviews(spark, str(tmp_path / "c"), layout="dict").collect()
+
+
+def test_layouts():
+    assert files.layout_of('{"a": {"b": 1}}\n{"a": {"b": 2}}\n', True) == "lines"
+    assert files.layout_of('{"a": {"b": 1}, "c": {"d": 1}}', True) == "dict"
+    assert files.layout_of('{"a": 1}', True) == "lines" and files.layout_of('{"a":\n 1}', True) == "object"
+    assert files.layout_of(' [\n{"a": 1}', False) == "array" and files.layout_of("", True) == "lines"
+
+
+def test_rewritten_as_lines(spark, tmp_path):
+    (tmp_path / "part-1.json").write_text(json.dumps([{"review": "a\nb", "rating": 1}, {"review": "c"}]))
+    files.rewrite_as_lines(spark, str(tmp_path), str(tmp_path / "lines"))
+    assert {r["review"] for r in spark.read.json(str(tmp_path / "lines")).collect()} == {"a\nb", "c"}
+
+
 def test_catalogue_and_csv(spark, tmp_path):
     path = tmp_path / "titles.tsv"
     path.write_text('tconst\ttitleType\tprimaryTitle\toriginalTitle\tisAdult\tstartYear\nt1\tmovie\t"Odd\tNone\t0\t1999\nt2\tshort\t\\N\tX\t0\t\\N\n')
@@ -44,6 +91,11 @@ def test_metrics_and_runs(spark, tmp_path):
     artifacts.append_metrics(spark, out, "r2", {"accuracy": 0.8})
     assert artifacts.read_metric(spark, out, "accuracy", "r2") == 0.8 and artifacts.read_metric(spark, out, "none") is None
     assert artifacts.read_metrics(spark, out).filter("metric = 'precision'").first()["k"] == 5
+    artifacts.append_metrics(spark, out, "r3", {"precision_5": 0.1, "precision_10": 0.2})
+    assert artifacts.read_metric(spark, out, "precision", k=10) == 0.2 and artifacts.read_metric(spark, out, "precision", k=5) == 0.1
+    assert artifacts.read_metric(spark, out, "precision", "r1") == 0.3 and artifacts.read_metric(spark, out, "accuracy") == 0.8
+    with pytest.raises(ValueError, match="which"):
+        artifacts.read_metric(spark, out, "precision")
     artifacts.record_run(spark, out, "r1", {"seed": 42}, {"accuracy": 0.9})
     assert artifacts.read_runs(spark, out).first()["config"] == {"seed": "42"}
     with pytest.raises(FileNotFoundError, match="vocab"):
@@ -96,8 +148,36 @@ def test_train_end_to_end(spark, tmp_path):
 
 def test_optional_columns(spark):
     bare = review_rows(spark).drop("movie", "reviewer")
-    balanced, training = prepare_reviews(bare)
-    assert "item" not in balanced.columns and training.count() == balanced.count()
+    reviews, training = prepare_reviews(bare)
+    assert "item" not in reviews.columns and training.count() == reviews.count()
+
+
+def test_sample_size_reaches_the_classifier_only(spark):
+    from dataclasses import replace
+
+    reviews, training = prepare_reviews(review_rows(spark), params=replace(FIRST, sample_size=20, min_words=5))
+    assert reviews.count() == 120 and training.count() == 20
+    reviews, training = prepare_reviews(review_rows(spark), params=replace(FIRST, sample_size=20, min_words=5), published_order=True)
+    assert reviews.count() == 20 and training.count() == 20
+
+
+def test_second_configuration(spark, tmp_path):
+    from dataclasses import replace
+
+    from reelmill.params import SECOND
+
+    params = replace(SECOND, svd_k=2, svd_iterations=2, svc_max_iter=10, min_words=5, svd_min_user_rows=3)
+    metrics = train(review_rows(spark), str(tmp_path), None, params, with_cv=False, fit_on="train", published_order=True, exports=True)
+    assert metrics["accuracy"] == 1.0 and metrics["n_items_profiled"] == 2 and metrics["seconds_factors"] > 0
+    exported = spark.read.option("header", True).csv(str(tmp_path / "cleaned_reviews_csv"))
+    assert "clean_text" in exported.columns and exported.count() == 120
+
+
+def test_a_class_without_rows_is_named(spark):
+    from reelmill.operators.models import fit_svm
+
+    with pytest.raises(ValueError, match="class"):
+        fit_svm(spark.createDataFrame([(1,)], "label int"))
 
 
 def test_plans_stay_flat(spark):

@@ -41,10 +41,26 @@ def test_top_cosine_against_brute_force(spark, matrices, blocks):
     assert everything.count() == int((c > 0).sum())
 
 
+@pytest.mark.parametrize("blocks", [(1 << 20, 1 << 20), (40, 30)])
+def test_complete_lists_have_k_rows(spark, blocks):
+    rng = np.random.default_rng(2)
+    left, right = rng.standard_normal((9, 12)), rng.standard_normal((20, 12))
+    left[0], right[3], left[1, 4:], right[5:12, :4] = 0, 0, 0, 0
+
+    def packed(m, key):
+        return SI.dense_vectors(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], f"{key} long, v array<double>"), key, "v")
+
+    got = SI.top_cosine(packed(left, "a"), packed(right, "b"), 15, "a", "b", *blocks, complete=True).collect()
+    c = cosines(left, right) + 0.0
+    expected = {(a, int(b), r + 1) for a in range(9) for r, b in enumerate(np.lexsort((np.arange(20), -c[a]))[:15])}
+    assert {(r["a"], r["b"], r["rank"]) for r in got} == expected and len(got) == 9 * 15
+
+
 @pytest.mark.parametrize("entries, part", [(1 << 24, 256), (0, 256), (1 << 24, 2), (0, 2)])
 def test_taste_and_mean_by_every_path(spark, matrices, monkeypatch, entries, part):
     monkeypatch.setattr(SI, "MATRIX_ENTRIES", entries)
     monkeypatch.setattr(SI, "PART", part)
+    monkeypatch.setattr(SI, "LEVEL", 2)
     _, right = matrices
     vectors = sparse(spark, right, "item")
     seeds = [(u, i, None if i % 2 else (i % 10) + 1) for u in range(4) for i in range(u, 31, 3)] + [(9, 999, 5), (8, 3, 0), (8, 4, 0)]
