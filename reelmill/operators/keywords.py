@@ -5,26 +5,43 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelmill.operators.similarity import mean_vectors
+from reelmill.operators.similarity import mean_vectors, unpack_vectors
 from reelmill.params import GENERIC_TERMS
+from reelmill.session import stored_side
+
+
+# Terms whose kinds, a byte each, are sent to every executor; a larger vocabulary is joined.
+KINDS_SENT = 64 << 20
 
 
 def keywords(members: DataFrame, item_vectors: DataFrame, vocab: DataFrame, group: str, n: int = 12) -> DataFrame:
     """(group, term, weight, rank): the strongest terms of each group's mean vector.
 
     floor(0.6 n) n-grams and, for the rest, single words that are not generic; merged by weight.
-    The kinds of all terms, one byte each for a vocabulary of capped size, go to the executors, and
-    each vector yields its n terms where it lies.
+    While the vocabulary is measured to be small enough, the kinds of all terms go to the executors
+    and each vector yields its n terms where it lies; otherwise the vectors' terms are joined with it.
     """
     gram = F.when(F.instr("term", " ") > 0, 1).when(F.col("term").isin(*GENERIC_TERMS), 2).otherwise(0)
-    kinds_by_id = vocab.select("term_id", gram.alias("kind")).toPandas()
-    kinds = np.full(int(kinds_by_id["term_id"].max()) + 1 if len(kinds_by_id) else 1, 2, np.int8)
-    kinds[kinds_by_id["term_id"]] = kinds_by_id["kind"]
-    shared = vocab.sparkSession.sparkContext.broadcast(kinds)
+    kinds = vocab.select("term_id", gram.cast("tinyint").alias("kind"))
     n_grams = int(n * 0.6)
+    means = mean_vectors(members, item_vectors, group)
+    top = vocab.agg(F.max("term_id").alias("m")).first()["m"]
+    if top is not None and top < KINDS_SENT:
+        found = _strongest_in_place(means, kinds, group, top + 1, n, n_grams)
+    else:
+        found = _strongest_by_join(means, kinds, group, n, n_grams)
+    return found.join(stored_side(vocab.select("term_id", "term")), "term_id").select(group, "term", "weight", "rank")
+
+
+def _strongest_in_place(means: DataFrame, kinds: DataFrame, group: str, size: int, n: int, n_grams: int) -> DataFrame:
+    listed = kinds.toPandas()
+    table = np.full(size, 2, np.int8)
+    table[listed["term_id"]] = listed["kind"]
+    shared = means.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf(SHARED)
     def strongest(idx: pd.Series, val: pd.Series) -> pd.Series:
@@ -39,15 +56,21 @@ def keywords(members: DataFrame, item_vectors: DataFrame, vocab: DataFrame, grou
 
         return pd.Series([one(i, v) for i, v in zip(idx, val)])
 
-    means = mean_vectors(members, item_vectors, group)
-    return (
-        means.select(group, F.posexplode(strongest("idx", "val")).alias("_pos", "e"))
-        .select(group, "e.term_id", "e.weight", (F.col("_pos") + 1).alias("rank"))
-        .join(F.broadcast(vocab.select("term_id", "term")), "term_id")
-        .select(group, "term", "weight", "rank")
+    return means.select(group, F.posexplode(strongest("idx", "val")).alias("_pos", "e")).select(
+        group, "e.term_id", "e.weight", (F.col("_pos") + 1).alias("rank")
     )
 
 
+def _strongest_by_join(means: DataFrame, kinds: DataFrame, group: str, n: int, n_grams: int) -> DataFrame:
+    """The same with one row per group and term; limits of a kind are taken before rows move to their group."""
+    terms = unpack_vectors(means, group).filter("weight > 0").join(kinds.filter("kind < 2"), "term_id")
+    order = [F.desc(F.round("weight", 9)), F.asc("term_id")]
+    place = F.row_number().over(W.partitionBy(group, "kind").orderBy(*order))
+    kept = terms.withColumn("_p", place).filter(F.col("_p") <= F.when(F.col("kind") == 1, n_grams).otherwise(n - n_grams))
+    rank = F.row_number().over(W.partitionBy(group).orderBy(*order))
+    return kept.select(group, "term_id", "weight", rank.alias("rank"))
+
+
 SHARED = T.ArrayType(T.StructType([T.StructField("term_id", T.IntegerType()), T.StructField("weight", T.DoubleType())]))
 
 
@@ -85,6 +108,6 @@ def explain(
     return (
         joined.select(query, "item", F.posexplode(shared).alias("_pos", "e"))
         .select(query, "item", "e.term_id", "e.weight", (F.col("_pos") + 1).alias("rank"))
-        .join(F.broadcast(vocab.select("term_id", "term")), "term_id")
+        .join(stored_side(vocab.select("term_id", "term")), "term_id")
         .select(query, "item", "term", "weight", "rank")
     )

@@ -30,7 +30,7 @@ def item_terms(reviews: DataFrame, vocab: DataFrame, params: Params, partitioned
     """
     weighted = reviews.select("review_id", "item", rating_weight(F.col("rating")).alias("w"), "clean_text")
     terms = transform_tfidf(
-        weighted, vocab, "review_id", "clean_text", params.ngram_range, params.max_features,
+        weighted, vocab, "review_id", "clean_text", params.ngram_range,
         keep=("item", "w"), partitioned=partitioned,
     )
     return terms.groupBy("item", "term_id").agg(F.sum(F.col("w") * F.col("weight")).alias("weight"))

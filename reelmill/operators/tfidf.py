@@ -13,10 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelmill.functions.text import ngrams, tokens
-from reelmill.session import cut_lineage, spread
+from reelmill.session import spread, store, stored_side
 
-# A vocabulary of this many terms takes some 20 MB; larger ones are joined without a hint.
-BROADCAST_TERMS = 250_000
+# Terms that are ranked in one window at most; more are cut down by their prefixes first.
+RANKED = 100_000
 
 
 def term_counts(
@@ -64,33 +64,73 @@ def cap_terms(stats: DataFrame, max_features: int) -> DataFrame:
     threshold, taken = last.select("ctf").scalar(), last.select("above").scalar()
     over = stats.filter(F.col("ctf") > threshold)
     tied = stats.filter(F.col("ctf") == threshold)
-    place = F.row_number().over(W.partitionBy("ctf").orderBy("term"))
-    tied = tied.withColumn("_r", place).filter(F.col("_r") <= max_features).filter(F.col("_r") <= max_features - taken)
-    return over.unionByName(tied.drop("_r"))
+    places = max_features - last.first()["above"]
+    return over.unionByName(first_terms(tied, places))
 
 
-def fit_tfidf(counts: DataFrame, max_features: int = 50_000, min_df: int = 3, max_df: float = 0.9) -> DataFrame:
-    """(term, term_id, df, ctf, idf) from term counts.
+def first_terms(terms: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` terms in alphabetical order.
+
+    Terms are counted by prefix; whole prefixes are taken while they fit, and the one that the cut
+    falls into is looked at again with a longer prefix, until few enough terms are left to rank.
+    """
+    taken, length, rest = [], 2, terms
+    while n > 0:
+        by = F.substring("term", 1, length)
+        counts = rest.groupBy(by.alias("p")).agg(F.count(F.lit(1)).alias("n"))
+        upto = counts.withColumn("upto", F.sum("n").over(W.partitionBy().orderBy("p")))
+        border = upto.filter(F.col("upto") > n).orderBy("p").limit(1).collect()
+        if not border:
+            taken.append(rest)
+            break
+        edge = border[0]
+        taken.append(rest.filter(by < edge["p"]))
+        n -= edge["upto"] - edge["n"]
+        rest = rest.filter(by == edge["p"])
+        if edge["n"] <= RANKED:
+            place = F.row_number().over(W.partitionBy().orderBy("term"))
+            taken.append(rest.withColumn("_r", place).filter(F.col("_r") <= n).drop("_r"))
+            break
+        length += 2
+    out = terms.limit(0)
+    for part in taken:
+        out = out.unionByName(part)
+    return out
+
+
+def numbered(terms: DataFrame) -> DataFrame:
+    """Add ``term_id`` from 0 in alphabetical order: sorted ranges are numbered each, then shifted."""
+    n = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = terms.repartitionByRange(n, "term").sortWithinPartitions("term").withColumn("_at", F.monotonically_increasing_id())
+    ranged = store(ranged, "terms").withColumn("_part", F.shiftright("_at", 33))
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    base = F.sum("n").over(W.partitionBy().orderBy("_part")) - F.col("n")  # one row per range
+    placed = ranged.join(F.broadcast(sizes.select("_part", base.alias("_base"))), "_part")
+    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("term_id", (F.col("_base") + within).cast("int")).drop("_at", "_part", "_base")
+
+
+def fit_tfidf(counts: DataFrame, max_features: int | None = 50_000, min_df: int = 3, max_df: float = 0.9) -> DataFrame:
+    """(term, term_id, df, ctf, idf) from term counts; ``max_features=None`` keeps every term.
 
     The texts are read once: frequent enough terms are stored and capped, numbered and weighed from
     there.
     """
-    stats = cut_lineage(term_statistics(counts).filter((F.col("df") >= min_df) | (F.col("term") == "")))
+    stats = store(term_statistics(counts).filter((F.col("df") >= min_df) | (F.col("term") == "")), "statistics")
     marker = stats.filter(F.col("term") == "").first()
     n = marker["df"] if marker else 0
     terms = stats.filter((F.col("term") != "") & (F.col("df") >= min_df) & (F.col("df") <= max_df * n))
-    chosen = terms if terms.count() <= max_features else cap_terms(terms, max_features)
-    # term ids are alphabetical; the window holds max_features rows at most
-    place = (F.row_number().over(W.partitionBy().orderBy("term")) - 1).cast("int")
+    chosen = terms if max_features is None or terms.count() <= max_features else cap_terms(terms, max_features)
     idf = F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1
-    return cut_lineage(chosen.select("term", place.alias("term_id"), "df", "ctf", idf.alias("idf")))
+    return store(numbered(chosen).select("term", "term_id", "df", "ctf", idf.alias("idf")), "vocabulary")
 
 
-def weigh(counts: DataFrame, vocab: DataFrame, doc_id: str = "doc_id", max_features: int = 50_000, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, [kept], term_id, weight): (1 + ln tf) * idf, rows of length one. Unknown terms drop out."""
-    terms = vocab.select("term", "term_id", "idf")
-    if max_features <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
+def weigh(counts: DataFrame, vocab: DataFrame, doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, [kept], term_id, weight): (1 + ln tf) * idf, rows of length one. Unknown terms drop out.
+
+    ``vocab`` is a stored table; it is broadcast if it is measured to be small enough.
+    """
+    terms = stored_side(vocab.select("term", "term_id", "idf"))
     raw = counts.join(terms, "term").select(
         doc_id, *keep, "term_id", ((F.log(F.col("tf")) + 1) * F.col("idf")).alias("_x")
     )
@@ -104,11 +144,10 @@ def transform_tfidf(
     doc_id: str = "doc_id",
     text: str = "clean_text",
     ngram_range: tuple[int, int] = (1, 3),
-    max_features: int = 50_000,
     raw: bool = False,
     keep: tuple[str, ...] = (),
     partitioned: bool = False,
 ) -> DataFrame:
     """Weigh new texts by a fitted vocabulary."""
     counts = term_counts(docs, doc_id, text, ngram_range, raw, keep, partitioned)
-    return weigh(counts, vocab, doc_id, max_features, keep)
+    return weigh(counts, vocab, doc_id, keep)

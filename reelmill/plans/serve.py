@@ -17,7 +17,7 @@ from reelmill.session import cut_lineage
 
 def query_vectors(queries: DataFrame, vocab: DataFrame, params: Params = FIRST) -> DataFrame:
     """Packed vectors of raw query texts; a text without known terms has none."""
-    terms = transform_tfidf(queries, vocab, "query_id", "text", params.ngram_range, params.max_features, raw=True)
+    terms = transform_tfidf(queries, vocab, "query_id", "text", params.ngram_range, raw=True)
     return pack_vectors(terms, "query_id")
 
 
@@ -67,6 +67,12 @@ def recommend_by_items(
     return finish(pool, item_vectors, n, params.w_cos, use_mmr, params.mmr_lambda, personal, item_factors)
 
 
+def seed_context(seeds: DataFrame, item_vectors: DataFrame, vocab: DataFrame, n: int = 12) -> tuple[DataFrame, DataFrame]:
+    """What results for seed sets are shown with: (query_id, idx, val, norm), the vector that explanations
+    compare items with, and (query_id, term, weight, rank), the keywords of the seeds."""
+    return taste_vectors(seeds, item_vectors, "query_id"), keywords(seeds, item_vectors, vocab, "query_id", n)
+
+
 def home_feed(favourites: DataFrame, item_vectors: DataFrame, n: int = 5, params: Params = FIRST, use_mmr: bool = True) -> DataFrame:
     """Results for every account from its own favourites (user, item, rating), seen as that account.
 

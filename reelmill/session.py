@@ -109,14 +109,18 @@ def measured_bytes(df: DataFrame) -> int:
 def small_side(df: DataFrame, limit: int = MEASURED_BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast for ``df`` only if its size is within ``limit``.
 
-    Plans the optimizer already knows to be small go without a job. Anything else is written once
-    to the checkpoint folder and measured there; beyond the limit it comes back without a hint, and
-    the join is left to shuffle with adaptive skew handling.
+    Plans the optimizer already knows to be small go without a job. Anything else is stored once and
+    measured there; beyond the limit it comes back without a hint, and the join is left to shuffle
+    with adaptive skew handling.
     """
     if static_bytes(df) <= STATIC_BROADCAST_BYTES:
         return F.broadcast(df)
-    stored = cut_lineage(df)
-    return F.broadcast(stored) if measured_bytes(stored) <= limit else stored
+    return stored_side(store(df, "side"), limit)
+
+
+def stored_side(df: DataFrame, limit: int = MEASURED_BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast for a table that is already stored, if it is measured to be within ``limit``."""
+    return F.broadcast(df) if measured_bytes(df) <= limit else df
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

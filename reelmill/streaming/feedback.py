@@ -81,24 +81,77 @@ def nested_state(state: DataFrame, part_size: int = 10_000) -> DataFrame:
     )
 
 
-def stream_feedback(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+SNAPSHOTS = "_snapshots"  # hidden from readers of the change log
+
+
+def stream_feedback(
+    events: DataFrame, out: str, checkpoint: str, trigger: dict | None = None, compact_every: int | None = 100
+) -> StreamingQuery:
     """Run the fold on a stream of events and write the keys each batch has changed.
 
     State is one row per (user, item) and is the product itself, so there is no watermark: a late
     event loses against newer ones by its time. A replayed batch overwrites its own partition.
+    ``trigger`` is what the writer's ``trigger`` takes; by default all that is there is drained.
+    Every ``compact_every`` batches the log is folded into a snapshot.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(os.path.join(out, f"batch_id={batch_id}"))
+        if compact_every and batch_id % compact_every == compact_every - 1:
+            compact(batch.sparkSession, out, batch_id)
 
     return (
         _fold(events).writeStream.outputMode("update").foreachBatch(write)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
-def stream_state(spark: SparkSession, out: str) -> DataFrame:
-    """Current state: for each key the row of the last batch that changed it."""
-    changes = spark.read.parquet(out)
+def _numbers(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    """The numbers in the names of sub-folders ``prefix=number``."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
+    return sorted(int(n.split("=", 1)[1]) for n in names if n.startswith(f"{prefix}="))
+
+
+def _finished(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    """Those of ``_numbers`` that were written to their end."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [n for n in _numbers(spark, folder, prefix) if fs.exists(hadoop.Path(f"{folder}/{prefix}={n}/_SUCCESS"))]
+
+
+def compact(spark: SparkSession, out: str, upto: int) -> None:
+    """Write the state after batch ``upto`` as a snapshot, then drop what it makes superfluous."""
+    snapshots = os.path.join(out, SNAPSHOTS)
+    stream_state(spark, out, upto).write.mode("overwrite").parquet(os.path.join(snapshots, f"upto={upto}"))
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(out).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for n in _numbers(spark, out, "batch_id"):
+        if n <= upto:
+            fs.delete(hadoop.Path(out, f"batch_id={n}"), True)
+    for n in _numbers(spark, snapshots, "upto"):
+        if n < upto:
+            fs.delete(hadoop.Path(snapshots, f"upto={n}"), True)
+
+
+def stream_state(spark: SparkSession, out: str, upto: int | None = None) -> DataFrame:
+    """Current state, or that after batch ``upto``: for each key the row of the last batch that changed it.
+
+    Batches up to the last finished snapshot are in it; one that is replayed after that is not read.
+    """
+    snapshots = os.path.join(out, SNAPSHOTS)
+    last = max((n for n in _finished(spark, snapshots, "upto") if upto is None or n <= upto), default=None)
+    parts = []
+    if last is not None:
+        parts.append(spark.read.parquet(os.path.join(snapshots, f"upto={last}")).withColumn("batch_id", F.lit(last)))
+    for n in _numbers(spark, out, "batch_id"):
+        if (last is None or n > last) and (upto is None or n <= upto):
+            parts.append(spark.read.parquet(os.path.join(out, f"batch_id={n}")).withColumn("batch_id", F.lit(n)))
+    if not parts:
+        raise FileNotFoundError(f"no state in {out}")
+    changes = parts[0]
+    for part in parts[1:]:
+        changes = changes.unionByName(part)
     row = F.max_by(F.struct("favorite", "rating", "review"), F.col("batch_id"))
     return changes.groupBy("user", "item").agg(row.alias("s")).select("user", "item", "s.*")

@@ -129,6 +129,18 @@ def test_stream_equals_batch_with_late_and_replayed_events(spark, tmp_path):
     assert len([d for d in os.listdir(out) if d.startswith("batch_id=")]) >= 2
 
 
+def test_snapshots_replace_the_change_log(spark, tmp_path):
+    src, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    for n, row in enumerate(EVENTS):
+        spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(SCHEMA).parquet(src)
+        FB.stream_feedback(stream, out, log, compact_every=3).awaitTermination()
+        if n == 6:  # a snapshot that was cut off counts for nothing
+            os.makedirs(os.path.join(out, FB.SNAPSHOTS, "upto=99"))
+    assert {(r["item"], r["favorite"], r["rating"], r["review"]) for r in FB.stream_state(spark, out).collect()} == STATE
+    assert len([d for d in os.listdir(out) if d.startswith("batch_id=")]) <= 2
+
+
 def review_rows(spark):
     good, bad = "wonderful moving picture with great acting and lovely music", "dull boring mess with awful acting and tired jokes"
     rows = [(i, f"m{i % 4}", f"u{i % 9}", 9.0 if i % 2 else 2.0, f"{good if i % 2 else bad} number {'x' * (i % 7 + 2)}", 0) for i in range(120)]

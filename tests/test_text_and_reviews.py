@@ -106,3 +106,21 @@ def test_item_texts_in_parts_are_whole(spark):
 def test_configurations():
     assert (FIRST.max_features, SECOND.max_features) == (50_000, 60_000)
     assert SECOND.svd_min_user_rows == 3 and SECOND.year_to == 2021 and len(NEGATIONS) == 23 and len(ENGLISH_STOP_WORDS) == 179
+
+
+@pytest.mark.parametrize("ranked", [1, 3, 100_000])
+def test_terms_that_tie_at_the_cap(spark, monkeypatch, ranked):
+    monkeypatch.setattr(tfidf, "RANKED", ranked)
+    words = sorted({f"{a}{b}{c}" for a in ("x", "xy", "é", "aa") for b in ("", "b", "bb", "bbb") for c in ("", "q", "z ")})
+    rows = [(w, 5, 7) for w in words] + [("first", 9, 90), ("rare", 1, 1)]
+    stats = spark.createDataFrame(rows, "term string, df long, ctf long")
+    for n in (1, 2, 5, 17, len(words), len(words) + 1):
+        got = sorted(r["term"] for r in tfidf.cap_terms(stats, n).collect())
+        assert got == sorted(["first", *words[: n - 1]])
+
+
+def test_numbered_and_uncapped_vocabulary(spark):
+    counts = spark.createDataFrame([(d, f"t{i % 40}", 1) for d in range(9) for i in range(d, 40)] + [(d, "", 1) for d in range(9)], "doc_id long, term string, tf long").distinct()
+    rows = tfidf.fit_tfidf(counts, None, 1, 1.0).collect()
+    assert [r["term"] for r in sorted(rows, key=lambda r: r["term_id"])] == sorted(r["term"] for r in rows) and len(rows) == 40
+    assert sorted(r["term_id"] for r in rows) == list(range(40))

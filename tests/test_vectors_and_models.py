@@ -152,3 +152,19 @@ def test_documents_without_terms_have_zero_features(spark):
     docs = spark.createDataFrame([(1, 1)], "review_id long, label int")
     none = spark.createDataFrame([], "review_id long, idx array<int>, val array<double>")
     assert MO.feature_rows(docs, none, 9).first()["features"].numNonzeros() == 0
+
+
+def test_keywords_by_both_ways(spark, monkeypatch):
+    from reelmill.operators import keywords as KW
+
+    terms = ["film", "good boy", "cat", "dog ran", "eel", "fox sat", "gnu", "hen"]
+    vocab = spark.createDataFrame(list(enumerate(terms)), "term_id int, term string")
+    vectors = SI.pack_vectors(spark.createDataFrame([(i, t, float((i * 7 + t * 3) % 5)) for i in range(4) for t in range(8)], "item long, term_id int, weight double"), "item")
+    members = spark.createDataFrame([(g, i) for g in range(3) for i in range(g, 4)], "g long, item long")
+
+    def found():
+        return sorted((r["g"], r["rank"], r["term"], round(r["weight"], 9)) for r in KW.keywords(members, vectors, vocab, "g", 4).collect())
+
+    here = found()
+    monkeypatch.setattr(KW, "KINDS_SENT", 0)
+    assert here and found() == here
