@@ -260,7 +260,50 @@ def prepared(published_order: bool) -> str:
     return with_(["rev"], """SELECT review_id, item, "user", rating, label, label <> -1 AND spoiler_tag = 0 AND review_id IN (SELECT review_id FROM b) AS is_training, md5(clean_text) AS text_md5 FROM lb""", parts)
 
 
+def split(rows: str) -> dict[str, str]:
+    """l (review_id, label, r) and c (label, n, train): the parts of a stratified 80/20 split."""
+    return {
+        "l": f"SELECT review_id, label, row_number() OVER (PARTITION BY label ORDER BY {h(42, 'review_id')}, review_id) AS r FROM {rows}",
+        "s": "SELECT label, n, n * (sum(n) OVER () - ceil(sum(n) OVER () * 0.2)) / sum(n) OVER () AS share, sum(n) OVER () - ceil(sum(n) OVER () * 0.2) AS t FROM (SELECT label, count(*)::DOUBLE AS n FROM l GROUP BY label)",
+        "c": "SELECT label, n, floor(share) + CASE WHEN row_number() OVER (ORDER BY share - floor(share) DESC, label) <= t - sum(floor(share)) OVER () THEN 1 ELSE 0 END AS train FROM s",
+    }
+
+
 ORACLE: dict[str, str] = {
+    "loaded_review_parts": with_(["rev"], 'SELECT review_id, item, "user"::VARCHAR AS "user", rating, md5(review) AS text_md5 FROM rev'),
+    "loaded_catalogue": """SELECT p_partkey::VARCHAR AS tconst, CASE p_type WHEN 'ECONOMY' THEN 'movie' WHEN 'SMALL' THEN 'tvSeries' ELSE 'videoGame' END AS "titleType",
+        CASE WHEN p_partkey % 7 <> 0 THEN p_name || ' ' || p_brand END AS "primaryTitle", '"' || upper(p_name || ' ' || p_brand) AS "originalTitle", (p_size + 1975)::VARCHAR AS "startYear" FROM part""",
+    "exported_reviews": with_(["lab"], """SELECT item, "user"::VARCHAR AS "user", rating::VARCHAR AS rating, label::VARCHAR AS label, spoiler_tag::VARCHAR AS spoiler_tag, md5(review) AS review_md5, md5(clean_text) AS text_md5 FROM lab"""),
+    "reloaded_vocabulary": with_(["vocab", "it"], "SELECT term, term_id, df, ctf, round(idf, 6) AS idf, (SELECT count(*) FROM it) AS n_entries FROM vocab"),
+    "recorded_metrics": """WITH m AS (SELECT avg(o_totalprice) AS mean, stddev_pop(o_totalprice) AS std FROM orders)
+        SELECT 'mean' AS metric, NULL::INTEGER AS k, round(2 * mean, 2) AS value, 'second' AS run_id FROM m UNION ALL SELECT 'std', NULL, round(std, 2), 'first' FROM m
+        UNION ALL SELECT 'top', 5, round(10 * mean, 2), 'second' FROM m UNION ALL SELECT 'top', 10, round(20 * mean, 2), 'second' FROM m""",
+    "recorded_runs": """SELECT run_id, seed, mean FROM (VALUES ('first', '1'), ('second', '2')) r(run_id, seed), (SELECT round(avg(o_totalprice), 2) AS mean FROM orders)""",
+    "prepared_bare_reviews": with_(["rev"], f"""SELECT review_id, label, review_id IN (SELECT review_id FROM b) AS is_training, md5(clean_text) AS text_md5 FROM lb""", {
+        "lb": f"""SELECT *, CASE WHEN rating >= 7 THEN 1 WHEN rating <= 4 THEN 0 ELSE -1 END AS label FROM (SELECT *, {clean('review')} AS clean_text FROM rev)
+            WHERE clean_text <> '' AND len(string_split(clean_text, ' ')) BETWEEN 10 AND 2000""",
+        "b": f"""SELECT review_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {h(42, 'review_id')}, review_id) AS r FROM lb WHERE label <> -1)
+            WHERE label = 0 OR r <= floor((SELECT count(*) FROM lb WHERE label = 0) * 1.5)""",
+    }),
+    "sentiment_score_checks": with_(["tr"], "SELECT review_id, l.label, r <= n - train AS is_test, true AS in_range, true AS consistent FROM l JOIN c USING (label)", split("tr")),
+    "sentiment_fold_checks": "SELECT fold, true AS in_range, true AS averaged FROM (VALUES (0), (1), (2)) f(fold)",
+    "factor_checks": with_(["cell"], "SELECT count(DISTINCT item) AS n_items, least(150, count(DISTINCT item)) AS width, true AS orthonormal, true AS projected FROM cell"),
+    "assembled_from_seeds": with_(["spool", "fav", "inorm"], f"""SELECT r.query_id, r.item, rank::INTEGER AS rank, round(final * 100, 1) AS percent, explanation, keywords, shown
+        FROM rr r LEFT JOIN ex ON ex.query_id = r.query_id AND ex.item = r.item LEFT JOIN kl ON kl.query_id = r.query_id LEFT JOIN sh ON sh.item = r.item""", {
+        **guest("spool"),
+        "rr": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, item) AS rank FROM bl QUALIFY rank <= 3",
+        "ex": f"""SELECT query_id, item, string_agg(term, '|' ORDER BY k) AS explanation FROM (SELECT query_id, rr.item, term,
+            row_number() OVER (PARTITION BY query_id, rr.item ORDER BY round(least(q.weight, i.weight), 9) DESC, term) AS k
+            FROM rr JOIN taste q ON q."user" = rr.query_id JOIN it i ON i.item = rr.item AND i.term_id = q.term_id JOIN vocab ON vocab.term_id = q.term_id WHERE term NOT IN {GENERIC}) WHERE k <= 4 GROUP BY query_id, item""",
+        "km": f"""SELECT "user", term, sum(it.weight) / any_value(n) AS weight, contains(term, ' ') AS gram
+            FROM (SELECT *, count(*) OVER (PARTITION BY "user") AS n FROM fav WHERE item IN (SELECT item FROM inorm)) f JOIN it USING (item) JOIN vocab USING (term_id)
+            WHERE contains(term, ' ') OR term NOT IN {GENERIC} GROUP BY "user", term""",
+        "kk": 'SELECT *, round(weight, 9) AS w, row_number() OVER (PARTITION BY "user", gram ORDER BY round(weight, 9) DESC, term) AS rn FROM km',
+        "kl": """SELECT "user" AS query_id, string_agg(term, '|' ORDER BY w DESC, term) AS keywords FROM kk WHERE rn <= CASE WHEN gram THEN 7 ELSE 5 END GROUP BY "user" """,
+        "cr": f"""SELECT item, row_number() OVER (PARTITION BY item ORDER BY spoiler_tag, rating DESC, review_id) AS place, "user", {stars('rating')} AS stars FROM lab WHERE label = 1 QUALIFY place <= 3""",
+        "sh": """SELECT item, string_agg(place || ':' || "user" || ':' || stars, '|' ORDER BY place) AS shown FROM cr GROUP BY item""",
+    }),
+
     "canonical_columns": with_(["rev"], "SELECT review_id, item AS movie, rating, spoiler_tag, md5(review) AS text_md5 FROM rev"),
     "coerced_reviews": with_(["rev"], """SELECT * FROM (SELECT review_id, CASE review_id % 7 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 8.0 ELSE rating END AS rating,
         CASE review_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE spoiler_tag END::INTEGER AS spoiler_tag FROM rev WHERE review_id % 11 <> 5) WHERE rating IS NOT NULL"""),
@@ -360,11 +403,8 @@ ORACLE: dict[str, str] = {
         "l": f"SELECT *, row_number() OVER (PARTITION BY label ORDER BY {h(42, 'review_id')}, review_id) AS r FROM (SELECT review_id, CASE WHEN rating >= 7 THEN 1 ELSE 0 END AS label FROM rev WHERE rating >= 7 OR rating <= 4)",
         "n": "SELECT n, CASE WHEN p / greatest(n, 1) > 1.5 THEN CAST(floor(p * (1 / 1.5::DOUBLE)) AS BIGINT) - n ELSE 0 END AS extra FROM (SELECT count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS n FROM l)",
     }),
-    "train_test_split": with_(["rev"], "SELECT review_id, l.label, r <= n - train AS is_test FROM l JOIN c USING (label)", {
-        "l": f"SELECT *, row_number() OVER (PARTITION BY label ORDER BY {h(42, 'review_id')}, review_id) AS r FROM (SELECT review_id, CASE WHEN rating >= 7 THEN 1 WHEN rating <= 4 THEN 0 ELSE -1 END AS label FROM rev)",
-        "s": "SELECT label, n, n * (sum(n) OVER () - ceil(sum(n) OVER () * 0.2)) / sum(n) OVER () AS share, sum(n) OVER () - ceil(sum(n) OVER () * 0.2) AS t FROM (SELECT label, count(*)::DOUBLE AS n FROM l GROUP BY label)",
-        "c": "SELECT label, n, floor(share) + CASE WHEN row_number() OVER (ORDER BY share - floor(share) DESC, label) <= t - sum(floor(share)) OVER () THEN 1 ELSE 0 END AS train FROM s",
-    }),
+    "train_test_split": with_(["rev"], "SELECT review_id, l.label, r <= n - train AS is_test FROM l JOIN c USING (label)",
+        split("(SELECT review_id, CASE WHEN rating >= 7 THEN 1 WHEN rating <= 4 THEN 0 ELSE -1 END AS label FROM rev)")),
     "validation_folds": f"""SELECT o_orderkey, label, (CASE WHEN r > floor(n * 1 / 3) THEN 1 ELSE 0 END + CASE WHEN r > floor(n * 2 / 3) THEN 1 ELSE 0 END)::INTEGER AS fold FROM
         (SELECT o_orderkey, label, count(*) OVER (PARTITION BY label) AS n, row_number() OVER (PARTITION BY label ORDER BY {h(42, 'o_orderkey')}, o_orderkey) AS r
          FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label FROM orders))""",

@@ -28,7 +28,9 @@ from reelmill.params import FIRST, NEGATIVE_PHRASES, POSITIVE_PHRASES
 from reelmill.plans import evaluate as EV
 from reelmill.plans import serve as SV
 from reelmill.plans import training as TR
-from reelmill.session import cut_lineage, shared_folder, spread
+from reelmill.session import cut_lineage, shared_folder, spread, store
+from reelmill.sources import artifacts as AR
+from reelmill.sources import files as SF
 from reelmill.streaming import feedback as FB
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -594,6 +596,24 @@ def sentiment_scores(spark, sf):
     return scored.select("review_id", "label", "is_test", "prediction", F.round("probability", 4).alias("probability"))
 
 
+@query
+def sentiment_score_checks(spark, sf):
+    """Every training row has one score; the prediction follows from it."""
+    scored = classifier(spark, sf).transform(feature_table(spark, sf))
+    p = F.col("probability")
+    return scored.select("review_id", "label", "is_test", p.between(0, 1).alias("in_range"), ((p > 0.5).cast("int") == F.col("prediction")).alias("consistent"))
+
+
+@query
+def sentiment_fold_checks(spark, sf):
+    """Cross-validation has one score for each fold, and they are averaged."""
+    per_fold, summary = folds(spark, sf)
+    s = per_fold.agg(F.avg("f1_weighted").alias("m"), F.stddev_pop("f1_weighted").alias("d"))
+    close = (F.abs(s["m"] - summary["mean"]) < 1e-9) & (F.abs(s["d"] - summary["std"]) < 1e-9)
+    averaged = s.crossJoin(summary).select(close.alias("averaged")).scalar()  # two tables of one row
+    return per_fold.select("fold", F.col("f1_weighted").between(0, 1).alias("in_range"), averaged.alias("averaged"))
+
+
 @query
 def sentiment_report(spark, sf):
     scored = classifier(spark, sf).transform(feature_table(spark, sf).filter("is_test"))
@@ -603,17 +623,22 @@ def sentiment_report(spark, sf):
     return s.withColumn("roc_auc", auc).select(*[F.round(c, 4).alias(c) for c in [*s.columns, "roc_auc"]])
 
 
+@shared
+def folds(spark, sf):
+    return MO.cross_validate(feature_table(spark, sf))
+
+
 @query
 def sentiment_cross_validation(spark, sf):
-    per_fold, summary = MO.cross_validate(feature_table(spark, sf))
+    per_fold, summary = folds(spark, sf)
     return summary.select(F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
 
 
 @shared
 def rating_factors(spark, sf):
-    cells = cut_lineage(FA.rating_cells(V.interactions(spark, sf)))
-    users, items = FA.truncated_svd(cells, k=20, n_iter=4)
-    return cells, cut_lineage(users), cut_lineage(items)
+    cells = store(FA.rating_cells(V.interactions(spark, sf)), "cells")
+    users, items = FA.truncated_svd(cells, FIRST.svd_k, FIRST.svd_iterations)
+    return cells, store(users, "user-factors"), store(items, "item-factors")
 
 
 @query
@@ -628,6 +653,25 @@ def factor_variance(spark, sf):
     return FA.explained_variance(users, cells).select(F.round("explained_variance", 6).alias("explained_variance"))
 
 
+@query
+def factor_checks(spark, sf):
+    """Item factors are orthonormal, and user factors are what the cells give on them.
+
+    Only their number and products that are sums over items or cells are compared.
+    """
+    cells, users, items = rating_factors(spark, sf)
+    k = F.size("factors")
+    gram = items.select(F.posexplode("factors").alias("i", "x"), "factors").select("i", F.posexplode("factors").alias("j", "y"), "x")
+    gram = gram.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("g"))
+    off = gram.select(F.max(F.abs(F.col("g") - F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0))).alias("v")).scalar()
+    # |A V|^2 = sum of r * (u . v) over the cells, if and only if u = A v.
+    dots = FA.factor_scores(cells, users, items).agg(F.sum(F.col("r") * F.col("factor_score")).alias("s")).scalar()
+    norm = users.agg(F.sum(F.aggregate("factors", F.lit(0.0), lambda a, x: a + x * x)).alias("n")).scalar()
+    return items.agg(F.count(F.lit(1)).alias("n_items"), F.max(k).alias("width")).select(
+        "n_items", F.col("width").cast("long").alias("width"), (off < 1e-6).alias("orthonormal"), (F.abs(dots / norm - 1) < 1e-6).alias("projected")
+    )
+
+
 # --- recommendation -------------------------------------------------------------
 
 
@@ -758,6 +802,116 @@ def assembled_results(spark, sf):
     )
 
 
+@query
+def assembled_from_seeds(spark, sf):
+    """Results for favourites with explanations, keywords of the seeds and reviews."""
+    iv, vocab = item_vectors(spark, sf), vocabulary(spark, sf)
+    seeds = favourites(spark, sf).withColumnRenamed("user", "query_id")
+    vectors, words = SV.seed_context(seeds, iv, vocab)
+    r = SV.recommend_by_items(seeds, iv, 3, use_mmr=False)
+    shown = RV.display_reviews(labelled(spark, sf))
+    full = SV.assemble_results(r, KW.explain(r, vectors, iv, vocab), shown)
+    listed = words.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("w"))
+    return full.join(listed, "query_id", "left").select(
+        "query_id", "item", "rank", "percent", F.array_join("explanation", "|").alias("explanation"), F.array_join("w.term", "|").alias("keywords"),
+        F.array_join(F.transform("reviews", lambda r: F.concat_ws(":", r["place"].cast("string"), r["user"], r["stars"])), "|").alias("shown"),
+    )
+
+
+# --- sources and sinks: what is written is read back ---------------------------------
+
+
+def new_folder(spark, name):
+    return shared_folder(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+def rename_parts(spark, folder, out, name):
+    """Move the only text part of a folder to a name that the review reader takes."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    (part,) = [s.getPath() for s in fs.globStatus(hadoop.Path(folder, "part-*"))]
+    fs.rename(part, hadoop.Path(out, name))
+
+
+@query
+def loaded_review_parts(spark, sf):
+    """Reviews written as JSON lines, one array and one object of objects, and read as one table."""
+    out = new_folder(spark, "reviews")
+    raw = V.raw_reviews(spark, sf)
+    kind = F.when(F.col("review_id") % 50 == 0, "array").when(F.col("review_id") % 50 == 1, "dict").otherwise("lines")
+    lines = raw.where(kind == "lines").select(F.col("review_id").alias("Review_Id"), "movie", "reviewer", F.col("rating").alias("stars"), F.col("review_detail").alias("text"), F.struct(F.col("spoiler_tag").alias("flag")).alias("more"))
+    lines.select("more", "Review_Id", "movie", "reviewer", "stars", "text").write.json(out)
+    row = F.struct("review_id", "movie", "reviewer", "rating", F.col("review_detail").alias("content"))
+    array = raw.where(kind == "array").agg(F.to_json(F.collect_list(row)).alias("value"))
+    named = F.map_from_entries(F.collect_list(F.struct(F.col("review_id").cast("string"), row)))
+    for name, text in (("array", array), ("dict", raw.where(kind == "dict").agg(F.to_json(named).alias("value")))):
+        text.coalesce(1).write.text(f"{out}-{name}")
+        rename_parts(spark, f"{out}-{name}", out, f"part-{name}.json")
+    rows = TR.named_reviews(SF.read_reviews(spark, out))
+    return rows.select(F.col("review_id").cast("bigint").alias("review_id"), "item", "user", "rating", F.md5("review").alias("text_md5"))
+
+
+@query
+def loaded_catalogue(spark, sf):
+    """A tab-separated catalogue with nulls, quotes and columns in another order."""
+    out = new_folder(spark, "titles")
+    rows = V.catalogue(spark, sf).select(
+        "startYear", F.when(F.col("tconst").cast("bigint") % 7 != 0, F.col("primaryTitle")).alias("primaryTitle"), F.lit("0").alias("isAdult"),
+        "titleType", F.concat(F.lit('"'), "originalTitle").alias("originalTitle"), "tconst",
+    )
+    rows.write.option("sep", "\t").option("header", "true").option("nullValue", "\\N").option("quote", "").csv(out)
+    return SF.read_catalogue(spark, out)
+
+
+@query
+def exported_reviews(spark, sf):
+    """Cleaned reviews as CSV and back: quotes, commas and line ends in the texts."""
+    out = new_folder(spark, "export")
+    SF.write_csv(labelled(spark, sf), out)
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(out)
+    return back.select("item", "user", "rating", "label", "spoiler_tag", F.md5("review").alias("review_md5"), F.md5("clean_text").alias("text_md5"))
+
+
+@query
+def reloaded_vocabulary(spark, sf):
+    out = new_folder(spark, "artifacts")
+    AR.save_artifacts({"vocab": vocabulary(spark, sf), "item_vectors": item_vectors(spark, sf)}, out)
+    tables, _ = AR.load_artifacts(spark, out, ("vocab", "item_vectors"), with_model=False)
+    sizes = tables["item_vectors"].agg(F.sum(F.size("idx")).alias("n")).scalar()
+    return tables["vocab"].select("term", "term_id", "df", "ctf", F.round("idf", 6).alias("idf"), sizes.alias("n_entries"))
+
+
+def order_numbers(spark, sf):
+    m = ME.mean_std(V.table(spark, sf, "orders"), "o_totalprice").first()
+    return {"mean": m["mean"], "std": m["std"], "top_5": m["mean"] * 5, "top_10": m["mean"] * 10}
+
+
+@query
+def recorded_metrics(spark, sf):
+    """Two runs of the same metrics; the later one counts, for each list length."""
+    out = new_folder(spark, "metrics")
+    AR.append_metrics(spark, out, "first", order_numbers(spark, sf))
+    AR.append_metrics(spark, out, "second", {k: 2 * v for k, v in order_numbers(spark, sf).items() if k != "std"})
+    return AR.latest_metrics(AR.read_metrics(spark, out)).select("metric", "k", F.round("value", 2).alias("value"), "run_id")
+
+
+@query
+def recorded_runs(spark, sf):
+    out = new_folder(spark, "runs")
+    for run_id, seed in (("first", 1), ("second", 2)):
+        AR.record_run(spark, out, run_id, {"seed": seed}, order_numbers(spark, sf))
+    return AR.read_runs(spark, out).select("run_id", F.col("config")["seed"].alias("seed"), F.round(F.col("results")["mean"], 2).alias("mean"))
+
+
+@query
+def prepared_bare_reviews(spark, sf):
+    """Reviews without item, user and spoiler columns."""
+    raw = V.raw_reviews(spark, sf).select("review_id", F.col("review_detail").alias("text"), F.col("rating").alias("score"))
+    reviews, training = TR.prepare_reviews(raw)
+    used = training.select("review_id", F.lit(True).alias("used"))
+    return reviews.join(used, "review_id", "left").select("review_id", "label", F.coalesce("used", F.lit(False)).alias("is_training"), F.md5("clean_text").alias("text_md5"))
+
+
 # --- feedback ---------------------------------------------------------------------
 
 

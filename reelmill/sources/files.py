@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -55,12 +56,26 @@ def _is_dict(value) -> bool:
     return isinstance(value, dict) and bool(value) and all(isinstance(v, dict) for v in value.values())
 
 
+def _top_values(text: str) -> list:
+    """The complete values of a JSON object whose text may be cut off."""
+    read, found, at = json.JSONDecoder().raw_decode, [], 1
+    skip = re.compile(r"[\s,:]*").match
+    try:
+        while True:
+            _, at = read(text, skip(text, at).end())
+            value, at = read(text, skip(text, at).end())
+            found.append(value)
+    except ValueError:
+        return found
+
+
 def layout_of(head: str, whole: bool = False) -> str:
     """``lines``, ``array``, ``dict`` (objects under keys) or ``object`` (one, over several lines).
 
     ``whole``: the head is the whole file. JSON lines come first: a first line that is an object of
     its own, with another line after it, makes the file one of lines, whatever its fields hold. A
-    head that leaves it open raises.
+    head that leaves it open raises. One object that goes on beyond the head is a dict if the head
+    holds two or more of its values and all of them are objects.
     """
     text = head.lstrip("\ufeff \t\r\n")
     if not text and whole:
@@ -75,6 +90,10 @@ def layout_of(head: str, whole: bool = False) -> str:
         value = _parsed(text)
         if isinstance(value, dict):
             return "dict" if _is_dict(value) else "object" if "\n" in text.strip() else "lines"
+    elif text.startswith("{") and value is None:
+        values = _top_values(text)
+        if len(values) > 1 and all(isinstance(v, dict) for v in values):
+            return "dict"
     raise ValueError("the layout cannot be told from the first bytes; pass layout=, one of " + ", ".join(LAYOUTS))
 
 

@@ -65,6 +65,11 @@ def test_layouts():
     assert files.layout_of('{"a": {"b": 1}}\n{"a": {"b": 2}}\n', True) == "lines"
     assert files.layout_of('{"a": {"b": 1}, "c": {"d": 1}}', True) == "dict"
     assert files.layout_of('{"a": 1}', True) == "lines" and files.layout_of('{"a":\n 1}', True) == "object"
+    long = json.dumps({str(i): {"a": i} for i in range(99)})
+    assert files.layout_of(long[:400], False) == "dict"
+    for unclear in (json.dumps({"a": {"x": 1}, "b": 2, "c": {}})[:20], '{"a": {"x": "' + "y" * 99, '{"a": {"x": 1}, "b": {"y'):
+        with pytest.raises(ValueError):
+            files.layout_of(unclear, False)
     assert files.layout_of(' [\n{"a": 1}', False) == "array" and files.layout_of("", True) == "lines"
 
 
