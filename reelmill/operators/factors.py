@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from reelmill.operators.ranking import keep_known, min_support
 from reelmill.operators.sampling import dense_ids
-from reelmill.session import cut_lineage, spread
+from reelmill.session import store, stored_side
 
-# Largest item block (items x columns doubles) that is sent to every executor.
-BLOCK_BYTES = 256 << 20
+BLOCK = 256  # rows of a factor block: some 330 KB at 160 columns
+CELLS = 1 << 15  # cells that meet a block in one task
 
 
 def rating_cells(reviews: DataFrame, min_user_rows: int = 0) -> DataFrame:
@@ -33,41 +33,91 @@ def _sum_vectors(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.groupBy(key).agg(total.alias("s")).select(key, vector_to_array(F.col("s.sum")).alias(column))
 
 
-def _start(ids: DataFrame, key: str, width: int, seed: int) -> DataFrame:
-    """A random start block that depends on key and seed only: uniform in (-1, 1)."""
+def _start(ids: DataFrame, width: int, seed: int) -> DataFrame:
+    """Random rows (id, v) that depend on the item's name and the seed only: uniform in (-1, 1)."""
     draw = F.transform(
         F.sequence(F.lit(1), F.lit(width)),
-        lambda j: F.xxhash64(F.col(key).cast("string"), j, F.lit(seed)).cast("double") / float(1 << 63),
+        lambda j: F.xxhash64(F.col("item").cast("string"), j, F.lit(seed)).cast("double") / float(1 << 63),
     )
-    return ids.select(key, draw.alias("q"))
+    return ids.select("id", draw.alias("v"))
 
 
-def _times(df: DataFrame, key: str, column: str, matrix: np.ndarray, out: str) -> DataFrame:
-    """Multiply each row's array by a matrix whose size is set by the number of factors."""
+def _pack(rows: DataFrame, width: int) -> DataFrame:
+    """Rows (id, v) as stored blocks (b, m) of ``BLOCK`` rows each; missing rows are zero."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        block = np.zeros((BLOCK, width))
+        block[pdf["id"].to_numpy() % BLOCK] = np.stack(pdf["v"].to_list())
+        return pd.DataFrame({"b": [pdf["id"].iloc[0] // BLOCK], "m": [block.tobytes()]})
+
+    return store(rows.groupBy(F.expr(f"id div {BLOCK}")).applyInPandas(pack, "b long, m binary"), "blocks")
+
+
+def _stripes(cells: DataFrame, near: str, far: str) -> DataFrame:
+    """Cells packed by blocks of ``near``, stored: (b, part, near, far, r).
+
+    A block with many cells has several parts of about ``CELLS``, so a popular item is no large group.
+    """
+    keyed = cells.withColumn("b", F.expr(f"{near} div {BLOCK}"))
+    parts = keyed.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(CELLS))).alias("parts"))
+    keyed = keyed.join(stored_side(store(parts, "parts")), "b").withColumn("part", F.pmod(F.xxhash64(far), F.col("parts")))
+    listed = F.sort_array(F.collect_list(F.struct(F.col(far).alias("f"), F.col(near).alias("n"), "r")))
+    packed = keyed.groupBy("b", "part").agg(listed.alias("c"))
+    return store(packed.select("b", "part", F.col("c.n").alias("near"), F.col("c.f").alias("far"), F.col("c.r").alias("r")), "stripes")
+
+
+def _half(stripes: DataFrame, blocks: DataFrame, turn: np.ndarray | None, width: int) -> DataFrame:
+    """Rows (id, v): the cells times the blocks' rows, turned by a small matrix, summed by the far side.
+
+    Every part of a stripe meets its block in a task of its own; what is shuffled are blocks, one copy
+    for each part, and partial sums, combined in tasks first.
+    """
+
+    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
+        block = np.frombuffer(pdf["m"].iloc[0]).reshape(BLOCK, -1)
+        block = block if turn is None else block @ turn
+        near, far, r = (np.asarray(pdf[c].iloc[0]) for c in ("near", "far", "r"))
+        first = np.flatnonzero(np.concatenate(([True], far[1:] != far[:-1])))
+        sums = np.add.reduceat(r[:, None] * block[near % BLOCK], first, axis=0)
+        return pd.DataFrame({"id": far[first], "v": list(sums)})
+
+    copies = blocks.join(stripes.select("b", "part"), "b")
+    met = stripes.join(copies, ["b", "part"])
+    return _sum_vectors(met.groupBy("b", "part").applyInPandas(multiply, "id long, v array<double>"), "id", "v")
+
+
+def _block_gram(blocks: DataFrame, turn: np.ndarray | None, width: int) -> np.ndarray:
+    """Z'Z of the blocks' rows after ``turn``: one small matrix per task, summed on the cluster."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((width, width))
         for pdf in frames:
-            if len(pdf):
-                yield pd.DataFrame({key: pdf[key], out: list(np.stack(pdf[column].to_list()) @ matrix)})
+            for m in pdf["m"]:
+                block = np.frombuffer(m).reshape(BLOCK, -1)
+                block = block if turn is None else block @ turn
+                total += block.T @ block
+        yield pd.DataFrame({"i": np.arange(width), "g": list(total)})
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, column).mapInPandas(run, f"{key} {kind}, {out} array<double>")
+    return _collect_gram(blocks.select("m").mapInPandas(run, "i int, g array<double>"), width)
 
 
-def _gram(df: DataFrame, column: str, width: int) -> np.ndarray:
-    """Sum of outer products: one width x width matrix per task, summed row by row on the cluster."""
+def _row_gram(rows: DataFrame, width: int) -> np.ndarray:
+    """The same for rows (id, v)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((width, width))
         for pdf in frames:
             if len(pdf):
-                block = np.stack(pdf[column].to_list())
+                block = np.stack(pdf["v"].to_list())
                 total += block.T @ block
         yield pd.DataFrame({"i": np.arange(width), "g": list(total)})
 
-    rows = _sum_vectors(df.select(column).mapInPandas(run, "i int, g array<double>"), "i", "g").collect()
+    return _collect_gram(rows.select("v").mapInPandas(run, "i int, g array<double>"), width)
+
+
+def _collect_gram(parts: DataFrame, width: int) -> np.ndarray:
     out = np.zeros((width, width))
-    for row in rows:  # as many rows as factors
+    for row in _sum_vectors(parts, "i", "g").collect():  # as many rows as factors
         out[row["i"]] = row["g"]
     return out
 
@@ -80,104 +130,60 @@ def _whitener(gram: np.ndarray) -> np.ndarray:
     return vectors * scale
 
 
-def _orthonormal(df: DataFrame, key: str, column: str, width: int) -> DataFrame:
-    """Orthonormal columns by way of the Gram matrix, twice for accuracy."""
-    for _ in range(2):
-        df = cut_lineage(_times(df, key, column, _whitener(_gram(df, column, width)), column))
-    return df
+def _orthonormal_turn(blocks: DataFrame, width: int) -> np.ndarray:
+    """The small matrix that makes the blocks' columns orthonormal, by way of Gram matrices, twice for accuracy."""
+    turn = _whitener(_block_gram(blocks, None, width))
+    return turn @ _whitener(_block_gram(blocks, turn, width))
 
 
-def _to_block(df: DataFrame, column: str, n_items: int, width: int) -> np.ndarray:
-    """Rows (i, array) as one matrix; callers have checked its size."""
-    out = np.zeros((n_items, width))
-    pdf = df.select("i", column).toPandas()
-    if len(pdf):
-        out[pdf["i"].to_numpy()] = np.stack(pdf[column].to_list())
-    return out
+def truncated_svd(
+    cells: DataFrame, k: int = 150, n_iter: int = 10, seed: int = 42, oversampling: int = 10
+) -> tuple[DataFrame, DataFrame]:
+    """(user, factors) = U S and (item, factors) = V of the rating cells.
+
+    Each iteration multiplies k + oversampling columns by A'A: cells packed by item blocks give sums by
+    user, cells packed by user blocks give sums by item. Orthonormalising needs only a small Gram
+    matrix, which is all that comes to the driver; the turn it asks for is applied as blocks are read.
+    """
+    item_ids, user_ids = (store(dense_ids(cells, c, "id"), f"{c}-ids") for c in ("item", "user"))
+    numbered = cells.select("user", "item", F.col("r").cast("double").alias("r"))
+    numbered = numbered.join(user_ids.withColumnRenamed("id", "u"), "user").join(item_ids.withColumnRenamed("id", "i"), "item")
+    numbered = store(numbered.select("u", "i", "r"), "cells")
+    width = min(k + oversampling, item_ids.count())
+    by_item, by_user = _stripes(numbered, "i", "u"), _stripes(numbered, "u", "i")
+
+    blocks = _pack(_start(item_ids, width, seed), width)
+    turn = _orthonormal_turn(blocks, width)
+    for _ in range(n_iter):
+        seen = _pack(_half(by_item, blocks, turn, width), width)
+        blocks = _pack(_half(by_user, seen, None, width), width)
+        turn = _orthonormal_turn(blocks, width)
+    users = store(_half(by_item, blocks, turn, width), "user-rows")
+    values, vectors = np.linalg.eigh(_row_gram(users, width))
+    rotation = vectors[:, np.argsort(values)[::-1][:k]]
+    return _factors(users, user_ids, "user", rotation), _block_factors(blocks, item_ids, "item", turn @ rotation)
 
 
-def _local_pass(rows: DataFrame, block: np.ndarray, n_items: int) -> np.ndarray:
-    """A'(A Q) with Q on every executor: users stay where they are, only item sums move."""
-    shared = rows.sparkSession.sparkContext.broadcast(block)
-    width = block.shape[1]
+def _factors(rows: DataFrame, ids: DataFrame, key: str, matrix: np.ndarray) -> DataFrame:
+    """(key, factors) from rows (id, v) times a small matrix."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = shared.value
-        total = np.zeros_like(q)
         for pdf in frames:
-            for ids, r in zip(pdf["ids"], pdf["rs"]):
-                total[ids] += np.outer(r, r @ q[ids])  # a user rates an item in one cell
-        touched = np.flatnonzero(total.any(axis=1))
-        for part in np.array_split(touched, max(1, len(touched) // 2000)):
-            yield pd.DataFrame({"i": part, "z": list(total[part])})
-
-    summed = _sum_vectors(rows.select("ids", "rs").mapInPandas(run, "i long, z array<double>"), "i", "z")
-    out = _to_block(summed, "z", n_items, width)
-    shared.unpersist()
-    return out
+            if len(pdf):
+                yield pd.DataFrame({"id": pdf["id"], "factors": list(np.stack(pdf["v"].to_list()) @ matrix)})
 
+    return rows.mapInPandas(run, "id long, factors array<double>").join(ids, "id").select(key, "factors")
 
-def _shuffled_pass(cells: DataFrame, q: DataFrame) -> DataFrame:
-    """A'(A Q) with Q as a table, for item sides beyond the broadcast limit."""
-    scaled = F.transform("q", lambda x: x * F.col("r"))
-    y = _sum_vectors(cells.join(q, "item").select("user", scaled.alias("y")), "user", "y")
-    back = F.transform("y", lambda x: x * F.col("r"))
-    return _sum_vectors(cells.join(y, "user").select("item", back.alias("q")), "item", "q")
 
+def _block_factors(blocks: DataFrame, ids: DataFrame, key: str, matrix: np.ndarray) -> DataFrame:
+    """(key, factors) from blocks times a small matrix."""
 
-def truncated_svd(
-    cells: DataFrame,
-    k: int = 150,
-    n_iter: int = 10,
-    seed: int = 42,
-    oversampling: int = 10,
-    block_bytes: int = BLOCK_BYTES,
-) -> tuple[DataFrame, DataFrame]:
-    """(user, factors) = U S and (item, factors) = V of the rating cells.
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for b, m in zip(pdf["b"], pdf["m"]):
+                yield pd.DataFrame({"id": np.arange(b * BLOCK, (b + 1) * BLOCK), "factors": list(np.frombuffer(m).reshape(BLOCK, -1) @ matrix)})
 
-    Each iteration multiplies a block of k + oversampling columns by A'A. While that block fits
-    ``block_bytes`` it is broadcast and users are processed where they lie; beyond, it stays a
-    table, products are joins and sums, and orthonormalising needs only its small Gram matrix.
-    """
-    cells = cut_lineage(cells.select("user", "item", F.col("r").cast("double").alias("r")))
-    ids = cut_lineage(dense_ids(cells, "item", "i"))
-    n_items = ids.count()
-    width = min(k + oversampling, n_items)
-    start = _start(ids, "item", width, seed)
-    if n_items * width * 8 <= block_bytes:
-        pairs = F.array_sort(F.collect_list(F.struct("i", "r")))
-        rows = cut_lineage(
-            spread(cells.join(F.broadcast(ids), "item"), "user").groupBy("user").agg(pairs.alias("p"))
-            .select("user", F.col("p.i").alias("ids"), F.col("p.r").alias("rs"))
-        )
-        q = np.linalg.qr(_to_block(start.join(ids, "item"), "q", n_items, width))[0]
-        for _ in range(n_iter):
-            q = np.linalg.qr(_local_pass(rows, q, n_items))[0]
-        shared = cells.sparkSession.sparkContext.broadcast(q)
-        user_type = cells.schema["user"].dataType.simpleString()
-
-        def project(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in frames:
-                b = [np.asarray(r) @ shared.value[i] for i, r in zip(pdf["ids"], pdf["rs"])]
-                yield pd.DataFrame({"user": pdf["user"], "b": b})
-
-        b = cut_lineage(rows.mapInPandas(project, f"user {user_type}, b array<double>"))
-
-        def own_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in frames:
-                yield pd.DataFrame({"item": pdf["item"], "q": list(shared.value[pdf["i"].to_numpy()])})
-
-        item_type = cells.schema["item"].dataType.simpleString()
-        basis = ids.mapInPandas(own_rows, f"item {item_type}, q array<double>")
-    else:
-        basis = _orthonormal(start, "item", "q", width)
-        for _ in range(n_iter):
-            basis = _orthonormal(cut_lineage(_shuffled_pass(cells, basis)), "item", "q", width)
-        scaled = F.transform("q", lambda x: x * F.col("r"))
-        b = cut_lineage(_sum_vectors(cells.join(basis, "item").select("user", scaled.alias("b")), "user", "b"))
-    values, vectors = np.linalg.eigh(_gram(b, "b", width))
-    rotation = vectors[:, np.argsort(values)[::-1][:k]]
-    return _times(b, "user", "b", rotation, "factors"), _times(basis, "item", "q", rotation, "factors")
+    return blocks.mapInPandas(run, "id long, factors array<double>").join(ids, "id").select(key, "factors")
 
 
 def explained_variance(user_factors: DataFrame, cells: DataFrame) -> DataFrame:

@@ -115,14 +115,15 @@ def test_minmax_of_equal_scores(spark):
     assert sorted(r["x"] for r in minmax(rows, "s", ["g"], "x").collect()) == [0.0, 1.0, 1.0, 1.0]
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 28, 0])
-def test_svd_against_numpy(spark, block_bytes):
+@pytest.mark.parametrize("block, cells_per_part", [(256, 1 << 15), (7, 20)])
+def test_svd_against_numpy(spark, monkeypatch, block, cells_per_part):
+    monkeypatch.setattr(FA, "BLOCK", block)
+    monkeypatch.setattr(FA, "CELLS", cells_per_part)
     rng = np.random.default_rng(3)
     a = np.round(rng.random((30, 18)) * 10) * (rng.random((30, 18)) < 0.5)
     a[:, 0], a[0, :] = 5, 3
     cells = spark.createDataFrame([(f"u{i}", j, float(a[i, j])) for i in range(30) for j in range(18) if a[i, j]], "user string, item long, r double")
-    n_iter = 8 if block_bytes else 3
-    users, items = FA.truncated_svd(cells, k=4, n_iter=n_iter, oversampling=12, block_bytes=block_bytes)
+    users, items = FA.truncated_svd(cells, k=4, n_iter=8, oversampling=12)
     u = np.zeros((30, 4))
     for r in users.collect():
         u[int(r["user"][1:])] = r["factors"]
