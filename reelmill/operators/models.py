@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,24 +22,25 @@ from reelmill.params import FIRST, Params
 from reelmill.session import cut_lineage
 
 
-def sparse_vector(idx: Column, val: Column, size: int) -> Column:
-    """A sparse ML vector from index and value arrays.
+def feature_rows(docs: DataFrame, vectors: DataFrame, size: int, key: str = "review_id") -> DataFrame:
+    """Add ``features``; a document without known terms has the zero vector.
 
-    Spark has no expression for it; going through JSON keeps it in the JVM.
+    Index and value lists become the vectors' own struct as they are, batch by batch.
     """
-    parts = F.struct(
-        F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), idx.alias("indices"), val.alias("values")
-    )
-    schema = T.StructType([T.StructField("v", VectorUDT())])
-    return F.from_json(F.to_json(F.struct(parts.alias("v"))), schema)["v"]
-
-
-def feature_rows(docs: DataFrame, vectors: DataFrame, size: int, key: str = "review_id") -> DataFrame:
-    """Add ``features``; a document without known terms has the zero vector."""
-    joined = docs.join(vectors.select(key, "idx", "val"), key, "left")
-    idx = F.coalesce("idx", F.array().cast("array<int>"))
-    val = F.coalesce("val", F.array().cast("array<double>"))
-    return joined.withColumn("features", sparse_vector(idx, val, size)).drop("idx", "val")
+    joined = docs.join(vectors.select(key, F.col("idx").alias("_idx"), F.col("val").alias("_val")), key, "left")
+    idx = F.coalesce("_idx", F.array().cast("array<int>"))
+    val = F.coalesce("_val", F.array().cast("array<double>"))
+    names = docs.columns
+    schema = T.StructType([*docs.schema.fields, T.StructField("features", VectorUDT())])
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            parts = [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), batch.column("_idx"), batch.column("_val")]
+            features = pa.StructArray.from_arrays(parts, names=["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), features], names=schema.names)
+
+    return joined.select(*names, idx.alias("_idx"), val.alias("_val")).mapInArrow(assemble, schema)
 
 
 ROWS_PER_TASK = 10_000

@@ -78,13 +78,27 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+SPREAD_BYTES = 128 << 20
+MOST_PARTITIONS = 100_000
+
+
+def input_bytes(df: DataFrame) -> int:
+    """The optimizer's size of all that a plan reads; inputs of unknown size count as nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Partition by keys into the session's number of shuffle partitions.
+    """Partition by keys, for rows that are about to be expanded.
 
-    For rows that are about to be expanded: a fixed number, since adaptive coalescing would judge
-    the partitions by the few bytes shuffled and not by the work they cause.
+    The number is fixed, since adaptive coalescing would judge partitions by the few bytes shuffled
+    and not by the work they cause. It follows the input, one for each ``SPREAD_BYTES``, and is the
+    session's number of shuffle partitions at least.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(least, min(input_bytes(df) // SPREAD_BYTES + 1, MOST_PARTITIONS))
+    return df.repartition(n, *keys)
 
 
 def static_bytes(df: DataFrame) -> int:

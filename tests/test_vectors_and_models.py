@@ -169,3 +169,20 @@ def test_keywords_by_both_ways(spark, monkeypatch):
     here = found()
     monkeypatch.setattr(KW, "KINDS_SENT", 0)
     assert here and found() == here
+
+
+def test_feature_vectors(spark):
+    docs = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "review_id long, name string")
+    vectors = spark.createDataFrame([(1, [0, 3], [1.0, 2.0]), (3, [4], [5.0])], "review_id long, idx array<int>, val array<double>")
+    rows = {r["review_id"]: r for r in MO.feature_rows(docs, vectors, 5).collect()}
+    assert rows[1]["features"].toArray().tolist() == [1, 0, 0, 2, 0] and rows[1]["name"] == "x"
+    assert rows[2]["features"].toArray().tolist() == [0] * 5 and rows[3]["features"][4] == 5
+
+
+def test_spread_follows_the_input(spark, monkeypatch):
+    from reelmill import session
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    few = session.spread(docs, "doc_id").rdd.getNumPartitions()
+    monkeypatch.setattr(session, "SPREAD_BYTES", 50_000)
+    assert session.spread(docs, "doc_id").rdd.getNumPartitions() > few
