@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from reelmill.functions.scoring import blend
 from reelmill.operators.factors import dot
 from reelmill.operators.ranking import minmax, top_k
-from reelmill.operators.similarity import shared_matrix, sparse_cosine, taste_vectors, top_cosine
+from reelmill.operators.similarity import DIGITS, shared_matrix, sparse_cosine, taste_vectors, top_cosine
 from reelmill.session import spread
 
 GUEST, ACCOUNT, USER = "guest", "account", "user"
@@ -77,25 +77,51 @@ def personal_scores(pool: DataFrame, personal: DataFrame | None, item_vectors: D
     """Add ``is_pers`` and ``pers_raw``: u . v of factors, or taste cosine; zero if unknown."""
     if personal is None:
         return pool.withColumn("is_pers", F.lit(False)).withColumn("pers_raw", F.lit(0.0))
-    mine = personal.select(
-        "query_id", F.lit(True).alias("is_pers"), F.col("factors").alias("_u"),
-        F.col("idx").alias("_i"), F.col("val").alias("_v"), F.col("norm").alias("_n"),
-    )
-    joined = pool.join(mine, "query_id", "left").withColumn("is_pers", F.coalesce("is_pers", F.lit(False)))
+    asks = personal.select("query_id", F.lit(True).alias("is_pers"), F.col("factors").alias("_u"), F.col("idx").isNotNull().alias("_taste"))
+    joined = pool.join(asks, "query_id", "left").withColumn("is_pers", F.coalesce("is_pers", F.lit(False)))
     score = F.lit(0.0)
     if item_factors is not None:
         f = item_factors.select(F.col("item").alias("_fi"), F.col("factors").alias("_f"))
         joined = joined.join(f, (F.col("item") == F.col("_fi")) & F.col("_u").isNotNull(), "left")
         score = F.coalesce(dot("_u", "_f"), score)
-    vectors = item_vectors.select(
-        F.col("item").alias("_ti"), F.col("idx").alias("_ii"), F.col("val").alias("_iv"), F.col("norm").alias("_in")
-    )
-    joined = joined.join(vectors, (F.col("item") == F.col("_ti")) & F.col("_i").isNotNull(), "left")
-    joined = joined.withColumn("_cos", sparse_cosine("_i", "_v", "_n", "_ii", "_iv", "_in"))
-    score = F.when(F.col("_i").isNotNull(), F.col("_cos")).otherwise(score)
+    tastes = personal.filter("idx is not null").select("query_id", "idx", "val", "norm")
+    joined = joined.join(taste_cosines(pool, tastes, item_vectors), ["query_id", "item"], "left")
+    score = F.when(F.col("_taste"), F.coalesce("_cos", F.lit(0.0))).otherwise(score)
     return joined.withColumn("pers_raw", score).select(*pool.columns, "is_pers", "pers_raw")
 
 
+def taste_cosines(pool: DataFrame, tastes: DataFrame, item_vectors: DataFrame) -> DataFrame:
+    """(query_id, item, _cos) of the tastes (query_id, idx, val, norm) with the items of their pools.
+
+    A query's taste moves once, with the list of its pool's items, and is multiplied with all of
+    them in one call; an item matrix beyond the checked size is joined to the pool's rows instead.
+    """
+    wanted = pool.select("query_id", "item").join(tastes.select("query_id"), "query_id", "left_semi").distinct()
+    matrix = shared_matrix(item_vectors, "item")
+    if matrix is None:
+        theirs = item_vectors.select("item", F.col("idx").alias("_ii"), F.col("val").alias("_iv"), F.col("norm").alias("_in"))
+        rows = wanted.join(theirs, "item").join(tastes, "query_id")
+        return rows.select("query_id", "item", sparse_cosine("idx", "val", "norm", "_ii", "_iv", "_in").alias("_cos"))
+    lists = wanted.groupBy("query_id").agg(F.collect_list("item").alias("items")).join(tastes, "query_id")
+    kinds = [T.StructField(c, pool.schema[c].dataType) for c in ("query_id", "item")]
+
+    def multiply(frames):
+        place, all_idx, all_val, all_norm = matrix.value
+        for pdf in frames:
+            out = []
+            for query, items, idx, val, norm in zip(pdf["query_id"], pdf["items"], pdf["idx"], pdf["val"], pdf["norm"]):
+                known = [(i, place[i]) for i in items if i in place]
+                row = np.zeros(max([int(idx[-1]) if len(idx) else 0, *(int(all_idx[s][-1]) for _, s in known if len(all_idx[s]))]) + 1)
+                row[idx] = val
+                for item, spot in known:
+                    length = norm * all_norm[spot]
+                    out.append((query, item, float(np.round(all_val[spot] @ row[all_idx[spot]] / length, DIGITS)) if length > 0 else 0.0))
+            if out:
+                yield pd.DataFrame(out, columns=["query_id", "item", "_cos"])
+
+    return lists.mapInPandas(multiply, T.StructType([*kinds, T.StructField("_cos", T.DoubleType())]))
+
+
 def blend_scores(scored: DataFrame, w_cos: float = 0.6) -> DataFrame:
     """Scale both scores per query and blend them into ``final``."""
     scaled = minmax(minmax(scored, "cos", ["query_id"], "cos_norm"), "pers_raw", ["query_id"], "pers_norm")

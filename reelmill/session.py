@@ -83,10 +83,11 @@ MOST_PARTITIONS = 100_000
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size of all that a plan reads; inputs of unknown size count as nothing."""
+    """Bytes of all files that a plan reads; other inputs have estimates only and count as nothing."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    return sum(x for x in sizes if x < 1 << 60)
+    found = [leaves.apply(i) for i in range(leaves.size())]
+    files = [x for x in found if x.getClass().getSimpleName() in ("LogicalRelation", "DataSourceV2ScanRelation")]
+    return sum(int(str(x.stats().sizeInBytes())) for x in files)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
