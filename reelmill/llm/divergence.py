@@ -122,8 +122,8 @@ def distance(p: Column, q: Column) -> Column:
 
 
 def judge(counted: DataFrame, found: DataFrame) -> DataFrame:
-    """Distances and ``kept``. The references are one row for each language."""
-    rows = counted.join(found, "_lang", "left")
+    """Distances and ``kept``. The references are one row for each language, measured before they are broadcast."""
+    rows = counted.join(small_side(found), "_lang", "left")
     chars = total_of(F.col("kinds"))
     kind = F.when(chars >= LEAST_CHARACTERS, distance(share(F.col("kinds"), chars), F.col("_kinds_ref")))
     words = total_of(F.col("commons"))
