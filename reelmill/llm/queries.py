@@ -56,6 +56,15 @@ def op9_warc(spark, sf):
     return warc.read_archives(manifest, "bigint", payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: Base 32 from the hex digest: five bits lie in the two hex digits from number 5i / 4 on.
+ORACLE["op9_warc"] = """WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+    g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+    SELECT page_id, octet_length(encode(t))::BIGINT AS payload_bytes,
+        list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            1 + ((('0x' || substr(h || '0', 1 + (5 * i // 4)::INTEGER, 2))::INTEGER >> (3 - 5 * i % 4)::INTEGER) & 31), 1)), 'string_agg', '') AS payload_digest,
+        CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM g"""
+
+
 @query
 def op4_piecewise(spark, sf):
     return piecewise.fingerprints(table(spark, sf, "documents"))

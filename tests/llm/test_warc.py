@@ -31,6 +31,19 @@ def test_whole_table(spark):
     assert got == expected(pages)
 
 
+def test_same_as_sql(spark):
+    import duckdb
+
+    from reelmill.llm.queries import ORACLE
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet' UNION ALL SELECT 1000, 'u', html FROM '{sf}/pages.parquet' WHERE page_id < 3")
+    rows = con.execute(ORACLE["op9_warc"]).fetchall()
+    pages = con.execute("SELECT page_id, html FROM pages").fetchall()
+    assert {r[0]: tuple(r[1:]) for r in rows if r[0] != 1000} == {k: v for k, v in expected(pages).items() if k != 1000}
+
+
 @pytest.mark.parametrize("least", [0, 5])
 def test_round_trip(spark, tmp_path, least, monkeypatch):
     pages = [(i, t) for i, t in enumerate(["", None, "a", "a", "long é page" * 50, "long é page" * 50, "\r\n\r\nWARC/1.1\r\n\r\n", "x" * 300000])]
