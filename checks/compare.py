@@ -10,7 +10,7 @@ import duckdb
 
 from checks.oracle import ORACLE
 from checks.queries import REGISTRY
-from reelmill.session import local_session
+from reelmill.session import drop_scratch, local_session
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -77,6 +77,7 @@ def main() -> None:
             verdict, n, spent, sql = f"{type(exc).__name__}: {str(exc)[:600]}", -1, 0.0, 0.0
         bad += verdict not in ("ok", "rows only")
         print(f"{name:32s} {n:8d} rows {spent:6.2f}s sql {sql:5.2f}s {verdict[:900]}", flush=True)
+    drop_scratch(spark)
     print("failed:", bad)
 
 

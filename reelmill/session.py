@@ -45,9 +45,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder; lost executors re-read, not re-compute."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` stored and read back: later steps neither compute it again nor read columns they do not use."""
+    return store(df, "cut")
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -60,13 +59,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def store(df: DataFrame, name: str = "stage") -> DataFrame:
+#: Rows that a file of a narrow table holds at least, where the caller knows how many there are.
+FILE_ROWS = 100_000
+
+
+def store(df: DataFrame, name: str = "stage", rows: int | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Unlike a checkpoint of row objects, later reads prune columns and push filters down. Lost
     executors re-read the files. ``drop_scratch`` removes them when the results are written.
+    ``rows``, if the caller knows a bound, keeps a narrow table from being many tiny files.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(8 + rows // FILE_ROWS)
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

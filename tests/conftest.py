@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from reelmill.session import local_session  # noqa: E402
+from reelmill.session import drop_scratch, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -13,4 +13,5 @@ def spark():
     session = local_session("tests", 4, "6g")
     session.sparkContext.setLogLevel("OFF")
     yield session
+    drop_scratch(session)
     session.stop()
