@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +15,10 @@ SLICE_BYTES = 4 << 20
 def text_slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut into runs of rows with about ``limit`` bytes of text; a longer row comes alone.
 
-    Memory then follows ``limit`` and the longest single text, not the size of Spark's batches.
+    Memory then follows ``limit`` and the longest single text, not the size of Spark's batches. What the
+    task before has freed is given back first.
     """
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -25,6 +29,15 @@ def text_slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iter
             last = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(first, last - first)
             first = last
+    batch = None
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on, and executors are held to all that they hold."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def lengths(column: pa.Array) -> np.ndarray:
@@ -50,3 +63,15 @@ def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def texts(column: pa.Array) -> list[str]:
     """Python strings; null is empty."""
     return [t or "" for t in column.to_pylist()]
+
+
+@contextmanager
+def arrow_rows(spark, rows: int):
+    """Jobs run inside get batches of at most ``rows`` rows, for rows that are large; then the setting is as before."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

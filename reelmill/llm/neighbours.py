@@ -37,7 +37,7 @@ KIND_TERMS, WORD_TERMS, REPEAT_TERMS = 2048, 2048, 2
 TERMS = KIND_TERMS + WORD_TERMS + REPEAT_TERMS
 FAMILIES = ((0, KIND_TERMS, 1.0), (KIND_TERMS, KIND_TERMS + WORD_TERMS, 0.5), (KIND_TERMS + WORD_TERMS, TERMS, 1.0))
 #: Texts that are handled side by side, and bytes of text in a slice.
-ROWS, SLICE = 512, 2 << 20
+ROWS, SLICE = 256, 1 << 20
 
 
 def character_kinds() -> np.ndarray:
@@ -80,9 +80,9 @@ def term_matrix(data: np.ndarray, places: np.ndarray, powers: Powers) -> np.ndar
     return np.sqrt(counts)
 
 
-def weigh(terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
+def weigh(terms: np.ndarray, idf: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
     """Weighted terms with every family at its own length."""
-    out = terms * idf
+    out = np.multiply(terms, idf, out=out)
     for lo, hi, share in FAMILIES:
         size = np.linalg.norm(out[:, lo:hi], axis=1, keepdims=True)
         out[:, lo:hi] *= share / np.where(size > 0, size, 1)
@@ -108,15 +108,18 @@ def latent_basis(rows: np.ndarray, rank: int, passes: int = 4) -> np.ndarray:
 class Model:
     """What is broadcast: weights, basis, reference vectors and their labels."""
 
-    def __init__(self, terms: np.ndarray, labels: np.ndarray):
+    def __init__(self, terms: np.ndarray, labels: np.ndarray, order: np.ndarray | None = None):
+        """``terms`` is overwritten; ``order`` is that of its rows in the model."""
         self.fixed = None
         if len(np.unique(labels)) < 2:
             self.fixed = float(labels[0]) if len(labels) else 1.0
             return
-        present = (terms > 0).sum(axis=0)
+        present = np.count_nonzero(terms, axis=0)
         self.idf = (np.log((1 + len(terms)) / (1 + present)) + 1).astype(np.float32)
         self.idf[KIND_TERMS + WORD_TERMS :] = 1
-        weighted = weigh(terms, self.idf)
+        weighted = weigh(terms, self.idf, out=terms)
+        if order is not None:
+            weighted, labels = weighted[order], labels[order]
         self.basis = latent_basis(weighted, RANK)
         self.references = unit(weighted @ self.basis).astype(np.float32)
         self.labels = labels.astype(np.float32)
@@ -142,6 +145,64 @@ def blocks(batches):
             yield rows.slice(first, ROWS)
 
 
+def fit(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model from the texts of at most ``sample`` ids of each label in ``labelled`` (doc_id, label).
+
+    The sample is drawn from the labels alone; only its texts are read out, counted in tasks, and
+    come to the driver as sparse rows. Of rows that share an id the least text counts.
+    """
+    chosen = None
+    for label in (0, 1):
+        part = labelled.where(F.col("label") == label).select("doc_id", F.col("label").cast("int").alias("label")).distinct()
+        part = part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id")
+    chosen = chosen.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text")
+    schema = StructType([StructField("label", chosen.schema["label"].dataType), StructField("at", ArrayType(FloatType())), StructField("value", ArrayType(FloatType()))])
+
+    def count(batches):
+        powers = Powers()
+        for rows in blocks(batches):
+            terms = term_matrix(*buffer(rows.column("text")), powers)
+            spots = [np.flatnonzero(r) for r in terms]
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("label"), pa.array([s.astype(np.float32) for s in spots], pa.list_(pa.float32())), pa.array([r[s] for r, s in zip(terms, spots)], pa.list_(pa.float32()))],
+                names=schema.names,
+            )
+
+    found = chosen.mapInArrow(count, schema).toArrow().combine_chunks()
+    labels = found["label"].to_numpy().astype(np.int64)
+    terms = np.zeros((found.num_rows, TERMS), np.float32)
+    for at, value in zip(found["at"].chunks, found["value"].chunks):  # one chunk, or none
+        row = np.repeat(np.arange(len(at)), np.diff(at.offsets.to_numpy()))
+        terms[row, at.flatten().to_numpy().astype(np.int64)] = value.flatten().to_numpy()
+    del found
+    # The order of rows follows the tasks; sort it, so that the model does not.
+    order = np.lexsort(terms[:, ::97].T) if len(terms) else np.zeros(0, np.int64)
+    return Model(terms, labels, order)
+
+
+def score(self, terms: np.ndarray) -> np.ndarray:
+        some = terms.any(axis=1)
+        if self.fixed is not None:
+            return np.where(some, self.fixed, 0.0)
+        cosine = unit(weigh(terms, self.idf) @ self.basis) @ self.references.T
+        k = min(NEIGHBOURS, cosine.shape[1])
+        # Ties at the k-th place count in full, so that the order of the sample does not matter.
+        least = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+        vote = np.where(cosine >= least - 1e-6, np.clip(cosine, 0, 1), 0).astype(np.float64) ** SHARPNESS
+        total = vote.sum(axis=1)
+        score = np.where(total > 0, (vote @ self.labels) / np.where(total > 0, total, 1), 0.5)
+        return np.where(some, np.clip(score, 0, 1), 0.0)
+
+
+def blocks(batches):
+    """Slices of rows with their bytes, bounded in bytes and rows."""
+    for rows in text_slices(batches, limit=SLICE):
+        for first in range(0, rows.num_rows, ROWS):
+            yield rows.slice(first, ROWS)
+
+
 def fit(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from the texts of at most ``sample`` ids of each label in ``labelled`` (doc_id, label).
 

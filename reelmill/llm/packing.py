@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from reelmill.llm.batches import text_slices, texts
+from reelmill.llm.batches import arrow_rows, text_slices, texts
 from reelmill.session import store
 
 WINDOW = 2048
 END_ID = 1
 #: Chunks whose ids a task remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Texts with none of these are cut at the edges of words before their ids are looked up: their letters
 #: are those of ``LETTERS``, nothing composes or contracts, and no special token is written out.
 UNPLAIN = re.compile("['\u00aa\u00b5\u00ba\u0100-\U0010ffff]|<\\|")
@@ -104,7 +104,8 @@ def token_stream(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) ->
                 names=schema.names,
             )
 
-    return store(docs.select("doc_id", "text").mapInArrow(encode, schema), "tokens")
+    with arrow_rows(spark, 2000):
+        return store(docs.select("doc_id", "text").mapInArrow(encode, schema), "tokens")
 
 
 def global_offsets(stream: DataFrame) -> DataFrame:
