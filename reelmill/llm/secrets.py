@@ -2,7 +2,7 @@
 
 A document's text is the first layer. Every layer is scanned for secrets and for encoded parts: URL
 escapes, Unicode escapes, base64 runs and compressed data. Each decoded part becomes a layer of its
-own and joins the worklist, unless the same layer has been seen in this document, so that data which
+own, whatever its bytes are, and joins the worklist, unless the same layer has been seen in this document, so that data which
 decode to themselves end the search. The list runs dry when nothing decodes any more. What is found
 in a layer is mapped back to the characters of the text that hold it: URL and Unicode escapes
 character by character, base64 and compressed data to the whole run.
@@ -101,13 +101,14 @@ class Layer:
         return Layer("".join(text), via, self.depth + 1, first, last)
 
 
-def readable(data: bytes) -> str | None:
-    """The text of decoded bytes, if they are one."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text.replace("\n", "").replace("\r", "").replace("\t", "").isprintable() else None
+def readings(data: bytes) -> list[str]:
+    """Decoded bytes as text, whatever they are: as UTF-8 with replacements, and without zero bytes if there are any.
+
+    The latter is how UTF-16 and UTF-32 of either order show their ASCII characters, of which the
+    patterns and the encodings consist.
+    """
+    found = [data.decode("utf-8", "replace")]
+    return [*found, data.replace(b"\0", b"").decode("utf-8", "replace")] if b"\0" in data else found
 
 
 def unpack(data: bytes) -> bytes | None:
@@ -169,20 +170,21 @@ def decoded(layer: Layer) -> Iterator[Layer | None]:
     """All layers one step further in; None for one that is too large."""
     text = layer.text
 
-    def bytes_inside(data: bytes, via: str, first: int, last: int) -> Iterator[Layer | None]:
+    def bytes_inside(data: bytes, via: str, first: int, last: int, before: tuple[bytes, ...] = ()) -> Iterator[Layer | None]:
+        before = (*before, data)
         try:
             opened = unpack(data)
         except OverflowError:
             yield None
             return
         if opened is not None:
-            plain = readable(opened)
-            if plain is not None:
+            for plain in readings(opened):
                 yield layer.inside(plain, f"{via}>compressed", first, last)
-            else:  # compressed once more, or other bytes: look into them again
-                yield from bytes_inside(opened, f"{via}>compressed", first, last) if opened != data else ()
-        elif (plain := readable(data)) is not None and via == "base64":
-            yield layer.inside(plain, via, first, last)
+            if opened not in before:  # perhaps compressed once more
+                yield from bytes_inside(opened, f"{via}>compressed", first, last, before)
+        elif via == "base64":
+            for plain in readings(data):
+                yield layer.inside(plain, via, first, last)
 
     if "%" in text:
         pieces = []

@@ -95,6 +95,17 @@ def test_ends_on_cycles_and_bombs(monkeypatch):
     assert oversized == 1 and findings == []
 
 
+@pytest.mark.parametrize("data", [
+    "mot\u00a0: token=abcdefgh", "\ufefftoken=abcdefgh", "a\u200b token=abcdefgh", "\x0c\x1b token=abcdefgh", "caf\u00e9 token=abcdefgh".encode("latin-1"),
+    "token=abcdefgh \u4e2d".encode("utf-16"), "token=abcdefgh".encode("utf-16-le"), "token=abcdefgh".encode("utf-16-be"),
+])
+def test_layers_that_are_not_all_printable(data):
+    data = data if isinstance(data, bytes) else data.encode()
+    for run in (b64(data), b64(gzip.compress(data))):
+        assert run in [t for t, _, _ in hidden(f"x {run} y")]
+    assert hidden("x " + b64("mot\u00a0: " + b64("token=abcdefgh")))
+
+
 def test_same_run_twice_is_two_places():
     run = b64(SECRET)
     assert len(hidden(f"{run} and {run}")) == 2
