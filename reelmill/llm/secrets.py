@@ -20,7 +20,6 @@ are ignored; an empty table gives an empty one.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import re
@@ -48,7 +47,8 @@ WORDS = (b"password", b"passwd", b"secret", b"token", b"api")
 MARKS = re.compile(rb"AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f]{2}|&#[xX0-9]|[A-Za-z0-9+/_-]{16}")
 ESCAPED = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
-BASE64 = re.compile(r"(?:[A-Za-z0-9+/_-]{60,}\r?\n)*[A-Za-z0-9+/_-]{16,}={0,2}")
+#: The last line after full ones may have any length.
+BASE64 = re.compile(r"(?:(?:[A-Za-z0-9+/_-]{60,}\r?\n)+[A-Za-z0-9+/_-]*|[A-Za-z0-9+/_-]{16,})={0,2}")
 URL_SAFE = str.maketrans("-_", "+/", "\r\n=")
 
 
@@ -111,6 +111,28 @@ def readings(data: bytes) -> list[str]:
     return [*found, data.replace(b"\0", b"").decode("utf-8", "replace")] if b"\0" in data else found
 
 
+#: Where compressed data may begin: gzip, zlib, bz2, Zstandard.
+MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17\x72)|\x28\xb5\x2f\xfd")
+
+
+def alignments(run: str) -> Iterator[bytes]:
+    """The bytes of a base64 run from its first, second, third and fourth character on."""
+    for shift in range(4):
+        part = run[shift:]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        if len(part) > 1:
+            yield base64.b64decode(part + "=" * (-len(part) % 4))
+
+
+def plainly(data: bytes) -> bool:
+    """Whether bytes are text without any odd character, so that no other alignment is meant."""
+    try:
+        text = data.decode("utf-8")
+    except UnicodeDecodeError:
+        return False
+    return text.replace("\n", "").replace("\r", "").replace("\t", "").isprintable()
+
+
 def unpack(data: bytes) -> bytes | None:
     """Decompressed bytes; None if the data are not compressed; OverflowError beyond the limit."""
     try:
@@ -199,14 +221,18 @@ def decoded(layer: Layer) -> Iterator[Layer | None]:
         if pieces:
             yield layer.aligned(pieces, "unicode")
     for m in BASE64.finditer(text):
-        run = m[0].translate(URL_SAFE)
-        if len(run) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4))
-        except binascii.Error:
-            continue
-        yield from bytes_inside(data, "base64", m.start(), m.end())
+        # What is glued to a run shifts its alignment; what is compressed may begin anywhere in it.
+        for data in alignments(m[0].translate(URL_SAFE)):
+            opened = False
+            for at in (0, *(c.start() for c in MAGIC.finditer(data) if c.start())):
+                for inner in bytes_inside(data[at:], "base64", m.start(), m.end()):
+                    opened = opened or inner is None or inner.via.endswith("compressed")
+                    if not at or inner is None or inner.via.endswith("compressed"):
+                        yield inner
+                if opened:
+                    break
+            if opened or plainly(data):
+                break
 
 
 def scan_text(text: str) -> tuple[list[tuple[str, int, int, int, str]], int, int]:

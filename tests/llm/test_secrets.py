@@ -106,6 +106,24 @@ def test_layers_that_are_not_all_printable(data):
     assert hidden("x " + b64("mot\u00a0: " + b64("token=abcdefgh")))
 
 
+@pytest.mark.parametrize("size", range(57, 76))
+def test_wrapped_base64_with_a_short_last_line(size):
+    data = b"x" * (size - 17) + b" token=abcdefghij"
+    run = base64.encodebytes(data).decode().rstrip("\n")
+    assert hidden(f"see\n{run}\nthere")
+    small = b"".join(hashlib.sha256(bytes([i])).digest() for i in range(4))[: size - 20]
+    zipped = base64.encodebytes(zlib.compress(small + b" token=abcdefghij")).decode().rstrip("\n")
+    assert any("compressed" in via for _, _, via in hidden(zipped))
+
+
+@pytest.mark.parametrize("before", ["v1/", "key_", "id-", "a", "ab", "abc/d_", "k/k/"])
+def test_runs_glued_to_other_characters(before):
+    for data in (SECRET.encode(), gzip.compress(SECRET.encode()), zlib.compress(SECRET.encode())):
+        run = b64(data)
+        for end in ("", "A"):
+            assert hidden(before + run.rstrip("=") + end), (before, data)
+
+
 def test_same_run_twice_is_two_places():
     run = b64(SECRET)
     assert len(hidden(f"{run} and {run}")) == 2
