@@ -7,8 +7,10 @@ decode to themselves end the search. The list runs dry when nothing decodes any
 in a layer is mapped back to the characters of the text that hold it: URL and Unicode escapes
 character by character, base64 and compressed data to the whole run.
 
-A layer larger than ``LAYER_BYTES`` is not unpacked but counted in ``oversized``, so that a
-decompression bomb is reported and not missed in silence.
+All streams of a compressed run are unpacked, one after the other. What is larger than ``LAYER_BYTES``
+is searched in windows of that size, which overlap by a quarter, one at a time. Only a decompression
+bomb, beyond that size and more than ``BOMB`` times its run, is given up there and counted in ``oversized``.
+An encoded run longer than the overlap that crosses the end of a window is read in two parts.
 
 Base patterns are applied leftmost and non-overlapping; matches that fail their length are dropped
 without another try. Texts without any mark of a secret or an encoding are passed over on their bytes.
@@ -35,7 +37,9 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from reelmill.llm.batches import buffer, text_slices
 
 KINDS = ("assign", "access", "hex")
-LAYER_BYTES = 32 << 20
+LAYER_BYTES, BOMB = 32 << 20, 200
+#: Bytes that are read, fed to Zstandard and unpacked at once.
+READ, FEED, PIECE = 1 << 14, 1 << 8, 1 << 20
 #: The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -62,8 +66,8 @@ def base_matches(text: str) -> list[tuple[str, int, int]]:
 class Layer:
     """Decoded text and where its characters lie in the document."""
 
-    def __init__(self, text: str, via: str, depth: int, starts=None, ends=None, span=None):
-        self.text, self.via, self.depth, self.starts, self.ends, self.span = text, via, depth, starts, ends, span
+    def __init__(self, text: str, via: str, depth: int, starts=None, ends=None, span=None, window=False):
+        self.text, self.via, self.depth, self.starts, self.ends, self.span, self.window = text, via, depth, starts, ends, span, window
 
     def place(self, first: int, last: int) -> tuple[int, int]:
         if self.span is not None:
@@ -72,9 +76,9 @@ class Layer:
             return first, last
         return int(self.starts[first]), int(self.ends[last - 1])
 
-    def inside(self, text: str, via: str, first: int, last: int) -> Layer:
-        """A layer whose characters all stand for one run of this one."""
-        return Layer(text, f"{self.via}>{via}" if self.via else via, self.depth + 1, span=self.place(first, last))
+    def inside(self, text: str, via: str, first: int, last: int, window: bool = False) -> Layer:
+        """A layer whose characters all stand for one run of this one; ``window``: one of several, to be searched at once."""
+        return Layer(text, f"{self.via}>{via}" if self.via else via, self.depth + 1, span=self.place(first, last), window=window)
 
     def aligned(self, pieces: list[tuple[str, int, int]], via: str) -> Layer:
         """The whole layer with some runs replaced: (characters, start, end), each character at its own place."""
@@ -133,35 +137,124 @@ def plainly(data: bytes) -> bool:
     return text.replace("\n", "").replace("\r", "").replace("\t", "").isprintable()
 
 
-def unpack(data: bytes) -> bytes | None:
-    """Decompressed bytes; None if the data are not compressed; OverflowError beyond the limit."""
+def opener(head: bytes):
+    """A reader for the compressed data that begin so, or None."""
+    if head[:2] == b"\x1f\x8b" or (head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0):
+        return zlib.decompressobj(47)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:4] == b"\x28\xb5\x2f\xfd" or (head[1:4] == b"\x2a\x4d\x18" and head[0] >> 4 == 5):  # a frame, or one to skip
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompressobj()
+    return None
+
+
+class Source:
+    """Pieces of bytes, to be read by length."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.head = pieces, b""
+
+    def peek(self, n: int) -> bytes:
+        while len(self.head) < n and (piece := next(self.pieces, None)) is not None:
+            self.head += piece
+        return self.head[:n]
+
+    def read(self, n: int) -> bytes:
+        out = self.peek(n)
+        self.head = self.head[len(out) :]
+        return out
+
+
+def expanded(source: Source, ends: list[int] | None = None) -> Iterator[bytes]:
+    """Pieces of what the compressed streams in a row hold, up to the first error or other bytes; ``ends`` gets their ends."""
     try:
-        if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0):
-            reader = zlib.decompressobj(47)
-            out = reader.decompress(data, LAYER_BYTES)
-            if reader.unconsumed_tail:
-                raise OverflowError
-        elif data[:3] == b"BZh":
-            reader = bz2.BZ2Decompressor()
-            out = reader.decompress(data, LAYER_BYTES)
-            if not reader.eof and not reader.needs_input:
-                raise OverflowError
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            reader = zstandard.ZstdDecompressor().stream_reader(data)
-            out = reader.read(LAYER_BYTES)
-            if reader.read(1):
-                raise OverflowError
-        else:
-            return None
+        head = source.read(READ)
+        at = len(head)
+        while (reader := opener(head)) is not None:
+            while not reader.eof:
+                if hasattr(reader, "needs_input"):  # bz2
+                    piece, head = reader.decompress(head, PIECE), b""
+                    hungry = reader.needs_input
+                elif hasattr(reader, "copy"):  # zlib
+                    piece = reader.decompress(head, PIECE)
+                    head = reader.unconsumed_tail
+                    hungry = not head and len(piece) < PIECE
+                else:
+                    piece, head = reader.decompress(head[:FEED]), head[FEED:]
+                    hungry = not head
+                if piece:
+                    yield piece
+                if not reader.eof and hungry:
+                    head = source.read(READ)
+                    at += len(head)
+                    if not head:
+                        return
+            head = reader.unused_data + head
+            if ends is not None:
+                ends.append(at - len(head))
+            more = source.read(READ) if len(head) < READ else b""
+            at, head = at + len(more), head + more
     except (zlib.error, OSError, ValueError, EOFError):
-        return None
+        return
     except Exception as error:  # zstandard has an error class of its own
-        if type(error).__name__ == "ZstdError":
-            return None
-        raise
-    return out or None
+        if type(error).__name__ != "ZstdError":
+            raise
+
+
+def pieces_of(data) -> Iterator[bytes]:
+    view = memoryview(data)
+    return (bytes(view[i : i + READ]) for i in range(0, len(view), READ))
+
+
+def unpack(data: bytes) -> bytes | None:
+    """Decompressed bytes; None if the data are not compressed; OverflowError beyond the limit."""
+    if opener(bytes(data[:4])) is None:
+        return None
+    out = bytearray()
+    for piece in expanded(Source(pieces_of(data))):
+        out += piece
+        if len(out) > LAYER_BYTES:
+            raise OverflowError
+    return bytes(out) or None
+
+
+def streams_end(data) -> int:
+    """Where the complete streams at the beginning of ``data`` end."""
+    ends, size = [0], 0
+    for piece in expanded(Source(pieces_of(data)), ends):
+        size += len(piece)
+        if size > max(LAYER_BYTES, BOMB * len(data)):
+            return len(data)
+    return ends[-1]
+
+
+def unpacked_windows(data: bytes) -> Iterator[bytes | None]:
+    """What a large run holds, in overlapping windows, then what that holds if it is compressed again; None for a bomb."""
+    source, levels, known = Source(pieces_of(data)), 0, set()
+    while opener(source.peek(4)) is not None:
+        nested = Source(expanded(source))
+        again, size, window, digest = nested.peek(4), 0, bytearray(), hashlib.sha256()
+        while piece := nested.read(PIECE):
+            size += len(piece)
+            window += piece
+            digest.update(piece)
+            while len(window) >= LAYER_BYTES:
+                yield bytes(window[:LAYER_BYTES])
+                del window[: LAYER_BYTES - LAYER_BYTES // 4]
+            if size > max(LAYER_BYTES, BOMB * len(data)):
+                yield None
+                return
+        yield bytes(window)
+        if opener(again) is None or digest.digest() in known:
+            return
+        known.add(digest.digest())
+        # One level further in, from the beginning: nothing of the levels is kept.
+        levels += 1
+        source = Source(pieces_of(data))
+        for _ in range(levels):
+            source = Source(expanded(source))
 
 
 def _utf8_pieces(data: bytes, at: int) -> Iterator[tuple[str, int, int]]:
@@ -197,14 +290,16 @@ def decoded(layer: Layer) -> Iterator[Layer | None]:
         try:
             opened = unpack(data)
         except OverflowError:
-            yield None
+            for part in unpacked_windows(data):
+                for plain in [None] if part is None else readings(part):
+                    yield None if plain is None else layer.inside(plain, f"{via}>compressed", first, last, window=True)
             return
         if opened is not None:
             for plain in readings(opened):
                 yield layer.inside(plain, f"{via}>compressed", first, last)
             if opened not in before:  # perhaps compressed once more
                 yield from bytes_inside(opened, f"{via}>compressed", first, last, before)
-        elif via == "base64":
+        elif via == "base64" and isinstance(data, bytes):
             for plain in readings(data):
                 yield layer.inside(plain, via, first, last)
 
@@ -223,39 +318,48 @@ def decoded(layer: Layer) -> Iterator[Layer | None]:
     for m in BASE64.finditer(text):
         # What is glued to a run shifts its alignment; what is compressed may begin anywhere in it.
         for data in alignments(m[0].translate(URL_SAFE)):
-            opened = False
-            for at in (0, *(c.start() for c in MAGIC.finditer(data) if c.start())):
-                for inner in bytes_inside(data[at:], "base64", m.start(), m.end()):
-                    opened = opened or inner is None or inner.via.endswith("compressed")
-                    if not at or inner is None or inner.via.endswith("compressed"):
-                        yield inner
-                if opened:
-                    break
-            if opened or plainly(data):
+            yield from bytes_inside(data, "base64", m.start(), m.end())
+            done = None
+            for c in MAGIC.finditer(data, 1):
+                done = streams_end(data) if done is None else done
+                if c.start() >= done:
+                    part = memoryview(data)[c.start() :]
+                    yield from bytes_inside(part, "base64", m.start(), m.end())
+                    done = c.start() + streams_end(part)
+            if plainly(data):
                 break
 
 
 def scan_text(text: str) -> tuple[list[tuple[str, int, int, int, str]], int, int]:
     """Findings (kind, start, end, depth, way of decoding), layers, and layers that were too large."""
-    work = deque([Layer(text, "", 0)])
     seen: set[tuple[bytes, tuple | None]] = set()
     found: dict[tuple[str, int, int], tuple[int, str]] = {}
     layers = oversized = 0
-    while work:
-        layer = work.popleft()
-        # The same text from another run is another place, so the place is part of the key.
-        key = (hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), layer.span)
-        if key in seen:
-            continue
-        seen.add(key)
-        layers += 1
-        for kind, first, last in base_matches(layer.text):
-            found.setdefault((kind, *layer.place(first, last)), (layer.depth, layer.via))
-        for inner in decoded(layer):
-            if inner is None:
-                oversized += 1
-            else:
-                work.append(inner)
+
+    def search(start: Layer) -> None:
+        nonlocal layers, oversized
+        work = deque([start])
+        while work:
+            layer = work.popleft()
+            # The same text from another run is another place, so the place is part of the key.
+            key = (hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), layer.span)
+            if key in seen:
+                continue
+            seen.add(key)
+            layers += 1
+            for kind, first, last in base_matches(layer.text):
+                place = (kind, *layer.place(first, last))
+                if place not in found or layer.depth < found[place][0]:
+                    found[place] = (layer.depth, layer.via)
+            for inner in decoded(layer):
+                if inner is None:
+                    oversized += 1
+                elif inner.window:
+                    search(inner)
+                else:
+                    work.append(inner)
+
+    search(Layer(text, "", 0))
     rows = [(k, s, e, depth, via) for (k, s, e), (depth, via) in found.items()]
     return sorted(rows, key=lambda r: (r[1], KINDS.index(r[0]), r[2])), layers, oversized
 

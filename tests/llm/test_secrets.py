@@ -124,6 +124,27 @@ def test_runs_glued_to_other_characters(before):
             assert hidden(before + run.rstrip("=") + end), (before, data)
 
 
+def test_all_streams_and_large_layers(monkeypatch):
+    import bz2
+
+    import zstandard
+
+    packs = (gzip.compress, zlib.compress, bz2.compress, zstandard.ZstdCompressor().compress)
+    for pack in packs:
+        for other in packs:
+            run = b64(pack(b"one ") + other(b"token=abcdefgh"))
+            assert hidden(run) == [(run, 1, "base64>compressed")]
+    monkeypatch.setattr(secrets, "LAYER_BYTES", 1000)
+    filler = b"".join(hashlib.sha256(bytes([i % 256, i // 256])).digest().hex().upper().encode() + b"\n" for i in range(300))
+    for at in (0, 700, 990, 1000, 9_000, len(filler)):
+        data = filler[:at] + b"\ntoken=abcdefgh\n" + filler[at:]
+        for pack in packs:
+            for packed in (pack(data), gzip.compress(pack(data))):
+                run = b64(packed)
+                findings, _, oversized = secrets.scan_text(run)
+                assert [f[0] for f in findings if f[3]] == ["assign"] and oversized == 0
+
+
 def test_same_run_twice_is_two_places():
     run = b64(SECRET)
     assert len(hidden(f"{run} and {run}")) == 2
