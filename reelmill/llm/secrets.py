@@ -342,11 +342,14 @@ def scan_text(text: str) -> tuple[list[tuple[str, int, int, int, str]], int, int
         while work:
             layer = work.popleft()
             # The same text from another run is another place, so the place is part of the key.
-            key = (hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), layer.span)
+            raw = layer.text.encode("utf-8", "surrogatepass")
+            key = (hashlib.sha256(raw).digest(), layer.span)
             if key in seen:
                 continue
             seen.add(key)
             layers += 1
+            if not worth_scanning(raw):
+                continue
             for kind, first, last in base_matches(layer.text):
                 place = (kind, *layer.place(first, last))
                 if place not in found or layer.depth < found[place][0]:
