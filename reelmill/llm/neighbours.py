@@ -182,61 +182,6 @@ def fit(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(terms, labels, order)
 
 
-def score(self, terms: np.ndarray) -> np.ndarray:
-        some = terms.any(axis=1)
-        if self.fixed is not None:
-            return np.where(some, self.fixed, 0.0)
-        cosine = unit(weigh(terms, self.idf) @ self.basis) @ self.references.T
-        k = min(NEIGHBOURS, cosine.shape[1])
-        # Ties at the k-th place count in full, so that the order of the sample does not matter.
-        least = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
-        vote = np.where(cosine >= least - 1e-6, np.clip(cosine, 0, 1), 0).astype(np.float64) ** SHARPNESS
-        total = vote.sum(axis=1)
-        score = np.where(total > 0, (vote @ self.labels) / np.where(total > 0, total, 1), 0.5)
-        return np.where(some, np.clip(score, 0, 1), 0.0)
-
-
-def blocks(batches):
-    """Slices of rows with their bytes, bounded in bytes and rows."""
-    for rows in text_slices(batches, limit=SLICE):
-        for first in range(0, rows.num_rows, ROWS):
-            yield rows.slice(first, ROWS)
-
-
-def fit(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from the texts of at most ``sample`` ids of each label in ``labelled`` (doc_id, label).
-
-    The sample is drawn from the labels alone; only its texts are read out, counted in tasks, and
-    come to the driver as sparse rows. Of rows that share an id the least text counts.
-    """
-    chosen = None
-    for label in (0, 1):
-        part = labelled.where(F.col("label") == label).select("doc_id", F.col("label").cast("int").alias("label")).distinct()
-        part = part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id")
-    chosen = chosen.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text")
-    schema = StructType([StructField("label", chosen.schema["label"].dataType), StructField("at", ArrayType(FloatType())), StructField("value", ArrayType(FloatType()))])
-
-    def count(batches):
-        powers = Powers()
-        for rows in blocks(batches):
-            terms = term_matrix(*buffer(rows.column("text")), powers)
-            spots = [np.flatnonzero(r) for r in terms]
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("label"), pa.array([s.astype(np.float32) for s in spots], pa.list_(pa.float32())), pa.array([r[s] for r, s in zip(terms, spots)], pa.list_(pa.float32()))],
-                names=schema.names,
-            )
-
-    found = chosen.mapInArrow(count, schema).toArrow()
-    terms = np.zeros((found.num_rows, TERMS), np.float32)
-    for i, (at, value) in enumerate(zip(found["at"].to_pylist(), found["value"].to_pylist())):
-        terms[i, np.asarray(at, np.int64)] = value
-    # The order of rows follows the tasks; sort it, so that the model does not.
-    order = np.lexsort(terms[:, ::97].T) if len(terms) else np.zeros(0, np.int64)
-    return Model(terms[order], np.asarray(found["label"].to_pylist(), np.int64)[order])
-
-
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """docs with a score from 0 to 1 in ``column``, which must not be one of its own."""
     if column in docs.columns:

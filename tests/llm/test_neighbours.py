@@ -76,3 +76,13 @@ def test_odd_rows(spark):
     only = nb.fit(docs, nb.learnable(labels.where("quality = 1")))
     assert {r.score for r in nb.score(docs, only).collect() if r.text} <= {0.0, 1.0}
     assert nb.fit(docs, nb.learnable(labels.limit(0))).fixed == 1.0
+
+
+def test_nothing_is_defined_twice():
+    import ast
+    import inspect
+
+    from reelmill.llm import neighbours
+
+    names = [x.name for x in ast.parse(inspect.getsource(neighbours)).body if isinstance(x, (ast.FunctionDef, ast.ClassDef))]
+    assert len(names) == len(set(names))
