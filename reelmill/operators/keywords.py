@@ -14,8 +14,9 @@ from reelmill.params import GENERIC_TERMS
 from reelmill.session import stored_side
 
 
-# Terms whose kinds, a byte each, are sent to every executor; a larger vocabulary is joined.
+# Terms whose kinds, two bits each, are sent to every executor; a larger vocabulary is joined.
 KINDS_SENT = 64 << 20
+KIND_BLOCK = 1 << 16  # terms that are packed together: 16 KB
 
 
 def keywords(members: DataFrame, item_vectors: DataFrame, vocab: DataFrame, group: str, n: int = 12) -> DataFrame:
@@ -37,17 +38,37 @@ def keywords(members: DataFrame, item_vectors: DataFrame, vocab: DataFrame, grou
     return found.join(stored_side(vocab.select("term_id", "term")), "term_id").select(group, "term", "weight", "rank")
 
 
+def packed_kinds(kinds: DataFrame, size: int) -> np.ndarray:
+    """Kinds of term ids 0 to size - 1, four in a byte; ids without a row have kind 2.
+
+    Executors pack a range of ids each; blocks of bytes come to the driver, never a row per term.
+    """
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        codes = np.full(KIND_BLOCK, 2, np.uint8)
+        codes[pdf["term_id"].to_numpy() % KIND_BLOCK] = pdf["kind"]
+        bits = codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)
+        return pd.DataFrame({"b": [pdf["term_id"].iloc[0] // KIND_BLOCK], "bits": [bits.sum(axis=1, dtype=np.uint8).tobytes()]})
+
+    blocks = kinds.groupBy(F.expr(f"term_id div {KIND_BLOCK}")).applyInPandas(pack, "b long, bits binary").toArrow()
+    out = np.full(-(-size // KIND_BLOCK) * KIND_BLOCK // 4, 0b10101010, np.uint8)
+    for b, bits in zip(blocks["b"].to_pylist(), blocks["bits"].to_pylist()):
+        out[b * KIND_BLOCK // 4 : (b + 1) * KIND_BLOCK // 4] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def kinds_of(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return (table[ids >> 2] >> ((ids & 3) << 1).astype(np.uint8)) & 3
+
+
 def _strongest_in_place(means: DataFrame, kinds: DataFrame, group: str, size: int, n: int, n_grams: int) -> DataFrame:
-    listed = kinds.toPandas()
-    table = np.full(size, 2, np.int8)
-    table[listed["term_id"]] = listed["kind"]
-    shared = means.sparkSession.sparkContext.broadcast(table)
+    shared = means.sparkSession.sparkContext.broadcast(packed_kinds(kinds, size))
 
     @F.pandas_udf(SHARED)
     def strongest(idx: pd.Series, val: pd.Series) -> pd.Series:
         def one(i, v):
             i, v = np.asarray(i), np.asarray(v)
-            kind = shared.value[i]
+            kind = kinds_of(shared.value, i)
             order = np.lexsort((i, -np.round(v, 9)))
             order = order[v[order] > 0]
             chosen = np.concatenate((order[kind[order] == 1][:n_grams], order[kind[order] == 0][: n - n_grams]))

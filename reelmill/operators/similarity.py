@@ -52,51 +52,126 @@ def _blocks(vectors: DataFrame, size: int) -> Column:
     return F.ceil((entries.scalar() + 1) / F.lit(float(size))).cast("long")
 
 
-def _block_scores(left: pd.DataFrame, right: pd.DataFrame, left_id: str, right_id: str, complete: bool) -> list:
-    """Best matches of each left vector among one block of right vectors."""
-    if not complete:
-        left, right = left[left["norm"] > 0], right[right["norm"] > 0]
-    if left.empty or right.empty:
-        return []
-    right = right.sort_values(right_id, ignore_index=True)
-    sizes = right["idx"].map(len).to_numpy()
-    terms = np.concatenate([*right["idx"].to_list(), np.zeros(0, np.int32)]).astype(np.int64)
-    owner = np.repeat(np.arange(len(right)), sizes)
-    length = np.where(right["norm"] > 0, right["norm"], 1.0)
-    scaled = np.concatenate([*right["val"].to_list(), np.zeros(0)]) / np.repeat(length, sizes)
-    order = np.argsort(terms, kind="stable")
-    by_term, by_owner, by_value = terms[order], owner[order], scaled[order]
-    width = int(by_term[-1]) + 1 if len(by_term) else 0
-    start = np.searchsorted(by_term, np.arange(width + 1))
-    row = np.zeros(width)
-    out = []
-    for key, idx, val, norm, k in zip(left[left_id], left["idx"], left["val"], left["norm"].where(left["norm"] > 0, 1.0), left["k"]):
-        inside = idx < width
+class _SubBlock:
+    """An inverted index of some right vectors of unit length, with the greatest and least weight of every term."""
+
+    def __init__(self, rows: np.ndarray, idx: list, val: list, norm: np.ndarray):
+        self.rows = rows
+        sizes = np.array([len(idx[r]) for r in rows], np.int64)
+        self.terms = np.concatenate([*(idx[r] for r in rows), np.zeros(0, np.int32)]).astype(np.int64)
+        self.owner = np.repeat(np.arange(len(rows)), sizes)
+        self.scaled = np.concatenate([*(val[r] for r in rows), np.zeros(0)]) / np.repeat(norm[rows], sizes)
+        order = np.argsort(self.terms, kind="stable")
+        by_term, self.by_owner, self.by_value = self.terms[order], self.owner[order], self.scaled[order]
+        self.width = int(by_term[-1]) + 1 if len(by_term) else 0
+        self.start = np.searchsorted(by_term, np.arange(self.width + 1))
+        self.line = np.zeros(self.width)
+        self.known, first = np.unique(by_term, return_index=True)
+        if len(first):
+            self.most = np.maximum(np.maximum.reduceat(self.by_value, first), 0.0)
+            self.least = np.minimum(np.minimum.reduceat(self.by_value, first), 0.0)
+
+    def bounds(self, idx: np.ndarray, val: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """For each left vector (entries from ``places``) a value that no product with a row here exceeds."""
+        out = np.zeros(len(places) - 1)
+        if not len(self.known) or not len(idx):
+            return out
+        at = np.minimum(np.searchsorted(self.known, idx), len(self.known) - 1)
+        part = np.where(self.known[at] == idx, np.where(val > 0, self.most[at], self.least[at]) * val, 0.0)
+        total = np.concatenate(([0.0], np.cumsum(part)))
+        return total[places[1:]] - total[places[:-1]]
+
+    def scores(self, idx: np.ndarray, val: np.ndarray, norm: float) -> np.ndarray:
+        """Cosines of one left vector with all rows."""
+        inside = idx < self.width
         idx, val = idx[inside], val[inside]
-        first = start[idx]
-        n = start[idx + 1] - first
+        first = self.start[idx]
+        n = self.start[idx + 1] - first
         total = int(n.sum())
         if total == 0:
-            if not complete:
-                continue
-            score = np.zeros(len(right))
-        elif 2 * total > len(terms):
+            return np.zeros(len(self.rows))
+        if 2 * total > len(self.terms):
             # most of the block is touched: one pass over all of it is cheaper than collecting
-            row[idx] = val
-            score = np.bincount(owner, weights=scaled * row[terms], minlength=len(right)) / norm
-            row[idx] = 0.0
+            self.line[idx] = val
+            found = np.bincount(self.owner, weights=self.scaled * self.line[self.terms], minlength=len(self.rows)) / norm
+            self.line[idx] = 0.0
         else:
             # positions of all entries that share a term with this vector
             spot = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(total)
-            score = np.bincount(by_owner[spot], weights=by_value[spot] * np.repeat(val, n), minlength=len(right)) / norm
-        score = np.round(score, DIGITS)
-        hit = np.arange(len(right)) if complete else np.flatnonzero(score > 0)
-        best = hit[np.argsort(-score[hit], kind="stable")]
-        if k >= 0:
-            best = best[:k]
-        if len(best):
-            out.append(pd.DataFrame({left_id: key, right_id: right[right_id].to_numpy()[best], "cos": score[best]}))
-    return out
+            found = np.bincount(self.by_owner[spot], weights=self.by_value[spot] * np.repeat(val, n), minlength=len(self.rows)) / norm
+        return np.round(found, DIGITS)
+
+
+SUB_BLOCK = 512  # right vectors under one bound
+SLACK = 1e-8  # above the rounding of scores and bounds
+
+
+class Matches:
+    """Best matches of left vectors among right ones that come block by block.
+
+    Right vectors are put in order of their heaviest term and cut into sub-blocks. What a left vector
+    can score in one is bounded by the term weights there; sub-blocks are taken by falling bound, and
+    the rest is passed over once the bound is below the k-th score known so far. That score, a number
+    for each left vector, is kept from block to block. With ``complete`` or no k nothing is passed over.
+    ``met`` and ``passed`` count pairs of a left vector and a sub-block.
+    """
+
+    def __init__(self, left: pd.DataFrame, left_id: str, right_id: str, complete: bool):
+        left = left if complete else left[left["norm"] > 0]
+        self.names, self.complete = (left_id, right_id), complete
+        self.keys = left[left_id].to_numpy()
+        self.idx = [np.asarray(i, np.int64) for i in left["idx"]]
+        self.val = [np.asarray(v, np.float64) for v in left["val"]]
+        self.norm = left["norm"].where(left["norm"] > 0, 1.0).to_numpy()
+        self.k = left["k"].to_numpy()
+        self.places = np.concatenate(([0], np.cumsum([len(i) for i in self.idx]))).astype(np.int64)
+        self.all_idx = np.concatenate([*self.idx, np.zeros(0, np.int64)])
+        self.all_val = np.concatenate([*self.val, np.zeros(0)])
+        self.floor = np.full(len(self.keys), -np.inf)
+        self.met = self.passed = 0
+
+    def among(self, right: pd.DataFrame) -> list[pd.DataFrame]:
+        """Matches in one block that can be among the k best of all blocks so far."""
+        if not self.complete:
+            right = right[right["norm"] > 0]
+        if not len(self.keys) or right.empty:
+            return []
+        right = right.sort_values(self.names[1], ignore_index=True)
+        keys = right[self.names[1]].to_numpy()
+        idx, val = [np.asarray(i, np.int64) for i in right["idx"]], [np.asarray(v, np.float64) for v in right["val"]]
+        norm = right["norm"].where(right["norm"] > 0, 1.0).to_numpy()
+        heaviest = np.array([i[np.argmax(np.abs(v))] if len(i) else -1 for i, v in zip(idx, val)])
+        order = np.arange(len(keys)) if self.complete else np.argsort(heaviest, kind="stable")
+        parts = [_SubBlock(np.sort(order[a : a + SUB_BLOCK]), idx, val, norm) for a in range(0, len(order), SUB_BLOCK)]
+        bounds = np.stack([p.bounds(self.all_idx, self.all_val, self.places) for p in parts], axis=1) / self.norm[:, None]
+        out = []
+        for i, key in enumerate(self.keys):
+            rows, scores = self._best(i, parts, bounds[i])
+            if len(rows):
+                out.append(pd.DataFrame({self.names[0]: key, self.names[1]: keys[rows], "cos": scores}))
+        return out
+
+    def _best(self, i: int, parts: list[_SubBlock], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = int(self.k[i])
+        rows, scores = np.zeros(0, np.int64), np.zeros(0)
+        if k == 0:
+            return rows, scores
+        order = np.argsort(-bounds, kind="stable")
+        for seen, p in enumerate(order):
+            if not self.complete and (bounds[p] <= SLACK / 100 or (k > 0 and bounds[p] + SLACK < self.floor[i])):
+                self.passed += len(order) - seen
+                break
+            self.met += 1
+            found = parts[p].scores(self.idx[i], self.val[i], self.norm[i])
+            hit = np.arange(len(found)) if self.complete else np.flatnonzero(found > max(0.0, self.floor[i] - SLACK))
+            rows, scores = np.concatenate((rows, parts[p].rows[hit])), np.concatenate((scores, found[hit]))
+            if 0 < k < len(rows):
+                best = np.lexsort((rows, -scores))[:k]
+                rows, scores = rows[best], scores[best]
+            if len(rows) == k:
+                self.floor[i] = max(self.floor[i], scores.min())
+        best = np.lexsort((rows, -scores))
+        return rows[best], scores[best]
 
 
 def top_cosine(
@@ -116,10 +191,11 @@ def top_cosine(
     to all. ``k`` may be a column of ``left``, or ``None`` for all of them.
 
     Left vectors that are measured to fit one block go to the executors, and the right side is read
-    where it lies; each task returns k rows per left vector. Otherwise both sides are hashed into blocks of bounded size and each pair of blocks
-    is multiplied in one task through an inverted index, which yields at most k rows per left
-    vector: joining on terms would instead shuffle one row per pair and shared term, and a frequent
-    term would be one huge group. No block depends on how often a term or key occurs.
+    where it lies. Otherwise both sides are hashed into blocks of bounded size and each pair of blocks
+    is multiplied in one task. Either way ``Matches`` passes over what cannot be among the k best and
+    returns at most k rows per left vector and block: joining on terms would instead shuffle one row
+    per pair and shared term, and a frequent term would be one huge group. No block depends on how
+    often a term or key occurs.
     """
     ids = (left.schema[left_id].dataType, right.schema[right_id].dataType)
     schema = T.StructType(
@@ -129,11 +205,12 @@ def top_cosine(
     lefts = left.select(left_id, "idx", "val", "norm", limit.cast("long").alias("k"))
     entries = lefts.agg(F.coalesce(F.sum(F.size("idx") + 1), F.lit(0)).alias("n")).first()["n"]
     if entries <= left_block:
-        shared = left.sparkSession.sparkContext.broadcast(lefts.toPandas())
+        shared = left.sparkSession.sparkContext.broadcast(lefts.toArrow().to_pandas())  # one block, as measured
 
         def read_on(frames):
+            matches = Matches(shared.value, left_id, right_id, complete)
             for pdf in frames:
-                yield from _block_scores(shared.value, pdf, left_id, right_id, complete)
+                yield from matches.among(pdf)
 
         scored = right.select(right_id, "idx", "val", "norm").mapInPandas(read_on, schema)
     else:
@@ -166,7 +243,7 @@ def _multiply_blocks(
     )
 
     def multiply(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        found = _block_scores(l, r, left_id, right_id, complete)
+        found = Matches(l, left_id, right_id, complete).among(r)
         return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=schema.names)
 
     pairs = [spread(side, "_lb", "_rb").groupBy("_lb", "_rb") for side in (lefts, rights)]
@@ -215,7 +292,7 @@ def shared_matrix(item_vectors: DataFrame, item: str):
     entries = item_vectors.agg(F.coalesce(F.sum(F.size("idx")), F.lit(0)).alias("n")).first()["n"]
     if entries > MATRIX_ENTRIES:
         return None
-    packed = item_vectors.select(item, "idx", "val", "norm").toPandas()
+    packed = item_vectors.select(item, "idx", "val", "norm").toArrow().to_pandas()
     place = {k: i for i, k in enumerate(packed[item])}
     content = (place, packed["idx"].to_list(), packed["val"].to_list(), packed["norm"].to_numpy())
     return item_vectors.sparkSession.sparkContext.broadcast(content)

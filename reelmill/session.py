@@ -24,7 +24,6 @@ def local_session(app: str = "reelmill", cores: int | str = 8, memory: str = "12
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
 

@@ -1,8 +1,11 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from reelmill.operators import factors as FA
+from reelmill.operators import keywords as KW
 from reelmill.operators import models as MO
 from reelmill.operators import recommend as RC
 from reelmill.operators import similarity as SI
@@ -56,6 +59,53 @@ def test_complete_lists_have_k_rows(spark, blocks):
     assert {(r["a"], r["b"], r["rank"]) for r in got} == expected and len(got) == 9 * 15
 
 
+def test_bounds_pass_over_blocks_and_lose_nothing():
+    rng = np.random.default_rng(3)
+    topic = rng.integers(0, 20, 4000)
+    right = np.zeros((4000, 400))
+    for i, t in enumerate(topic):  # heavy words of a topic, light words of all
+        right[i, t * 20 + rng.choice(20, 8, replace=False)] = rng.random(8) + 0.5
+        right[i, rng.choice(400, 4, replace=False)] += 0.05
+    left = right[rng.choice(4000, 60, replace=False)]
+
+    def frame(m, key):
+        idx = [np.flatnonzero(r) for r in m]
+        return pd.DataFrame({key: np.arange(len(m)), "idx": idx, "val": [r[i] for r, i in zip(m, idx)], "norm": np.linalg.norm(m, axis=1)})
+
+    matches = SI.Matches(frame(left, "a").assign(k=10), "a", "b", False)
+    found = [part for first in range(0, 4000, 2000) for part in matches.among(frame(right, "b").iloc[first : first + 2000])]
+    found = pd.concat(found).sort_values(["a", "cos", "b"], ascending=[True, False, True]).groupby("a").head(10)
+    c = cosines(left, right)
+    expected = [(a, int(b)) for a in range(60) for b in np.lexsort((np.arange(4000), -c[a]))[:10]]
+    assert list(zip(found["a"], found["b"])) == expected
+    assert matches.passed / (matches.met + matches.passed) > 0.5
+
+
+@pytest.mark.parametrize("arrow", ["true", "false"])
+def test_no_result_hangs_on_the_arrow_setting(spark, matrices, arrow):
+    name = "spark.sql.execution.arrow.pyspark.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, arrow)
+    try:
+        left, right = matrices
+        c = cosines(left, right)
+        assert SI.cosine_pairs(sparse(spark, left, "a"), sparse(spark, right, "b"), "a", "b").count() == int((c > 0).sum())
+        members = spark.createDataFrame([(1, 0), (1, 1), (2, 3)], "g long, b long")
+        assert SI.mean_vectors(members, sparse(spark, right, "b"), "g", "b").count() == 2
+        assert __spark_entry__.entry(spark).count() > 0
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_kinds_are_packed_by_executors(spark):
+    size = KW.KIND_BLOCK + 100
+    kinds = spark.range(0, size, 3).selectExpr("cast(id as int) AS term_id", "cast(id % 2 as tinyint) AS kind")
+    table = KW.packed_kinds(kinds, size)
+    ids = np.arange(size)
+    assert (KW.kinds_of(table, ids) == np.where(ids % 3 == 0, ids % 2, 2)).all()
+    assert 4 * len(table) < size + KW.KIND_BLOCK
+
+
 @pytest.mark.parametrize("entries, part", [(1 << 24, 256), (0, 256), (1 << 24, 2), (0, 2)])
 def test_taste_and_mean_by_every_path(spark, matrices, monkeypatch, entries, part):
     monkeypatch.setattr(SI, "MATRIX_ENTRIES", entries)
