@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmill.llm import bpe, contexts, divergence, near_copies, neighbours, packing, piecewise, secrets, sharding, warc
+from reelmill.llm import bpe, collocations, contexts, divergence, near_copies, neighbours, packing, piecewise, secrets, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -114,3 +114,24 @@ def op5_contexts(spark, sf):
         F.sha2(F.expr(joined.format(base)), 256).alias("base_sha256"), F.expr(joined.format("findings")).alias("spans"),
         F.expr("cast(size(filter(findings, f -> not f.base)) as long)").alias("n_discovered"),
     )
+
+
+@query
+def op11_collocations(spark, sf):
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
+ORACLE["op11_collocations"] = r"""WITH p AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n-\r]')) AS piece FROM documents),
+    w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS ws FROM p),
+    n AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM w GROUP BY lang),
+    i AS (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(ws) >= k),
+    f AS (SELECT lang, k, ws[i : i + k - 1] AS g, count(*) AS a FROM i GROUP BY ALL HAVING count(*) >= 100),
+    inner_ AS (SELECT DISTINCT f.lang, f.g[s : s + m - 1] AS g, f.a FROM f, (SELECT unnest([1, 2, 3, 4]) AS s), (SELECT unnest([2, 3, 4]) AS m) WHERE m < f.k AND s + m - 1 <= f.k),
+    c AS (SELECT * FROM f WHERE k >= 2 AND NOT EXISTS (SELECT 1 FROM inner_ o WHERE o.lang = f.lang AND o.g = f.g AND 100 * o.a >= 100 * f.a)),
+    cut AS (SELECT c.*, x, f1.a AS l, f2.a AS r, n, (1000::HUGEINT * c.a * n) // (f1.a::HUGEINT * f2.a) AS score
+        FROM c, (SELECT unnest([1, 2, 3, 4]) AS x), n, f f1, f f2
+        WHERE x < c.k AND n.lang = c.lang AND f1.lang = c.lang AND f2.lang = c.lang AND f1.g = c.g[: x] AND f2.g = c.g[x + 1 :]),
+    best AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, x) = 1),
+    ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM best)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000"""
