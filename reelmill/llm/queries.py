@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmill.llm import bpe, collocations, contexts, divergence, near_copies, neighbours, packing, piecewise, secrets, sharding, warc
+from reelmill.llm import bpe, collocations, contexts, divergence, near_copies, neighbours, packing, piecewise, secrets, sharding, tries, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -135,3 +135,28 @@ ORACLE["op11_collocations"] = r"""WITH p AS (
     best AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, x) = 1),
     ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM best)
     SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000"""
+
+
+@query
+def op12_prefix_trie(spark, sf):
+    return tries.prefix_trie(table(spark, sf, "conversations"))
+
+
+#: crc32 bit by bit; leaves and savings by way of the conversation with the least id, whose path holds all nodes above.
+ORACLE["op12_prefix_trie"] = """WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) AS p, d, size FROM
+        (SELECT conv_id, turn, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || ':' || coalesce(text, '')) AS d, length(coalesce(text, '')) AS size FROM conversations WHERE conv_id IS NOT NULL)),
+    cs AS (SELECT DISTINCT c, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+        lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1))))) % 6 AS h FROM t),
+    r AS (SELECT cs.c, t.p, t.d, t.size FROM cs JOIN t ON t.c = cs.c - cs.c % 100 AND t.p <= cs.h UNION ALL SELECT cs.c, t.p, t.d, t.size FROM cs JOIN t ON t.c = cs.c AND t.p > cs.h),
+    m AS (SELECT c, row_number() OVER w AS depth, string_agg(d, '') OVER w AS key, size FROM r WINDOW w AS (PARTITION BY c ORDER BY p ROWS UNBOUNDED PRECEDING)
+        UNION ALL SELECT c, 0, '', 0 FROM cs),
+    last AS (SELECT c, max(depth) AS depth FROM m GROUP BY c),
+    nodes AS (SELECT key, depth, min(c) AS conv_id, count(*) AS n, any_value(size) AS size FROM m GROUP BY key, depth),
+    up AS (SELECT key, depth, conv_id, n, size, left(key, len(key) - 32) AS above FROM nodes),
+    kids AS (SELECT above, depth, count(*) AS n FROM up WHERE depth > 0 GROUP BY ALL),
+    own AS (SELECT u.*, coalesce(k.n, 0) AS children FROM up u LEFT JOIN kids k ON k.above = u.key AND k.depth = u.depth + 1),
+    sub AS (SELECT m.key, m.depth, count(*) FILTER (WHERE o.children = 0) AS leaves, sum((o.n - 1) * o.size) AS saved FROM own o JOIN m ON m.c = o.conv_id AND m.depth <= o.depth GROUP BY ALL),
+    ended AS (SELECT m.key, m.depth, sha256(string_agg(m.c::VARCHAR, ',' ORDER BY m.c)) AS sha FROM m JOIN last l ON l.c = m.c AND l.depth = m.depth GROUP BY ALL)
+    SELECT o.conv_id, o.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, o.n AS n_convs, o.children AS n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens,
+        coalesce(e.sha, sha256('')) AS ends_sha256
+    FROM own o LEFT JOIN own p ON o.depth > 0 AND p.key = o.above AND p.depth = o.depth - 1 JOIN sub s ON s.key = o.key AND s.depth = o.depth LEFT JOIN ended e ON e.key = o.key AND e.depth = o.depth"""
