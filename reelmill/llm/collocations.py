@@ -10,10 +10,10 @@ counts and with the only word that ever stands before or after them, if there is
 shards; an only word remains one if all shards name the same.
 
 Three passes keep the sums small. Words are counted first; words that are too rare for any phrase
-are marks from then on. The second pass sums pairs, the third goes on to the full depth, along pairs
-that are frequent in all shards together. What is frequent is sent as a table of ``MARKS`` bits (8 MB
-at every size): a rare word or pair that shares a bit with a frequent one costs work and changes nothing,
-since phrases are kept by their exact sums.
+are marks from then on. The second pass adds up pairs, known by ``PAIR_BITS`` bits of a hash and
+packed by ranges of it; the third walks along pairs that are frequent in all shards together. What is
+frequent is sent as a table of 2^``MARK_BITS`` bits (8 MB at every size). A rare word or pair that
+shares a hash or bit with a frequent one costs work and changes nothing, since phrases are kept by their exact sums.
 
 A phrase that stands in a longer candidate with the same count is dropped. For phrases below the
 full depth that is so if and only if a single word always precedes or always follows them: if any
@@ -49,6 +49,8 @@ KEPT = 400_000
 #: Bits of the tables of frequent words and pairs, and of the blocks in which they are put together.
 MARK_BITS = 26
 BLOCK_BITS = 16
+#: Bits by which pairs are known while they are looked for, and words of text for each range of them.
+PAIR_BITS, RANGE_WORDS = 40, 1 << 20
 #: Piece ends become line ends, tabs become blanks.
 _CUTS = bytes.maketrans(b".,;:!?\n\v\f\r\t", b"\n\n\n\n\n\n\n\n\n\n ")
 BREAK = b"\n"
@@ -191,19 +193,19 @@ class Transform:
         return np.searchsorted(self.places, words * len(self.last) + lo)
 
 
-def walk(s: np.ndarray, longest: int):
+def walk(s: np.ndarray, longest: int, neighbours: bool = True):
     """For 2 to ``longest`` words: all phrases in ``s`` (a row each), counts, and the only words before and after.
 
-    ``s`` has word numbers from 1, and 0 where a piece ends.
+    ``s`` has word numbers from 1, and 0 where a piece ends. The only words are those of ``s`` (0: a
+    piece's end, or several); without ``neighbours`` they are all 0.
     """
     s = np.concatenate(([0], s, [0])).astype(np.int32)
     n_words = int(s.max()) + 1
-    ahead, back = Transform(s, longest), Transform(s[::-1], longest)
+    ahead, back = Transform(s, longest) if neighbours else None, Transform(s[::-1], longest)
     ends = np.cumsum(np.bincount(s, minlength=n_words))
-    lo, hi = ends[:-1], ends[1:]
-    back_lo, back_hi = lo, hi
+    lo, back_lo, back_hi = ends[:-1], ends[:-1], ends[1:]
     phrases = np.arange(1, n_words, dtype=np.int32)[:, None]
-    at, first = spans(back_lo, back_hi)
+    at, _ = spans(back_lo, back_hi)
     after = back.last[at]
     for length in range(2, longest + 1):
         owner = np.repeat(np.arange(len(lo)), back_hi - back_lo)
@@ -211,50 +213,109 @@ def walk(s: np.ndarray, longest: int):
         owner, word = found // n_words, found % n_words
         before = np.cumsum(n) - n
         begin = before[np.searchsorted(owner, np.arange(len(lo)))]  # every phrase has occurrences
-        lo, back_lo = (lo[owner] + before - begin[owner], back.extended(word, back_lo[owner]))
         kept = word > 0
-        lo, back_lo, n, word, owner = lo[kept], back_lo[kept], n[kept], word[kept], owner[kept]
-        hi, back_hi = lo + n, back_lo + n
+        lo = (lo[owner] + before - begin[owner])[kept]
+        owner, word, n = owner[kept], word[kept], n[kept]
         phrases = np.concatenate((phrases[owner], word[:, None].astype(np.int32)), axis=1)
-        at, first = spans(lo, hi)
-        left = only(ahead.last[at], first)
-        at, first = spans(back_lo, back_hi)
-        after = back.last[at]
-        yield phrases, n, left, only(after, first)
+        left = right = np.zeros(len(n), np.int32)
+        if length < longest or neighbours:
+            back_lo = back.extended(word, back_lo[owner])
+            back_hi = back_lo + n
+            at, first = spans(back_lo, back_hi)
+            after = back.last[at]
+        if neighbours:
+            right = only(after, first)
+            at, first = spans(lo, lo + n)
+            left = only(ahead.last[at], first)
+        yield phrases, n, left, right
         if not len(phrases):
             return
 
 
 def frequent_runs(s: np.ndarray, hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """``s`` cut between words whose pair is not marked; runs of fewer than three words are left out."""
+    """``s`` cut between words whose pair is not marked; single words are left out."""
     apart = ~((s[:-1] > 0) & (s[1:] > 0) & marked(table, pair_hashes(hashes[s[:-1]], hashes[s[1:]])))
     run = np.concatenate(([0], np.cumsum(apart)))
-    kept = (s > 0) & (np.bincount(run)[run] >= 3)
+    kept = (s > 0) & (np.bincount(run)[run] > 1)
     s, run = s[kept], run[kept]
     cuts = np.flatnonzero(run[1:] != run[:-1]) + 1
     return np.insert(s, cuts, 0)
 
 
-def shards(texts: DataFrame, table, pairs=None) -> DataFrame:
-    """gram, n and the only neighbours (0: none or several) of the phrases of every shard.
+def gathered(batches, table: np.ndarray):
+    """Shards of a task: word hashes by number, and the numbers with 0 between pieces."""
+    found: dict[str, tuple[Codes, list]] = {}
+    size = 0
+    for rows in read_texts(batches):
+        for lang, text in rows:
+            if lang not in found:
+                found[lang] = (Codes(lang, table), [])
+            codes, parts = found[lang]
+            words = tokens(text)
+            s = np.fromiter(map(codes.__getitem__, words), np.int32, len(words))
+            parts += [s[s >= 0], np.zeros(1, np.int32)]
+            size += len(s)
+            if size >= SHARD:
+                yield from ((codes.hashes(), np.concatenate(parts)) for codes, parts in found.values())
+                found, size = {}, 0
+        if sum(len(codes) for codes, _ in found.values()) > KEPT:
+            for codes, _ in found.values():
+                codes.clear()
+    yield from ((codes.hashes(), np.concatenate(parts)) for codes, parts in found.values())
+
+
+def frequent_pairs(texts: DataFrame, table, least: int, total: int) -> DataFrame:
+    """``bit``: that of every pair with ``least`` occurrences, and of few others.
+
+    Every shard sends, for each range of the pairs' hashes, what lies in it and how often (up to 255,
+    or ``least`` if that is more, which is enough to know). Ranges follow the number of words and are added up each in one task.
+    """
+    bits = min(max(int(total // RANGE_WORDS).bit_length(), 4), 16)
+    low = PAIR_BITS - bits
+    counts = np.uint8 if least <= 255 else np.uint32
+    most = max(least, 255)
+
+    def count(batches):
+        for hashes, s in gathered(batches, table.value):
+            if not s.any():
+                continue
+            phrases, n, _, _ = next(walk(s, 2, neighbours=False))
+            key = pair_hashes(hashes[phrases[:, 0]], hashes[phrases[:, 1]]) >> np.uint64(64 - PAIR_BITS)
+            order = np.argsort(key)
+            key, n = key[order], np.minimum(n[order], most).astype(counts)
+            places = np.searchsorted(key >> np.uint64(low), np.arange((1 << bits) + 1))
+            rest = (key & np.uint64((1 << low) - 1)).astype(np.uint64 if low > 32 else np.uint32)
+            some = np.flatnonzero(np.diff(places))
+            packed = [(rest[places[i] : places[i + 1]].tobytes(), n[places[i] : places[i + 1]].tobytes()) for i in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([p for p, _ in packed], pa.binary()), pa.array([c for _, c in packed], pa.binary())], names=["block", "pairs", "counts"])
+
+    def add(pdf):
+        import pandas as pd
+
+        pairs = np.frombuffer(b"".join(pdf["pairs"]), np.uint64 if low > 32 else np.uint32)
+        n = np.frombuffer(b"".join(pdf["counts"]), counts)
+        order = np.argsort(pairs, kind="stable")
+        pairs = pairs[order]
+        first = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
+        enough = pairs[first][np.add.reduceat(n[order].astype(np.int64), first) >= least].astype(np.int64)
+        return pd.DataFrame({"bit": ((int(pdf["block"].iloc[0]) << low) + enough) >> (PAIR_BITS - MARK_BITS)})
+
+    return texts.mapInArrow(count, "block long, pairs binary, counts binary").groupBy("block").applyInPandas(add, "bit long")
 
-    Without ``pairs`` these are all pairs of marked words; with a table of pairs, phrases of three to
-    ``LONGEST`` words along marked ones. A gram is the hashes of its words.
+
+def shards(texts: DataFrame, table, pairs) -> DataFrame:
+    """gram, n and the only neighbours (0: none or several) of the phrases along marked pairs in every shard.
+
+    A gram is the hashes of its words.
     """
-    names = ["gram", "n", "before", "after"]
-
-    def indexed(gathered):
-        for codes, parts in gathered.values():
-            hashes = codes.hashes()
-            s = np.concatenate(parts)
-            if pairs is not None:
-                s = frequent_runs(s, hashes, pairs.value)
+
+    def indexed(batches):
+        for hashes, s in gathered(batches, table.value):
+            s = frequent_runs(s, hashes, pairs.value)
             if not s.any():
                 continue
             signed = hashes.view(np.int64)
-            for phrases, n, left, right in walk(s, 2 if pairs is None else LONGEST):
-                if pairs is not None and phrases.shape[1] < 3:
-                    continue
+            for phrases, n, left, right in walk(s, LONGEST):
                 if phrases.shape[1] == LONGEST:  # nothing longer is a candidate
                     left, right = np.zeros_like(left), np.zeros_like(right)
                 for i in range(0, len(n), 50_000):
@@ -262,38 +323,19 @@ def shards(texts: DataFrame, table, pairs=None) -> DataFrame:
                     rows = signed[phrases[part]]
                     places = pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32))
                     gram = pa.ListArray.from_arrays(places, pa.array(rows.ravel()))
-                    yield pa.RecordBatch.from_arrays([gram, pa.array(n[part].astype(np.int64)), pa.array(signed[left[part]]), pa.array(signed[right[part]])], names=names)
+                    yield pa.RecordBatch.from_arrays([gram, pa.array(n[part].astype(np.int64)), pa.array(signed[left[part]]), pa.array(signed[right[part]])], names=["gram", "n", "before", "after"])
 
-    def gather(batches):
-        gathered: dict[str, tuple[Codes, list]] = {}
-        size = 0
-        for rows in read_texts(batches):
-            for lang, text in rows:
-                if lang not in gathered:
-                    gathered[lang] = (Codes(lang, table.value), [])
-                codes, parts = gathered[lang]
-                words = tokens(text)
-                s = np.fromiter(map(codes.__getitem__, words), np.int32, len(words))
-                parts += [s[s >= 0], np.zeros(1, np.int32)]
-                size += len(s)
-                if size >= SHARD:
-                    yield from indexed(gathered)
-                    gathered, size = {}, 0
-            if sum(len(codes) for codes, _ in gathered.values()) > KEPT:
-                for codes, _ in gathered.values():
-                    codes.clear()
-        yield from indexed(gathered)
-
-    return texts.mapInArrow(gather, "gram array<long>, n long, before long, after long")
-
-
-def summed(found: DataFrame, least: int, *keys: str) -> DataFrame:
+    return texts.mapInArrow(indexed, "gram array<long>, n long, before long, after long")
+
+
+def summed(found: DataFrame, least: int) -> DataFrame:
     """Counts of all shards, of phrases with ``least`` occurrences, and whether a longer one occurs as often."""
-    total = found.groupBy(*keys).agg(
+    # A shard names a phrase once, so there is nothing to add up before rows move.
+    total = found.repartition("gram").groupBy("gram").agg(
         F.sum("n").alias("a"), F.min("before").alias("b0"), F.max("before").alias("b1"), F.min("after").alias("a0"), F.max("after").alias("a1")
     ).where(F.col("a") >= least)
     inside = ((F.col("b0") == F.col("b1")) & (F.col("b0") != 0)) | ((F.col("a0") == F.col("a1")) & (F.col("a0") != 0))
-    return total.withColumn("inside", inside).select(*keys, "a", "inside")
+    return total.select("gram", "a", inside.alias("inside"))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
@@ -302,19 +344,12 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     table = word_table(texts, least)
     words = table.where("word is not null").withColumn("h", F.xxhash64("lang", "word"))
+    totals = table.where("word is null").select("lang", F.col("n").alias("total"))
+    total = totals.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()["n"]
     frequent = spark.sparkContext.broadcast(mark_table(words.select(F.shiftrightunsigned("h", 64 - MARK_BITS).alias("bit"))))
-    pairs = shards(texts, frequent).select(F.get("gram", F.lit(0)).alias("w1"), F.get("gram", F.lit(1)).alias("w2"), "n", "before", "after")
-    pairs = store(summed(pairs, least, "w1", "w2"), "pairs")
-
-    def pair_bits(batches):
-        for rows in batches:
-            first, second = (rows.column(c).to_numpy().view(np.uint64) for c in ("w1", "w2"))
-            yield pa.RecordBatch.from_arrays([pa.array((pair_hashes(first, second) >> np.uint64(64 - MARK_BITS)).astype(np.int64))], names=["bit"])
-
-    along = spark.sparkContext.broadcast(mark_table(pairs.select("w1", "w2").mapInArrow(pair_bits, "bit long")))
-    longer = summed(shards(texts, frequent, along), least, "gram")
-    grams = store(pairs.select(F.array("w1", "w2").alias("gram"), "a", "inside").unionByName(longer), "phrases")
-    return ranked(grams, words, table.where("word is null").select("lang", F.col("n").alias("total")), top)
+    along = spark.sparkContext.broadcast(mark_table(frequent_pairs(texts, frequent, least, total)))
+    grams = store(summed(shards(texts, frequent, along), least), "phrases")
+    return ranked(grams, words, totals, top)
 
 
 def ranked(grams: DataFrame, words: DataFrame, totals: DataFrame, top: int) -> DataFrame:
