@@ -32,6 +32,7 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -103,9 +104,7 @@ def word_table(texts: DataFrame, least: int) -> DataFrame:
 def mark_table(bits: DataFrame) -> np.ndarray:
     """The packed bits whose numbers are in column ``bit``: blocks are made by executors."""
 
-    def pack(pdf):
-        import pandas as pd
-
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         block = np.zeros(1 << BLOCK_BITS, np.uint8)
         block[pdf["bit"].to_numpy() & ((1 << BLOCK_BITS) - 1)] = 1
         return pd.DataFrame({"block": [int(pdf["bit"].iloc[0]) >> BLOCK_BITS], "bits": [np.packbits(block, bitorder="little").tobytes()]})
@@ -264,13 +263,17 @@ def gathered(batches, table: np.ndarray):
     yield from ((codes.hashes(), np.concatenate(parts)) for codes, parts in found.values())
 
 
-def frequent_pairs(texts: DataFrame, table, least: int, total: int) -> DataFrame:
+def range_bits(total: int) -> int:
+    """Leading bits of a hash that tell its range: ranges follow the number of words."""
+    return min(max(int(total // RANGE_WORDS).bit_length(), 4), 16)
+
+
+def frequent_pairs(texts: DataFrame, table, least: int, bits: int) -> DataFrame:
     """``bit``: that of every pair with ``least`` occurrences, and of few others.
 
     Every shard sends, for each range of the pairs' hashes, what lies in it and how often (up to 255,
-    or ``least`` if that is more, which is enough to know). Ranges follow the number of words and are added up each in one task.
+    or ``least`` if that is more, which is enough to know). Ranges are added up each in one task.
     """
-    bits = min(max(int(total // RANGE_WORDS).bit_length(), 4), 16)
     low = PAIR_BITS - bits
     counts = np.uint8 if least <= 255 else np.uint32
     most = max(least, 255)
@@ -289,9 +292,7 @@ def frequent_pairs(texts: DataFrame, table, least: int, total: int) -> DataFrame
             packed = [(rest[places[i] : places[i + 1]].tobytes(), n[places[i] : places[i + 1]].tobytes()) for i in some]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([p for p, _ in packed], pa.binary()), pa.array([c for _, c in packed], pa.binary())], names=["block", "pairs", "counts"])
 
-    def add(pdf):
-        import pandas as pd
-
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
         pairs = np.frombuffer(b"".join(pdf["pairs"]), np.uint64 if low > 32 else np.uint32)
         n = np.frombuffer(b"".join(pdf["counts"]), counts)
         order = np.argsort(pairs, kind="stable")
@@ -303,39 +304,49 @@ def frequent_pairs(texts: DataFrame, table, least: int, total: int) -> DataFrame
     return texts.mapInArrow(count, "block long, pairs binary, counts binary").groupBy("block").applyInPandas(add, "bit long")
 
 
-def shards(texts: DataFrame, table, pairs) -> DataFrame:
-    """gram, n and the only neighbours (0: none or several) of the phrases along marked pairs in every shard.
+def frequent_phrases(texts: DataFrame, table, pairs, least: int, bits: int) -> DataFrame:
+    """gram (hashes of its words), a and inside (a longer candidate occurs as often) of phrases with ``least`` occurrences.
 
-    A gram is the hashes of its words.
+    Every shard walks along marked pairs and sends what it finds packed by length and range, with the
+    only neighbours of each phrase (0: none or several). Ranges are added up each in one task.
     """
+    names = ["block", "length", "words", "n", "before", "after"]
 
     def indexed(batches):
         for hashes, s in gathered(batches, table.value):
             s = frequent_runs(s, hashes, pairs.value)
             if not s.any():
                 continue
-            signed = hashes.view(np.int64)
             for phrases, n, left, right in walk(s, LONGEST):
-                if phrases.shape[1] == LONGEST:  # nothing longer is a candidate
+                length = phrases.shape[1]
+                if length == LONGEST:  # nothing longer is a candidate
                     left, right = np.zeros_like(left), np.zeros_like(right)
-                for i in range(0, len(n), 50_000):
-                    part = slice(i, i + 50_000)
-                    rows = signed[phrases[part]]
-                    places = pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32))
-                    gram = pa.ListArray.from_arrays(places, pa.array(rows.ravel()))
-                    yield pa.RecordBatch.from_arrays([gram, pa.array(n[part].astype(np.int64)), pa.array(signed[left[part]]), pa.array(signed[right[part]])], names=["gram", "n", "before", "after"])
-
-    return texts.mapInArrow(indexed, "gram array<long>, n long, before long, after long")
-
-
-def summed(found: DataFrame, least: int) -> DataFrame:
-    """Counts of all shards, of phrases with ``least`` occurrences, and whether a longer one occurs as often."""
-    # A shard names a phrase once, so there is nothing to add up before rows move.
-    total = found.repartition("gram").groupBy("gram").agg(
-        F.sum("n").alias("a"), F.min("before").alias("b0"), F.max("before").alias("b1"), F.min("after").alias("a0"), F.max("after").alias("a1")
-    ).where(F.col("a") >= least)
-    inside = ((F.col("b0") == F.col("b1")) & (F.col("b0") != 0)) | ((F.col("a0") == F.col("a1")) & (F.col("a0") != 0))
-    return total.select("gram", "a", inside.alias("inside"))
+                words = hashes[phrases]
+                key = np.zeros(len(words), np.uint64)
+                for i in range(length):
+                    key = pair_hashes(key, words[:, i])
+                block = key >> np.uint64(64 - bits)
+                order = np.argsort(block, kind="stable")
+                places = np.searchsorted(block[order], np.arange((1 << bits) + 1))
+                columns = (words[order], n[order].astype(np.int64), hashes[left[order]], hashes[right[order]])
+                some = np.flatnonzero(np.diff(places))
+                packed = [[c[places[i] : places[i + 1]].tobytes() for i in some] for c in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([length] * len(some), pa.int64()), *(pa.array(c, pa.binary()) for c in packed)], names=names)
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        length = int(pdf["length"].iloc[0])
+        words = np.frombuffer(b"".join(pdf["words"]), np.int64).reshape(-1, length)
+        n, before, after = (np.frombuffer(b"".join(pdf[c]), np.int64) for c in names[3:])
+        order = np.lexsort(words.T)
+        words = words[order]
+        first = np.flatnonzero(np.concatenate(([True], (words[1:] != words[:-1]).any(axis=1))))
+        a = np.add.reduceat(n[order], first)
+        inside = (only(before[order], first) != 0) | (only(after[order], first) != 0)
+        enough = a >= least
+        return pd.DataFrame({"gram": pd.Series(words[first][enough].tolist(), dtype=object), "a": a[enough], "inside": inside[enough]})
+
+    packed = texts.mapInArrow(indexed, "block long, length long, words binary, n binary, before binary, after binary")
+    return packed.groupBy("block", "length").applyInPandas(add, "gram array<long>, a long, inside boolean")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
@@ -347,8 +358,9 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     totals = table.where("word is null").select("lang", F.col("n").alias("total"))
     total = totals.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()["n"]
     frequent = spark.sparkContext.broadcast(mark_table(words.select(F.shiftrightunsigned("h", 64 - MARK_BITS).alias("bit"))))
-    along = spark.sparkContext.broadcast(mark_table(frequent_pairs(texts, frequent, least, total)))
-    grams = store(summed(shards(texts, frequent, along), least), "phrases")
+    bits = range_bits(total)
+    along = spark.sparkContext.broadcast(mark_table(frequent_pairs(texts, frequent, least, bits)))
+    grams = store(frequent_phrases(texts, frequent, along, least, bits), "phrases")
     return ranked(grams, words, totals, top)
 
 
