@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmill.llm import bpe, collocations, contexts, divergence, near_copies, neighbours, packing, piecewise, secrets, sharding, tries, warc
+from reelmill.llm import bpe, collocations, contexts, divergence, near_copies, neighbours, packing, piecewise, secrets, sharding, toxicity, tries, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -160,3 +160,13 @@ ORACLE["op12_prefix_trie"] = """WITH t AS (SELECT conv_id AS c, row_number() OVE
     SELECT o.conv_id, o.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, o.n AS n_convs, o.children AS n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens,
         coalesce(e.sha, sha256('')) AS ends_sha256
     FROM own o LEFT JOIN own p ON o.depth > 0 AND p.key = o.above AND p.depth = o.depth - 1 JOIN sub s ON s.key = o.key AND s.depth = o.depth LEFT JOIN ended e ON e.key = o.key AND e.depth = o.depth"""
+
+
+@query
+def op13_toxicity(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, toxicity.learnable(table(spark, sf, "labels")))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
