@@ -33,6 +33,14 @@ def text_slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iter
     give_back()
 
 
+def other_name(name: str, taken) -> str:
+    """``name``, longer by underscores until no column in ``taken`` has it, in any case."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def give_back() -> None:
     """Return freed memory to the system: workers live on, and executors are held to all that they hold."""
     pa.default_memory_pool().release_unused()
