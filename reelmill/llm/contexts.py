@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelmill.llm.batches import other_name
 from reelmill.session import small_side, store
 
 KINDS = ("email", "ip", "card", "phone")
@@ -39,8 +40,15 @@ PATTERNS = {
 #: What a text must hold for a pattern to be tried on it.
 SIGNS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _BLANK = r"\x20\x09-\x0D"
-#: Identifier-like strings: something with an at sign, or digits in groups.
-CANDIDATE = rf"(?<![^{_BLANK}@])[^{_BLANK}@]++@[^{_BLANK}@]++|(?<![0-9])[0-9][0-9\x20().:/-]{{5,}}[0-9]"
+#: Digits in groups with narrow separators; a group ends before what looks like an address, a card or a date.
+_APART = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]|[0-9]{4}(?:[\x20-][0-9]{4}){3}|[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}(?![0-9])|[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{4}(?![0-9])"
+_JOINT = r"(?:[\x20.:/-]|\)\x20?|\x20?\()"
+#: Identifier-like strings: something with an at sign; what looks like an address, a card or a date, each on its own; digits in groups.
+CANDIDATE = (
+    rf"(?<![^{_BLANK}@])[^{_BLANK}@]++@[^{_BLANK}@]++"
+    r"|(?<![0-9])(?:[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++(?:[.:][0-9]++)*+|[0-9]{4}(?:[\x20-][0-9]{4}){3}(?:[\x20-]?[0-9]){0,3}(?![0-9])|[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])"
+    rf"|(?=[0-9\x20().:/-]{{7}})[0-9]++(?:{_JOINT}(?!{_APART})[0-9]++)*+)"
+)
 #: Outward form that a discovered identifier of each kind must have.
 FORMS = {
     "email": r"^[^@]+@[^@]*[A-Za-z0-9][^@]*$",
@@ -72,10 +80,36 @@ def cut(text: str, pattern: str, sign: str | None) -> Column:
     return F.when(F.col(text).contains(sign), marked).otherwise(whole) if sign else marked
 
 
-def part_ends(parts: str) -> Column:
-    """Characters of the text up to the end of each part."""
-    sizes = F.transform(parts, lambda p, i: (F.length(p) - F.when(i > 0, 1).otherwise(0)).cast("long"))
-    return F.aggregate(sizes, F.array().cast("array<bigint>"), lambda a, n: F.array_append(a, n + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0))))
+#: Entries of an array that are added up one after the other; longer arrays go by such pieces.
+PIECE = 64
+
+
+def running(values: Column, combine) -> Column:
+    """Running totals of an array of numbers by an associative function.
+
+    Appending to an array copies it, so pieces of ``PIECE`` entries are added up on their own, then the
+    pieces' totals; what is copied grows with the square of a 64th of the length.
+    """
+    none = F.array().cast("array<bigint>")
+
+    def totals(array):
+        return F.aggregate(array, none, lambda a, n: F.array_append(a, F.when(F.size(a) > 0, combine(F.try_element_at(a, F.lit(-1)), n)).otherwise(n)))
+
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / PIECE).cast("int")), lambda i: totals(F.slice(values, i * PIECE + 1, PIECE)))
+
+    # Lists of one entry, so that pieces and their totals are computed once.
+    def after(pieces, before):
+        return F.flatten(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(F.transform(p, lambda n: combine(F.get(before, i - 1), n)))))
+
+    def with_totals(pieces):
+        return F.flatten(F.transform(F.array(totals(F.transform(pieces, lambda p: F.try_element_at(p, F.lit(-1))))), lambda before: after(pieces, before)))
+
+    long = F.flatten(F.transform(F.array(pieces), with_totals))
+    return F.when(F.size(values) <= PIECE, totals(values)).otherwise(long)
+
+
+def part_sizes(parts: str) -> Column:
+    return F.transform(parts, lambda p, i: (F.length(p) - F.when(i > 0, 1).otherwise(0)).cast("long"))
 
 
 def spans(parts: str, ends: str) -> Column:
@@ -135,7 +169,8 @@ def scan(docs: DataFrame) -> DataFrame:
     for kind in (*KINDS, "candidate"):
         pattern, sign = (PATTERNS[kind], SIGNS[kind]) if kind in PATTERNS else (CANDIDATE, None)
         rows = step(rows, [*keep, "_text"], _parts=cut("_text", pattern, sign))
-        rows = step(rows, [*keep, "_text", "_parts"], _ends=part_ends("_parts"))
+        rows = step(rows, [*keep, "_text", "_parts"], _sizes=part_sizes("_parts"))
+        rows = step(rows, [*keep, "_text", "_parts"], _ends=running(F.col("_sizes"), lambda a, b: a + b))
         found = spans("_parts", "_ends")
         if kind in PATTERNS:
             found = F.filter(found, lambda s: valid(kind, s["value"]))
@@ -143,8 +178,32 @@ def scan(docs: DataFrame) -> DataFrame:
         keep.append(kind)
     base = F.flatten(F.array(*(F.transform(k, lambda s: F.struct(s["start"], s["end"])) for k in KINDS)))
     rows = step(rows, keep, _base=base)
-    free = F.filter("candidate", lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return store(rows.withColumn("candidate", free).drop("_base"), "entities")
+    rows = step(rows, [*keep, "_base"], _order=in_order("candidate", "_base"))
+    rows = step(rows, [*keep, "_base", "_order"], _left=running(F.transform("_order", lambda x: F.when(x["base"], x["end"]).otherwise(0)), F.greatest), _right=running(F.transform(F.reverse("_order"), lambda x: F.when(x["base"], x["start"]).otherwise(FAR)), F.least))
+    few = F.filter("candidate", lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    # Of many, those with a base finding that begins before and reaches into them, or begins in them, are left out.
+    many = F.transform(
+        F.filter(
+            F.transform("_order", lambda x, i: F.struct(x["i"].alias("i"), (~x["base"] & (F.coalesce(F.get("_left", i - 1), F.lit(0)) <= x["start"]) & (F.coalesce(F.get("_right", F.size("_order") - i - 2), F.lit(FAR)) >= x["end"])).alias("free"))),
+            lambda x: x["free"],
+        ),
+        lambda x: F.get("candidate", x["i"]),
+    )
+    free = F.when(F.size("_order") == 0, few).otherwise(many)
+    return store(rows.withColumn("candidate", free).drop("_base", "_order", "_left", "_right"), "entities")
+
+
+#: Pairs of candidates and base findings of a text that are compared one by one; an end beyond all texts.
+COMPARED, FAR = 4096, 1 << 62
+
+
+def in_order(candidates: str, base: str) -> Column:
+    """Candidates (with their number) and base findings by place; none if they are few enough to be compared one by one."""
+    both = F.concat(
+        F.transform(candidates, lambda c, i: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit(False).alias("base"), i.alias("i"))),
+        F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.lit(True).alias("base"), F.lit(-1).alias("i"))),
+    )
+    return F.when(F.size(candidates).cast("long") * F.size(base) > COMPARED, F.array_sort(both)).otherwise(F.slice(both, 1, 0))
 
 
 def occurrences(scanned: DataFrame) -> DataFrame:
@@ -206,7 +265,8 @@ def find(docs: DataFrame) -> DataFrame:
     """
     scanned = scan(docs)
     found = store(occurrences(scanned), "occurrences")
-    more = discoveries(found, confident_patterns(found))
+    # Copies of a text are many rows with one key: the few texts with discoveries are sent to them if measured to be small.
+    more = small_side(discoveries(found, confident_patterns(found)))
     rows = scanned.drop("candidate").join(more, "_key", "left")
     order = F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))))
     lists = []
@@ -221,32 +281,34 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every finding replaced by its kind in angle brackets; overlapping ones by that of the first."""
     names = docs.columns
-    marked = find(docs).where(F.size("findings") > 0).dropDuplicates(["_key"]).select("_key", "findings")
-    marked = small_side(marked.select(F.col("_key").alias("__key"), F.transform("findings", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("__found")))
-    keyed = docs.withColumn("__key", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    rows = keyed.join(marked, "__key", "left").withColumn("__found", F.array_sort("__found"))
-    # Spans that overlap or touch the last one are joined to it.
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")
-
-    def merge(a, s):
-        last = F.try_element_at(a, F.lit(-1))
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        apart = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
-        overlaps = F.coalesce(s["start"] < last["end"], F.lit(False))
-        return F.when(overlaps, F.array_append(F.slice(a, 1, F.size(a) - 1), joined)).otherwise(F.array_append(a, apart))
-
-    rows = rows.withColumn("__found", F.when(F.size("__found") > 0, F.aggregate("__found", empty, merge)))
-    chars = F.when(F.col("__found").isNotNull(), F.split("text", ""))
-    rows = step(rows, [*names, "__found"], __chars=chars)
-    last = F.size("__found") - 1
+    key, spans_, sizes, reached, chars = (other_name(n, names) for n in ("_key", "_spans", "_sizes", "_reached", "_chars"))
+    marked = find(docs.select("doc_id", "text")).where(F.size("findings") > 0).dropDuplicates(["_key"])
+    listed = F.array_sort(F.transform("findings", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    marked = marked.select(F.col("_key").alias(key), listed.alias(spans_))
+    marked = step(marked, [key, spans_], **{reached: running(F.transform(spans_, lambda s: s["end"]), F.greatest)})
+    # Spans that overlap those before them go with the first; ``reached`` is how far all up to one go.
+    heads = F.filter(
+        F.transform(spans_, lambda s, i: F.struct(i.alias("i"), ((i == 0) | (s["start"] >= F.get(reached, i - 1))).alias("head"))), lambda x: x["head"]
+    )
+    marked = step(marked, [key, spans_, reached], **{sizes: F.transform(heads, lambda x: x["i"])})
+
+    def joined(i, k):
+        last = F.when(k < F.size(sizes) - 1, F.get(sizes, k + 1)).otherwise(F.size(spans_)) - 1
+        s = F.get(spans_, i)
+        return F.struct(s["start"].alias("start"), F.get(reached, last).alias("end"), s["kind"].alias("kind"))
+
+    marked = small_side(marked.select(key, F.transform(sizes, joined).alias(spans_)))
+    rows = docs.withColumn(key, F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))).join(marked, key, "left")
+    rows = step(rows, [*names, spans_], **{chars: F.when(F.col(spans_).isNotNull(), F.split("text", ""))})
+    last = F.size(spans_) - 1
 
     def piece(s, i):
-        begin = F.when(i > 0, F.get("__found", i - 1)["end"]).otherwise(0)
-        before = F.array_join(F.slice("__chars", (begin + 1).cast("int"), (s["start"] - begin).cast("int")), "")
-        rest = F.when(i == last, F.array_join(F.slice("__chars", (s["end"] + 1).cast("int"), F.greatest(F.size("__chars") - s["end"], F.lit(0)).cast("int")), "")).otherwise("")
+        begin = F.when(i > 0, F.get(spans_, i - 1)["end"]).otherwise(0)
+        before = F.array_join(F.slice(chars, (begin + 1).cast("int"), (s["start"] - begin).cast("int")), "")
+        rest = F.when(i == last, F.array_join(F.slice(chars, (s["end"] + 1).cast("int"), F.greatest(F.size(chars) - s["end"], F.lit(0)).cast("int")), "")).otherwise("")
         return F.concat(before, F.lit("<"), F.upper(s["kind"]), F.lit(">"), rest)
 
-    text = F.when(F.col("__found").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__found", piece), ""))
+    text = F.when(F.col(spans_).isNull(), F.col("text")).otherwise(F.array_join(F.transform(spans_, piece), ""))
     rows = step(rows, [c for c in names if c != "text"], text=text)
     if "n_chars" in names:
         rows = rows.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))

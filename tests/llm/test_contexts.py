@@ -1,9 +1,13 @@
+import time
+import math
+import itertools
 import hashlib
 import random
 import re
 
 import pytest
 
+from pyspark.sql import functions as F
 from reelmill.llm import contexts as cx
 from reelmill.llm.queries import op5_contexts
 
@@ -107,3 +111,79 @@ def test_odd_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = op5_contexts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_identifiers_in_a_row_are_several(spark):
+    texts = taught()[:8] + ["please call me 020 7946 0001 / 020 7946 1001 today", "please call me 020 7946 0958 2024-01-01", "please call me 020 7946 0959 10.0.0.1 or so"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    listed = {r.doc_id: [c["value"] for c in r.candidate] for r in cx.scan(df).collect()}
+    assert listed[8] == ["020 7946 0001", "020 7946 1001"] and listed[9][0] == "020 7946 0958" and listed[10] == ["020 7946 0959"]
+    more = {(r.doc_id, texts[r.doc_id][f.start : f.end]) for r in cx.find(df).collect() for f in r.findings if not f.base}
+    assert {(8, "020 7946 0001"), (9, "020 7946 0958"), (10, "020 7946 0959")} <= more
+
+
+def scores_by_hand(edges, turns):
+    """(pattern, kind) -> confidence; ``edges``: (pattern, value, kind or None), one for each pattern and value."""
+    kinds = {v: k for _, v, k in edges if k}
+    patterns = {}
+    for p, v, _ in edges:
+        patterns.setdefault(p, set()).add(v)
+    known = {(p, k) for p, vs in patterns.items() for k in cx.KINDS if sum(kinds.get(v) == k for v in vs) >= cx.SUPPORT}
+    trust = {(v, k): 1.0 for v, k in kinds.items()}
+    for turn in range(turns):
+        scores = {(p, k): sum(trust.get((v, k), 0.0) for v in patterns[p]) / (len(patterns[p]) + cx.SMOOTHING) for p, k in known}
+        if turn + 1 < turns:
+            trust = {(v, k): 1.0 for v, k in kinds.items()}
+            for v in {v for vs in patterns.values() for v in vs} - set(kinds):
+                for k in cx.KINDS:
+                    doubts = [1 - min(c, 0.99) for (p, q), c in scores.items() if q == k and v in patterns[p]]
+                    if doubts and re.search(cx.FORMS[k], v):
+                        trust[v, k] = 1 - math.prod(doubts)
+    return scores
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_graph_scores_as_by_hand(spark, seed):
+    rng = random.Random(seed)
+    seeds = [(f"+1 200 555 {i:04d}", "phone") for i in range(12)] + [(f"u{i}@mail.example.com", "email") for i in range(12)]
+    others = [(f"555 000 {i:04d}", None) for i in range(12)] + [(f"root{i}@local", None) for i in range(6)]
+    edges = sorted({(f"p{rng.randrange(6)} _", *rng.choice(seeds + others)) for _ in range(90)}, key=str)
+    df = spark.createDataFrame([("k", k, v, p, 0, 1) for p, v, k in edges], "_key string, kind string, value string, pattern string, start long, end long")
+    expected = {x: c for x, c in scores_by_hand(edges, cx.TURNS).items() if c >= cx.CONFIDENCE}
+    got = {(r.pattern, r.kind): r.confidence for r in cx.confident_patterns(df).collect()}
+    assert got.keys() == expected.keys() and all(abs(got[x] - expected[x]) < 1e-9 for x in got)
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 200, 1000])
+def test_running_totals(spark, n):
+    values = [(i * 37) % 101 for i in range(n)]
+    df = spark.createDataFrame([(values,)], "v array<long>")
+    row = df.select(cx.running(F.col("v"), lambda a, b: a + b).alias("s"), cx.running(F.col("v"), F.greatest).alias("m")).first()
+    assert row.s == list(itertools.accumulate(values)) and row.m == list(itertools.accumulate(values, max))
+
+
+def test_time_does_not_grow_with_the_square_of_matches(spark):
+    def seconds(n):
+        df = spark.createDataFrame([(1, "a@b.cd 1.2.3.4 " * n)], "doc_id long, text string")
+        start = time.time()
+        assert cx.redact(df).first().text == "<EMAIL> <IP> " * n
+        return time.time() - start
+
+    seconds(10)
+    assert seconds(20_000) < 3 * seconds(10_000) + 2
+
+
+def test_many_findings_as_few(spark, monkeypatch):
+    rng = random.Random(3)
+    pieces = ["a@b.cd", "10.0.0.1", "020 7946 0001", "+1 200 555 1000", "4111 1111 1111 1111", "word", "7 8 9 10 11 12", "x@y", "1.2.3.4 555 000 1111"]
+    df = spark.createDataFrame([(i, " ".join(rng.choice(pieces) for _ in range(40))) for i in range(40)], "doc_id long, text string")
+    few = sorted(map(str, cx.scan(df).collect()))
+    monkeypatch.setattr(cx, "COMPARED", 0)
+    assert sorted(map(str, cx.scan(df).collect())) == few
+
+
+def test_own_columns_keep_their_values(spark):
+    names = ["_key", "_spans", "_sizes", "_reached", "_chars", "__key", "__found", "KEY"]
+    df = spark.createDataFrame([(1, "a@b.cd", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = cx.redact(df)
+    assert out.columns == df.columns and out.first()[2:] == tuple(names) and out.first().text == "<EMAIL>"
