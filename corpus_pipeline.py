@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all that the stage before
 kept. All but the last return the columns of ``docs``. ``run`` stores every stage as Parquet and reads
 it again, so a lost executor never sends the work back to the start.
+
+Defined results: a null or empty text has no quality and goes in the first stage; equal texts share
+their fate up to the third, which keeps the least doc_id; of rows that share a doc_id one stays there, and
+rows without one stay unless a kept row has their text; null lang, source and n_chars stay as they are;
+very long texts are read whole; further columns are kept, whatever their names; empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -11,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelmill.llm import contexts, divergence, near_copies, neighbours, packing
+from reelmill.llm.batches import other_name
 from reelmill.llm.queries import table, tokenizer_path
 from reelmill.session import store
 
@@ -24,8 +30,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     It learns from the labels of the documents at hand; held-out rows teach nothing here either.
     """
     model = neighbours.fit(docs, neighbours.learnable(table(spark, sf_dir, "labels")))
-    scored = neighbours.score(docs, model, "__score")
-    return scored.where(F.col("__score") >= neighbours.THRESHOLD).drop("__score")
+    column = other_name("_score", docs.columns)
+    return neighbours.score(docs, model, column).where(F.col(column) >= neighbours.THRESHOLD).drop(column)
 
 
 def keep_regular(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

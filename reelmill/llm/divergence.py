@@ -19,9 +19,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelmill.llm.batches import other_name
 from reelmill.session import small_side, store
 
 #: Blanks, symbols, and common words of each language.
@@ -39,6 +40,8 @@ KINDS = {"small": "[a-z]", "beyond": r"[^\x00-\x7F]", "capital": "[A-Z]", "digit
 KIND_LIMIT, WORD_LIMIT = (0.16, 0.85), (0.21, 1.25)
 LEAST_CHARACTERS, LEAST_WORDS = 200, 50
 TRIMMED = ".,;:!?"
+#: Steps from 0 to 1 to which shares are rounded for the medians.
+STEPS = 10_000
 
 
 def step(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
@@ -97,18 +100,25 @@ def total_of(counts: Column) -> Column:
     return F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
 
 
-def middle_histogram(name: str, size: int) -> Column:
-    """Median of each place of an array column, brought to sum 1. Medians come from mergeable sketches."""
-    places = F.array(*(F.percentile_approx(F.get(name, i), 0.5, 1000) for i in range(size)))
-    kept = F.filter(places, lambda x: x.isNotNull())
-    return share(kept, total_of(kept))
-
-
 def references(counted: DataFrame) -> DataFrame:
-    """One row for each language: the median histograms of its documents that pass the base rules."""
+    """One row for each language: the median histograms of its documents that pass the base rules, brought to sum 1.
+
+    Shares are rounded to ``STEPS`` steps and counted; medians come from the counts, which add up in any order.
+    """
     passed = counted.where("not base_failed").select("_lang", share(F.col("kinds"), total_of(F.col("kinds"))).alias("k"), share(F.col("commons"), total_of(F.col("commons"))).alias("c"))
-    width = max(map(len, COMMON.values())) + 1
-    return passed.groupBy("_lang").agg(middle_histogram("k", len(KINDS) + 2).alias("_kinds_ref"), middle_histogram("c", width).alias("_commons_ref"))
+
+    def listed(kind, name):
+        return F.transform(F.coalesce(name, F.array().cast("array<double>")), lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), F.round(x * STEPS).cast("int").alias("step")))
+
+    rows = passed.select("_lang", F.explode(F.concat(listed("k", "k"), listed("c", "c"))).alias("x")).select("_lang", "x.*")
+    counts = rows.groupBy("_lang", "kind", "place", "step").agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy("_lang", "kind", "place")  # at most STEPS + 1 rows
+    counts = counts.withColumn("upto", F.sum("n").over(whole.orderBy("step"))).withColumn("all", F.sum("n").over(whole))
+    middle = counts.where(2 * F.col("upto") >= F.col("all")).groupBy("_lang", "kind", "place").agg((F.min("step") / float(STEPS)).alias("m"))
+    lists = middle.groupBy("_lang", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "m"))), lambda x: x["m"]).alias("h"))
+    lists = lists.withColumn("h", share(F.col("h"), total_of(F.col("h"))))
+    named = [F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("h"))), F.array().cast("array<double>")).alias(name) for kind, name in (("k", "_kinds_ref"), ("c", "_commons_ref"))]
+    return lists.groupBy("_lang").agg(*named)
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -147,7 +157,7 @@ def accepted(docs: DataFrame) -> DataFrame:
     Verdicts go back to the texts by the text's digest and lang, which decide them: the rejected ones
     are broadcast if they are measured to be few, else joined.
     """
-    key = F.md5(F.concat_ws(" ", F.coalesce("lang", F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary"))
-    keyed = docs.withColumn("__key", key)
-    rejected = rules(keyed, ("__key",)).where("not kept").select("__key").distinct()
-    return keyed.join(small_side(rejected), "__key", "left_anti").select(*docs.columns)
+    key = other_name("_key", [*docs.columns, "_lang"])
+    keyed = docs.withColumn(key, F.md5(F.concat_ws(" ", F.coalesce("lang", F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary")))
+    rejected = rules(keyed.select("doc_id", "text", "lang", key), (key,)).where("not kept").select(key).distinct()
+    return keyed.join(small_side(rejected), key, "left_anti").select(*docs.columns)

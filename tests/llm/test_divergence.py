@@ -93,3 +93,15 @@ def test_odd_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = op3_divergence(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_verdicts_do_not_depend_on_partitions(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    first, *others = (sorted((r.doc_id, r.kept, r.kind_distance, r.word_distance) for r in dv.rules(df.repartition(n)).collect()) for n in (1, 7, 40))
+    assert all(x == first for x in others)
+
+
+def test_own_columns_keep_their_values(spark):
+    df = spark.createDataFrame([(1, "word " * 10 + "other words here " * 30, "en", "a", "b", "c")], "doc_id long, text string, lang string, _key string, __key string, _lang string")
+    out = dv.accepted(df)
+    assert out.columns == df.columns and [tuple(r)[3:] for r in out.collect()] in ([], [("a", "b", "c")])

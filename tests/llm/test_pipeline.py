@@ -87,3 +87,15 @@ def test_one_of_each_with_repeated_and_nameless_rows(spark):
     rows = [(1, text), (1, text), (2, text + "."), (3, "other words here"), (None, text), (None, "nobody"), (None, "nobody")]
     kept = near_copies.without_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text[:6]) for r in kept) == [(0, "nobody"), (1, text[:6]), (3, "other ")]
+
+
+def test_clashing_names_go_through(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    names = ["_score", "__score", "score", "_key", "__key", "__found", "__n", "_n", "_chars", "label", "kept"]
+    rows = [(1, " ".join(f"word{i} the" for i in range(400)), "en", "s", 5, *names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    docs = df
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        assert docs.columns == df.columns
+        assert [tuple(r)[5:] for r in docs.collect()] == [tuple(names)], name
