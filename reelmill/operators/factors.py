@@ -16,7 +16,9 @@ from reelmill.operators.sampling import dense_ids
 from reelmill.session import store, stored_side
 
 BLOCK = 256  # rows of a factor block: some 330 KB at 160 columns
-CELLS = 1 << 15  # cells that meet a block in one task
+CELLS = 1 << 17  # cells of a group of rows, which gets the other side's rows that it needs, each once
+STEP = 1 << 12  # cells that are multiplied at a time
+SENT = 64 << 20  # bytes of factor rows that are sent to every executor whole
 
 
 def rating_cells(reviews: DataFrame, min_user_rows: int = 0) -> DataFrame:
@@ -53,37 +55,113 @@ def _pack(rows: DataFrame, width: int) -> DataFrame:
     return store(rows.groupBy(F.expr(f"id div {BLOCK}")).applyInPandas(pack, "b long, m binary"), "blocks")
 
 
-def _stripes(cells: DataFrame, near: str, far: str) -> DataFrame:
-    """Cells packed by blocks of ``near``, stored: (b, part, near, far, r).
+class _Side:
+    """Factor rows of one side as stored blocks (b, m), and ``whole`` if they are measured to fit ``SENT``."""
 
-    A block with many cells has several parts of about ``CELLS``, so a popular item is no large group.
-    """
-    keyed = cells.withColumn("b", F.expr(f"{near} div {BLOCK}"))
-    parts = keyed.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(CELLS))).alias("parts"))
-    keyed = keyed.join(stored_side(store(parts, "parts")), "b").withColumn("part", F.pmod(F.xxhash64(far), F.col("parts")))
-    listed = F.sort_array(F.collect_list(F.struct(F.col(far).alias("f"), F.col(near).alias("n"), "r")))
-    packed = keyed.groupBy("b", "part").agg(listed.alias("c"))
-    return store(packed.select("b", "part", F.col("c.n").alias("near"), F.col("c.f").alias("far"), F.col("c.r").alias("r")), "stripes")
+    def __init__(self, blocks: DataFrame, n: int, width: int):
+        self.blocks, self.n, self.width, self.whole = blocks, n, width, None
+        if n * width * 8 <= SENT:
+            self.whole = np.zeros((-(-n // BLOCK) * BLOCK, width))
+            listed = blocks.toArrow()
+            for b, m in zip(listed["b"].to_pylist(), listed["m"].to_pylist()):
+                self.whole[b * BLOCK : (b + 1) * BLOCK] = np.frombuffer(m).reshape(BLOCK, -1)
 
+    def gram(self, turn: np.ndarray | None) -> np.ndarray:
+        if self.whole is None:
+            return _block_gram(self.blocks, turn, self.width)
+        rows = self.whole if turn is None else self.whole @ turn
+        return rows.T @ rows
 
-def _half(stripes: DataFrame, blocks: DataFrame, turn: np.ndarray | None, width: int) -> DataFrame:
-    """Rows (id, v): the cells times the blocks' rows, turned by a small matrix, summed by the far side.
 
-    Every part of a stripe meets its block in a task of its own; what is shuffled are blocks, one copy
-    for each part, and partial sums, combined in tasks first.
-    """
+class _Stripes:
+    """Cells packed by groups of rows of one side (``near``), and where the other side's rows (``far``) are needed.
 
-    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        block = np.frombuffer(pdf["m"].iloc[0]).reshape(BLOCK, -1)
-        block = block if turn is None else block @ turn
-        near, far, r = (np.asarray(pdf[c].iloc[0]) for c in ("near", "far", "r"))
-        first = np.flatnonzero(np.concatenate(([True], far[1:] != far[:-1])))
-        sums = np.add.reduceat(r[:, None] * block[near % BLOCK], first, axis=0)
-        return pd.DataFrame({"id": far[first], "v": list(sums)})
+    ``packed``: (g, near, far, r), near in order. A group holds about ``CELLS`` cells; a block of rows with more is in
+    several, by hash of the far row. ``routes``: (b, g, far), for each block of the other side and each group the rows that go there.
+    """
 
-    copies = blocks.join(stripes.select("b", "part"), "b")
-    met = stripes.join(copies, ["b", "part"])
-    return _sum_vectors(met.groupBy("b", "part").applyInPandas(multiply, "id long, v array<double>"), "id", "v")
+    def __init__(self, cells: DataFrame, near: str, far: str, total: int):
+        groups = total // CELLS + 1
+        keyed = cells.withColumn("b", F.expr(f"{near} div {BLOCK}"))
+        parts = keyed.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(CELLS))).alias("parts"))
+        keyed = keyed.join(stored_side(store(parts, "parts")), "b").withColumn("part", F.pmod(F.xxhash64(far), F.col("parts")))
+        keyed = keyed.withColumn("g", F.pmod(F.xxhash64("b", "part"), F.lit(groups)))
+        listed = F.sort_array(F.collect_list(F.struct(F.col(near).alias("n"), F.col(far).alias("f"), "r")))
+        packed = keyed.groupBy("g").agg(listed.alias("c"))
+        self.packed = store(packed.select("g", F.col("c.n").alias("near"), F.col("c.f").alias("far"), F.col("c.r").alias("r")), "stripes")
+        needed = self.packed.select("g", F.explode(F.array_distinct("far")).alias("f"))
+        self._needed = needed.groupBy(F.expr(f"f div {BLOCK}").alias("b"), "g").agg(F.sort_array(F.collect_list("f")).alias("far"))
+        self._routes = None
+
+    @property
+    def routes(self) -> DataFrame:
+        if self._routes is None:
+            self._routes = store(self._needed, "routes")
+        return self._routes
+
+
+def _multiply(near: np.ndarray, spot: np.ndarray, r: np.ndarray, rows: np.ndarray) -> list[tuple[int, bytes]]:
+    """Blocks of the near side: for every cell its rating times the far row at ``spot``, added up by near row."""
+    out: dict[int, np.ndarray] = {}
+    for i in range(0, len(near), STEP):
+        n, s, w = near[i : i + STEP], spot[i : i + STEP], r[i : i + STEP]
+        first = np.flatnonzero(np.concatenate(([True], n[1:] != n[:-1])))
+        sums = np.add.reduceat(w[:, None] * rows[s], first, axis=0)
+        for b in np.unique(n[first] // BLOCK):
+            block = out.setdefault(int(b), np.zeros((BLOCK, rows.shape[1])))
+            mine = n[first] // BLOCK == b
+            block[n[first][mine] % BLOCK] += sums[mine]
+    return [(b, m.tobytes()) for b, m in out.items()]
+
+
+def _half(stripes: _Stripes, far: _Side, turn: np.ndarray | None, n: int) -> _Side:
+    """The near side's rows: the cells times the far side's rows, turned by a small matrix.
+
+    Far rows that fit ``SENT`` are sent to all tasks. Otherwise every group gets the rows on its route, each
+    once, and multiplies its cells inside the task. Only blocks of rows move on, as sums of whole groups.
+    """
+    schema = "b long, m binary"
+    if far.whole is not None:
+        rows = far.whole if turn is None else far.whole @ turn
+        shared = far.blocks.sparkSession.sparkContext.broadcast(rows)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                for near, spot, r in zip(pdf["near"], pdf["far"], pdf["r"]):
+                    yield pd.DataFrame(_multiply(near, spot, r, shared.value), columns=["b", "m"])
+
+        found = stripes.packed.mapInPandas(run, schema)
+    else:
+
+        def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                for g, ids, m in zip(pdf["g"], pdf["far"], pdf["m"]):
+                    block = np.frombuffer(m).reshape(BLOCK, -1)
+                    block = (block if turn is None else block @ turn)[ids % BLOCK]
+                    yield pd.DataFrame({"g": [g], "far": [ids], "m": [block.tobytes()]})
+
+        sent = far.blocks.join(stripes.routes, "b").select("g", "far", "m").mapInPandas(pick, "g long, far array<long>, m binary")
+
+        def meet(cells: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+            if cells.empty or rows.empty:
+                return pd.DataFrame(columns=["b", "m"])
+            ids = np.concatenate(rows["far"].to_list())
+            order = np.argsort(ids)
+            table = np.concatenate([np.frombuffer(m).reshape(len(i), -1) for i, m in zip(rows["far"], rows["m"])])[order]
+            near, spot, r = (np.asarray(cells[c].iloc[0]) for c in ("near", "far", "r"))
+            return pd.DataFrame(_multiply(near, np.searchsorted(ids[order], spot), r, table), columns=["b", "m"])
+
+        found = stripes.packed.groupBy("g").cogroup(sent.groupBy("g")).applyInPandas(meet, schema)
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(m) for m in pdf["m"])
+        return pd.DataFrame({"b": [pdf["b"].iloc[0]], "m": [total.tobytes()]})
+
+    # Blocks of one group are whole already, and most are in one; the others' parts are added.
+    found = store(found, "parts")
+    several = stored_side(store(found.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("b"), "several"))
+    added = found.join(several, "b", "left_semi").groupBy("b").applyInPandas(add, schema)
+    return _Side(store(found.join(several, "b", "left_anti").unionByName(added), "blocks"), n, far.width)
 
 
 def _block_gram(blocks: DataFrame, turn: np.ndarray | None, width: int) -> np.ndarray:
@@ -101,20 +179,6 @@ def _block_gram(blocks: DataFrame, turn: np.ndarray | None, width: int) -> np.nd
     return _collect_gram(blocks.select("m").mapInPandas(run, "i int, g array<double>"), width)
 
 
-def _row_gram(rows: DataFrame, width: int) -> np.ndarray:
-    """The same for rows (id, v)."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((width, width))
-        for pdf in frames:
-            if len(pdf):
-                block = np.stack(pdf["v"].to_list())
-                total += block.T @ block
-        yield pd.DataFrame({"i": np.arange(width), "g": list(total)})
-
-    return _collect_gram(rows.select("v").mapInPandas(run, "i int, g array<double>"), width)
-
-
 def _collect_gram(parts: DataFrame, width: int) -> np.ndarray:
     out = np.zeros((width, width))
     for row in _sum_vectors(parts, "i", "g").collect():  # as many rows as factors
@@ -130,10 +194,10 @@ def _whitener(gram: np.ndarray) -> np.ndarray:
     return vectors * scale
 
 
-def _orthonormal_turn(blocks: DataFrame, width: int) -> np.ndarray:
-    """The small matrix that makes the blocks' columns orthonormal, by way of Gram matrices, twice for accuracy."""
-    turn = _whitener(_block_gram(blocks, None, width))
-    return turn @ _whitener(_block_gram(blocks, turn, width))
+def _orthonormal_turn(side: _Side) -> np.ndarray:
+    """The small matrix that makes the rows' columns orthonormal, by way of Gram matrices, twice for accuracy."""
+    turn = _whitener(side.gram(None))
+    return turn @ _whitener(side.gram(turn))
 
 
 def truncated_svd(
@@ -141,38 +205,28 @@ def truncated_svd(
 ) -> tuple[DataFrame, DataFrame]:
     """(user, factors) = U S and (item, factors) = V of the rating cells.
 
-    Each iteration multiplies k + oversampling columns by A'A: cells packed by item blocks give sums by
-    user, cells packed by user blocks give sums by item. Orthonormalising needs only a small Gram
-    matrix, which is all that comes to the driver; the turn it asks for is applied as blocks are read.
+    Each iteration multiplies k + oversampling columns by A'A: cells packed by users give rows of users
+    from those of items, cells packed by items the other way round. Orthonormalising needs only a
+    small Gram matrix; the turn it asks for is applied as rows are read.
     """
     item_ids, user_ids = (store(dense_ids(cells, c, "id"), f"{c}-ids") for c in ("item", "user"))
     numbered = cells.select("user", "item", F.col("r").cast("double").alias("r"))
     numbered = numbered.join(user_ids.withColumnRenamed("id", "u"), "user").join(item_ids.withColumnRenamed("id", "i"), "item")
     numbered = store(numbered.select("u", "i", "r"), "cells")
-    width = min(k + oversampling, item_ids.count())
-    by_item, by_user = _stripes(numbered, "i", "u"), _stripes(numbered, "u", "i")
+    n_items, n_users, total = item_ids.count(), user_ids.count(), numbered.count()
+    width = min(k + oversampling, n_items)
+    by_item, by_user = _Stripes(numbered, "i", "u", total), _Stripes(numbered, "u", "i", total)
 
-    blocks = _pack(_start(item_ids, width, seed), width)
-    turn = _orthonormal_turn(blocks, width)
+    items = _Side(_pack(_start(item_ids, width, seed), width), n_items, width)
+    turn = _orthonormal_turn(items)
     for _ in range(n_iter):
-        seen = _pack(_half(by_item, blocks, turn, width), width)
-        blocks = _pack(_half(by_user, seen, None, width), width)
-        turn = _orthonormal_turn(blocks, width)
-    users = store(_half(by_item, blocks, turn, width), "user-rows")
-    values, vectors = np.linalg.eigh(_row_gram(users, width))
+        users = _half(by_user, items, turn, n_users)
+        items = _half(by_item, users, None, n_items)
+        turn = _orthonormal_turn(items)
+    users = _half(by_user, items, turn, n_users)
+    values, vectors = np.linalg.eigh(users.gram(None))
     rotation = vectors[:, np.argsort(values)[::-1][:k]]
-    return _factors(users, user_ids, "user", rotation), _block_factors(blocks, item_ids, "item", turn @ rotation)
-
-
-def _factors(rows: DataFrame, ids: DataFrame, key: str, matrix: np.ndarray) -> DataFrame:
-    """(key, factors) from rows (id, v) times a small matrix."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            if len(pdf):
-                yield pd.DataFrame({"id": pdf["id"], "factors": list(np.stack(pdf["v"].to_list()) @ matrix)})
-
-    return rows.mapInPandas(run, "id long, factors array<double>").join(ids, "id").select(key, "factors")
+    return _block_factors(users.blocks, user_ids, "user", rotation), _block_factors(items.blocks, item_ids, "item", turn @ rotation)
 
 
 def _block_factors(blocks: DataFrame, ids: DataFrame, key: str, matrix: np.ndarray) -> DataFrame:

@@ -9,17 +9,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelmill.operators.metrics import class_report, confusion, mean_std
 from reelmill.operators.sampling import stratified_folds
+from reelmill.operators.svm import LinearSvm, fit_many, fit_sigmoids, with_margins
 from reelmill.params import FIRST, Params
-from reelmill.session import cut_lineage
+from reelmill.session import cut_lineage, store
 
 
 def feature_rows(docs: DataFrame, vectors: DataFrame, size: int, key: str = "review_id") -> DataFrame:
@@ -43,104 +42,109 @@ def feature_rows(docs: DataFrame, vectors: DataFrame, size: int, key: str = "rev
     return joined.select(*names, idx.alias("_idx"), val.alias("_val")).mapInArrow(assemble, schema)
 
 
-ROWS_PER_TASK = 10_000
+ROWS_PER_TASK = 2_000
 
 
 @dataclass
 class CalibratedSvm:
     """Linear SVMs with one sigmoid (slope, offset) each; the probability is their mean."""
 
-    svms: list[LinearSVCModel]
+    svms: list[LinearSvm]
     sigmoids: list[tuple[float, float]]
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``probability`` of the positive class and ``prediction``."""
-        parts = []
-        for i, (svm, (slope, offset)) in enumerate(zip(self.svms, self.sigmoids)):
-            svm.setRawPredictionCol(f"_raw{i}").setPredictionCol(f"_pred{i}")
-            df = svm.transform(df)
-            margin = vector_to_array(f"_raw{i}")[1]
-            parts.append(1.0 / (1.0 + F.exp(-(margin * slope + offset))))
-        mean = sum(parts[1:], parts[0]) / len(parts)
-        out = df.withColumn("probability", mean)
-        out = out.withColumn("prediction", F.when(F.col("probability") > 0.5, 1).otherwise(0))
-        return out.drop(*[f"_{c}{i}" for i in range(len(parts)) for c in ("raw", "pred")])
+        scored = with_margins(df, self.svms, "_margins")
+        out = scored.withColumn("probability", mean_probability("_margins", self.sigmoids)).drop("_margins")
+        return out.withColumn("prediction", F.when(F.col("probability") > 0.5, 1).otherwise(0))
 
     def save(self, path: str) -> None:
         spark = SparkSession.getActiveSession()
         for i, svm in enumerate(self.svms):
-            svm.write().overwrite().save(os.path.join(path, f"svm_{i}"))
-        rows = [(json.dumps(self.sigmoids),)]
-        spark.createDataFrame(rows, "sigmoids string").coalesce(1).write.mode("overwrite").json(
+            terms = pa.table({"term_id": np.arange(len(svm.coefficients)), "weight": svm.coefficients})
+            spark.createDataFrame(terms).coalesce(1).write.mode("overwrite").parquet(os.path.join(path, f"svm_{i}"))
+        known = [{"intercept": s.intercept, "primal": s.primal, "dual": s.dual, "gradient": s.gradient} for s in self.svms]
+        rows = [(json.dumps(self.sigmoids), json.dumps(known))]
+        spark.createDataFrame(rows, "sigmoids string, known string").coalesce(1).write.mode("overwrite").json(
             os.path.join(path, "sigmoids")
         )
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> CalibratedSvm:
-        saved = spark.read.schema("sigmoids string").json(os.path.join(path, "sigmoids")).first()["sigmoids"]
-        sigmoids = [tuple(s) for s in json.loads(saved)]
-        return CalibratedSvm(
-            [LinearSVCModel.load(os.path.join(path, f"svm_{i}")) for i in range(len(sigmoids))], sigmoids
-        )
-
-
-def fit_svm(train: DataFrame, params: Params = FIRST) -> LinearSVCModel:
-    """Linear SVM with class weights n / (2 n_c) and a penalty that matches C."""
-    counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    lacking = [c for c in (0, 1) if not counts.get(c)]
-    if lacking:
-        raise ValueError(f"no rows of class {lacking} to fit on; found {counts}")
-    n = sum(counts.values())
-    # the solver runs a job per pass; few rows in many partitions would be all overhead
-    train = train.coalesce(max(1, -(-n // ROWS_PER_TASK)))
-    weight = F.when(F.col("label") == 1, n / (2.0 * counts[1])).otherwise(n / (2.0 * counts[0]))
-    svc = LinearSVC(
-        featuresCol="features", labelCol="y", weightCol="w", regParam=1.0 / (params.svc_c * n),
-        maxIter=params.svc_max_iter, tol=1e-4, standardization=False,
-    )
-    return svc.fit(train.select("features", F.col("label").cast("double").alias("y"), weight.alias("w")))
-
-
-def _fit_sigmoid(held_out: DataFrame) -> tuple[float, float]:
-    """Platt's sigmoid on (margin, label) with his smoothed targets.
-
-    A target t is fitted as one row of class 1 with weight t and one of class 0 with weight 1 - t.
-    """
-    sums = held_out.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")).first()
-    high, low = (sums["p"] + 1.0) / (sums["p"] + 2.0), 1.0 / (sums["n"] + 2.0)
-    target = F.when(F.col("label") == 1, F.lit(high)).otherwise(F.lit(low))
-    rows = held_out.select(
-        array_to_vector(F.array("margin")).alias("x"),
-        F.explode(F.array(F.struct(F.lit(1.0).alias("y"), target.alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - target).alias("w")))).alias("e"),
-    ).select("x", "e.y", "e.w")
-    fitted = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=0.0, standardization=False).fit(rows)
-    return float(fitted.coefficients[0]), float(fitted.intercept)
+        saved = spark.read.schema("sigmoids string, known string").json(os.path.join(path, "sigmoids")).first()
+        svms = []
+        for i, known in enumerate(json.loads(saved["known"])):
+            terms = spark.read.parquet(os.path.join(path, f"svm_{i}")).toArrow().sort_by("term_id")
+            svms.append(LinearSvm(terms["weight"].to_numpy(), **known))
+        return CalibratedSvm(svms, [tuple(s) for s in json.loads(saved["sigmoids"])])
+
+
+def mean_probability(margins: str, sigmoids: list[tuple[float, float]], first: int = 0) -> Column:
+    """Mean of the calibrated probabilities of the models from number ``first`` on."""
+    parts = [1.0 / (1.0 + F.exp(-(F.get(margins, F.lit(first + i)) * slope + offset))) for i, (slope, offset) in enumerate(sigmoids)]
+    return sum(parts[1:], parts[0]) / len(parts)
+
+
+def _fit_masked(rows: DataFrame, masks: list[Column], params: Params) -> tuple[DataFrame, list[LinearSvm]]:
+    """The rows as stored, and one SVM for each mask of rows to learn from, with class weights n / (2 n_c)."""
+    named = [F.count_if(m & (F.col("label") == c)).alias(f"n{i}_{c}") for i, m in enumerate(masks) for c in (0, 1)]
+    counts = rows.agg(F.count(F.lit(1)).alias("rows"), *named).first()
+    costs = []
+    for i, mask in enumerate(masks):
+        n = [counts[f"n{i}_{c}"] for c in (0, 1)]
+        if not all(n):
+            raise ValueError(f"no rows of class {[c for c in (0, 1) if not n[c]]} to fit on; found {dict(enumerate(n))}")
+        weight = F.when(F.col("label") == 1, sum(n) / (2.0 * n[1])).otherwise(sum(n) / (2.0 * n[0]))
+        costs.append(F.when(mask, weight * params.svc_c).otherwise(0.0))
+    # a solver's pass is short: few rows in many partitions would be all overhead
+    rows = rows.withColumn("costs", F.array(*costs)).repartition(counts["rows"] // ROWS_PER_TASK + 1)
+    rows = store(rows, "svm-rows")
+    return rows, fit_many(rows, rows.select("features").first()["features"].size, len(masks), params.svc_max_iter)
+
+
+def fit_svm(train: DataFrame, params: Params = FIRST) -> LinearSvm:
+    """Linear SVM with class weights n / (2 n_c) and penalty C."""
+    return _fit_masked(train, [F.lit(True)], params)[1][0]
+
+
+def _calibrate(rows: DataFrame, svms: list[LinearSvm], held_out: list[Column]) -> tuple[DataFrame, list[tuple[float, float]]]:
+    """Rows with all margins, stored without features, and each model's sigmoid on the rows it has not seen."""
+    scored = with_margins(rows, svms, "margins").drop("features", "costs")
+    scored = store(scored, "margins")
+    each = F.explode(F.array(*(F.when(h, F.struct(F.lit(i).alias("model"), F.get("margins", F.lit(i)).alias("margin"))) for i, h in enumerate(held_out))))
+    seen = scored.select("label", each.alias("e")).where("e is not null").select("label", "e.model", "e.margin")
+    return scored, fit_sigmoids(store(seen, "held-out"), len(svms))
 
 
 def fit_calibrated_svm(train: DataFrame, params: Params = FIRST, key: str = "review_id") -> CalibratedSvm:
     """One SVM per fold, each calibrated on the fold it has not seen. ``key`` must be unique."""
-    folded = cut_lineage(
-        stratified_folds(train.select(key, "label", "features"), key, "label", params.folds, f"calibrate-{params.seed}")
-    )
-    svms, sigmoids = [], []
-    for fold in range(params.folds):
-        svm = fit_svm(folded.filter(F.col("fold") != fold), params)
-        margins = svm.transform(folded.filter(F.col("fold") == fold))
-        margins = margins.select("label", vector_to_array("rawPrediction")[1].alias("margin"))
-        svms.append(svm)
-        sigmoids.append(_fit_sigmoid(margins))
+    folded = stratified_folds(train.select(key, "label", "features"), key, "label", params.folds, f"calibrate-{params.seed}")
+    folds = range(params.folds)
+    rows, svms = _fit_masked(folded, [F.col("fold") != i for i in folds], params)
+    _, sigmoids = _calibrate(rows, svms, [F.col("fold") == i for i in folds])
     return CalibratedSvm(svms, sigmoids)
 
 
 def cross_validate(rows: DataFrame, params: Params = FIRST, key: str = "review_id") -> tuple[DataFrame, DataFrame]:
-    """(fold, f1_weighted) of a calibrated SVM per held-out fold, and their mean and deviation."""
-    folded = cut_lineage(
-        stratified_folds(rows.select(key, "label", "features"), key, "label", params.folds, f"validate-{params.seed}")
-    )
+    """(fold, f1_weighted) of a calibrated SVM per held-out fold, and their mean and deviation.
+
+    The SVMs of all folds are fitted together: a row has its place in each fold's training rows.
+    """
+    folds = range(params.folds)
+    narrow = cut_lineage(stratified_folds(rows.select(key, "label"), key, "label", params.folds, f"validate-{params.seed}"))
+    for i in folds:
+        inner = stratified_folds(narrow.where(F.col("fold") != i).select(key, "label"), key, "label", params.folds, f"calibrate-{params.seed}")
+        narrow = narrow.join(inner.select(key, F.col("fold").alias(f"inner_{i}")), key, "left")
+    folded = rows.select(key, "features").join(cut_lineage(narrow), key)
+    pairs = [(i, j) for i in folds for j in folds]
+    learns = [(F.col("fold") != i) & (F.col(f"inner_{i}") != j) for i, j in pairs]
+    stored, svms = _fit_masked(folded, [F.coalesce(m, F.lit(False)) for m in learns], params)
+    scored, sigmoids = _calibrate(stored, svms, [F.coalesce(F.col(f"inner_{i}") == j, F.lit(False)) for i, j in pairs])
     scores = []
-    for fold in range(params.folds):
-        model = fit_calibrated_svm(folded.filter(F.col("fold") != fold).drop("fold"), params, key)
-        report = class_report(confusion(model.transform(folded.filter(F.col("fold") == fold))))
-        scores.append((fold, report.first()["f1_weighted"]))
+    for i in folds:
+        first = i * params.folds
+        p = mean_probability("margins", sigmoids[first : first + params.folds], first)
+        judged = scored.where(F.col("fold") == i).select("label", F.when(p > 0.5, 1).otherwise(0).alias("prediction"))
+        scores.append((i, class_report(confusion(judged)).first()["f1_weighted"]))
     per_fold = rows.sparkSession.createDataFrame(scores, "fold int, f1_weighted double")
     return per_fold, mean_std(per_fold, "f1_weighted")

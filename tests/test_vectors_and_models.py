@@ -9,7 +9,9 @@ from reelmill.operators import keywords as KW
 from reelmill.operators import models as MO
 from reelmill.operators import recommend as RC
 from reelmill.operators import similarity as SI
+from reelmill.operators import svm as SV
 from reelmill.operators.ranking import minmax
+from reelmill.params import FIRST
 
 
 def sparse(spark, matrix, key):
@@ -165,9 +167,10 @@ def test_minmax_of_equal_scores(spark):
     assert sorted(r["x"] for r in minmax(rows, "s", ["g"], "x").collect()) == [0.0, 1.0, 1.0, 1.0]
 
 
-@pytest.mark.parametrize("block, cells_per_part", [(256, 1 << 15), (7, 20)])
-def test_svd_against_numpy(spark, monkeypatch, block, cells_per_part):
+@pytest.mark.parametrize("block, cells_per_part, sent", [(256, 1 << 15, 1 << 26), (7, 20, 1 << 26), (256, 1 << 15, 0), (7, 20, 0)])
+def test_svd_against_numpy(spark, monkeypatch, block, cells_per_part, sent):
     monkeypatch.setattr(FA, "BLOCK", block)
+    monkeypatch.setattr(FA, "SENT", sent)
     monkeypatch.setattr(FA, "CELLS", cells_per_part)
     rng = np.random.default_rng(3)
     a = np.round(rng.random((30, 18)) * 10) * (rng.random((30, 18)) < 0.5)
@@ -187,6 +190,77 @@ def test_svd_against_numpy(spark, monkeypatch, block, cells_per_part):
     assert FA.explained_variance(users, cells).first()[0] == pytest.approx(expected)
 
 
+def test_routes_send_each_needed_row_once(spark, monkeypatch):
+    monkeypatch.setattr(FA, "BLOCK", 8)
+    cells = spark.range(0, 3000).selectExpr("id % 40 AS u", "(id * 7) % 60 AS i", "1.0D AS r").distinct()
+    monkeypatch.setattr(FA, "CELLS", 500)
+    stripes = FA._Stripes(cells, "u", "i", cells.count())
+    sent = [(r["g"], f) for r in stripes.routes.collect() for f in r["far"]]
+    assert len(sent) == len(set(sent))
+    assert set(sent) == {(r["g"], f) for r in stripes.packed.collect() for f in r["far"]}
+
+
+def labelled_rows(n=400, width=30, seed=7):
+    rng = np.random.default_rng(seed)
+    x = rng.random((n, width)) * (rng.random((n, width)) < 0.3)
+    y = (x @ rng.standard_normal(width) + 0.3 * rng.standard_normal(n) > 0.2).astype(int)
+    return x, y
+
+
+def feature_table(spark, x, y):
+    idx = [np.flatnonzero(r).tolist() for r in x]
+    rows = [(i, int(t), j, [float(r[k]) for k in j]) for i, (r, t, j) in enumerate(zip(x, y, idx))]
+    df = spark.createDataFrame(rows, "review_id long, label int, idx array<int>, val array<double>")
+    return MO.feature_rows(df.select("review_id", "label"), df.select("review_id", "idx", "val"), x.shape[1])
+
+
+def test_svm_is_the_optimum(spark):
+    """Against plain gradient steps until nothing moves; primal and dual value enclose that optimum."""
+    x, y = labelled_rows()
+    svm = MO.fit_svm(feature_table(spark, x, y))
+    a, t = np.hstack([x, np.ones((len(x), 1))]), 2 * y - 1
+    cost = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+    value = lambda w: 0.5 * w @ w + (cost * np.maximum(0, 1 - t * (a @ w)) ** 2).sum()
+    w, rate = np.zeros(31), 1 / (1 + 2 * cost.max() * np.linalg.norm(a, 2) ** 2)
+    for _ in range(20_000):
+        w = w - rate * (w - a.T @ (2 * cost * t * np.maximum(0, 1 - t * (a @ w))))
+    best = value(w)
+    assert svm.dual <= best + 1e-9 <= svm.primal + 2e-9 and svm.primal - svm.dual <= 1e-4 * svm.primal
+    assert value(np.append(svm.coefficients, svm.intercept)) == pytest.approx(svm.primal)
+    assert np.abs(np.append(svm.coefficients, svm.intercept) - w).max() < 0.05
+
+
+def test_models_fitted_together_are_those_fitted_alone(spark):
+    x, y = labelled_rows(300)
+    table = feature_table(spark, x, y)
+    masks = [F.col("review_id") % 3 != i for i in range(3)]
+    _, together = MO._fit_masked(table, masks, FIRST)
+    for mask, svm in zip(masks, together):
+        alone = MO.fit_svm(table.where(mask))
+        assert svm.primal == pytest.approx(alone.primal, rel=3e-4) and np.abs(svm.coefficients - alone.coefficients).max() < 0.05
+
+
+def test_certificate_of_given_models(spark):
+    x, y = labelled_rows(200, 12)
+    rows = feature_table(spark, x, y).withColumn("costs", F.array(F.lit(1.0), F.lit(0.5)))
+    rng = np.random.default_rng(1)
+    svms = [SV.LinearSvm(rng.standard_normal(12), 0.1), SV.LinearSvm(np.zeros(12), 0.0)]
+    a, t = np.hstack([x, np.ones((200, 1))]), 2 * y - 1
+    for r, svm, c in zip(SV.certificate(rows, svms).orderBy("model").collect(), svms, (1.0, 0.5)):
+        w = np.append(svm.coefficients, svm.intercept)
+        short = np.maximum(0, 1 - t * (a @ w))
+        pulled = a.T @ (2 * c * short * t)
+        assert r["primal"] == pytest.approx(0.5 * w @ w + c * (short**2).sum()) and r["gradient_norm"] == pytest.approx(np.linalg.norm(w - pulled))
+        assert r["dual"] == pytest.approx((2 * c * short).sum() - c * (short**2).sum() - 0.5 * pulled @ pulled)
+
+
+def test_sigmoids_of_several_models(spark):
+    rng = np.random.default_rng(4)
+    rows = [(m, int(rng.random() < 1 / (1 + np.exp(-(a * z + b)))), float(z)) for m, (a, b) in enumerate([(2.0, 0.5), (1.0, -1.0)]) for z in rng.standard_normal(3000) * 2]
+    got = SV.fit_sigmoids(spark.createDataFrame(rows, "model int, label int, margin double"), 3)
+    assert got[0] == pytest.approx((2.0, 0.5), abs=0.25) and got[1] == pytest.approx((1.0, -1.0), abs=0.2) and got[2] == (0.0, 0.0)
+
+
 def test_calibrated_svm_on_separable_rows(spark, tmp_path):
     rows = [(i, i % 2, [0, 1 + i % 2, 5], [1.0, 1.0 + i / 100, 0.1]) for i in range(60)]
     df = spark.createDataFrame(rows, "review_id long, label int, idx array<int>, val array<double>")
