@@ -287,6 +287,26 @@ ORACLE: dict[str, str] = {
     }),
     "sentiment_score_checks": with_(["tr"], "SELECT review_id, l.label, r <= n - train AS is_test, true AS in_range, true AS consistent FROM l JOIN c USING (label)", split("tr")),
     "sentiment_fold_checks": "SELECT fold, true AS in_range, true AS averaged FROM (VALUES (0), (1), (2)) f(fold)",
+    "given_certificate": with_(["tr", "dt"], """SELECT n.m AS model, round(0.5 * wn + loss, 5) AS primal, round(alpha - loss - 0.5 * (pn + pb * pb), 5) AS dual,
+        round(sqrt(gn + (b - pb) * (b - pb)), 5) AS gradient_norm FROM n JOIN a ON a.m = n.m JOIN g ON g.m = n.m""", {
+        "given": "SELECT * FROM (VALUES (0, 1.0::DOUBLE, 0.1::DOUBLE, 1.0::DOUBLE), (1, 0.0, -0.2, 0.25)) v(m, scale, b, c)",
+        "wt": "SELECT term_id, (term_id * 37 % 11 - 5) / 10.0::DOUBLE AS w FROM vocab",
+        "f": "SELECT review_id, sum(weight * w) AS f FROM dt JOIN wt USING (term_id) GROUP BY review_id",
+        "sh": "SELECT m, c, tr.review_id, 2 * label - 1 AS y, greatest(0, 1 - (2 * label - 1) * (scale * coalesce(f, 0) + b)) AS short FROM tr LEFT JOIN f USING (review_id), given",
+        "a": "SELECT m, sum(c * short * short) AS loss, sum(2 * c * short) AS alpha, sum(2 * c * short * y) AS pb FROM sh GROUP BY m",
+        "pt": "SELECT m, term_id, sum(2 * c * short * y * weight) AS p FROM sh JOIN dt USING (review_id) GROUP BY ALL",
+        "g": "SELECT m, sum(p * p) AS pn, sum((scale * w - coalesce(p, 0)) * (scale * w - coalesce(p, 0))) AS gn FROM wt CROSS JOIN given LEFT JOIN pt USING (m, term_id) GROUP BY m",
+        "n": "SELECT m, b, sum(scale * scale * w * w) + b * b AS wn FROM wt, given GROUP BY m, b",
+    }),
+    "fitted_certificate": "SELECT m::INTEGER AS model, true AS optimal FROM range(3) r(m)",
+    "reported_lines": f"""WITH p AS (SELECT (l_returnflag = 'R')::INTEGER AS label, (l_linenumber % 2)::INTEGER AS prediction, l_discount AS probability FROM lineitem),
+        c AS (SELECT k, count(*) FILTER (WHERE label = k) AS support, count(*) FILTER (WHERE label = k AND prediction = k) AS tp, count(*) FILTER (WHERE prediction = k) AS said FROM p, (VALUES (0), (1)) v(k) GROUP BY k),
+        f AS (SELECT *, tp / said AS precision, tp / support AS recall, 2 * (tp / said) * (tp / support) / (tp / said + tp / support) AS f1 FROM c)
+        SELECT round(sum(tp) / sum(support), 6) AS accuracy, {", ".join(f"round(sum({m} * support) / sum(support), 6) AS {m}_weighted, round(avg({m}), 6) AS {m}_macro" for m in ("precision", "recall", "f1"))},
+        (SELECT round(auc, 6) FROM ({auc('p', '(label = 1)', 'probability')})) AS roc_auc, sum(tp)::BIGINT AS n_right, sum(support)::BIGINT AS n_rows FROM f""",
+    "given_variance": with_(["cell", "emb"], """SELECT round(captured / whole * 1e6, 4) AS millionths FROM
+        (SELECT sum(v) AS captured FROM (SELECT var_pop(x) AS v FROM (SELECT unnest(e) AS x, generate_subscripts(e, 1) AS i FROM emb) GROUP BY i)),
+        (SELECT sum(s2 / n - (s / n) * (s / n)) AS whole FROM (SELECT item, sum(r) AS s, sum(r * r) AS s2 FROM cell GROUP BY item), (SELECT count(DISTINCT "user") AS n FROM cell))"""),
     "factor_checks": with_(["cell"], "SELECT count(DISTINCT item) AS n_items, least(150, count(DISTINCT item)) AS width, true AS orthonormal, true AS projected FROM cell"),
     "assembled_from_seeds": with_(["spool", "fav", "inorm"], f"""SELECT r.query_id, r.item, rank::INTEGER AS rank, round(final * 100, 1) AS percent, explanation, keywords, shown
         FROM rr r LEFT JOIN ex ON ex.query_id = r.query_id AND ex.item = r.item LEFT JOIN kl ON kl.query_id = r.query_id LEFT JOIN sh ON sh.item = r.item""", {

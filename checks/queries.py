@@ -8,6 +8,7 @@ from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+import numpy as np
 from pyspark.sql import functions as F
 
 from checks import views as V
@@ -23,6 +24,7 @@ from reelmill.operators import recommend as RC
 from reelmill.operators import reviews as RV
 from reelmill.operators import sampling as SA
 from reelmill.operators import similarity as SI
+from reelmill.operators import svm as SM
 from reelmill.operators import tfidf as TF
 from reelmill.params import FIRST, NEGATIVE_PHRASES, POSITIVE_PHRASES
 from reelmill.plans import evaluate as EV
@@ -623,6 +625,36 @@ def sentiment_report(spark, sf):
     return s.withColumn("roc_auc", auc).select(*[F.round(c, 4).alias(c) for c in [*s.columns, "roc_auc"]])
 
 
+@query
+def given_certificate(spark, sf):
+    """Primal and dual value and gradient norm of two given models on the TF-IDF rows."""
+    table = feature_table(spark, sf)
+    rows = table.withColumn("costs", F.array(F.lit(1.0), F.lit(0.25)))
+    size = vocabulary(spark, sf).count()
+    given = [SM.LinearSvm((np.arange(size) * 37 % 11 - 5) / 10, 0.1), SM.LinearSvm(np.zeros(size), -0.2)]
+    found = SM.certificate(rows, given)
+    return found.select("model", *[F.round(c, 5).alias(c) for c in ("primal", "dual", "gradient_norm")])
+
+
+@query
+def fitted_certificate(spark, sf):
+    """Every fitted model's dual value is within the solver's gap of its primal value."""
+    svms = classifier(spark, sf).svms
+    rows = [(i, 0 <= s.primal - s.dual <= SM.GAP * s.primal) for i, s in enumerate(svms)]
+    return spark.createDataFrame(rows, "model int, optimal boolean")
+
+
+@query
+def reported_lines(spark, sf):
+    """The whole report on given predictions of returned lines."""
+    lines = V.table(spark, sf, "lineitem")
+    preds = lines.select((F.col("l_returnflag") == "R").cast("int").alias("label"), (F.col("l_linenumber") % 2).alias("prediction"), F.col("l_discount").alias("probability"))
+    report = EV.evaluation_report(preds)
+    s = report["summary"].withColumn("roc_auc", report["roc_auc"].select("roc_auc").scalar())
+    right = report["confusion"].where("label = prediction").agg(F.sum("n").alias("n")).scalar()
+    return s.select(*[F.round(c, 6).alias(c) for c in s.columns], right.alias("n_right"), report["per_class"].agg(F.sum("support").alias("n")).scalar().alias("n_rows"))
+
+
 @shared
 def folds(spark, sf):
     return MO.cross_validate(feature_table(spark, sf))
@@ -653,6 +685,14 @@ def factor_variance(spark, sf):
     return FA.explained_variance(users, cells).select(F.round("explained_variance", 6).alias("explained_variance"))
 
 
+@query
+def given_variance(spark, sf):
+    """The share of the cells' variance that given user factors would have."""
+    users, _ = given_factors(spark, sf)
+    found = FA.explained_variance(users, FA.rating_cells(V.interactions(spark, sf)))
+    return found.select(F.round(F.col("explained_variance") * 1e6, 4).alias("millionths"))
+
+
 @query
 def factor_checks(spark, sf):
     """Item factors are orthonormal, and user factors are what the cells give on them.

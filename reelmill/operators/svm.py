@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 
 #: Columns of a gradient that are added up in one group, and past steps that a direction is made of.
 BLOCK, HISTORY = 4096, 10
+#: Bytes of all tasks' sums up to which they are added on the driver without a shuffle.
+SUMMED = 64 << 20
 #: Relative gap between primal and dual value at which a model is done.
 GAP = 1e-4
 
@@ -64,7 +66,7 @@ class Rows:
         return np.stack([np.append(np.bincount(self.idx, weights=f[self.row] * self.val, minlength=size), f.sum()) for f in factors.T])
 
 
-def _evaluate(rows: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _evaluate(rows: DataFrame, w: np.ndarray, tasks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each model its primal and dual value and gradient, and the margins' part of the dual."""
     m, size = w.shape
     shared = rows.sparkSession.sparkContext.broadcast(w)
@@ -93,14 +95,17 @@ def _evaluate(rows: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "part": [total.tobytes()]})
 
     schema = "block int, part binary"
-    found = rows.select("features", "label", "costs").mapInArrow(add, schema).groupBy("block").applyInPandas(join, schema).toArrow()
+    found = rows.select("features", "label", "costs").mapInArrow(add, schema)
+    if tasks * w.nbytes > SUMMED:
+        found = found.groupBy("block").applyInPandas(join, schema)
+    found = found.toArrow()
     shared.destroy()
     pulled, stats = np.zeros((m, size)), np.zeros((m, 2))
     for block, part in zip(found["block"].to_pylist(), found["part"].to_pylist()):
         if block < 0:
-            stats = np.frombuffer(part).reshape(m, 2)
+            stats += np.frombuffer(part).reshape(m, 2)
         else:
-            pulled[:, block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(part).reshape(m, -1)
+            pulled[:, block * BLOCK : (block + 1) * BLOCK] += np.frombuffer(part).reshape(m, -1)
     # pulled = sum of alpha y x; alpha^2 / (4 c) adds up to the loss.
     primal = 0.5 * (w * w).sum(axis=1) + stats[:, 0]
     dual = stats[:, 1] - stats[:, 0] - 0.5 * (pulled * pulled).sum(axis=1)
@@ -159,9 +164,10 @@ def fit_many(rows: DataFrame, size: int, models: int, max_passes: int) -> list[L
     ``rows`` are read once in each pass, so they should be stored.
     """
     steps = [_Steps(size + 1) for _ in range(models)]
+    tasks = rows.rdd.getNumPartitions()
     for _ in range(max_passes):
         w = np.stack([s.trial for s in steps])
-        primal, dual, gradient, _ = _evaluate(rows, w)
+        primal, dual, gradient, _ = _evaluate(rows, w, tasks)
         for i, s in enumerate(steps):
             if not s.done:
                 s.seen(float(primal[i]), float(dual[i]), gradient[i])
@@ -173,7 +179,7 @@ def fit_many(rows: DataFrame, size: int, models: int, max_passes: int) -> list[L
 def certificate(rows: DataFrame, svms: list[LinearSvm]) -> DataFrame:
     """(model, primal, dual, gradient_norm): how far given models are from the best ones for rows (features, label, costs)."""
     w = np.stack([np.append(s.coefficients, s.intercept) for s in svms])
-    primal, dual, gradient, _ = _evaluate(rows, w)
+    primal, dual, gradient, _ = _evaluate(rows, w, rows.rdd.getNumPartitions())
     found = [(i, float(p), float(d), float(np.linalg.norm(g))) for i, (p, d, g) in enumerate(zip(primal, dual, gradient))]
     return rows.sparkSession.createDataFrame(found, "model int, primal double, dual double, gradient_norm double")
 
