@@ -63,18 +63,35 @@ def base_matches(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
+class Places:
+    """Where the characters of a text lie in the one that it was made from, and through it in the document.
+
+    The text is segments: unchanged ones, and runs of characters that stand for one run of the other
+    text. Only where segments begin is kept, so an escape costs a few numbers however long the text is.
+    """
+
+    def __init__(self, segments: list[tuple[int, int, int]], outer: Places | None):
+        """(first character, first in the other text, length of the run there or 0 if unchanged) of each segment."""
+        self.at, self.base, self.run = (np.array(c, np.int64) for c in zip(*segments))
+        self.outer = outer
+
+    def span(self, first: int, last: int) -> tuple[int, int]:
+        i, j = np.searchsorted(self.at, [first, last - 1], side="right") - 1
+        start = self.base[i] + (0 if self.run[i] else first - self.at[i])
+        end = self.base[j] + (self.run[j] or last - self.at[j])
+        return self.outer.span(int(start), int(end)) if self.outer is not None else (int(start), int(end))
+
+
 class Layer:
-    """Decoded text and where its characters lie in the document."""
+    """Decoded text and where its characters lie in the document: as ``places`` tell, all at ``span``, or where they are."""
 
-    def __init__(self, text: str, via: str, depth: int, starts=None, ends=None, span=None, window=False):
-        self.text, self.via, self.depth, self.starts, self.ends, self.span, self.window = text, via, depth, starts, ends, span, window
+    def __init__(self, text: str, via: str, depth: int, places: Places | None = None, span=None, window=False):
+        self.text, self.via, self.depth, self.places, self.span, self.window = text, via, depth, places, span, window
 
     def place(self, first: int, last: int) -> tuple[int, int]:
         if self.span is not None:
             return self.span
-        if self.starts is None:
-            return first, last
-        return int(self.starts[first]), int(self.ends[last - 1])
+        return (first, last) if self.places is None else self.places.span(first, last)
 
     def inside(self, text: str, via: str, first: int, last: int, window: bool = False) -> Layer:
         """A layer whose characters all stand for one run of this one; ``window``: one of several, to be searched at once."""
@@ -83,26 +100,23 @@ class Layer:
     def aligned(self, pieces: list[tuple[str, int, int]], via: str) -> Layer:
         """The whole layer with some runs replaced: (characters, start, end), each character at its own place."""
         via = f"{self.via}>{via}" if self.via else via
-        text, starts, ends, at = [], [], [], 0
+        text, segments, size, at = [], [], 0, 0
 
-        def plain(upto: int) -> None:
-            text.append(self.text[at:upto])
-            starts.append(np.arange(at, upto))
-            ends.append(np.arange(at + 1, upto + 1))
+        def add(chars: str, base: int, run: int) -> None:
+            nonlocal size
+            if chars:
+                text.append(chars)
+                segments.append((size, base, run))
+                size += len(chars)
 
         for chars, first, last in pieces:
-            plain(first)
-            text.append(chars)
-            starts.append(np.full(len(chars), first))
-            ends.append(np.full(len(chars), last))
+            add(self.text[at:first], at, 0)
+            add(chars, first, last - first)
             at = last
-        plain(len(self.text))
-        first, last = np.concatenate(starts), np.concatenate(ends)
-        if self.span is not None:
+        add(self.text[at:], at, 0)
+        if self.span is not None or not segments:
             return Layer("".join(text), via, self.depth + 1, span=self.span)
-        if self.starts is not None:
-            first, last = self.starts[first], self.ends[last - 1]
-        return Layer("".join(text), via, self.depth + 1, first, last)
+        return Layer("".join(text), via, self.depth + 1, Places(segments, self.places))
 
 
 def readings(data: bytes) -> list[str]:

@@ -156,3 +156,42 @@ def test_odd_rows(spark):
     rows = secrets.scan(df).collect()
     assert sorted(len(r.findings) for r in rows) == [0, 0, 0, 0, 1]
     assert secrets.scan(df.limit(0)).count() == 0
+
+
+def test_places_by_hand():
+    """Each character of nested layers against arrays that hold the place of every one."""
+    import random
+
+    rng = random.Random(2)
+    for _ in range(200):
+        layer = secrets.Layer("".join(rng.choice("abc") for _ in range(rng.randint(0, 30))), "", 0)
+        starts, ends = list(range(len(layer.text))), list(range(1, len(layer.text) + 1))
+        for _ in range(3):
+            pieces, at = [], 0
+            while at < len(layer.text):
+                first = at + rng.randint(0, 4)
+                last = first + rng.randint(1, 3)
+                if last > len(layer.text):
+                    break
+                pieces.append((rng.choice(["", "x", "yz"]), first, last))
+                at = last
+            text, s, e, at = "", [], [], 0
+            for chars, first, last in [*pieces, ("", len(layer.text), len(layer.text))]:
+                text, s, e = text + layer.text[at:first] + chars, s + starts[at:first], e + ends[at:first]
+                s, e, at = s + [starts[first]] * len(chars) if chars else s, e + [ends[last - 1]] * len(chars) if chars else e, last
+            layer, starts, ends = layer.aligned(pieces, "t"), s, e
+            assert layer.text == text
+            for first in range(len(text)):
+                for last in range(first + 1, len(text) + 1):
+                    assert layer.place(first, last) == (starts[first], ends[last - 1])
+
+
+def test_one_escape_costs_little():
+    import tracemalloc
+
+    text = "word " * 400_000 + "%41"
+    tracemalloc.start()
+    layer = secrets.Layer(text, "", 0).aligned([("A", len(text) - 3, len(text))], "url")
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert layer.text[-1] == "A" and peak < 8 * len(text)
