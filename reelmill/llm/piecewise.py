@@ -148,6 +148,10 @@ def likeness(one: str, two: str) -> float:
     return signature_likeness(*pairs[0]) if pairs else 0.0
 
 
+#: Bytes of text in a range, about; more ranges are made if the session asks for more partitions.
+RANGE_BYTES = 64 << 20
+
+
 def with_successors(docs: DataFrame, ranges: int) -> DataFrame:
     """doc_id, text, range and borrowed, sorted in each partition: every range ends with its successor's first row.
 
@@ -185,7 +189,8 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     import hashlib
 
     if ranges is None:
-        ranges = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("n")).first()["n"]
+        ranges = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES + 1)
     kind = docs.schema["doc_id"].dataType
     schema = StructType([
         StructField("doc_id", kind), StructField("n_chars", LongType()), StructField("edited_sha256", StringType()),
