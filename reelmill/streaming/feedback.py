@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +82,26 @@ def nested_state(state: DataFrame, part_size: int = 10_000) -> DataFrame:
     )
 
 
+#: State is kept on the executors' disks, not in their heap; of each batch only its changes go to the checkpoint.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def _settings(spark: SparkSession, wanted: dict[str, str]):
+    """What starts inside has these settings; then they are as before."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 SNAPSHOTS = "_snapshots"  # hidden from readers of the change log
 
 
@@ -92,7 +113,8 @@ def stream_feedback(
     State is one row per (user, item) and is the product itself, so there is no watermark: a late
     event loses against newer ones by its time. A replayed batch overwrites its own partition.
     ``trigger`` is what the writer's ``trigger`` takes; by default all that is there is drained.
-    Every ``compact_every`` batches the log is folded into a snapshot.
+    Every ``compact_every`` batches the log is folded into a snapshot. State of all keys stays for good, so
+    it lies in RocksDB; a checkpoint that was begun with another store goes on with that one.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -100,10 +122,11 @@ def stream_feedback(
         if compact_every and batch_id % compact_every == compact_every - 1:
             compact(batch.sparkSession, out, batch_id)
 
-    return (
-        _fold(events).writeStream.outputMode("update").foreachBatch(write)
-        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-    )
+    with _settings(events.sparkSession, STATE_STORE):
+        return (
+            _fold(events).writeStream.outputMode("update").foreachBatch(write)
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        )
 
 
 def _numbers(spark: SparkSession, folder: str, prefix: str) -> list[int]:

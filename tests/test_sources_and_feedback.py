@@ -134,6 +134,22 @@ def test_stream_equals_batch_with_late_and_replayed_events(spark, tmp_path):
     assert len([d for d in os.listdir(out) if d.startswith("batch_id=")]) >= 2
 
 
+def test_state_lies_in_rocksdb_and_survives_a_restart(spark, tmp_path):
+    src, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    seen = []
+    for part in (EVENTS[:5], EVENTS[5:]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        query = FB.stream_feedback(spark.readStream.schema(SCHEMA).parquet(src), out, log)
+        query.awaitTermination()
+        seen.append(query.recentProgress[-1]["stateOperators"][0])
+    assert all(any(name.startswith("rocksdb") for name in s["customMetrics"]) for s in seen)
+    assert seen[1]["numRowsTotal"] >= seen[0]["numRowsTotal"] > 0  # keys of the first run are still there
+    assert any(f.endswith(".changelog") for _, _, names in os.walk(os.path.join(log, "state")) for f in names)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    assert {(r["item"], r["favorite"], r["rating"], r["review"]) for r in FB.stream_state(spark, out).collect()} == STATE
+
+
 def test_snapshots_replace_the_change_log(spark, tmp_path):
     src, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
     for n, row in enumerate(EVENTS):
