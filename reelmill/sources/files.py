@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelmill.session import store
+from reelmill.session import scratch_path, store
+from reelmill.sources.records import record_lines
 
 PART_NAME = "part-*.json"
 HEAD = 64 << 10
+LONGEST_HEAD = 16 << 20
 LAYOUTS = ("lines", "array", "dict", "object")
 HEAD_READERS = 32
 
@@ -30,16 +32,16 @@ def _part_files(spark: SparkSession, folder: str) -> list[str]:
     return sorted(str(s.getPath().toString()) for s in found) if found else []
 
 
-def _head(spark: SparkSession, path: str) -> tuple[str, bool]:
+def _head(spark: SparkSession, path: str, size: int = HEAD) -> tuple[str, bool]:
     """The first bytes of a file, and whether that is all of it."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(target)
     try:
         found = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(
-            jvm.org.apache.commons.io.input.BoundedInputStream(stream, HEAD)
+            jvm.org.apache.commons.io.input.BoundedInputStream(stream, size)
         ))
-        return found.decode("utf-8", errors="ignore"), len(found) < HEAD
+        return found.decode("utf-8", errors="ignore"), len(found) < size
     finally:
         stream.close()
 
@@ -98,22 +100,36 @@ def layout_of(head: str, whole: bool = False) -> str:
 
 
 def _layout_of_file(spark: SparkSession, path: str) -> str:
-    head, whole = _head(spark, path)
+    """The layout by the file's head, which is read on while an object's first line goes on beyond it.
+
+    A first line of over ``LONGEST_HEAD`` bytes counts as a dict if it begins like one; the reader of
+    dicts raises if what follows shows that it is none.
+    """
+    size = HEAD
+    head, whole = _head(spark, path, size)
+    while not whole and size < LONGEST_HEAD and "\n" not in (start := head.lstrip("\ufeff \t\r\n")) and start[:1] in ("{", ""):
+        size *= 16
+        head, whole = _head(spark, path, size)
     try:
         return layout_of(head, whole)
     except ValueError as error:
         raise ValueError(f"{path}: {error}") from None
 
 
-def _read_dicts(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Files that hold one object of objects: one row per inner object, all its fields as text.
+def _as_lines(spark: SparkSession, paths: list[str], layout: str, on_broken: str) -> str:
+    """A scratch folder with the records of arrays or dicts, one a line."""
+    out = scratch_path(spark, "lines")
+    record_lines(spark, paths, layout, on_broken).write.text(out)
+    return out
+
+
+def _read_dicts(spark: SparkSession, lines: str) -> DataFrame:
+    """Inner objects of dicts, one a line, with all their fields as text.
 
     Field names are put in lower case; of names that differ in case only, the first with a value counts.
     """
     strict, texts = {"mode": "FAILFAST"}, T.MapType(T.StringType(), T.StringType())
-    whole = spark.read.text(paths, wholetext=True)
-    inner = whole.select(F.explode(F.from_json("value", texts, strict)).alias("key", "v"))
-    rows = inner.select(F.from_json("v", texts, strict).alias("m"))
+    rows = spark.read.text(lines).select(F.from_json("value", texts, strict).alias("m"))
     names: dict[str, list[str]] = {}
     for r in rows.select(F.explode(F.map_keys("m")).alias("n")).distinct().orderBy("n").collect():  # one row per field
         names.setdefault(r["n"].lower(), []).append(r["n"])
@@ -130,8 +146,9 @@ def read_reviews(
     ``schema`` no inference pass is made over the data, which is how large folders should be read.
     Text that is not JSON raises; ``on_broken="skip"`` leaves such rows out instead.
 
-    Lines are read in parallel within a file. A file with an array or an object is one task's work:
-    bring large ones into lines once, with ``rewrite_as_lines``.
+    Every file is read by many tasks: lines as they are, arrays and objects of objects after
+    ``record_lines`` has cut them into lines in the scratch folder. One object over several lines
+    (``object``) is one row and one task.
     """
     files = _part_files(spark, folder)
     if not files:
@@ -152,9 +169,11 @@ def read_reviews(
     parts = []
     for kind, paths in groups.items():
         if kind == "dict":
-            parts.append(_read_dicts(spark, paths))
+            parts.append(_read_dicts(spark, _as_lines(spark, paths, kind, on_broken)))
+        elif kind == "array":
+            parts.append(reader.json(_as_lines(spark, paths, kind, on_broken)))
         else:
-            parts.append(reader.option("multiLine", str(kind != "lines").lower()).json(paths))
+            parts.append(reader.option("multiLine", str(kind == "object").lower()).json(paths))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
