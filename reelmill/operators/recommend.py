@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from reelmill.functions.scoring import blend
 from reelmill.operators.factors import dot
 from reelmill.operators.ranking import minmax, top_k
-from reelmill.operators.similarity import DIGITS, shared_matrix, sparse_cosine, taste_vectors, top_cosine
-from reelmill.session import spread
+from reelmill.operators.similarity import DIGITS, meet_vectors, taste_vectors, top_cosine
+from reelmill.session import small_side, spread
 
 GUEST, ACCOUNT, USER = "guest", "account", "user"
 
@@ -93,33 +93,30 @@ def personal_scores(pool: DataFrame, personal: DataFrame | None, item_vectors: D
 def taste_cosines(pool: DataFrame, tastes: DataFrame, item_vectors: DataFrame) -> DataFrame:
     """(query_id, item, _cos) of the tastes (query_id, idx, val, norm) with the items of their pools.
 
-    A query's taste moves once, with the list of its pool's items, and is multiplied with all of
-    them in one call; an item matrix beyond the checked size is joined to the pool's rows instead.
+    Pools are cut into slices by query; each gets its queries' tastes and the item vectors that it
+    needs once, and multiplies them there.
     """
     wanted = pool.select("query_id", "item").join(tastes.select("query_id"), "query_id", "left_semi").distinct()
-    matrix = shared_matrix(item_vectors, "item")
-    if matrix is None:
-        theirs = item_vectors.select("item", F.col("idx").alias("_ii"), F.col("val").alias("_iv"), F.col("norm").alias("_in"))
-        rows = wanted.join(theirs, "item").join(tastes, "query_id")
-        return rows.select("query_id", "item", sparse_cosine("idx", "val", "norm", "_ii", "_iv", "_in").alias("_cos"))
-    lists = wanted.groupBy("query_id").agg(F.collect_list("item").alias("items")).join(tastes, "query_id")
+    lists = wanted.withColumn("_head", F.row_number().over(W.partitionBy("query_id").orderBy("item")) == 1)
+    # A taste travels with the first row of its query.
+    taste = tastes.select("query_id", F.lit(True).alias("_head"), F.col("idx").alias("_ti"), F.col("val").alias("_tv"), F.col("norm").alias("_tn"))
+    rows = lists.join(taste, ["query_id", "_head"], "left")
     kinds = [T.StructField(c, pool.schema[c].dataType) for c in ("query_id", "item")]
 
-    def multiply(frames):
-        place, all_idx, all_val, all_norm = matrix.value
-        for pdf in frames:
-            out = []
-            for query, items, idx, val, norm in zip(pdf["query_id"], pdf["items"], pdf["idx"], pdf["val"], pdf["norm"]):
-                known = [(i, place[i]) for i in items if i in place]
-                row = np.zeros(max([int(idx[-1]) if len(idx) else 0, *(int(all_idx[s][-1]) for _, s in known if len(all_idx[s]))]) + 1)
-                row[idx] = val
-                for item, spot in known:
-                    length = norm * all_norm[spot]
-                    out.append((query, item, float(np.round(all_val[spot] @ row[all_idx[spot]] / length, DIGITS)) if length > 0 else 0.0))
-            if out:
-                yield pd.DataFrame(out, columns=["query_id", "item", "_cos"])
+    def multiply(rows: pd.DataFrame, place: dict, idx: list, val: list, norm: np.ndarray):
+        for query, mine in rows.groupby("query_id", sort=False):
+            first = mine[mine["_head"]].iloc[0]
+            known = [(i, place[i]) for i in mine["item"] if i in place]
+            theirs, values = np.asarray(first["_ti"]), np.asarray(first["_tv"])
+            width = max([int(theirs[-1]) if len(theirs) else 0, *(int(idx[s][-1]) for _, s in known if len(idx[s]))]) + 1
+            row = np.zeros(width)
+            row[theirs] = values
+            for item, spot in known:
+                length = first["_tn"] * norm[spot]
+                yield query, item, float(np.round(val[spot] @ row[idx[spot]] / length, DIGITS)) if length > 0 else 0.0
 
-    return lists.mapInPandas(multiply, T.StructType([*kinds, T.StructField("_cos", T.DoubleType())]))
+    schema = T.StructType([*kinds, T.StructField("_cos", T.DoubleType())])
+    return meet_vectors(rows, item_vectors, ("query_id",), "item", schema, multiply)
 
 
 def blend_scores(scored: DataFrame, w_cos: float = 0.6) -> DataFrame:
@@ -145,8 +142,8 @@ def mmr_rerank(
     item. Pools of at most ``n`` keep their order. With similarities between 0 and 1, a candidate
     whose relevance is too far behind the n-th one can never be picked: one of the n best is always
     left and loses at most 1 - lmbda. Those are dropped first. The rest, at most one pool, is
-    re-ranked in one call per query; vectors are looked up in the item matrix if its checked size
-    lets it be sent to the executors, and joined to the candidates otherwise.
+    re-ranked in one call per query; vectors are joined to the candidates that are left, from a
+    broadcast where they are measured to be small.
     """
     w = W.partitionBy(query).orderBy(F.desc(score), F.asc(item))
     cands = candidates.withColumn("_place", F.row_number().over(w))
@@ -154,23 +151,15 @@ def mmr_rerank(
         nth = F.min(F.when(F.col("_place") <= n, F.col(score))).over(W.partitionBy(query))
         reach = F.col(score) * lmbda >= nth * lmbda - (1.0 - lmbda) - 1e-9
         cands = cands.withColumn("_reach", reach).filter((F.col("_place") <= n) | F.col("_reach")).drop("_reach")
-    matrix = shared_matrix(item_vectors, item)
-    if matrix is None:
-        vectors = item_vectors.select(item, F.col("idx").alias("_idx"), F.col("val").alias("_val"), F.col("norm").alias("_norm"))
-        cands = cands.join(vectors, item, "left")
+    vectors = item_vectors.select(item, F.col("idx").alias("_idx"), F.col("val").alias("_val"), F.col("norm").alias("_norm"))
+    cands = cands.join(small_side(vectors), item, "left")
     fields = list(candidates.schema.fields)
     names = [f.name for f in fields]
 
     def units(pdf: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
         """Index and unit-length values per candidate; empty for items without a vector."""
-        if matrix is None:
-            found = zip(pdf["_idx"], pdf["_val"], pdf["_norm"])
-        else:
-            place, idx, val, norm = matrix.value
-            spots = [place.get(i) for i in pdf[item]]
-            found = [(None, None, 0.0) if s is None else (idx[s], val[s], norm[s]) for s in spots]
         none = (np.zeros(0, np.int64), np.zeros(0))
-        return [(np.asarray(i), np.asarray(v) / m) if i is not None and m > 0 else none for i, v, m in found]
+        return [(np.asarray(i), np.asarray(v) / m) if i is not None and m > 0 else none for i, v, m in zip(pdf["_idx"], pdf["_val"], pdf["_norm"])]
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_place", ignore_index=True)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelmill.operators.ranking import keep_known
-from reelmill.session import cut_lineage, spread, store
+from reelmill.session import MOST_PARTITIONS, cut_lineage, spread, store
 
 LEFT_BLOCK = 1 << 19  # vector entries per block: some 6 MB
 RIGHT_BLOCK = 1 << 21
@@ -255,47 +255,45 @@ def cosine_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str)
     return top_cosine(left, right, None, left_id, right_id).drop("rank")
 
 
-@F.pandas_udf(T.DoubleType())
-def sparse_cosine(
-    idx_a: pd.Series, val_a: pd.Series, norm_a: pd.Series, idx_b: pd.Series, val_b: pd.Series, norm_b: pd.Series
-) -> pd.Series:
-    """Cosine of two packed vectors in one row; zero where either is missing or has no length."""
-
-    def one(ia, va, na, ib, vb, nb):
-        if ia is None or ib is None or not na > 0 or not nb > 0:
-            return 0.0
-        _, a, b = np.intersect1d(ia, ib, assume_unique=True, return_indices=True)
-        return float(np.round(np.dot(va[a], vb[b]) / (na * nb), DIGITS))
-
-    return pd.Series([one(*row) for row in zip(idx_a, val_a, norm_a, idx_b, val_b, norm_b)], dtype="float64")
-
-
 PART = 256  # members combined in one call
 LEVEL = 64  # partial sums added in one call
-MATRIX_ENTRIES = 16 << 20  # item matrices up to some 200 MB are sent to every executor
+SLICE_ROWS = 1 << 16  # rows that meet their items' vectors in one task
 
 
 def _sum_entries(idx: list, val: list, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weighted sum of sparse vectors; ids are sorted and unique within each."""
-    total = np.zeros(max(int(i[-1]) for i in idx) + 1)
+    total = np.zeros(max((int(i[-1]) for i in idx if len(i)), default=-1) + 1)
     for i, v, w in zip(idx, val, weights):
         total[i] += w * np.asarray(v)
     terms = np.flatnonzero(total)
     return terms.astype(np.int32), total[terms]
 
 
-def shared_matrix(item_vectors: DataFrame, item: str):
-    """The item matrix as a broadcast (places by item, index lists, value lists, norms), or ``None``.
+def meet_vectors(rows: DataFrame, item_vectors: DataFrame, keys: tuple[str, ...], item: str, schema, work) -> DataFrame:
+    """``work(rows, place, idx, val, norm)`` for slices of ``rows`` (keys, item, ...) with the vectors that they need.
 
-    Only matrices whose measured number of entries is within ``MATRIX_ENTRIES`` are sent.
+    Rows are hashed into slices by their keys. Routes, the distinct (slice, item), send each slice
+    every vector that it needs once, so neither the driver nor any task holds the whole matrix and
+    no vector is copied for each row. ``place`` is a vector's position by item; ``work`` gives
+    tuples. The number of slices follows the rows; no key should have many times ``SLICE_ROWS`` rows.
     """
-    entries = item_vectors.agg(F.coalesce(F.sum(F.size("idx")), F.lit(0)).alias("n")).first()["n"]
-    if entries > MATRIX_ENTRIES:
-        return None
-    packed = item_vectors.select(item, "idx", "val", "norm").toArrow().to_pandas()
-    place = {k: i for i, k in enumerate(packed[item])}
-    content = (place, packed["idx"].to_list(), packed["val"].to_list(), packed["norm"].to_numpy())
-    return item_vectors.sparkSession.sparkContext.broadcast(content)
+    kind = item_vectors.schema[item].dataType
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = store(rows.withColumn(item, F.col(item).cast(kind)).filter(F.col(item).isNotNull()), "rows-to-vectors")
+    n = max(least, kept.count() // SLICE_ROWS + 1)
+    placed = kept.withColumn("_slice", F.pmod(F.xxhash64(*keys), F.lit(n)))
+    routes = placed.select(F.col("_slice").alias("_to"), item).distinct()
+    moved = item_vectors.select(item, "idx", "val", "norm").join(routes, item)
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+    def one(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        place = {k: i for i, k in enumerate(r[item])}
+        vectors = [np.asarray(x) for x in r["idx"]], [np.asarray(x) for x in r["val"]], r["norm"].to_numpy()
+        return pd.DataFrame(list(work(l, place, *vectors)), columns=schema.names)
+
+    tasks = min(n, MOST_PARTITIONS)
+    sides = [side.repartition(tasks, by).groupBy(by) for side, by in ((placed, "_slice"), (moved, "_to"))]
+    return sides[0].cogroup(sides[1]).applyInPandas(one, schema)
 
 
 def combine_vectors(members: DataFrame, item_vectors: DataFrame, group: str, item: str = "item", weight: str = "w") -> DataFrame:
@@ -303,46 +301,22 @@ def combine_vectors(members: DataFrame, item_vectors: DataFrame, group: str, ite
 
     ``members`` has one row per (group, item). Entries are summed as arrays inside tasks, so no row
     per group and term is ever shuffled. A group with many members is cut into parts of about
-    ``PART`` and the parts are summed afterwards, so that none is worked on as a whole. An item
-    matrix of checked size goes to the executors and only the narrow member lists move; a larger
-    one is joined by item.
+    ``PART`` and the parts are summed afterwards, so that none is worked on as a whole. Member lists
+    are cut into slices, which get the vectors that they need, each once (``meet_vectors``).
     """
     kind = members.schema[group].dataType.simpleString()
     sizes = members.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(PART))).alias("_parts"))
     rows = members.select(group, item, F.col(weight).cast("double").alias("_w")).join(sizes, group)
     rows = rows.withColumn("_part", F.pmod(F.xxhash64(item), F.col("_parts")))
     schema = f"{group} {kind}, _parts long, _part long, idx array<int>, val array<double>"
-    matrix = shared_matrix(item_vectors, item)
-    if matrix is not None:
-        lists = spread(rows, group, "_part").groupBy(group, "_part", "_parts").agg(
-            F.collect_list(F.struct(F.col(item).alias("i"), "_w")).alias("m")
-        ).select(group, "_parts", "_part", F.col("m.i").alias("items"), F.col("m._w").alias("ws"))
-
-        def look_up(frames):
-            known, all_idx, all_val, _ = matrix.value
-            for pdf in frames:
-                out = []
-                for g, parts, part, items, ws in zip(pdf[group], pdf["_parts"], pdf["_part"], pdf["items"], pdf["ws"]):
-                    found = [(known[i], w) for i, w in zip(items, ws) if i in known]
-                    if found:
-                        at = [i for i, _ in found]
-                        total = _sum_entries([all_idx[i] for i in at], [all_val[i] for i in at], np.array([w for _, w in found]))
-                        out.append((g, parts, part, *total))
-                    if len(out) >= 200:
-                        yield pd.DataFrame(out, columns=[group, "_parts", "_part", "idx", "val"])
-                        out = []
-                if out:
-                    yield pd.DataFrame(out, columns=[group, "_parts", "_part", "idx", "val"])
-
-        partial = lists.mapInPandas(look_up, schema)
-    else:
-        joined = rows.join(item_vectors.select(item, "idx", "val"), item)
 
-        def add_members(pdf: pd.DataFrame) -> pd.DataFrame:
-            total = _sum_entries(pdf["idx"].to_list(), pdf["val"].to_list(), pdf["_w"].to_numpy())
-            return pd.DataFrame([(pdf[group].iloc[0], pdf["_parts"].iloc[0], pdf["_part"].iloc[0], *total)], columns=[group, "_parts", "_part", "idx", "val"])
+    def add_members(rows: pd.DataFrame, place: dict, idx: list, val: list, norm: np.ndarray):
+        rows = rows[rows[item].isin(list(place))]
+        for (g, parts, part), mine in rows.groupby([group, "_parts", "_part"], sort=False):
+            at = [place[i] for i in mine[item]]
+            yield g, parts, part, *_sum_entries([idx[i] for i in at], [val[i] for i in at], mine["_w"].to_numpy())
 
-        partial = spread(joined, group, "_part").groupBy(group, "_part").applyInPandas(add_members, schema)
+    partial = meet_vectors(rows, item_vectors, (group, "_part"), item, schema, add_members)
     partial = store(partial.filter(F.size("idx") > 0), "partial-sums")
 
     def add_parts(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -12,6 +12,7 @@ from reelmill.operators import similarity as SI
 from reelmill.operators import svm as SV
 from reelmill.operators.ranking import minmax
 from reelmill.params import FIRST
+from reelmill.session import small_side
 
 
 def sparse(spark, matrix, key):
@@ -108,9 +109,9 @@ def test_kinds_are_packed_by_executors(spark):
     assert 4 * len(table) < size + KW.KIND_BLOCK
 
 
-@pytest.mark.parametrize("entries, part", [(1 << 24, 256), (0, 256), (1 << 24, 2), (0, 2)])
-def test_taste_and_mean_by_every_path(spark, matrices, monkeypatch, entries, part):
-    monkeypatch.setattr(SI, "MATRIX_ENTRIES", entries)
+@pytest.mark.parametrize("rows, part", [(1 << 16, 256), (3, 256), (1 << 16, 2), (3, 2)])
+def test_taste_and_mean_by_every_path(spark, matrices, monkeypatch, rows, part):
+    monkeypatch.setattr(SI, "SLICE_ROWS", rows)
     monkeypatch.setattr(SI, "PART", part)
     monkeypatch.setattr(SI, "LEVEL", 2)
     _, right = matrices
@@ -143,9 +144,9 @@ def test_diversity(spark, matrices):
     assert got[2] == got[3] == 0.0
 
 
-@pytest.mark.parametrize("entries", [1 << 24, 0])
-def test_mmr_against_brute_force(spark, matrices, monkeypatch, entries):
-    monkeypatch.setattr(SI, "MATRIX_ENTRIES", entries)
+@pytest.mark.parametrize("limit", [1 << 27, -1])
+def test_mmr_against_brute_force(spark, matrices, monkeypatch, limit):
+    monkeypatch.setattr(RC, "small_side", lambda df: df if limit < 0 else small_side(df, limit))
     _, right = matrices
     rng = np.random.default_rng(2)
     scores = {(g, i): round(float(x), 6) for g in range(3) for i, x in enumerate(rng.random(31))}
@@ -310,3 +311,22 @@ def test_spread_follows_the_input(spark, monkeypatch):
     few = session.spread(docs, "doc_id").rdd.getNumPartitions()
     monkeypatch.setattr(session, "SPREAD_BYTES", 50_000)
     assert session.spread(docs, "doc_id").rdd.getNumPartitions() > few
+
+
+def test_no_vector_reaches_the_driver(spark, matrices, monkeypatch):
+    _, right = matrices
+    vectors = sparse(spark, right, "item")
+    members = spark.createDataFrame([(g, i) for g in range(9) for i in range(g, 31, 4)], "g long, item long")
+
+    def refuse(self, *args):
+        raise AssertionError("collected")
+
+    frame, rows = type(vectors), []
+    collect = frame.collect
+    with monkeypatch.context() as patch:
+        for name in ("toArrow", "toPandas"):
+            patch.setattr(frame, name, refuse)
+        patch.setattr(frame, "collect", lambda self: rows.append(found := collect(self)) or found)
+        means = SI.mean_vectors(members, vectors, "g")
+    assert all(len(found) <= 1 and len(r) == 1 for found in rows for r in found)  # single numbers
+    assert means.count() == 9
