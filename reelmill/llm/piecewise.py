@@ -11,7 +11,8 @@ are unlike, and so are fingerprints without a common size.
 Texts are hashed as bytes in numpy, whole batches at a time.
 
 Documents are dealt into ranges of doc_id; each range also gets the first document of the next one, so
-every document sees its successor in the same task. Only doc_ids are looked at to set the ranges.
+every document sees its successor in the same task. Doc_ids and sizes are looked at to set the
+ranges; rows without a doc_id, or of one that many rows share, are dealt into ranges of their hash.
 
 Defined results: a null text is empty; the empty text has the fingerprint ``3::``, like any text with
 the same fingerprint with likeness 1; rows with the same doc_id are ordered by their text, null ids
@@ -21,10 +22,12 @@ an empty one.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
@@ -152,28 +155,46 @@ def likeness(one: str, two: str) -> float:
 RANGE_BYTES = 64 << 20
 
 
-def with_successors(docs: DataFrame, ranges: int) -> DataFrame:
+def hash_part(parts) -> Column:
+    """Parts 0 to ``parts`` - 1 in the order of the hash."""
+    share = F.col("hash").cast("double") / 2.0**64 + 0.5
+    return F.least(F.floor(share * parts), parts - 1).cast("int")
+
+
+def with_successors(docs: DataFrame, ranges: int, null_ranges: int = 1) -> DataFrame:
     """doc_id, text, range and borrowed, sorted in each partition: every range ends with its successor's first row.
 
     Row order is doc_id, then the text's hash. Shuffles each text once, and one more text per range.
+    Rows without a doc_id, and those of a whole number that is a quantile several times over, are cut by hash.
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("place", F.col("doc_id").cast("double"))
+    rows = rows.withColumn("hash", F.xxhash64("text"))
     cuts = rows.where("place is not null").stat.approxQuantile("place", [i / ranges for i in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
     splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
     if len(splits) > 2:
         rows = Bucketizer(splits=splits, inputCol="place", outputCol="range", handleInvalid="keep").transform(rows)
-        rows = rows.withColumn("range", F.when(F.col("place").isNull(), -1).otherwise(F.col("range")).cast("int"))
     else:
         rows = rows.withColumn("range", F.lit(0))
+    exact = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    hot = {c: n for c, n in Counter(cuts).items() if n > 1 and exact and abs(c) < 2**53}  # at most one entry per quantile
+    step = max(hot.values(), default=0) + 1
+    part = F.lit(0)
+    if hot:
+        # Such an id is the first of its range: its parts come before the range's other ids.
+        found = F.create_map(*[F.lit(x) for c, n in hot.items() for x in (c, n)])
+        starts = F.create_map(*[F.lit(x) for c, n in hot.items() for x in (float(splits.index(c)), n)])
+        part = F.coalesce(hash_part(F.element_at(found, F.col("place"))), F.element_at(starts, F.col("range").cast("double")), F.lit(0))
+    number = F.col("range").cast("int") * step + part
+    without = hash_part(F.lit(null_ranges)) - null_ranges - 1
+    rows = rows.withColumn("range", F.when(F.col("doc_id").isNull(), without).when(F.col("place").isNull(), -1).otherwise(number).cast("int"))
     rows = rows.drop("place")
     ids = rows.groupBy("range").agg(F.min("doc_id").alias("least")).orderBy("range").collect()  # one row per range
     if not ids:
-        return rows.withColumn("borrowed", F.lit(False)).withColumn("hash", F.lit(0).cast("long"))
+        return rows.withColumn("borrowed", F.lit(False))
     follows = docs.sparkSession.createDataFrame(
         [(r.range, r.least, ids[i - 1].range) for i, r in enumerate(ids)],
         StructType([StructField("r", rows.schema["range"].dataType), StructField("least", docs.schema["doc_id"].dataType), StructField("before", rows.schema["range"].dataType)]),
     )
-    rows = rows.withColumn("hash", F.xxhash64("text"))
     first = rows.join(F.broadcast(follows), (F.col("range") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("least")))
     first = first.groupBy("before").agg(F.min_by(F.struct("doc_id", "text", "hash"), F.struct("hash", "text")).alias("x"))
     lent = first.select("x.doc_id", "x.text", F.col("before").alias("range"), "x.hash", F.lit(True).alias("borrowed"))
@@ -181,7 +202,7 @@ def with_successors(docs: DataFrame, ranges: int) -> DataFrame:
     return own.unionByName(lent).repartition(len(ids), "range").sortWithinPartitions("range", "borrowed", F.col("doc_id").asc_nulls_first(), "hash", "text")
 
 
-def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, ranges: int | None = None, null_ranges: int = 1) -> DataFrame:
     """Fingerprint of every text, of its edited text, and both likenesses.
 
     The edited text has its last floor(n / 2) characters replaced by the first as many of the next text.
@@ -189,8 +210,11 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     import hashlib
 
     if ranges is None:
-        size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("n")).first()["n"]
-        ranges = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES + 1)
+        length = F.octet_length(F.col("text").cast("string"))
+        sizes = docs.groupBy(F.col("doc_id").isNull().alias("without")).agg(F.coalesce(F.sum(length), F.lit(0)).alias("n"))
+        size = {r["without"]: r["n"] for r in sizes.collect()}  # two rows at most
+        ranges = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size.get(False, 0) // RANGE_BYTES + 1)
+        null_ranges = size.get(True, 0) // RANGE_BYTES + 1
     kind = docs.schema["doc_id"].dataType
     schema = StructType([
         StructField("doc_id", kind), StructField("n_chars", LongType()), StructField("edited_sha256", StringType()),
@@ -226,4 +250,4 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = [to_arrow_type(f.dataType) for f in schema.fields]
-    return with_successors(docs, ranges).select("doc_id", "text", "range", "borrowed").mapInArrow(work, schema)
+    return with_successors(docs, ranges, null_ranges).select("doc_id", "text", "range", "borrowed").mapInArrow(work, schema)

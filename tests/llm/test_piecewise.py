@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from reelmill.llm import piecewise as pw
 from reelmill.llm.queries import op4_piecewise
@@ -98,6 +99,25 @@ def test_ranges_do_not_matter(spark, ranges):
     assert {r.doc_id: tuple(r)[1:] for r in pw.fingerprints(df, ranges).collect()} == brute(texts)
 
 
+@pytest.mark.parametrize("ranges, null_ranges", [(1, 1), (6, 3), (40, 7)])
+def test_rows_of_one_id_and_of_none_are_cut_by_hash(spark, ranges, null_ranges):
+    ids = [None] * 60 + [7] * 90 + [7 + i for i in range(1, 30)] + [1, 2, 3]
+    df = spark.createDataFrame([(d, f"{i} " + "text " * (i % 40)) for i, d in enumerate(ids)], "doc_id long, text string").repartition(5)
+    order = df.withColumn("hash", F.xxhash64("text")).orderBy(F.col("doc_id").asc_nulls_first(), "hash", "text").collect()
+    make = pw.Piecewise()
+    expected = []
+    for i, r in enumerate(order):
+        after = order[(i + 1) % len(order)].text
+        half = len(r.text) // 2
+        edited = r.text[: len(r.text) - half] + after[:half]
+        expected.append((str(r.doc_id), hashlib.sha256(edited.encode()).hexdigest(), make.fingerprint(r.text.encode())))
+    got = pw.fingerprints(df, ranges, null_ranges).collect()
+    assert sorted((str(r.doc_id), r.edited_sha256, r.fingerprint) for r in got) == sorted(expected)
+    if ranges > 1:
+        sizes = {(r["range"], r["doc_id"]): r["count"] for r in pw.with_successors(df, ranges, null_ranges).where("not borrowed").groupBy("range", "doc_id").count().collect()}
+        assert sum(d is None for _, d in sizes) == null_ranges and sum(d == 7 for _, d in sizes) > 1
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(None, "a", 1), (None, None, 2), (5, None, 3), (5, "b", 4), (5, "b", 4)], "doc_id long, text string, range int")
     rows = pw.fingerprints(df, 4).collect()
