@@ -7,7 +7,7 @@ rows, so counts are at most one apart; with more room fewer keys move on.
 
 Only the counts of arcs (one per virtual node) reach the driver, which follows the keys round the
 ring arc by arc: the result is the same as that of placing keys one at a time. A row's rank in its
-arc then gives its shard and its slot. Texts are never shuffled.
+arc then gives its shard and its slot. Texts are read once and never shuffled.
 
 Defined results: a null text has size 1 and crc 0; a null doc_id is placed by its text's crc and
 size; rows that are alike in doc_id, size and crc are interchangeable and each get a slot of their
@@ -21,11 +21,15 @@ import hashlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelmill.session import store
+
 PLACE_BITS = 60
 #: Virtual nodes sit at the starts of 2 ** RING_BITS equal cells of the ring.
 RING_BITS = 16
 #: Rows that one cell holds on average at most; cells are ranked one by one.
 CELL_ROWS = 1 << 14
+#: Rows alike that one task expands at a time.
+COPIES = 1 << 16
 
 
 def ring(shards: int, nodes: int) -> list[tuple[int, int]]:
@@ -71,11 +75,11 @@ def shard_rows(docs: DataFrame, shards: int = 16, nodes: int = 64, balance: floa
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     key = F.when(F.col("doc_id").isNull(), F.xxhash64("text_crc32", "size")).otherwise(F.xxhash64("doc_id"))
     rows = rows.withColumn("place", F.shiftrightunsigned(key, 64 - PLACE_BITS))
-    alike = rows.groupBy("doc_id", "size", "text_crc32", "place").agg(F.count(F.lit(1)).alias("copies"))
+    alike = store(rows.groupBy("doc_id", "size", "text_crc32", "place").agg(F.count(F.lit(1)).alias("copies")), "alike")
 
     points = ring(shards, nodes)
     owners = [s for _, s in points]
-    total = docs.count()
+    total = alike.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first()["n"]
     bits = max(RING_BITS, (total // CELL_ROWS).bit_length())
     alike = alike.withColumn("cell", F.shiftright("place", PLACE_BITS - bits))
     cells = alike.groupBy("cell").agg(F.sum("copies").alias("n"))
@@ -98,6 +102,12 @@ def shard_rows(docs: DataFrame, shards: int = 16, nodes: int = 64, balance: floa
     ranked = alike.withColumn("inside", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
     ranked = ranked.join(cells.select("cell", "arc", "ahead"), "cell")
     ranked = ranked.withColumn("first", F.col("ahead") + F.col("inside"))
-    ranked = ranked.withColumn("rank", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1)))
+    ranked = ranked.withColumn("end", F.col("first") + F.col("copies")).drop("copies")
+    # Large groups of rows alike are cut into blocks, which other tasks expand.
+    many = F.col("end") - F.col("first") > COPIES
+    blocks = ranked.where(many).withColumn("first", F.explode(F.sequence("first", F.col("end") - 1, F.lit(COPIES).cast("long"))))
+    blocks = blocks.withColumn("end", F.least("end", F.col("first") + COPIES)).repartition("arc", "first")
+    ranked = ranked.where(~many).unionByName(blocks)
+    ranked = ranked.withColumn("rank", F.explode(F.sequence("first", F.col("end") - 1)))
     found = ranked.join(F.broadcast(plan), "arc").withColumn("s", F.expr("filter(segments, s -> rank >= s.lo and rank < s.hi)[0]"))
     return found.select("doc_id", "size", "text_crc32", F.col("s.shard").alias("shard"), (F.col("s.base") + F.col("rank") - F.col("s.lo")).alias("slot"))

@@ -65,6 +65,13 @@ def test_more_room_moves_fewer_keys(spark):
     assert moved(1.3) < 4000 * 0.35
 
 
+def test_rows_alike_are_expanded_in_blocks(spark, monkeypatch):
+    df = spark.createDataFrame([(7, "hot")] * 300 + [(i, "x") for i in range(100)], "doc_id long, text string")
+    want = sorted(map(tuple, sharding.shard_rows(df, 4, 8).collect()))
+    monkeypatch.setattr(sharding, "COPIES", 16)
+    assert sorted(map(tuple, sharding.shard_rows(df, 4, 8).collect())) == want and len(want) == 400
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(None, None, 1), (None, "", 2), (1, "a", 3), (1, "a", 3), (1, "b", 3)] + [(7, "hot", 0)] * 300, "doc_id long, text string, shard int")
     rows = sharding.shard_rows(df, 4, 8).collect()
