@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from reelmill.llm.batches import text_slices
-from reelmill.session import scratch_path, store
+from reelmill.session import scratch_path, small_side, store
 
 ARCHIVE_BYTES = 1 << 30
 DICTIONARY_BYTES = 32 << 10
@@ -178,7 +178,10 @@ def frames(folder: str, name: str) -> Iterator[bytes]:
 
 
 def mark_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
-    """pages (page_id, url, html) with sha1 and refers_to; only ids and digests are grouped."""
+    """pages (page_id, url, html) with sha1 and refers_to; only ids and digests are grouped.
+
+    Payloads stay where they are read as long as the revisits are measured to be small.
+    """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     wide = pages.select("page_id", "url", payload.alias("html")).withColumn("sha1", F.sha1("html"))
     narrow = wide.where(F.octet_length("html") >= least).select("page_id", "sha1").groupBy("page_id", "sha1").count()
@@ -186,7 +189,7 @@ def mark_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     repeats = narrow.drop("count").join(groups.where("pages > 1 and refers_to is not null").drop("pages"), "sha1")
     repeats = repeats.where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).withColumnsRenamed({"page_id": "p", "sha1": "s"})
     same = F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha1") == F.col("s"))
-    return wide.join(repeats, same, "left").drop("p", "s")
+    return wide.join(small_side(repeats), same, "left").drop("p", "s")
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
