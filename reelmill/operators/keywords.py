@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelmill.operators.similarity import mean_vectors, unpack_vectors
+from reelmill.operators.similarity import RIGHT_BLOCK, entries_of, mean_vectors, unpack_vectors
 from reelmill.params import GENERIC_TERMS
-from reelmill.session import stored_side
+from reelmill.session import small_side, stored_side
 
 
 # Terms whose kinds, two bits each, are sent to every executor; a larger vocabulary is joined.
@@ -64,22 +64,30 @@ def kinds_of(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
 def _strongest_in_place(means: DataFrame, kinds: DataFrame, group: str, size: int, n: int, n_grams: int) -> DataFrame:
     shared = means.sparkSession.sparkContext.broadcast(packed_kinds(kinds, size))
 
-    @F.pandas_udf(SHARED)
-    def strongest(idx: pd.Series, val: pd.Series) -> pd.Series:
-        def one(i, v):
-            i, v = np.asarray(i), np.asarray(v)
-            kind = kinds_of(shared.value, i)
-            order = np.lexsort((i, -np.round(v, 9)))
-            order = order[v[order] > 0]
-            chosen = np.concatenate((order[kind[order] == 1][:n_grams], order[kind[order] == 0][: n - n_grams]))
-            chosen = chosen[np.lexsort((i[chosen], -np.round(v[chosen], 9)))]
-            return [{"term_id": int(i[c]), "weight": float(v[c])} for c in chosen]
+    schema = T.StructType([means.schema[group], *(T.StructField(c, t) for c, t in (("term_id", T.IntegerType()), ("weight", T.DoubleType()), ("rank", T.IntegerType())))])
 
-        return pd.Series([one(i, v) for i, v in zip(idx, val)])
+    def strongest(frames):
+        for pdf in frames:
+            out = []
+            for g, i, v in zip(pdf[group], pdf["idx"], pdf["val"]):
+                i, v = np.asarray(i), np.asarray(v)
+                kind = kinds_of(shared.value, i)
+                good = v > 0
+                chosen = np.concatenate([p[first_places(i[p], v[p], m)] for p, m in ((np.flatnonzero(good & (kind == 1)), n_grams), (np.flatnonzero(good & (kind == 0)), n - n_grams))])
+                chosen = chosen[first_places(i[chosen], v[chosen], n)]
+                out += [(g, int(i[c]), float(v[c]), r) for r, c in enumerate(chosen, 1)]
+            yield pd.DataFrame(out, columns=schema.names)
 
-    return means.select(group, F.posexplode(strongest("idx", "val")).alias("_pos", "e")).select(
-        group, "e.term_id", "e.weight", (F.col("_pos") + 1).alias("rank")
-    )
+    # not a column function: rows would wait in a queue, which spills, until their results are there
+    return means.select(group, "idx", "val").mapInPandas(strongest, schema)
+
+
+def first_places(ids: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """Places of the ``n`` greatest weights, rounded to nine digits, ties by id; only those that can be among them are sorted."""
+    at = np.arange(len(ids))
+    if 0 < n < len(ids):
+        at = np.flatnonzero(weights >= np.partition(weights, len(ids) - n)[len(ids) - n] - 1e-8)
+    return at[np.lexsort((ids[at], -np.round(weights[at], 9)))[:n]]
 
 
 def _strongest_by_join(means: DataFrame, kinds: DataFrame, group: str, n: int, n_grams: int) -> DataFrame:
@@ -92,10 +100,7 @@ def _strongest_by_join(means: DataFrame, kinds: DataFrame, group: str, n: int, n
     return kept.select(group, "term_id", "weight", rank.alias("rank"))
 
 
-SHARED = T.ArrayType(T.StructType([T.StructField("term_id", T.IntegerType()), T.StructField("weight", T.DoubleType())]))
-
-
-@F.pandas_udf(SHARED)
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("term_id", T.IntegerType()), T.StructField("weight", T.DoubleType())])))
 def shared_terms(
     idx_a: pd.Series, val_a: pd.Series, idx_b: pd.Series, val_b: pd.Series, skip: pd.Series, n: pd.Series
 ) -> pd.Series:
@@ -108,7 +113,7 @@ def shared_terms(
         low = np.minimum(va[a], vb[b])
         good = (low > 0) & ~np.isin(ids, out)
         ids, low = ids[good], low[good]
-        best = np.lexsort((ids, -np.round(low, 9)))[:limit]
+        best = first_places(ids, low, limit)
         return [{"term_id": int(t), "weight": float(w)} for t, w in zip(ids[best], low[best])]
 
     return pd.Series([one(*row) for row in zip(idx_a, val_a, idx_b, val_b, skip, n)])
@@ -119,16 +124,51 @@ def explain(
 ) -> DataFrame:
     """(query, item, term, weight, rank): why an item matches its query.
 
-    Term ids are alphabetical, so that ties fall to the first term.
+    Term ids are alphabetical, so that ties fall to the first term. Item vectors that are measured to fit
+    one block go to the executors, and lists of a query's items to its vector, so that no vector moves or is copied.
     """
     generic = vocab.filter(F.col("term").isin(*GENERIC_TERMS)).agg(F.collect_list("term_id").alias("g"))
-    q = query_vectors.select(query, F.col("idx").alias("_qi"), F.col("val").alias("_qv"))
-    i = item_vectors.select("item", F.col("idx").alias("_ii"), F.col("val").alias("_iv"))
-    joined = results.select(query, "item").join(q, query).join(i, "item")
-    shared = shared_terms("_qi", "_qv", "_ii", "_iv", generic.scalar(), F.lit(n))
-    return (
-        joined.select(query, "item", F.posexplode(shared).alias("_pos", "e"))
-        .select(query, "item", "e.term_id", "e.weight", (F.col("_pos") + 1).alias("rank"))
-        .join(stored_side(vocab.select("term_id", "term")), "term_id")
-        .select(query, "item", "term", "weight", "rank")
-    )
+    if entries_of(item_vectors) <= RIGHT_BLOCK:
+        found = _explain_in_place(results, query_vectors, item_vectors, generic.first()["g"], query, n)
+    else:
+        q = query_vectors.select(query, F.col("idx").alias("_qi"), F.col("val").alias("_qv"))
+        i = item_vectors.select("item", F.col("idx").alias("_ii"), F.col("val").alias("_iv"))
+        joined = results.select(query, "item").join(q, query).join(i, "item")
+        shared = shared_terms("_qi", "_qv", "_ii", "_iv", generic.scalar(), F.lit(n))
+        found = joined.select(query, "item", F.posexplode(shared).alias("_pos", "e"))
+        found = found.select(query, "item", "e.term_id", "e.weight", (F.col("_pos") + 1).alias("rank"))
+    return found.join(stored_side(vocab.select("term_id", "term")), "term_id").select(query, "item", "term", "weight", "rank")
+
+
+def _explain_in_place(results: DataFrame, query_vectors: DataFrame, item_vectors: DataFrame, generic: list[int], query: str, n: int) -> DataFrame:
+    kind = item_vectors.schema["item"].dataType
+    vectors = item_vectors.select("item", "idx", "val").toArrow().to_pandas()
+    shared = results.sparkSession.sparkContext.broadcast({k: (i, v) for k, i, v in zip(vectors["item"], vectors["idx"], vectors["val"])})
+    wanted = results.select(query, F.col("item").cast(kind).alias("item")).groupBy(query).agg(F.collect_list("item").alias("_items"))
+    asked = query_vectors.select(query, "idx", "val").join(small_side(wanted), query)
+    types = (("item", kind), ("term_id", T.IntegerType()), ("weight", T.DoubleType()), ("rank", T.IntegerType()))
+    schema = T.StructType([query_vectors.schema[query], *(T.StructField(c, t) for c, t in types)])
+
+    def explained(frames):
+        lines: dict = {}  # an item's weights by term id, zero where it has none
+        for pdf in frames:
+            out = []
+            for q, ids, weights, items in zip(pdf[query], pdf["idx"], pdf["val"], pdf["_items"]):
+                ids, weights = np.asarray(ids), np.asarray(weights)
+                for item in items:
+                    if item not in shared.value:
+                        continue
+                    if item not in lines:
+                        i, v = shared.value[item]
+                        lines[item] = np.zeros(max(int(i[-1]) + 1 if len(i) else 1, 1))
+                        lines[item][i] = v
+                        lines[item][[g for g in generic if g < len(lines[item])]] = 0.0
+                    inside = ids < len(lines[item])
+                    low = np.minimum(weights[inside], lines[item][ids[inside]])
+                    some = np.flatnonzero(low > 0)
+                    ids_of = ids[inside][some]
+                    best = first_places(ids_of, low[some], n)
+                    out += [(q, item, int(ids_of[b]), float(low[some[b]]), r) for r, b in enumerate(best, 1)]
+            yield pd.DataFrame(out, columns=schema.names)
+
+    return asked.mapInPandas(explained, schema)

@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from reelmill.functions.scoring import blend
 from reelmill.operators.factors import dot
 from reelmill.operators.ranking import minmax, top_k
-from reelmill.operators.similarity import DIGITS, meet_vectors, taste_vectors, top_cosine
-from reelmill.session import small_side, spread
+from reelmill.operators.similarity import DIGITS, Places, meet_vectors, taste_vectors, top_cosine
+from reelmill.session import small_side
 
 GUEST, ACCOUNT, USER = "guest", "account", "user"
 
@@ -30,11 +30,11 @@ def seed_pool(seeds: DataFrame, seed_vectors: DataFrame, item_vectors: DataFrame
     """
     size = max(200, 20 * n)
     if not exclude_seeds:
-        return top_cosine(seed_vectors, item_vectors, size, "query_id", "item").drop("rank")
+        return top_cosine(seed_vectors, item_vectors, size, "query_id", "item", in_place=True).drop("rank")
     chosen = seeds.select("query_id", "item").distinct()
     counts = chosen.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_seeds"))
-    asking = seed_vectors.join(counts, "query_id")
-    found = top_cosine(asking, item_vectors, F.lit(size) + F.col("n_seeds"), "query_id", "item").drop("rank")
+    asking = seed_vectors.join(small_side(counts), "query_id")  # vectors are wide; they stay where they are made
+    found = top_cosine(asking, item_vectors, F.lit(size) + F.col("n_seeds"), "query_id", "item", in_place=True).drop("rank")
     rest = found.join(chosen, ["query_id", "item"], "left_anti")
     return top_k(rest, ["query_id"], [F.desc("cos"), F.asc("item")], size).drop("rank")
 
@@ -142,8 +142,8 @@ def mmr_rerank(
     item. Pools of at most ``n`` keep their order. With similarities between 0 and 1, a candidate
     whose relevance is too far behind the n-th one can never be picked: one of the n best is always
     left and loses at most 1 - lmbda. Those are dropped first. The rest, at most one pool, is
-    re-ranked in one call per query; vectors are joined to the candidates that are left, from a
-    broadcast where they are measured to be small.
+    re-ranked in one call per query. Pools are cut into slices by query, which get the item vectors
+    that they need, each once, and no vector is copied for each candidate (``meet_vectors``).
     """
     w = W.partitionBy(query).orderBy(F.desc(score), F.asc(item))
     cands = candidates.withColumn("_place", F.row_number().over(w))
@@ -151,39 +151,65 @@ def mmr_rerank(
         nth = F.min(F.when(F.col("_place") <= n, F.col(score))).over(W.partitionBy(query))
         reach = F.col(score) * lmbda >= nth * lmbda - (1.0 - lmbda) - 1e-9
         cands = cands.withColumn("_reach", reach).filter((F.col("_place") <= n) | F.col("_reach")).drop("_reach")
-    vectors = item_vectors.select(item, F.col("idx").alias("_idx"), F.col("val").alias("_val"), F.col("norm").alias("_norm"))
-    cands = cands.join(small_side(vectors), item, "left")
     fields = list(candidates.schema.fields)
     names = [f.name for f in fields]
 
-    def units(pdf: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Index and unit-length values per candidate; empty for items without a vector."""
-        none = (np.zeros(0, np.int64), np.zeros(0))
-        return [(np.asarray(i), np.asarray(v) / m) if i is not None and m > 0 else none for i, v, m in zip(pdf["_idx"], pdf["_val"], pdf["_norm"])]
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_place", ignore_index=True)
-        if len(pdf) <= n:
-            return pdf.assign(rank=np.arange(1, len(pdf) + 1))[names + ["rank"]]
-        vectors = units(pdf)
-        row = np.zeros(max((int(i[-1]) for i, _ in vectors if len(i)), default=0) + 1)
-        relevance = lmbda * pdf[score].to_numpy()
-        worst = np.zeros(len(pdf))
+    def pick(rows: pd.DataFrame, place: Places, idx: list, val: list, norm: np.ndarray) -> pd.DataFrame:
+        rows = rows.sort_values("_place", ignore_index=True)
+        likeness = _Likeness(idx, val, norm)
+        found = [place.every.get(i, [-1]) for i in rows[item]]  # an item with several vectors is as many candidates
+        rows = rows.iloc[np.repeat(np.arange(len(rows)), [len(f) for f in found])].reset_index(drop=True)
+        spots = np.array([s for f in found for s in f], np.int64)
+        relevance = lmbda * rows[score].to_numpy()
+        kept, ranks = [], []
+        for at in rows.groupby(query, sort=False, dropna=False).indices.values():
+            taken = list(range(len(at))) if len(at) <= n else choose(relevance[at], spots[at], likeness)
+            kept += [at[t] for t in taken]
+            ranks += range(1, len(taken) + 1)
+        return rows.iloc[kept].assign(rank=np.array(ranks, np.int32))[names + ["rank"]]
+
+    def choose(relevance: np.ndarray, spots: np.ndarray, likeness: _Likeness) -> list[int]:
+        worst = np.zeros(len(spots))
         taken: list[int] = []
-        free = np.ones(len(pdf), bool)
+        free = np.ones(len(spots), bool)
         for step in range(n):
             value = np.where(free, np.round(relevance - (1.0 - lmbda) * worst, 9), -np.inf)
             best = int(np.argmax(value))
             taken.append(best)
             free[best] = False
-            row[vectors[best][0]] = vectors[best][1]
-            sims = np.round([float(v @ row[i]) for i, v in vectors], 9)
-            row[vectors[best][0]] = 0.0
+            sims = likeness(spots, spots[best])
             worst = sims if step == 0 else np.maximum(worst, sims)
-        return pdf.iloc[taken].assign(rank=np.arange(1, n + 1))[names + ["rank"]]
+        return taken
 
     schema = T.StructType(fields + [T.StructField("rank", T.IntegerType())])
-    return spread(cands, query).groupBy(query).applyInPandas(pick, schema)
+    return meet_vectors(cands, item_vectors, (query,), item, schema, pick, every=True)
+
+
+class _Likeness:
+    """Cosines of some vectors with one of them, by their places; zero for place -1 and vectors without length."""
+
+    def __init__(self, idx: list, val: list, norm: np.ndarray):
+        self.idx = [i if np.ndim(i) else np.zeros(0, np.int64) for i in idx]
+        self.unit = [np.asarray(v) / m if m > 0 else np.zeros(len(i)) for i, v, m in zip(self.idx, val, norm)]
+        self.row = np.zeros(max((int(i[-1]) for i in self.idx if len(i)), default=0) + 1)
+        width = len(self.row)
+        # vectors without gaps are rows of a matrix, the last of which stands for none
+        self.matrix = np.stack([*self.unit, np.zeros(width)]) if len(idx) and all(len(i) == width for i in self.idx) else None
+        self.known: dict[int, dict[int, float]] = {}
+
+    def __call__(self, spots: np.ndarray, one: int) -> np.ndarray:
+        if one < 0:
+            return np.zeros(len(spots))
+        if self.matrix is not None:
+            return np.round(self.matrix[spots] @ self.unit[one], DIGITS)
+        known = self.known.setdefault(int(one), {-1: 0.0})
+        missing = [s for s in spots.tolist() if s not in known]
+        if missing:
+            self.row[self.idx[one]] = self.unit[one]
+            for s in missing:
+                known[s] = float(np.round(self.unit[s] @ self.row[self.idx[s]], DIGITS))
+            self.row[self.idx[one]] = 0.0
+        return np.array([known[s] for s in spots.tolist()])
 
 
 def finish(

@@ -70,6 +70,10 @@ class _SubBlock:
         if len(first):
             self.most = np.maximum(np.maximum.reduceat(self.by_value, first), 0.0)
             self.least = np.minimum(np.minimum.reduceat(self.by_value, first), 0.0)
+        self.full = None
+        if 0 < len(rows) * self.width <= FULL * len(self.terms):
+            self.full = np.zeros((len(rows), self.width))
+            self.full[self.owner, self.terms] = self.scaled
 
     def bounds(self, idx: np.ndarray, val: np.ndarray, places: np.ndarray) -> np.ndarray:
         """For each left vector (entries from ``places``) a value that no product with a row here exceeds."""
@@ -93,7 +97,10 @@ class _SubBlock:
         if 2 * total > len(self.terms):
             # most of the block is touched: one pass over all of it is cheaper than collecting
             self.line[idx] = val
-            found = np.bincount(self.owner, weights=self.scaled * self.line[self.terms], minlength=len(self.rows)) / norm
+            if self.full is not None:
+                found = self.full @ self.line / norm
+            else:
+                found = np.bincount(self.owner, weights=self.scaled * self.line[self.terms], minlength=len(self.rows)) / norm
             self.line[idx] = 0.0
         else:
             # positions of all entries that share a term with this vector
@@ -104,6 +111,36 @@ class _SubBlock:
 
 SUB_BLOCK = 512  # right vectors under one bound
 SLACK = 1e-8  # above the rounding of scores and bounds
+FULL = 4  # places of a matrix for each entry, up to which a sub-block is kept as one
+STEP = 256  # left vectors without gaps that are multiplied at a time
+
+
+def _width(idx: list, val: list) -> int:
+    """The length of the vectors if all have it and no gaps, and their entries are numbers, else 0."""
+    n = len(idx[0]) if len(idx) else 0
+    return n if n and all(len(i) == n and i[-1] == n - 1 for i in idx) and all(np.isfinite(v).all() for v in val) else 0
+
+
+class Rights:
+    """Right vectors of one block, in sub-blocks, or as one matrix if they have no gaps."""
+
+    def __init__(self, right: pd.DataFrame, right_id: str, complete: bool):
+        if not complete:
+            right = right[right["norm"] > 0]
+        right = right.sort_values(right_id, ignore_index=True)
+        self.keys = right[right_id].to_numpy()
+        self.idx, self.val = [np.asarray(i, np.int64) for i in right["idx"]], [np.asarray(v, np.float64) for v in right["val"]]
+        self.norm = right["norm"].where(right["norm"] > 0, 1.0).to_numpy()
+        self.complete, self.width = complete, _width(self.idx, self.val)
+        self._parts = None
+
+    @property
+    def parts(self) -> list[_SubBlock]:
+        if self._parts is None:
+            heaviest = np.array([i[np.argmax(np.abs(v))] if len(i) else -1 for i, v in zip(self.idx, self.val)])
+            order = np.arange(len(self.keys)) if self.complete else np.argsort(heaviest, kind="stable")
+            self._parts = [_SubBlock(np.sort(order[a : a + SUB_BLOCK]), self.idx, self.val, self.norm) for a in range(0, len(order), SUB_BLOCK)]
+        return self._parts
 
 
 class Matches:
@@ -129,27 +166,42 @@ class Matches:
         self.all_val = np.concatenate([*self.val, np.zeros(0)])
         self.floor = np.full(len(self.keys), -np.inf)
         self.met = self.passed = 0
+        self.width = _width(self.idx, self.val)
 
-    def among(self, right: pd.DataFrame) -> list[pd.DataFrame]:
+    def among(self, right: pd.DataFrame | Rights) -> list[pd.DataFrame]:
         """Matches in one block that can be among the k best of all blocks so far."""
-        if not self.complete:
-            right = right[right["norm"] > 0]
-        if not len(self.keys) or right.empty:
+        right = right if isinstance(right, Rights) else Rights(right, self.names[1], self.complete)
+        if not len(self.keys) or not len(right.keys):
             return []
-        right = right.sort_values(self.names[1], ignore_index=True)
-        keys = right[self.names[1]].to_numpy()
-        idx, val = [np.asarray(i, np.int64) for i in right["idx"]], [np.asarray(v, np.float64) for v in right["val"]]
-        norm = right["norm"].where(right["norm"] > 0, 1.0).to_numpy()
-        heaviest = np.array([i[np.argmax(np.abs(v))] if len(i) else -1 for i, v in zip(idx, val)])
-        order = np.arange(len(keys)) if self.complete else np.argsort(heaviest, kind="stable")
-        parts = [_SubBlock(np.sort(order[a : a + SUB_BLOCK]), idx, val, norm) for a in range(0, len(order), SUB_BLOCK)]
-        bounds = np.stack([p.bounds(self.all_idx, self.all_val, self.places) for p in parts], axis=1) / self.norm[:, None]
-        out = []
-        for i, key in enumerate(self.keys):
-            rows, scores = self._best(i, parts, bounds[i])
-            if len(rows):
-                out.append(pd.DataFrame({self.names[0]: key, self.names[1]: keys[rows], "cos": scores}))
-        return out
+        if right.width and right.width == self.width:
+            found = self._products(right)
+        else:
+            bounds = np.stack([p.bounds(self.all_idx, self.all_val, self.places) for p in right.parts], axis=1) / self.norm[:, None]
+            found = (self._best(i, right.parts, bounds[i]) for i in range(len(self.keys)))
+        rows, scores = zip(*found)
+        owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        if not len(owner):
+            return []
+        return [pd.DataFrame({self.names[0]: self.keys[owner], self.names[1]: right.keys[np.concatenate(rows)], "cos": np.concatenate(scores)})]
+
+    def _products(self, right: Rights):
+        """The same for vectors without gaps: matrices are multiplied, and only what can be among the k best is rounded and sorted."""
+        theirs = (np.stack(right.val) / right.norm[:, None]).T
+        for first in range(0, len(self.keys), STEP):
+            mine = np.stack(self.val[first : first + STEP]) / self.norm[first : first + STEP, None]
+            for i, raw in enumerate(mine @ theirs, first):
+                k = int(self.k[i])
+                rows = np.arange(len(raw)) if k < 0 or self.floor[i] == -np.inf else np.flatnonzero(raw >= self.floor[i] - SLACK)
+                if 0 < k < len(rows):
+                    kept = raw[rows]
+                    rows = rows[kept >= np.partition(kept, len(kept) - k)[len(kept) - k] - SLACK]
+                scores = np.round(raw[rows], DIGITS) + 0.0
+                if not self.complete:
+                    rows, scores = rows[scores > 0], scores[scores > 0]
+                best = np.lexsort((rows, -scores))[: k if k >= 0 else None]
+                if 0 < k == len(best):
+                    self.floor[i] = max(self.floor[i], scores[best[-1]])
+                yield rows[best], scores[best]
 
     def _best(self, i: int, parts: list[_SubBlock], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         k = int(self.k[i])
@@ -183,6 +235,7 @@ def top_cosine(
     left_block: int = LEFT_BLOCK,
     right_block: int = RIGHT_BLOCK,
     complete: bool = False,
+    in_place: bool = False,
 ) -> DataFrame:
     """(left_id, right_id, cos, rank): for each left vector its ``k`` most similar right ones.
 
@@ -196,6 +249,10 @@ def top_cosine(
     returns at most k rows per left vector and block: joining on terms would instead shuffle one row
     per pair and shared term, and a frequent term would be one huge group. No block depends on how
     often a term or key occurs.
+
+    ``in_place``: left vectors are many, wide and made as they are read. If the right ones are measured to
+    fit one block, these go to the executors, and every left vector is read once, where it is made:
+    neither counted, nor stored, nor moved. ``k`` is then cut where the vector is.
     """
     ids = (left.schema[left_id].dataType, right.schema[right_id].dataType)
     schema = T.StructType(
@@ -203,7 +260,12 @@ def top_cosine(
     )
     limit = F.lit(-1) if k is None else (F.lit(k) if isinstance(k, int) else k)
     lefts = left.select(left_id, "idx", "val", "norm", limit.cast("long").alias("k"))
-    entries = lefts.agg(F.coalesce(F.sum(F.size("idx") + 1), F.lit(0)).alias("n")).first()["n"]
+    if in_place:
+        if entries_of(right) <= right_block:
+            return _against_all(lefts, right, left_id, right_id, schema, complete)
+        left = store(left, "left-vectors")  # read several times from here on
+        lefts = left.select(left_id, "idx", "val", "norm", limit.cast("long").alias("k"))
+    entries = entries_of(lefts)
     if entries <= left_block:
         shared = left.sparkSession.sparkContext.broadcast(lefts.toArrow().to_pandas())  # one block, as measured
 
@@ -226,6 +288,25 @@ def top_cosine(
     )
 
 
+def entries_of(vectors: DataFrame) -> int:
+    """Entries of all vectors and one more for each."""
+    return vectors.agg(F.coalesce(F.sum(F.size("idx") + 1), F.lit(0)).alias("n")).first()["n"]
+
+
+def _against_all(lefts: DataFrame, right: DataFrame, left_id: str, right_id: str, schema: T.StructType, complete: bool) -> DataFrame:
+    """Ranked matches of left vectors, batch by batch, with right ones that fit one block and are sent."""
+    shared = lefts.sparkSession.sparkContext.broadcast(right.select(right_id, "idx", "val", "norm").toArrow().to_pandas())
+    schema = T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())])
+
+    def read_on(frames):
+        rights = Rights(shared.value, right_id, complete)
+        for pdf in frames:
+            for found in Matches(pdf, left_id, right_id, complete).among(rights):
+                yield found.assign(rank=found.groupby(left_id, sort=False, dropna=False).cumcount() + 1)
+
+    return lefts.mapInPandas(read_on, schema)
+
+
 def _multiply_blocks(
     left: DataFrame, right: DataFrame, left_id: str, right_id: str, schema: T.StructType, left_block: int, right_block: int, complete: bool
 ) -> DataFrame:
@@ -269,17 +350,28 @@ def _sum_entries(idx: list, val: list, weights: np.ndarray) -> tuple[np.ndarray,
     return terms.astype(np.int32), total[terms]
 
 
-def meet_vectors(rows: DataFrame, item_vectors: DataFrame, keys: tuple[str, ...], item: str, schema, work) -> DataFrame:
+class Places(dict):
+    """A vector's position by item, the last one of an item with several; ``every`` lists all of them."""
+
+    def __init__(self, items):
+        super().__init__((k, i) for i, k in enumerate(items))
+        self.every: dict = {}
+        for i, k in enumerate(items):
+            self.every.setdefault(k, []).append(i)
+
+
+def meet_vectors(rows: DataFrame, item_vectors: DataFrame, keys: tuple[str, ...], item: str, schema, work, every: bool = False) -> DataFrame:
     """``work(rows, place, idx, val, norm)`` for slices of ``rows`` (keys, item, ...) with the vectors that they need.
 
     Rows are hashed into slices by their keys. Routes, the distinct (slice, item), send each slice
     every vector that it needs once, so neither the driver nor any task holds the whole matrix and
     no vector is copied for each row. ``place`` is a vector's position by item; ``work`` gives
-    tuples. The number of slices follows the rows; no key should have many times ``SLICE_ROWS`` rows.
+    tuples or a frame. ``every``: rows without an item come too. The number of slices follows the rows; no key should have many times ``SLICE_ROWS`` rows.
     """
     kind = item_vectors.schema[item].dataType
     least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kept = store(rows.withColumn(item, F.col(item).cast(kind)).filter(F.col(item).isNotNull()), "rows-to-vectors")
+    rows = rows.withColumn(item, F.col(item).cast(kind))
+    kept = store(rows if every else rows.filter(F.col(item).isNotNull()), "rows-to-vectors")
     n = max(least, kept.count() // SLICE_ROWS + 1)
     placed = kept.withColumn("_slice", F.pmod(F.xxhash64(*keys), F.lit(n)))
     routes = placed.select(F.col("_slice").alias("_to"), item).distinct()
@@ -287,51 +379,84 @@ def meet_vectors(rows: DataFrame, item_vectors: DataFrame, keys: tuple[str, ...]
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def one(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        place = {k: i for i, k in enumerate(r[item])}
+        place = Places(r[item])
         vectors = [np.asarray(x) for x in r["idx"]], [np.asarray(x) for x in r["val"]], r["norm"].to_numpy()
-        return pd.DataFrame(list(work(l, place, *vectors)), columns=schema.names)
+        found = work(l, place, *vectors)
+        return found if isinstance(found, pd.DataFrame) else pd.DataFrame(list(found), columns=schema.names)
 
     tasks = min(n, MOST_PARTITIONS)
     sides = [side.repartition(tasks, by).groupBy(by) for side, by in ((placed, "_slice"), (moved, "_to"))]
     return sides[0].cogroup(sides[1]).applyInPandas(one, schema)
 
 
+MADE = 16  # vectors that leave a task at a time
+
+
 def combine_vectors(members: DataFrame, item_vectors: DataFrame, group: str, item: str = "item", weight: str = "w") -> DataFrame:
     """(group, idx, val, norm): the weighted sum of each group's item vectors.
 
     ``members`` has one row per (group, item). Entries are summed as arrays inside tasks, so no row
     per group and term is ever shuffled. A group with many members is cut into parts of about
-    ``PART`` and the parts are summed afterwards, so that none is worked on as a whole. Member lists
-    are cut into slices, which get the vectors that they need, each once (``meet_vectors``).
+    ``PART`` and the parts are summed afterwards, so that none is worked on as a whole. Only such partial
+    sums are stored: the sums of all groups may be many times the items' vectors, so those of
+    one part are made as they are read. Item vectors that are measured to fit one block go to the
+    executors and meet lists of members; otherwise member lists are cut into slices, which get the
+    vectors that they need, each once (``meet_vectors``).
     """
     kind = members.schema[group].dataType.simpleString()
     sizes = members.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(PART))).alias("_parts"))
     rows = members.select(group, item, F.col(weight).cast("double").alias("_w")).join(sizes, group)
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64(item), F.col("_parts")))
-    schema = f"{group} {kind}, _parts long, _part long, idx array<int>, val array<double>"
+    rows = store(rows.withColumn("_part", F.pmod(F.xxhash64(item), F.col("_parts"))), "members")
+    schema = f"{group} {kind}, _parts long, _part long, idx array<int>, val array<double>, norm double"
+    keys = [group, "_parts", "_part"]
+
+    def packed(idx: np.ndarray, val: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        return idx, val, float(np.sqrt(np.cumsum(val * val)[-1])) if len(val) else 0.0
 
     def add_members(rows: pd.DataFrame, place: dict, idx: list, val: list, norm: np.ndarray):
         rows = rows[rows[item].isin(list(place))]
-        for (g, parts, part), mine in rows.groupby([group, "_parts", "_part"], sort=False):
+        for (g, parts, part), mine in rows.groupby(keys, sort=False):
             at = [place[i] for i in mine[item]]
-            yield g, parts, part, *_sum_entries([idx[i] for i in at], [val[i] for i in at], mine["_w"].to_numpy())
+            yield g, parts, part, *packed(*_sum_entries([idx[i] for i in at], [val[i] for i in at], mine["_w"].to_numpy()))
+
+    if entries_of(item_vectors) <= RIGHT_BLOCK:
+        vectors = item_vectors.select(item, "idx", "val").toArrow().to_pandas()
+        shared = members.sparkSession.sparkContext.broadcast({k: (i, v) for k, i, v in zip(vectors[item], vectors["idx"], vectors["val"])})
+
+        def add_lists(frames):
+            for pdf in frames:
+                for first in range(0, len(pdf), MADE):
+                    out = []
+                    for g, parts, part, listed in pdf.iloc[first : first + MADE].itertuples(index=False):
+                        known = [(shared.value[m[item]], m["_w"]) for m in listed if m[item] in shared.value]
+                        total = _sum_entries([x[0] for x, _ in known], [x[1] for x, _ in known], np.array([w for _, w in known]))
+                        out.append((g, parts, part, *packed(*total)))
+                    yield pd.DataFrame(out, columns=[*keys, "idx", "val", "norm"])
+
+        def summed(some: DataFrame) -> DataFrame:
+            some = some.withColumn(item, F.col(item).cast(item_vectors.schema[item].dataType))
+            lists = spread(some, group, "_part").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(item, "_w"))).alias("_listed"))
+            return lists.mapInPandas(add_lists, schema)
+    else:
 
-    partial = meet_vectors(rows, item_vectors, (group, "_part"), item, schema, add_members)
-    partial = store(partial.filter(F.size("idx") > 0), "partial-sums")
+        def summed(some: DataFrame) -> DataFrame:
+            return meet_vectors(some, item_vectors, (group, "_part"), item, schema, add_members)
 
     def add_parts(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = _sum_entries(pdf["idx"].to_list(), pdf["val"].to_list(), np.ones(len(pdf)))
-        return pd.DataFrame([(pdf[group].iloc[0], pdf["_parts"].iloc[0], pdf["_part"].iloc[0], *total)], columns=[group, "_parts", "_part", "idx", "val"])
+        total = packed(*_sum_entries(pdf["idx"].to_list(), pdf["val"].to_list(), np.ones(len(pdf))))
+        return pd.DataFrame([(pdf[group].iloc[0], pdf["_parts"].iloc[0], pdf["_part"].iloc[0], *total)], columns=[*keys, "idx", "val", "norm"])
 
     # Most groups have one part. The others' parts are added ``LEVEL`` at a time, level by level.
-    done = partial.filter("_parts = 1")
-    split = partial.filter("_parts > 1")
+    done = summed(rows.filter("_parts = 1"))
+    split = rows.filter("_parts > 1")
+    if not split.isEmpty():
+        split = store(summed(split).filter(F.size("idx") > 0), "partial-sums")
     while not split.isEmpty():
-        rows = split.withColumn("_part", F.expr(f"_part div {LEVEL}")).withColumn("_parts", F.expr(f"(_parts + {LEVEL - 1}) div {LEVEL}"))
-        split = store(rows.groupBy(group, "_part").applyInPandas(add_parts, schema), "partial-sums")
+        parts = split.withColumn("_part", F.expr(f"_part div {LEVEL}")).withColumn("_parts", F.expr(f"(_parts + {LEVEL - 1}) div {LEVEL}"))
+        split = store(parts.groupBy(group, "_part").applyInPandas(add_parts, schema), "partial-sums")
         done = done.unionByName(split.filter("_parts = 1"))
         split = split.filter("_parts > 1")
-    return with_norm(done.filter(F.size("idx") > 0).select(group, "idx", "val"))
+    return done.filter(F.size("idx") > 0).select(group, "idx", "val", "norm")
 
 
 def _known_members(members: DataFrame, item_vectors: DataFrame, item: str) -> DataFrame:

@@ -330,3 +330,65 @@ def test_no_vector_reaches_the_driver(spark, matrices, monkeypatch):
         means = SI.mean_vectors(members, vectors, "g")
     assert all(len(found) <= 1 and len(r) == 1 for found in rows for r in found)  # single numbers
     assert means.count() == 9
+
+
+def test_sums_of_one_part_are_neither_stored_nor_moved(spark, matrices, monkeypatch):
+    stored = []
+    for module in (SI, RC):
+        if hasattr(module, "store"):
+            monkeypatch.setattr(module, "store", lambda df, name="stage", rows=None, keep=module.store: stored.append((name, df.columns)) or keep(df, name, rows))
+    _, right = matrices
+    seeds = spark.createDataFrame([(u, i, 10) for u in range(6) for i in range(u, 31, 4)], "query_id long, item long, rating int")
+    vectors = sparse(spark, right, "item")
+    pool = RC.seed_pool(seeds, SI.taste_vectors(seeds, vectors, "query_id"), vectors, 5)
+    plan = pool._jdf.queryExecution().executedPlan().toString()
+    c = {(r["query_id"], r["item"]): r["cos"] for r in pool.collect()}
+    for u in range(6):
+        mine = list(range(u, 31, 4))
+        near = cosines(right[mine].mean(axis=0)[None], right)[0]
+        assert {i for q, i in c if q == u} == {i for i in range(31) if near[i] > 0 and i not in mine}
+        assert all(abs(c[u, i] - near[i]) < 1e-8 for q, i in c if q == u)
+    assert stored and not any("val" in columns for _, columns in stored)
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "val" in line]
+
+
+def test_pools_get_each_vector_once(spark, matrices, monkeypatch):
+    moved = []
+    meet = SI.meet_vectors
+    monkeypatch.setattr(RC, "meet_vectors", lambda *a, **k: moved.append(a[0].columns) or meet(*a, **k))
+    _, right = matrices
+    cands = spark.createDataFrame([(g, i, (i * 7 % 31) / 31) for g in range(3) for i in range(31)] + [(5, None, 0.5)], "query_id long, item long, final double")
+    got = RC.mmr_rerank(cands, sparse(spark, right, "item"), 4).collect()
+    assert len(got) == 13 and moved == [["query_id", "item", "final", "_place"]]
+
+
+def test_vectors_without_gaps_are_multiplied_as_matrices():
+    rng = np.random.default_rng(5)
+    left, right = rng.standard_normal((300, 16)).round(1), rng.standard_normal((1500, 16)).round(1)
+    right[700:] = right[:800]  # many ties
+
+    def frame(m, key):
+        return pd.DataFrame({key: np.arange(len(m)), "idx": [np.arange(16)] * len(m), "val": list(m), "norm": np.linalg.norm(m, axis=1)})
+
+    for complete in (True, False):
+        matches = SI.Matches(frame(left, "a").assign(k=10), "a", "b", complete)
+        found = pd.concat([part for first in (0, 750) for part in matches.among(frame(right, "b").iloc[first : first + 750])])
+        found = found.sort_values(["a", "cos", "b"], ascending=[True, False, True]).groupby("a").head(10)
+        c = cosines(left, right)
+        assert list(zip(found["a"], found["b"])) == [(a, int(b)) for a in range(300) for b in np.lexsort((np.arange(1500), -c[a]))[:10]]
+        assert matches.met == 0  # no left vector met a sub-block by itself
+
+
+@pytest.mark.parametrize("block", [SI.RIGHT_BLOCK, 0])
+def test_explanations_by_every_path(spark, matrices, monkeypatch, block):
+    monkeypatch.setattr(KW, "RIGHT_BLOCK", block)
+    left, right = matrices
+    vocab = spark.createDataFrame([(t, "bad" if t == 0 else f"t{t:02d}") for t in range(40)], "term_id int, term string")
+    results = spark.createDataFrame([(q, i) for q in range(5) for i in range(q, 31, 6)] + [(0, 999), (77, 1)], "query_id long, item long")
+    got = KW.explain(results, sparse(spark, left, "query_id"), sparse(spark, right, "item"), vocab).collect()
+    skip = {0} if "bad" in KW.GENERIC_TERMS else set()
+    for q, i in [(q, i) for q in range(5) for i in range(q, 31, 6)]:
+        low = np.minimum(left[q], right[i])
+        best = [t for t in sorted(range(40), key=lambda t: (-round(low[t], 9), t)) if low[t] > 0 and t not in skip][:4]
+        assert [r["term"] for r in sorted((r for r in got if (r["query_id"], r["item"]) == (q, i)), key=lambda r: r["rank"])] == ["bad" if t == 0 else f"t{t:02d}" for t in best]
+    assert {(r["query_id"], r["item"]) for r in got} <= {(q, i) for q in range(5) for i in range(31)}
