@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 #: Columns of a gradient that are added up in one group, and past steps that a direction is made of.
 BLOCK, HISTORY = 4096, 10
-#: Bytes of all tasks' sums up to which they are added on the driver without a shuffle.
-SUMMED = 64 << 20
+#: Bytes of all tasks' sums up to which they are added on the driver without a shuffle; that many may come in every pass.
+SUMMED = 4 << 20
 #: Relative gap between primal and dual value at which a model is done.
 GAP = 1e-4
 
@@ -66,8 +66,11 @@ class Rows:
         return np.stack([np.append(np.bincount(self.idx, weights=f[self.row] * self.val, minlength=size), f.sum()) for f in factors.T])
 
 
-def _evaluate(rows: DataFrame, w: np.ndarray, tasks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each model its primal and dual value and gradient, and the margins' part of the dual."""
+def _evaluate(rows: DataFrame, w: np.ndarray, tasks: int, some: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each model its primal and dual value and gradient, and the margins' part of the dual.
+
+    ``some``: the places in ``costs`` of the models in ``w``, if they are not all.
+    """
     m, size = w.shape
     shared = rows.sparkSession.sparkContext.broadcast(w)
 
@@ -79,7 +82,8 @@ def _evaluate(rows: DataFrame, w: np.ndarray, tasks: int) -> tuple[np.ndarray, n
                 continue
             x = Rows(batch.column("features"))
             y = np.where(batch.column("label").to_numpy(zero_copy_only=False) == 1, 1.0, -1.0)
-            cost = batch.column("costs").flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
+            cost = batch.column("costs").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            cost = cost if some is None else cost[:, some]
             short = np.maximum(0.0, 1.0 - y[:, None] * x.margins(w))
             alpha = 2.0 * cost * short
             stats[:, 0] += (cost * short * short).sum(axis=0)
@@ -161,18 +165,18 @@ class _Steps:
 def fit_many(rows: DataFrame, size: int, models: int, max_passes: int) -> list[LinearSvm]:
     """Models of rows (features, label, costs): ``costs`` holds the row's weight for each of the models.
 
-    ``rows`` are read once in each pass, so they should be stored.
+    ``rows`` are read once in each pass, so they should be stored. Models that are done take no part in further passes.
     """
     steps = [_Steps(size + 1) for _ in range(models)]
     tasks = rows.rdd.getNumPartitions()
     for _ in range(max_passes):
-        w = np.stack([s.trial for s in steps])
-        primal, dual, gradient, _ = _evaluate(rows, w, tasks)
-        for i, s in enumerate(steps):
-            if not s.done:
-                s.seen(float(primal[i]), float(dual[i]), gradient[i])
-        if all(s.done for s in steps):
+        open_ = [i for i, s in enumerate(steps) if not s.done]
+        if not open_:
             break
+        w = np.stack([steps[i].trial for i in open_])
+        primal, dual, gradient, _ = _evaluate(rows, w, tasks, open_)
+        for at, i in enumerate(open_):
+            steps[i].seen(float(primal[at]), float(dual[at]), gradient[at])
     return [LinearSvm(s.at[:-1], float(s.at[-1]), s.value, s.best_dual, float(np.linalg.norm(s.gradient))) for s in steps]
 
 

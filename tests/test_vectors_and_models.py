@@ -392,3 +392,13 @@ def test_explanations_by_every_path(spark, matrices, monkeypatch, block):
         best = [t for t in sorted(range(40), key=lambda t: (-round(low[t], 9), t)) if low[t] > 0 and t not in skip][:4]
         assert [r["term"] for r in sorted((r for r in got if (r["query_id"], r["item"]) == (q, i)), key=lambda r: r["rank"])] == ["bad" if t == 0 else f"t{t:02d}" for t in best]
     assert {(r["query_id"], r["item"]) for r in got} <= {(q, i) for q in range(5) for i in range(31)}
+
+
+def test_models_that_are_done_send_no_more_sums(spark, monkeypatch):
+    x, y = labelled_rows(300)
+    seen, evaluate = [], SV._evaluate
+    monkeypatch.setattr(SV, "_evaluate", lambda rows, w, *rest: seen.append(len(w)) or evaluate(rows, w, *rest))
+    # the second model's rows are one in ten, so that both need different numbers of passes
+    MO._fit_masked(feature_table(spark, x, y), [F.lit(True), F.col("review_id") % 10 == 0], FIRST)
+    assert seen[0] == 2 and seen[-1] == 1
+    assert SV.SUMMED * FIRST.svc_max_iter < 1000 << 20  # what all passes together may send to the driver
