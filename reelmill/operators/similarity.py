@@ -360,19 +360,19 @@ class Places(dict):
             self.every.setdefault(k, []).append(i)
 
 
-def meet_vectors(rows: DataFrame, item_vectors: DataFrame, keys: tuple[str, ...], item: str, schema, work, every: bool = False) -> DataFrame:
+def meet_vectors(rows: DataFrame, item_vectors: DataFrame, keys: tuple[str, ...], item: str, schema, work, every: bool = False, slices: int = 1) -> DataFrame:
     """``work(rows, place, idx, val, norm)`` for slices of ``rows`` (keys, item, ...) with the vectors that they need.
 
     Rows are hashed into slices by their keys. Routes, the distinct (slice, item), send each slice
     every vector that it needs once, so neither the driver nor any task holds the whole matrix and
     no vector is copied for each row. ``place`` is a vector's position by item; ``work`` gives
-    tuples or a frame. ``every``: rows without an item come too. The number of slices follows the rows; no key should have many times ``SLICE_ROWS`` rows.
+    tuples or a frame. ``every``: rows without an item come too. The number of slices follows the rows, and is ``slices`` at least; no key should have many times ``SLICE_ROWS`` rows.
     """
     kind = item_vectors.schema[item].dataType
     least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.withColumn(item, F.col(item).cast(kind))
     kept = store(rows if every else rows.filter(F.col(item).isNotNull()), "rows-to-vectors")
-    n = max(least, kept.count() // SLICE_ROWS + 1)
+    n = max(least, kept.count() // SLICE_ROWS + 1, slices)
     placed = kept.withColumn("_slice", F.pmod(F.xxhash64(*keys), F.lit(n)))
     routes = placed.select(F.col("_slice").alias("_to"), item).distinct()
     moved = item_vectors.select(item, "idx", "val", "norm").join(routes, item)
@@ -389,7 +389,7 @@ def meet_vectors(rows: DataFrame, item_vectors: DataFrame, keys: tuple[str, ...]
     return sides[0].cogroup(sides[1]).applyInPandas(one, schema)
 
 
-MADE = 16  # vectors that leave a task at a time
+SLICE_ENTRIES = 1 << 25  # entries of the sums that one task makes of its slice: some 400 MB
 
 
 def combine_vectors(members: DataFrame, item_vectors: DataFrame, group: str, item: str = "item", weight: str = "w") -> DataFrame:
@@ -399,9 +399,8 @@ def combine_vectors(members: DataFrame, item_vectors: DataFrame, group: str, ite
     per group and term is ever shuffled. A group with many members is cut into parts of about
     ``PART`` and the parts are summed afterwards, so that none is worked on as a whole. Only such partial
     sums are stored: the sums of all groups may be many times the items' vectors, so those of
-    one part are made as they are read. Item vectors that are measured to fit one block go to the
-    executors and meet lists of members; otherwise member lists are cut into slices, which get the
-    vectors that they need, each once (``meet_vectors``).
+    one part are made as they are read. Member lists are cut into slices, by what their sums will
+    measure, which get the vectors that they need, each once (``meet_vectors``).
     """
     kind = members.schema[group].dataType.simpleString()
     sizes = members.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(PART))).alias("_parts"))
@@ -419,28 +418,11 @@ def combine_vectors(members: DataFrame, item_vectors: DataFrame, group: str, ite
             at = [place[i] for i in mine[item]]
             yield g, parts, part, *packed(*_sum_entries([idx[i] for i in at], [val[i] for i in at], mine["_w"].to_numpy()))
 
-    if entries_of(item_vectors) <= RIGHT_BLOCK:
-        vectors = item_vectors.select(item, "idx", "val").toArrow().to_pandas()
-        shared = members.sparkSession.sparkContext.broadcast({k: (i, v) for k, i, v in zip(vectors[item], vectors["idx"], vectors["val"])})
+    size = item_vectors.agg(F.coalesce(F.avg(F.size("idx")), F.lit(0.0)).alias("n")).first()["n"]
 
-        def add_lists(frames):
-            for pdf in frames:
-                for first in range(0, len(pdf), MADE):
-                    out = []
-                    for g, parts, part, listed in pdf.iloc[first : first + MADE].itertuples(index=False):
-                        known = [(shared.value[m[item]], m["_w"]) for m in listed if m[item] in shared.value]
-                        total = _sum_entries([x[0] for x, _ in known], [x[1] for x, _ in known], np.array([w for _, w in known]))
-                        out.append((g, parts, part, *packed(*total)))
-                    yield pd.DataFrame(out, columns=[*keys, "idx", "val", "norm"])
-
-        def summed(some: DataFrame) -> DataFrame:
-            some = some.withColumn(item, F.col(item).cast(item_vectors.schema[item].dataType))
-            lists = spread(some, group, "_part").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(item, "_w"))).alias("_listed"))
-            return lists.mapInPandas(add_lists, schema)
-    else:
-
-        def summed(some: DataFrame) -> DataFrame:
-            return meet_vectors(some, item_vectors, (group, "_part"), item, schema, add_members)
+    def summed(some: DataFrame) -> DataFrame:
+        lists = some.select(*keys).distinct().count()
+        return meet_vectors(some, item_vectors, (group, "_part"), item, schema, add_members, slices=int(lists * size) // SLICE_ENTRIES + 1)
 
     def add_parts(pdf: pd.DataFrame) -> pd.DataFrame:
         total = packed(*_sum_entries(pdf["idx"].to_list(), pdf["val"].to_list(), np.ones(len(pdf))))
