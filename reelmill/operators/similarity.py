@@ -389,7 +389,7 @@ def meet_vectors(rows: DataFrame, item_vectors: DataFrame, keys: tuple[str, ...]
     return sides[0].cogroup(sides[1]).applyInPandas(one, schema)
 
 
-SLICE_ENTRIES = 1 << 25  # entries of the sums that one task makes of its slice: some 400 MB
+SLICE_ENTRIES = 1 << 22  # entries of the sums that one task makes of its slice: some 50 MB
 
 
 def combine_vectors(members: DataFrame, item_vectors: DataFrame, group: str, item: str = "item", weight: str = "w") -> DataFrame:
