@@ -32,7 +32,8 @@ def clean_text(text: Column) -> Column:
     text = F.regexp_replace(text, ADDRESS, " ")
     text = collapse_phrases(text, POSITIVE_PHRASES)
     text = collapse_phrases(text, NEGATIVE_PHRASES)
-    return F.trim(F.regexp_replace(text, r"[^a-zA-Z']+", " "))
+    # The words are taken out: looking for what lies between them takes ten times as long.
+    return F.array_join(F.regexp_extract_all(text, F.lit(r"[a-zA-Z']+"), F.lit(0)), " ")
 
 
 def word_count(clean: Column) -> Column:

@@ -1,9 +1,8 @@
 """Term statistics, vocabulary and TF-IDF.
 
-Documents are partitioned by id *before* their terms are exploded. Counting per (document, term),
-row norms and packing then all find the partitioning they need, so what is shuffled is the text
-once, not its several times larger n-grams. Only the vocabulary itself is shuffled by term, after
-partial counts.
+Documents are partitioned by id first, so that all texts of an id meet. A vocabulary is fitted, and
+documents are weighed by one, on n-grams as numbers (``grams.py``). ``term_counts`` gives all terms
+of all documents as rows, for those who want them: they are several times larger than the texts.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelmill.functions.text import ngrams, tokens
+from reelmill.operators import grams
 from reelmill.session import spread, store, stored_side
 
 # Terms that are ranked in one window at most; more are cut down by their prefixes first.
@@ -121,19 +121,52 @@ def fit_tfidf(counts: DataFrame, max_features: int | None = 50_000, min_df: int
     n = marker["df"] if marker else 0
     terms = stats.filter((F.col("term") != "") & (F.col("df") >= min_df) & (F.col("df") <= max_df * n))
     chosen = terms if max_features is None or terms.count() <= max_features else cap_terms(terms, max_features)
+    return _vocabulary(chosen, n)
+
+
+def _vocabulary(chosen: DataFrame, n: int) -> DataFrame:
     idf = F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1
     return store(numbered(chosen).select("term", "term_id", "df", "ctf", idf.alias("idf")), "vocabulary")
 
 
+def fit_documents(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "clean_text",
+    ngram_range: tuple[int, int] = (1, 3),
+    raw: bool = False,
+    max_features: int | None = 50_000,
+    min_df: int = 3,
+    max_df: float = 0.9,
+) -> DataFrame:
+    """``fit_tfidf`` from the documents themselves, without a row for each of their terms.
+
+    N-grams are counted by hash first. Those that can be in the vocabulary, all that tie at the cap
+    included, get their text from a second reading, and are capped by it.
+    """
+    lists = store(grams.word_lists(docs, doc_id, text, raw).select("texts"), "words")
+    hashed = store(grams.hashed_statistics(lists, *ngram_range, min_df), "statistics")
+    n = hashed.filter("h1 is null").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).first()["n"]
+    wanted = hashed.filter(F.col("h1").isNotNull() & (F.col("df") <= max_df * n))
+    capped = max_features is not None and wanted.count() > max_features
+    if capped:
+        levels = wanted.groupBy("ctf").agg(F.count(F.lit(1)).alias("n"))
+        above = F.sum("n").over(W.partitionBy().orderBy(F.desc("ctf"))) - F.col("n")
+        wanted = wanted.filter(F.col("ctf") >= levels.withColumn("above", above).filter(F.col("above") < max_features).agg(F.min("ctf")).first()[0])
+    terms = store(grams.named_terms(lists, wanted, *ngram_range), "terms")
+    return _vocabulary(cap_terms(terms, max_features) if capped else terms, n)
+
+
 def weigh(counts: DataFrame, vocab: DataFrame, doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, [kept], term_id, weight): (1 + ln tf) * idf, rows of length one. Unknown terms drop out.
 
     ``vocab`` is a stored table; it is broadcast if it is measured to be small enough.
     """
-    terms = stored_side(vocab.select("term", "term_id", "idf"))
-    raw = counts.join(terms, "term").select(
-        doc_id, *keep, "term_id", ((F.log(F.col("tf")) + 1) * F.col("idf")).alias("_x")
-    )
+    return _weights(counts.join(stored_side(vocab.select("term", "term_id", "idf")), "term"), doc_id, keep)
+
+
+def _weights(known: DataFrame, doc_id: str, keep: tuple[str, ...]) -> DataFrame:
+    raw = known.select(doc_id, *keep, "term_id", ((F.log(F.col("tf")) + 1) * F.col("idf")).alias("_x"))
     norm = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(W.partitionBy(doc_id)))
     return raw.select(doc_id, *keep, "term_id", (F.col("_x") / norm).alias("weight"))
 
@@ -148,6 +181,14 @@ def transform_tfidf(
     keep: tuple[str, ...] = (),
     partitioned: bool = False,
 ) -> DataFrame:
-    """Weigh new texts by a fitted vocabulary."""
-    counts = term_counts(docs, doc_id, text, ngram_range, raw, keep, partitioned)
-    return weigh(counts, vocab, doc_id, keep)
+    """Weigh texts by a fitted vocabulary, a stored table.
+
+    Terms are looked up as numbers where the texts are, and only known ones become rows; a vocabulary that is
+    too large to be sent is joined with the rows of all terms.
+    """
+    if vocab.count() > grams.SENT:
+        return weigh(term_counts(docs, doc_id, text, ngram_range, raw, keep, partitioned), vocab, doc_id, keep)
+    lists = grams.word_lists(docs, doc_id, text, raw, keep, partitioned)
+    found = grams.known_terms(lists, vocab, *ngram_range).select(doc_id, *keep, F.explode(F.arrays_zip("idx", "tf")).alias("e"))
+    counts = found.select(doc_id, *keep, F.col("e.idx").alias("term_id"), F.col("e.tf").alias("tf"))
+    return _weights(counts.join(stored_side(vocab.select("term_id", "idf")), "term_id"), doc_id, keep)

@@ -22,7 +22,7 @@ from reelmill.operators.reviews import (
 )
 from reelmill.operators.sampling import balance, oversample, stratified_split
 from reelmill.operators.similarity import pack_vectors
-from reelmill.operators.tfidf import fit_tfidf, term_counts, weigh
+from reelmill.operators.tfidf import fit_documents, term_counts, transform_tfidf
 from reelmill.params import FIRST, Params
 from reelmill.plans.evaluate import evaluate_offline, evaluation_report, has_evaluation_columns
 from reelmill.session import cut_lineage, small_side, store
@@ -70,8 +70,8 @@ def prepare_reviews(
 
 def fit_vocabulary(docs: DataFrame, params: Params = FIRST, key: str = "review_id") -> tuple[DataFrame, DataFrame]:
     """(vocabulary, term counts) of cleaned texts."""
-    counts = term_counts(docs, key, "clean_text", params.ngram_range)
-    return fit_tfidf(counts, params.max_features, params.min_df, params.max_df), counts
+    vocab = fit_documents(docs, key, "clean_text", params.ngram_range, False, params.max_features, params.min_df, params.max_df)
+    return vocab, term_counts(docs, key, "clean_text", params.ngram_range)
 
 
 def train(
@@ -108,11 +108,10 @@ def train(
     training = store(stratified_split(training, "review_id", "label", params.test_fraction, params.seed), "training")
     done("prepare")
     corpus = training_rows(reviews) if fit_on == "all" else training.filter("not is_test")
-    vocab, counts = fit_vocabulary(corpus, params)
-    if fit_on != "all" or not published_order:
-        counts = term_counts(training, "review_id", "clean_text", params.ngram_range)
+    vocab, _ = fit_vocabulary(corpus, params)
     done("vocabulary")
-    vectors = pack_vectors(weigh(counts, vocab, "review_id"), "review_id")
+    docs = corpus if fit_on == "all" and published_order else training
+    vectors = pack_vectors(transform_tfidf(docs, vocab, "review_id", "clean_text", params.ngram_range), "review_id")
     size = vocab.count()
     rows = cut_lineage(feature_rows(training.select("review_id", "label", "is_test"), vectors, size))
     done("features")
