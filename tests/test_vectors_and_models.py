@@ -402,3 +402,19 @@ def test_models_that_are_done_send_no_more_sums(spark, monkeypatch):
     MO._fit_masked(feature_table(spark, x, y), [F.lit(True), F.col("review_id") % 10 == 0], FIRST)
     assert seen[0] == 2 and seen[-1] == 1
     assert SV.SUMMED * FIRST.svc_max_iter < 1000 << 20  # what all passes together may send to the driver
+
+
+def test_vectors_meet_only_rows_with_both_sides(spark):
+    from pyspark.sql import functions as F
+
+    from reelmill.operators import factors
+
+    rows = spark.createDataFrame([(1, 7, "a"), (1, 8, "b"), (2, 7, "c"), (None, 7, "d"), (3, None, "e"), (1, 7, "f"), (4, 9, "g"), (2, 8, "h")], "user long, item long, note string")
+    users = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 0.0]), (4, [1.0, 1.0]), (5, [9.0, 9.0]), (None, [1.0, 1.0])], "user long, factors array<double>")
+    items = spark.createDataFrame([(7, [1.0, 1.0]), (7, [0.0, 1.0]), (9, None), (None, [1.0, 1.0])], "item long, factors array<double>")
+    joined = rows.join(users.withColumnRenamed("factors", "_u"), "user", "left").join(items.withColumnRenamed("factors", "_v"), "item", "left")
+    want = joined.withColumn("factor_score", F.coalesce(factors.dot("_u", "_v"), F.lit(0.0))).drop("_u", "_v")
+    got = factors.factor_scores(rows, users, items)
+    assert got.columns == want.columns and sorted(got.collect(), key=repr) == sorted(want.collect(), key=repr)
+    # a user's vector went on to the item join with every row, whether the item had one or not
+    assert "LeftOuter" not in got._jdf.queryExecution().optimizedPlan().toString()
