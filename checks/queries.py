@@ -966,11 +966,12 @@ def folded_feedback(spark, sf):
 
 @query
 def streamed_feedback(spark, sf):
-    """The events in six files, one micro-batch each, with snapshots on the way."""
+    """The events in six micro-batches, each of as many files as the cluster has cores, with snapshots on the way."""
     run = shared_folder(spark, f"stream-{uuid.uuid4().hex}")
     events, source = V.table(spark, sf, "events"), os.path.join(run, "in")
-    events.withColumn("_file", F.pmod(F.xxhash64("event_id"), F.lit(6))).repartition(6, "_file").drop("_file").write.parquet(source)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    width = spark.sparkContext.defaultParallelism
+    events.repartition(6 * width, "event_id").write.parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", width).parquet(source)
     q = FB.stream_feedback(V.as_feedback(stream), os.path.join(run, "out"), os.path.join(run, "log"), compact_every=2)
     q.awaitTermination()
     return FB.stream_state(spark, os.path.join(run, "out"))

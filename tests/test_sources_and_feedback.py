@@ -222,3 +222,23 @@ def test_plans_stay_flat(spark):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
     plan = Q.REGISTRY["active_users"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan
+
+
+def test_stream_has_work_for_every_core_in_six_batches(spark, monkeypatch):
+    """Each micro-batch read one file, so one task parsed it."""
+    import glob
+    import os
+
+    from checks import queries as Q
+
+    seen, start = {}, Q.FB.stream_feedback
+
+    def stream(events, out, log, **options):
+        seen["files"] = len(glob.glob(os.path.join(os.path.dirname(out), "in", "*.parquet")))
+        seen["query"] = start(events, out, log, **options)
+        return seen["query"]
+
+    monkeypatch.setattr(Q.FB, "stream_feedback", stream)
+    assert Q.streamed_feedback(spark, "/root/testdata/sf0.001").count() > 0
+    batches = {p["batchId"] for p in seen["query"].recentProgress if p["numInputRows"]}
+    assert seen["files"] == 6 * spark.sparkContext.defaultParallelism and len(batches) == 6
