@@ -24,6 +24,7 @@ from reelmill.session import partitions_for, spread
 
 RANGES = 16  # hash ranges that are merged, for each partition of the texts
 SENT = 4_000_000  # n-grams whose hashes, 64 MB, are sent to the executors
+TEXT_BYTES = 8 << 20  # text that is taken apart at a time: some 200 MB of numbers
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _SPREAD = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -37,6 +38,18 @@ def word_lists(docs: DataFrame, doc_id: str, text: str, raw: bool, keep: tuple[s
     return docs.groupBy(doc_id, *keep).agg(F.collect_list(words).alias("texts"))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut into runs of rows with about ``size`` bytes of text; a longer row is one run."""
+    for b in batches:
+        texts = b.column("texts")
+        ends = np.cumsum(texts.value_lengths().to_numpy(zero_copy_only=False))
+        read = np.cumsum(np.concatenate(([0], pc.binary_length(texts.flatten()).to_numpy(zero_copy_only=False))))
+        run = read[ends] // size
+        starts = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1]))) if len(run) else []
+        for a, z in zip(starts, [*starts[1:], len(run)]):
+            yield b.slice(a, z - a)
+
+
 def _hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes for each word."""
     digests = b"".join(hashlib.blake2b(w.encode(), digest_size=16).digest() for w in words)
@@ -116,11 +129,11 @@ def _summed(one: np.ndarray, two: np.ndarray, df: np.ndarray, ctf: np.ndarray) -
 
 def hashed_statistics(lists: DataFrame, low: int, high: int, min_df: int) -> DataFrame:
     """(h1, h2, df, ctf) of n-grams in ``min_df`` documents or more; with both hashes null, the number of documents as ``df``."""
-    ranges = RANGES * partitions_for(lists)
+    ranges, size = RANGES * partitions_for(lists), TEXT_BYTES
     schema = pa.schema([("p", pa.int32()), ("docs", pa.int64()), *[(c, pa.binary()) for c in ("h1", "h2", "df", "ctf")]])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches, size):
             batch = _Batch(b.column("texts"))
             found = [[], [], [], []]
             for gram, doc, first, second, _ in batch.orders(low, high):
@@ -180,7 +193,7 @@ def named_terms(lists: DataFrame, wanted: DataFrame, low: int, high: int) -> Dat
 
     Up to ``SENT`` hashes are sent to the executors; more are joined with the n-grams of every batch.
     """
-    few = wanted.count() <= SENT
+    few, size = wanted.count() <= SENT, TEXT_BYTES
     shared = None
     if few:
         listed = wanted.select("h1", "h2").toArrow()
@@ -189,7 +202,7 @@ def named_terms(lists: DataFrame, wanted: DataFrame, low: int, high: int) -> Dat
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = np.zeros(len(shared.value.one), bool) if few else None
-        for b in batches:
+        for b in _slices(batches, size):
             batch = _Batch(b.column("texts"))
             for gram, _, first, second, parts in batch.orders(low, high):
                 here = np.bincount(gram, minlength=len(first)) > 0
@@ -220,20 +233,21 @@ def known_terms(lists: DataFrame, vocab: DataFrame, low: int, high: int) -> Data
             one, two = _chained(one, last[0], 0), _chained(two, last[1], 1)
         hashes[0, rows], hashes[1, rows] = one, two
     shared = lists.sparkSession.sparkContext.broadcast(_Wanted(*hashes, listed["term_id"].to_numpy().astype(np.int32)))
+    size = TEXT_BYTES
     others = [f for f in lists.schema.fields if f.name != "texts"]
     schema = T.StructType([*others, T.StructField("idx", T.ArrayType(T.IntegerType())), T.StructField("tf", T.ArrayType(T.LongType()))])
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches, size):
             batch = _Batch(b.column("texts"))
             pairs = []
             for gram, doc, first, second, _ in batch.orders(low, high):
                 at = shared.value.find(first, second)[gram]
                 pairs.append(doc[at >= 0] * len(shared.value.one) + at[at >= 0])
             known, tf = np.unique(np.concatenate(pairs), return_counts=True)
-            size = max(len(shared.value.one), 1)
-            places = pa.array(np.searchsorted(known // size, np.arange(batch.size + 1)), pa.int32())
-            lists_of = (pa.ListArray.from_arrays(places, pa.array(v)) for v in (shared.value.value[known % size], tf.astype(np.int64)))
+            wide = max(len(shared.value.one), 1)
+            places = pa.array(np.searchsorted(known // wide, np.arange(batch.size + 1)), pa.int32())
+            lists_of = (pa.ListArray.from_arrays(places, pa.array(v)) for v in (shared.value.value[known % wide], tf.astype(np.int64)))
             yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in others], *lists_of], names=[*[f.name for f in others], "idx", "tf"])
 
     return lists.mapInArrow(weigh, schema)

@@ -32,11 +32,13 @@ def test_vocabulary_of_documents_is_that_of_counts(spark, docs, monkeypatch, sen
     assert rows(tfidf.fit_documents(docs, "doc_id", "clean_text", span, raw, cap, min_df, 0.9)) == rows(tfidf.fit_tfidf(counts, cap, min_df, 0.9))
 
 
-@pytest.mark.parametrize("sent", [grams.SENT, 0])
-def test_weights_of_documents_are_those_of_counts(spark, docs, monkeypatch, sent):
+@pytest.mark.parametrize("sent, size", [(grams.SENT, grams.TEXT_BYTES), (grams.SENT, 8), (0, 8)])
+def test_weights_of_documents_are_those_of_counts(spark, docs, monkeypatch, sent, size):
     vocab = tfidf.fit_tfidf(tfidf.term_counts(docs), 12, 1, 0.9)
     want = tfidf.weigh(tfidf.term_counts(docs, keep=("item",)), vocab, "doc_id", ("item",))
     monkeypatch.setattr(grams, "SENT", sent)
+    monkeypatch.setattr(grams, "TEXT_BYTES", size)
+    assert rows(tfidf.fit_documents(docs, max_features=12, min_df=1)) == rows(vocab)
     assert rows(tfidf.transform_tfidf(docs, vocab, keep=("item",))) == rows(want)
     empty = docs.limit(0)
     assert tfidf.transform_tfidf(empty, vocab).count() == 0 and tfidf.fit_documents(empty).count() == 0
