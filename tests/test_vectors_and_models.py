@@ -418,3 +418,47 @@ def test_vectors_meet_only_rows_with_both_sides(spark):
     assert got.columns == want.columns and sorted(got.collect(), key=repr) == sorted(want.collect(), key=repr)
     # a user's vector went on to the item join with every row, whether the item had one or not
     assert "LeftOuter" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("parts, held", [(3, 600), (1 << 8, 3000)])
+def test_svd_by_groups_and_slices_of_columns(spark, monkeypatch, parts, held):
+    """Several parts in a group, several slices of columns; the stages of one half step only are left."""
+    import os
+
+    from reelmill.session import scratch_folder
+
+    for name, value in (("BLOCK", 7), ("CELLS", 20), ("SENT", 0), ("PARTS", parts), ("HELD", held)):
+        monkeypatch.setattr(FA, name, value)
+    seen, routed = [], FA._routed
+    monkeypatch.setattr(FA, "_routed", lambda stripes, far, turn, cuts: seen.append((stripes, cuts, routed(stripes, far, turn, cuts))) or seen[-1][2])
+    rng = np.random.default_rng(3)
+    a = np.round(rng.random((30, 18)) * 10) * (rng.random((30, 18)) < 0.5)
+    a[:, 0], a[0, :] = 5, 3
+    cells = spark.createDataFrame([(f"u{i}", j, float(a[i, j])) for i in range(30) for j in range(18) if a[i, j]], "user string, item long, r double")
+    folder = scratch_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    users, items = FA.truncated_svd(cells, k=4, n_iter=8, oversampling=12)
+    left = sorted(f.rsplit("-", 1)[0] for f in set(os.listdir(folder)) - before)
+    assert left == ["blocks", "blocks", "item-ids", "user-ids"]  # every half step's parts and blocks were left
+    u, v = np.zeros((30, 4)), np.zeros((18, 4))
+    for side, key, out in ((users, "user", u), (items, "item", v)):
+        for r in side.collect():
+            out[int(str(r[key]).removeprefix("u"))] = r["factors"]
+    x, s, y = np.linalg.svd(a)
+    assert np.allclose(u @ v.T, (x[:, :4] * s[:4]) @ y[:4], atol=1e-2)
+    assert len(seen) == 17 and all(len(cuts) > 2 for _, cuts, _ in seen)
+    assert (seen[0][0].groups > 1) == (parts == 3)
+
+
+def test_slices_move_each_needed_row_once(spark, monkeypatch):
+    for name, value in (("BLOCK", 8), ("CELLS", 20), ("PARTS", 2), ("SENT", 0)):
+        monkeypatch.setattr(FA, name, value)
+    cells = spark.range(0, 3000).selectExpr("id % 40 AS u", "(id * 7) % 60 AS i", "1.0D AS r").distinct()
+    stripes = FA._Stripes(cells, "u", "i", cells.count())
+    rows = {b: np.random.default_rng(b).random((8, 6)) for b in range(8)}
+    far = FA._Side(spark.createDataFrame([(b, bytearray(m.tobytes())) for b, m in rows.items()], "b long, m binary"), 60, 6)
+    sent = FA._routed(stripes, far, None, np.array([0, 2, 4, 6])).filter(f"b < {FA.LAST}").collect()
+    needed = {(r["g"], f) for r in stripes.packed.collect() for f in r["far"]}
+    assert stripes.groups > 1 and sum(len(r["m"]) for r in sent) == len(needed) * 6 * 8
+    found = {(r["t"] // 3, r["b"] * 8 + i) for r in sent if r["t"] % 3 == 0 for i in np.frombuffer(r["ids"], "<u4")}
+    assert found == needed
