@@ -462,3 +462,28 @@ def test_slices_move_each_needed_row_once(spark, monkeypatch):
     assert stripes.groups > 1 and sum(len(r["m"]) for r in sent) == len(needed) * 6 * 8
     found = {(r["t"] // 3, r["b"] * 8 + i) for r in sent if r["t"] % 3 == 0 for i in np.frombuffer(r["ids"], "<u4")}
     assert found == needed
+
+
+def test_scores_move_each_vector_once_a_task(spark, monkeypatch):
+    """Rows of every kind: unknown and null keys, several vectors, missing elements, other lengths, further columns."""
+    from pyspark.sql import functions as F
+
+    for name, value in (("BLOCK", 4), ("HELD", 200), ("ROWS", 50), ("STEP", 16)):
+        monkeypatch.setattr(FA, name, value)
+    rng = np.random.default_rng(5)
+    vector = lambda n: [float(x) for x in rng.integers(-9, 9, n)]
+    users = [(f"u{i}", vector(5)) for i in range(40)] + [("u1", vector(5)), ("u2", None), ("u3", vector(4)), (None, vector(5)), ("u5", [1.0, None, 2.0, 3.0, 4.0]), ("u90", [])]
+    items = [(i, vector(5)) for i in range(30)] + [(4, vector(5)), (5, None), (6, vector(3)), (50, vector(4)), (None, vector(5)), (91, [])]
+    users = spark.createDataFrame(users, "user string, factors array<double>")
+    items = spark.createDataFrame(items, "item long, factors array<double>")
+    rows = spark.range(0, 700).selectExpr(
+        "if(id % 50 = 0, null, id * 7 % 33) AS item", "if(id % 41 = 0, null, concat('u', id % 45)) AS user", "id % 3 AS a", "if(id % 4 = 0, null, date'2020-01-01') AS d", "array(id, null) AS l"
+    ).unionByName(spark.sql("SELECT 50L AS item, 'u3' AS user, 1L AS a, date'2021-01-01' AS d, array(1L) AS l UNION ALL SELECT 91L, 'u90', 2L, NULL, NULL"))
+    joined = rows.join(users.withColumnRenamed("factors", "_u"), "user", "left").join(items.withColumnRenamed("factors", "_v"), "item", "left")
+    want = joined.withColumn("factor_score", F.coalesce(FA.dot("_u", "_v"), F.lit(0.0))).drop("_u", "_v")
+    got = FA.factor_scores(rows, users, items)
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(got.collect(), key=repr) == sorted(want.collect(), key=repr)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "factors" not in plan  # only blocks of vectors are joined, and with their routes
+    assert any(r["factor_score"] != 0.0 for r in got.collect())
