@@ -179,3 +179,44 @@ def test_a_large_group_is_not_compared_with_itself_again(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.class_id for r in nc.near_classes(docs).collect()} == {0}
     assert sum(compared) <= 2 * len(rows)
+
+
+def barely_alike(n=600, shingles=46):
+    """(rows, pairs): texts and copies that differ in one word, just above the similarity; some of these pairs share no band."""
+    rows = []
+    for i in range(n):
+        words = [f"a{i}x{j}" for j in range(shingles + 4)]
+        rows.append((i, " ".join(words)))
+        rows.append((n + i, " ".join([*words[:20], f"b{i}", *words[21:]])))
+    return rows
+
+
+def test_links_that_no_band_leads_to(spark, tmp_path):
+    rows = barely_alike()
+    expected, similar, border = brute_classes(rows)
+    assert len(similar) == 600 and min(similar.values()) > 0.8
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.class_id for r in op6_near_copies(spark, str(tmp_path)).collect()} == expected
+
+
+def test_a_shingle_of_many_texts_is_split(spark, monkeypatch):
+    """The same pairs whatever a task compares, and all that are alike are among them."""
+    rows = made(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    frequency, n = nc.document_frequencies(docs)
+    idf = spark.sparkContext.broadcast(nc.rarity(frequency, n).astype(np.float32))
+    counts = spark.sparkContext.broadcast(frequency.astype(np.uint32))
+    members = docs.select("doc_id", docs["doc_id"].alias("label"))
+    whole, found = brute_classes(rows)[1], []
+    for together in (1 << 24, 16):
+        monkeypatch.setattr(nc, "TOGETHER", together)
+        found.append({(r.a, r.b) for r in nc.unmet_pairs(members, nc.shingle_sets(docs), idf, counts, 0.8).collect()})
+    assert found[0] == found[1] and {p for p, j in whole.items() if j >= 0.8} <= found[0]
+
+
+def test_labels_after_further_links(spark):
+    labels = components(spark.createDataFrame([(1, 2), (2, 3), (10, 11), (20, 21)], "a long, b long"))
+    further = spark.createDataFrame([(3, 11), (30, 31), (31, 21), (1, 3)], "a long, b long")
+    got = {r.node: r.label for r in nc.joined(labels, further).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 20: 20, 21: 20, 30: 20, 31: 20}
+    assert {r.node: r.label for r in nc.joined(labels, further.limit(0)).collect()} == {r.node: r.label for r in labels.collect()}
