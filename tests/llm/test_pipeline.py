@@ -99,3 +99,13 @@ def test_clashing_names_go_through(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path)).cache()
         assert docs.columns == df.columns
         assert [tuple(r)[5:] for r in docs.collect()] == [tuple(names)], name
+
+
+def test_copies_that_share_no_band_go(spark):
+    """Texts and copies that differ in one word of 50: shingles are alike by 41 / 51, so a few of the pairs share no band."""
+    rows = []
+    for i in range(600):
+        words = [f"a{i}x{j}" for j in range(50)]
+        rows += [(i, " ".join(words)), (600 + i, " ".join([*words[:20], f"b{i}", *words[21:]]))]
+    kept = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert {r.doc_id for r in kept} == set(range(600))
