@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -390,6 +392,8 @@ def meet_vectors(rows: DataFrame, item_vectors: DataFrame, keys: tuple[str, ...]
 
 
 SLICE_ENTRIES = 1 << 22  # entries of the sums that one task makes of its slice: some 50 MB
+SENT_ENTRIES = 1 << 20  # entries of sums that leave a task together: some 12 MB
+LIST_ROWS = 1 << 20  # members in one task that has its items' vectors
 
 
 def combine_vectors(members: DataFrame, item_vectors: DataFrame, group: str, item: str = "item", weight: str = "w") -> DataFrame:
@@ -399,7 +403,8 @@ def combine_vectors(members: DataFrame, item_vectors: DataFrame, group: str, ite
     per group and term is ever shuffled. A group with many members is cut into parts of about
     ``PART`` and the parts are summed afterwards, so that none is worked on as a whole. Only such partial
     sums are stored: the sums of all groups may be many times the items' vectors, so those of
-    one part are made as they are read. Member lists are cut into slices, by what their sums will
+    one part are made as they are read. Item vectors that are measured to fit one block go to as few slices of
+    the member lists as there are cores. Otherwise lists are cut into slices, by what their sums will
     measure, which get the vectors that they need, each once (``meet_vectors``).
     """
     kind = members.schema[group].dataType.simpleString()
@@ -418,9 +423,12 @@ def combine_vectors(members: DataFrame, item_vectors: DataFrame, group: str, ite
             at = [place[i] for i in mine[item]]
             yield g, parts, part, *packed(*_sum_entries([idx[i] for i in at], [val[i] for i in at], mine["_w"].to_numpy()))
 
+    entries = entries_of(item_vectors)
     size = item_vectors.agg(F.coalesce(F.avg(F.size("idx")), F.lit(0.0)).alias("n")).first()["n"]
 
     def summed(some: DataFrame) -> DataFrame:
+        if entries <= RIGHT_BLOCK:
+            return _sums_in_few_slices(some, item_vectors, keys, item, schema, packed)
         lists = some.select(*keys).distinct().count()
         return meet_vectors(some, item_vectors, (group, "_part"), item, schema, add_members, slices=int(lists * size) // SLICE_ENTRIES + 1)
 
@@ -441,6 +449,44 @@ def combine_vectors(members: DataFrame, item_vectors: DataFrame, group: str, ite
     return done.filter(F.size("idx") > 0).select(group, "idx", "val", "norm")
 
 
+def _sums_in_few_slices(members: DataFrame, item_vectors: DataFrame, keys: list[str], item: str, schema: str, packed) -> DataFrame:
+    """(keys, idx, val, norm): the weighted sums of all lists (equal ``keys``) of ``members`` (keys, item, _w).
+
+    A task reads the vectors that its slice needs, each once, and then its lists; sums leave it as they are
+    made. So slices need not be as many as their sums would fill, each with vectors of its own.
+    """
+    known = members.withColumn(item, F.col(item).cast(item_vectors.schema[item].dataType)).filter(F.col(item).isNotNull())
+    n = max(members.sparkSession.sparkContext.defaultParallelism, known.count() // LIST_ROWS + 1)
+    known = known.withColumn("_slice", F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int"))
+    lists = known.groupBy("_slice", *keys).agg(F.collect_list(F.struct(F.col(item).alias("i"), F.col("_w").alias("w"))).alias("_m"))
+    lists = lists.select("_slice", F.lit(1).alias("_kind"), *keys, F.col("_m.i").alias("_items"), F.col("_m.w").alias("_weights"))
+    moved = item_vectors.select(item, "idx", "val").join(known.select("_slice", item).distinct(), item)
+    moved = moved.select("_slice", F.lit(0).alias("_kind"), F.col(item).alias("_item"), "idx", "val")
+    both = moved.unionByName(lists, allowMissingColumns=True).repartitionById(n, F.col("_slice")).sortWithinPartitions("_kind")
+
+    def run(batches):
+        place, idx, val = {}, [], []
+        for batch in batches:
+            vectors, rows = (batch.filter(pc.equal(batch.column("_kind"), k)) for k in (0, 1))
+            for i, terms, weights in zip(*(vectors.column(c) for c in ("_item", "idx", "val"))):
+                place[i.as_py()] = len(idx)
+                idx.append(terms.values.to_numpy())
+                val.append(weights.values.to_numpy(zero_copy_only=False))
+            out, held, first = [], 0, 0
+            for r, (items, weights) in enumerate(zip(rows.column("_items").to_pylist(), rows.column("_weights").to_pylist())):
+                mine = [(place[i], w) for i, w in zip(items, weights) if i in place]
+                out.append(packed(*_sum_entries([idx[i] for i, _ in mine], [val[i] for i, _ in mine], np.array([w for _, w in mine], float))))
+                held += len(out[-1][0]) + 1
+                if held > SENT_ENTRIES or r + 1 == rows.num_rows:
+                    ends = pa.array(np.cumsum([0, *(len(i) for i, _, _ in out)]), pa.int32())
+                    entries = (pa.array(np.concatenate(c), t) for c, t in zip(list(zip(*out))[:2], (pa.int32(), pa.float64())))
+                    sums = [*(pa.ListArray.from_arrays(ends, e) for e in entries), pa.array([norm for _, _, norm in out], pa.float64())]
+                    yield pa.RecordBatch.from_arrays([*(rows.column(c).slice(first, len(out)) for c in keys), *sums], names=[*keys, "idx", "val", "norm"])
+                    out, held, first = [], 0, r + 1
+
+    return both.mapInArrow(run, schema)
+
+
 def _known_members(members: DataFrame, item_vectors: DataFrame, item: str) -> DataFrame:
     return keep_known(members, item_vectors, item)
 

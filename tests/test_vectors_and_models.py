@@ -487,3 +487,35 @@ def test_scores_move_each_vector_once_a_task(spark, monkeypatch):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" in plan and "factors" not in plan  # only blocks of vectors are joined, and with their routes
     assert any(r["factor_score"] != 0.0 for r in got.collect())
+
+
+def test_sums_of_few_items_need_few_slices(spark, monkeypatch):
+    """Item vectors that fit one block go to few slices; the sums are those of the other path, whatever a list's length."""
+    rng = np.random.default_rng(11)
+    vectors = sparse(spark, rng.random((12, 40)) * (rng.random((12, 40)) < 0.4), "item")
+    rows = [(g, i, float(rng.integers(-3, 9))) for g in range(9) for i in (*range(g + 3), None, 77)] + [(None, 1, 2.0)]
+    members = spark.createDataFrame(rows, "g int, item int, w double")
+    moved, meet = [], SI.meet_vectors
+    monkeypatch.setattr(SI, "meet_vectors", lambda *a, **k: moved.append(1) or meet(*a, **k))
+    monkeypatch.setattr(SI, "SLICE_ENTRIES", 8)  # as many slices as sums
+    monkeypatch.setattr(SI, "SENT_ENTRIES", 30)
+    found = {}
+    for parts in (256, 2):
+        for block in (1 << 21, 0):
+            monkeypatch.setattr(SI, "PART", parts)
+            monkeypatch.setattr(SI, "RIGHT_BLOCK", block)
+            found[parts, block] = {r["g"]: r for r in SI.combine_vectors(members, vectors, "g").collect()}
+            assert bool(moved) == (block == 0)
+            moved.clear()
+    for got in found.values():
+        assert sorted(got) == list(range(9))
+        for g, r in got.items():
+            assert r["idx"] == found[256, 0][g]["idx"]
+            assert np.allclose(r["val"], found[256, 0][g]["val"]) and np.isclose(r["norm"], found[256, 0][g]["norm"])
+
+
+def test_gram_of_factors(spark):
+    rows = np.random.default_rng(2).random((40, 5))
+    gram = {(r["i"], r["j"]): r["g"] for r in FA.factor_gram(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "item int, factors array<double>")).collect()}
+    assert len(gram) == 25 and np.allclose([gram[i, j] for i in range(5) for j in range(5)], (rows.T @ rows).ravel())
+    assert FA.factor_gram(spark.createDataFrame([], "item int, factors array<double>")).count() == 0
