@@ -519,3 +519,7 @@ def test_gram_of_factors(spark):
     gram = {(r["i"], r["j"]): r["g"] for r in FA.factor_gram(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "item int, factors array<double>")).collect()}
     assert len(gram) == 25 and np.allclose([gram[i, j] for i in range(5) for j in range(5)], (rows.T @ rows).ravel())
     assert FA.factor_gram(spark.createDataFrame([], "item int, factors array<double>")).count() == 0
+    odd = spark.createDataFrame([(0, [1.0, None, 2.0]), (1, [3.0, None]), (2, None)], "item int, factors array<double>").coalesce(1)
+    assert {(r["i"], r["j"]): r["g"] for r in FA.factor_gram(odd).collect()} == {
+        (0, 0): 10.0, (0, 1): None, (0, 2): 2.0, (1, 0): None, (1, 1): None, (1, 2): None, (2, 0): 2.0, (2, 1): None, (2, 2): 4.0,
+    }
